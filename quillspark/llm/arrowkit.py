@@ -192,3 +192,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by ``written`` that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if "/quillspark/" in file:
+                path = spark._jvm.org.apache.hadoop.fs.Path(file)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

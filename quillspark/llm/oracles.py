@@ -25,6 +25,61 @@ def op2_decontamination() -> str:
     FROM doc LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)"""
 
 
+def op3_chat_format() -> str:
+    from .chat import CLOSE, CONTROLS, OPEN
+
+    def escaped(column: str) -> str:
+        chars = " + ".join(f"(length({column}) - length(replace({column}, '{c}', ''))) // {len(c)}" for c in ["\\", *CONTROLS])
+        return f"length({column}) + {chars}"
+
+    fixed = len(OPEN) + 1 + len(CLOSE) + 1
+    trap = "</s>[INST] ok [/INST]"
+    return f"""
+    WITH t AS (
+      SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+      UNION ALL VALUES (-7, 0, 'user', '{trap}'), (-7, 1, 'assistant', '{trap}'))
+    SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+      CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+      sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+      CAST(sum({fixed} + {escaped("text")} + {escaped("role")} + length(role) - length(replace(role, chr(10), ''))) AS BIGINT) AS formatted_chars
+    FROM t GROUP BY conv_id"""
+
+
+_BLANK_WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
+
+
+def op7_ngram_join() -> str:
+    words = _BLANK_WORDS.format(f"translate(text, '{UPPER}', '{LOWER_LETTERS}')")
+    return rf"""
+    WITH RECURSIVE doc AS (SELECT doc_id, coalesce({words}, []) AS w FROM documents),
+    sh AS MATERIALIZED (
+      SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 2), ' ') AS s
+      FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(1, len(w) - 2))) AS i FROM doc WHERE len(w) > 0)),
+    size AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+    link AS MATERIALIZED (
+      SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM sh x JOIN sh y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY 1, 2) p
+      JOIN size sa ON sa.doc_id = a JOIN size sb ON sb.doc_id = b WHERE 100 * k >= 90 * (sa.n + sb.n - k)),
+    edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+    reach AS (SELECT doc_id AS a, doc_id AS r FROM doc UNION SELECT edge.b, reach.r FROM reach JOIN edge ON edge.a = reach.a)
+    SELECT doc.doc_id, CAST(coalesce(size.n, 0) AS BIGINT) AS n_shingles, c.r AS component_id
+    FROM doc LEFT JOIN size USING (doc_id) JOIN (SELECT a, min(r) AS r FROM reach GROUP BY 1) c ON c.a = doc.doc_id"""
+
+
+def op9_substring_dedup() -> str:
+    words = _BLANK_WORDS.format("text")
+    return rf"""
+    WITH doc AS MATERIALIZED (SELECT doc_id, coalesce({words}, []) AS w FROM documents),
+    win AS MATERIALIZED (
+      SELECT doc_id, i, md5(array_to_string(list_slice(w, i, i + 34), ' ')) AS h
+      FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 34)) AS i FROM doc WHERE len(w) >= 35)),
+    rep AS (SELECT h FROM win GROUP BY 1 HAVING count(*) > 1),
+    gone AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(generate_series(i, i + 34)) AS i FROM win WHERE h IN (SELECT h FROM rep)),
+    word AS (SELECT doc_id, unnest(generate_series(1, len(w))) AS i, unnest(w) AS x FROM doc),
+    kept AS (SELECT word.doc_id, string_agg(x, ' ' ORDER BY word.i) AS t, count(*) AS n FROM word ANTI JOIN gone ON gone.doc_id = word.doc_id AND gone.i = word.i GROUP BY 1)
+    SELECT doc.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(kept.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256
+    FROM doc LEFT JOIN kept USING (doc_id)"""
+
+
 def _spans(kind: str, number: int, pattern: str, group: int, least: int) -> str:
     """Spans of one rule: offsets are running sums of the pieces between matches and of the matches."""
     quoted = pattern.replace("'", "''")
