@@ -16,25 +16,44 @@ class Ftrl:
         z, n = self.z[at], self.n[at]
         return np.where(np.abs(z) <= self.l1, 0.0, -(z - np.sign(z) * self.l1) / ((self.beta + np.sqrt(n)) / self.alpha + self.l2))
 
-    def step(self, at: np.ndarray, x: np.ndarray, target: np.ndarray, weight: float = 1.0) -> None:
+    def step(self, at: np.ndarray, x: np.ndarray, target: np.ndarray) -> None:
         """One example: features ``at`` (distinct) with values ``x``; ``target`` is a distribution over classes."""
         w = self.weights(at)
-        g = np.outer(x, softmax(x @ w) - target) * weight
+        g = np.outer(x, softmax(x @ w) - target)
         n = self.n[at]
         grown = n + g * g
         self.z[at] += g - (np.sqrt(grown) - np.sqrt(n)) / self.alpha * w
         self.n[at] = grown
 
-    def fit(self, rows: list[tuple[np.ndarray, np.ndarray]], targets: np.ndarray, epochs: int, seed: int = 7, weights: np.ndarray | None = None) -> np.ndarray:
+    def fit_sets(self, rows: list[np.ndarray], targets: np.ndarray, epochs: int) -> np.ndarray:
+        """As ``fit`` for features that are present or not."""
+        return self.fit(_Present(rows), targets, epochs)
+
+    def fit(self, rows, targets: np.ndarray, epochs: int, seed: int = 7) -> np.ndarray:
         order = np.arange(len(rows))
         rng = np.random.Generator(np.random.PCG64(seed))
         for _ in range(epochs):
             rng.shuffle(order)
             for i in order.tolist():
-                self.step(rows[i][0], rows[i][1], targets[i], 1.0 if weights is None else float(weights[i]))
+                at, x = rows[i]
+                self.step(at, x, targets[i])
         return self.weights()
 
 
+class _Present:
+    """Rows of feature numbers as rows with values of one."""
+
+    def __init__(self, rows: list[np.ndarray]):
+        self.rows = rows
+
+    def __len__(self) -> int:
+        return len(self.rows)
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        at = self.rows[i].astype(np.int64)
+        return at, np.ones(len(at))
+
+
 def softmax(x: np.ndarray) -> np.ndarray:
     e = np.exp(x - x.max(-1, keepdims=True))
     return e / e.sum(-1, keepdims=True)

@@ -2,13 +2,13 @@
 
 Two questions are asked of a text: is it *sound* prose, and is it *safe*? For each, several heuristic
 labellers vote yes, no or not at all; they overlap and err. Expectation-maximisation over their votes
-estimates each labeller's accuracy (a distribution of votes given the truth) and the probability of
-the truth for each text. With these posteriors as targets a linear scorer over hashed features (words,
+estimates how often each labeller's votes are right and the probability of yes for each text. With these posteriors as targets a linear scorer over hashed features (words,
 beginnings of words, shape statistics) is trained by follow-the-regularised-leader; it then scores
 every text.
 
 Annotations (tables of labels) take part as labellers of their own. The fit is on a bounded sample,
-``sample_rows`` documents chosen by a hash of the key; scoring covers all rows.
+``sample_rows`` documents chosen by a hash of the key, half of them from those that an annotation
+calls bad where there are as many; scoring covers all rows.
 
 Defined results: null and empty texts, and texts without words, are rejected with score 0; rows
 without annotations are scored all the same; without any row to fit on every text with words is kept
@@ -116,42 +116,36 @@ def heuristic_votes(batch: Batch) -> tuple[np.ndarray, np.ndarray]:
     signs, repeated, capitals, digits, length, single, stutter, size = batch.stats.T
     vote = lambda no, yes: np.where(no, NO, np.where(yes, YES, NONE))
     none = np.zeros(batch.rows, bool)
-    sound = np.stack([
-        vote(signs > 0.06, signs < 0.015),
-        vote(stutter > 0.2, stutter < 0.05),
-        vote(repeated > 0.85, repeated < 0.6),
-        vote(capitals > 0.4, capitals < 0.12),
-        vote(single > 0.2, single < 0.05),
-        vote((length < 2.5) | (length > 14), (length > 3.5) & (length < 10)),
-        vote(digits > 0.3, digits < 0.05),
-        vote(size < np.log1p(5), none),
-    ], 1)
+    faults = np.stack([signs > 0.06, stutter > 0.2, repeated > 0.85, capitals > 0.4, single > 0.2, (length < 2.5) | (length > 14), digits > 0.3, size < np.log1p(3)], 1)
+    clean = (signs < 0.015) & (stutter < 0.05) & (capitals < 0.12) & (single < 0.03) & (length > 3) & (length < 10) & (digits < 0.05) & (size > np.log1p(20))
+    # a fault speaks against a text; the absence of one fault alone says nothing
+    sound = np.concatenate([vote(faults, np.zeros_like(faults)), vote(none, clean)[:, None]], 1)
     safe = np.stack([vote(batch.contains(words) > 0, none) for words in INSULTS], 1)
     return sound, safe
 
 
 def weak_labels(votes: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
-    """Expectation-maximisation: the probability of yes for each row, and each labeller's distribution of votes given yes and no.
+    """Expectation-maximisation: the probability of yes for each row, and the accuracy of each labeller's votes.
 
-    ``votes`` is rows x labellers of YES, NO and NONE. It starts from the balance of votes and stops
-    when probabilities no longer move.
+    ``votes`` is rows x labellers of YES, NO and NONE. A labeller that doesn't vote says nothing; a
+    vote counts by the log-odds of its labeller's accuracy, which is the expected share of its votes
+    that agree with the truth. It starts from equal accuracies and stops when probabilities rest.
     """
     n, k = votes.shape
-    hot = np.stack([votes == v for v in (YES, NO, NONE)], 2).astype(float)
-    balance = (votes == YES).sum(1) - 2.0 * (votes == NO).sum(1)
-    p = 1 / (1 + np.exp(-np.clip(balance, -6, 6)))
-    table = np.zeros((2, k, 3))
+    sign = (votes == YES).astype(float) - (votes == NO)
+    cast = np.maximum((votes != NONE).sum(0), 1)
+    accuracy, p, prior = np.full(k, 0.8), np.full(n, 0.5), 0.5
     for _ in range(rounds):
-        for c, weight in enumerate((p, 1 - p)):
-            table[c] = (np.einsum("n,nkv->kv", weight, hot) + 0.5) / (weight.sum() + 1.5)
-        prior = np.clip((p.sum() + 1) / (n + 2), 0.02, 0.98)
-        log_odds = np.log(prior / (1 - prior)) + np.einsum("nkv,kv->n", hot, np.log(table[0]) - np.log(table[1]))
-        new = 1 / (1 + np.exp(-np.clip(log_odds, -30, 30)))
+        odds = np.log(prior / (1 - prior)) + sign @ np.log(accuracy / (1 - accuracy))
+        new = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
         moved = np.abs(new - p).max() if n else 0.0
         p = new
+        agree = ((votes == YES) * p[:, None] + (votes == NO) * (1 - p)[:, None]).sum(0)
+        accuracy = np.clip((agree + 4) / (cast + 5), 0.05, 0.995)
+        prior = float(np.clip((p.sum() + 1) / (n + 2), 0.1, 0.9))
         if moved < 1e-4:
             break
-    return p, table
+    return p, accuracy
 
 
 @dataclass
@@ -168,7 +162,7 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(out / np.array(self.heat), -30, 30)))
 
 
-def fit(docs: DataFrame, labels: DataFrame | None, key: str = "doc_id", text: str = "text", sample_rows: int = 12000, epochs: int = 3) -> Scorer:
+def fit(docs: DataFrame, labels: DataFrame | None, key: str = "doc_id", text: str = "text", sample_rows: int = 24000, epochs: int = 4) -> Scorer:
     """Fit on at most about ``sample_rows`` documents, annotated ones where there are annotations.
 
     ``labels`` has ``key``, ``quality`` (1 good) and ``toxic`` (1 bad); either may be null.
@@ -179,9 +173,11 @@ def fit(docs: DataFrame, labels: DataFrame | None, key: str = "doc_id", text: st
         notes = labels.select(F.col(f"`{key}`").alias("key"), F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic")).where("key is not null")
     else:
         notes = docs.select(F.col(f"`{key}`").alias("key"), F.lit(None).cast("int").alias("quality"), F.lit(None).cast("int").alias("toxic")).where("key is not null")
-    count = notes.count()
+    bad = F.coalesce((F.col("quality") == 0) | (F.col("toxic") == 1), F.lit(False))
+    count = {r[0]: r[1] for r in notes.groupBy(bad.alias("bad")).count().collect()}
     # about sample_rows rows pass, whatever the size of the table: that bounds what is broadcast
-    notes = notes.where(chance < min(1.0, sample_rows / max(count, 1))).groupBy("key").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    share = {b: min(1.0, sample_rows / 2 / max(1, count.get(b, 0))) for b in (True, False)}
+    notes = notes.where(chance < F.when(bad, F.lit(share[True])).otherwise(F.lit(share[False]))).groupBy("key").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     picked = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).join(F.broadcast(notes), "key").select("key", "text", "quality", "toxic")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,10 +193,9 @@ def fit(docs: DataFrame, labels: DataFrame | None, key: str = "doc_id", text: st
     table = picked.mapInArrow(run, "key string, quality int, toxic int, sound array<int>, safe array<int>, at binary").toArrow()
     rows = sorted(range(table.num_rows), key=lambda i, k=table.column("key").to_pylist(), a=table.column("at").to_pylist(): (k[i], a[i]))
     if not rows:
-        return Scorer(np.zeros((WIDTH + 1, 2)), (1.0, 1.0), (np.zeros((2, 0, 3)), np.zeros((2, 0, 3))))
+        return Scorer(np.zeros((WIDTH + 1, 2)), (1.0, 1.0), (np.zeros(0), np.zeros(0)))
     blobs = table.column("at")
-    examples = [(np.append(np.frombuffer(blobs[i].as_py(), "<u4").astype(np.int64), WIDTH), None) for i in rows]
-    examples = [(at, np.ones(len(at))) for at, _ in examples]
+    examples = [np.append(np.frombuffer(blobs[i].as_py(), "<u4"), np.uint32(WIDTH)) for i in rows]
     note = {c: np.array([-1 if v is None else v for v in table.column(c).to_pylist()])[rows] for c in ("quality", "toxic")}
     votes = {c: np.array(table.column(c).to_pylist(), np.int64)[rows] for c in ("sound", "safe")}
     annotated = {"sound": np.where(note["quality"] == 1, YES, np.where(note["quality"] == 0, NO, NONE)), "safe": np.where(note["toxic"] == 0, YES, np.where(note["toxic"] == 1, NO, NONE))}
@@ -209,10 +204,9 @@ def fit(docs: DataFrame, labels: DataFrame | None, key: str = "doc_id", text: st
     for question in ("sound", "safe"):
         p, accuracy = weak_labels(np.concatenate([annotated[question][:, None], votes[question]], 1))
         target = np.stack([1 - p, p], 1)
-        learner = Ftrl(WIDTH + 1, 2, alpha=0.05, l1=1.0, l2=1.0)
-        rare = np.where(p < 0.5, min(5.0, max(1.0, 0.5 * (p >= 0.5).sum() / max(1, (p < 0.5).sum()))), 1.0)
-        w = learner.fit([e for e, h in zip(examples, held) if not h], target[~held], epochs, weights=rare[~held])
-        scores = np.array([x @ w[at] for (at, x), h in zip(examples, held) if h]).reshape(-1, 2)
+        learner = Ftrl(WIDTH + 1, 2, alpha=0.05, l1=0.3, l2=1.0)
+        w = learner.fit_sets([e for e, h in zip(examples, held) if not h], target[~held], epochs)
+        scores = np.array([w[at].sum(0) for at, h in zip(examples, held) if h]).reshape(-1, 2)
         heat.append(temperature(scores, (p[held] >= 0.5).astype(np.int64)))
         weights.append(w[:, 1] - w[:, 0])
         tables.append(accuracy)

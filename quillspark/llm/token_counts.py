@@ -99,7 +99,7 @@ class BytePairCounter:
         self.pieces = regex.compile(PIECES)
         self.special = regex.compile("|".join(regex.escape(x) for x in sorted(added, key=len, reverse=True))) if added else None
         self.known: dict[str, int] = {}
-        self.states: dict[bytes, tuple[int, bytes]] = {b"": (0, b"")}
+        self.long: dict[str, int] = {}  # of the texts at hand
         self.pairs: dict[tuple[bytes, bytes], bool] = {}
         self._number()
 
@@ -265,6 +265,46 @@ class BytePairCounter:
     def count(self, text: str) -> int:
         return self.counts([text])[0]
 
+    def counts(self, texts: list[str]) -> list[int]:
+        """Token counts of many texts; pieces not met before are counted together."""
+        known, cut, special = self.known, [], []
+        for text in texts:
+            if self.special is None or not self.special.search(text):
+                cut.append(self.pieces.findall(text))
+                special.append(0)
+            else:
+                parts = list(self.parts(text))
+                cut.append([p for part, s in parts if not s for p in self.pieces.findall(part)])
+                special.append(sum(s for _, s in parts))
+        fresh = self.learn(list({p for pieces in cut for p in pieces if p not in known}))
+        if len(known) + len(fresh) > _REMEMBERED:
+            known.clear()
+            fresh = self.learn(list({p for pieces in cut for p in pieces}))
+        self.long = {p: n for p, n in fresh.items() if len(p) > _SHORT}
+        known.update((p, n) for p, n in fresh.items() if len(p) <= _SHORT)
+        if not self.long:
+            return [s + sum(map(known.__getitem__, pieces)) for s, pieces in zip(special, cut)]
+        return [s + sum(map(self.remembered, pieces)) for s, pieces in zip(special, cut)]
+
+    def remembered(self, piece: str) -> int:
+        n = self.known.get(piece) or self.long.get(piece)
+        return n if n else self.count_piece(piece)
+
+    def parts(self, text: str) -> Iterator[tuple[str, bool]]:
+        """The text between special tokens' strings, and these."""
+        at = 0
+        if self.special is not None:
+            for m in self.special.finditer(text):
+                if m.start() > at:
+                    yield text[at : m.start()], False
+                yield m[0], True
+                at = m.end()
+        if at < len(text):
+            yield text[at:], False
+
+    def count(self, text: str) -> int:
+        return self.counts([text])[0]
+
     def counts(self, texts: list[str]) -> list[int]:
         """Token counts of many texts; pieces not met before are counted together."""
         known, cut, special = self.known, [], []
@@ -296,7 +336,7 @@ class PrefixCounts:
         for part, special in counter.parts(text):
             for piece in [part] if special else counter.pieces.findall(part):
                 starts.append(starts[-1] + len(piece))
-                counts.append(counts[-1] + (1 if special else counter.known.get(piece) or counter.count_piece(piece)))
+                counts.append(counts[-1] + (1 if special else counter.remembered(piece)))
                 whole.append(special)
         self.starts, self.counts, self.special = starts, counts, whole
 
