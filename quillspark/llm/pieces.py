@@ -28,7 +28,8 @@ from pyspark.sql import types as T
 from .arrowkit import append, mix
 
 BLANK = "▁"
-_REMEMBERED = 300_000
+_REMEMBERED = 800_000
+_SHORT = 64
 _CHAR = np.uint64(0x9E3779B97F4A7C15)
 _LONG = 256  # longer words are merged with a heap, one by one
 
@@ -213,16 +214,14 @@ class PieceCoder:
         """Ids of each text as little-endian int32."""
         cut = [self.segments.findall((BLANK + t).replace(" ", BLANK)) if t else [] for t in texts]
         known = self.known
-        missing = list({w for segments in cut for w in segments if w not in known})
-        if missing:
-            fresh = self.learn(missing)
-            if len(known) + len(fresh) > _REMEMBERED:
-                known.clear()
-            keep = fresh if len(fresh) <= _REMEMBERED else {}
-            known.update((w, v) for w, v in keep.items() if len(w) <= 64)
-            look = lambda w: known[w] if w in known else fresh[w] if w in fresh else self.learn([w])[w]
-            return [b"".join(map(look, segments)) for segments in cut]
-        return [b"".join(map(known.__getitem__, segments)) for segments in cut]
+        fresh = self.learn(list({w for segments in cut for w in segments if w not in known}))
+        if len(known) + len(fresh) > _REMEMBERED:
+            known.clear()
+            fresh = self.learn(list({w for segments in cut for w in segments}))
+        long = {w: v for w, v in fresh.items() if len(w) > _SHORT}
+        known.update((w, v) for w, v in fresh.items() if len(w) <= _SHORT)
+        look = known.__getitem__ if not long else lambda w: known[w] if w in known else long[w]
+        return [b"".join(map(look, segments)) for segments in cut]
 
     def decode(self, ids: bytes) -> str:
         """The text of ids; the blank that encoding puts before a text is taken off."""
