@@ -143,8 +143,12 @@ class Graph:
             inner = self.norms[block[at]][None, :] - 2 * q[at] @ q[at].T
             np.fill_diagonal(inner, np.inf)
             peers = np.argsort(inner, 1)[:, : min(self.links, len(at) - 1)] if len(at) > 1 else np.zeros((len(at), 0), np.int64)
-            ids = np.concatenate([ids, block[at][peers]], 1)
-            dist = np.concatenate([dist, np.take_along_axis(inner, peers, 1).astype(np.float32)], 1)
+            # the descent may have come by a member of the block: no edge to oneself, none twice
+            near, apart = block[at][peers], np.take_along_axis(inner, peers, 1).astype(np.float32)
+            apart[(near[:, :, None] == ids[:, None, :]).any(2)] = np.inf
+            dist[ids == block[at][:, None]] = np.inf
+            ids, dist = np.concatenate([ids, near], 1), np.concatenate([dist, apart], 1)
+            ids[np.isinf(dist)] = -1
             order = np.argsort(dist, 1, kind="stable")[:, : self.breadth]
             ids, dist = np.take_along_axis(ids, order, 1), np.take_along_axis(dist, order, 1)
             table = self.levels[level]
