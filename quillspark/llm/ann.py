@@ -92,7 +92,8 @@ class Graph:
             near = near_of[ids[live, pick]].astype(np.int64)
             safe = np.maximum(near, 0)
             new = (near >= 0) & ~seen[live[:, None], safe]
-            seen[live[:, None], safe] |= near >= 0
+            at, which = np.nonzero(near >= 0)
+            seen[live[at], near[at, which]] = True
             d = np.where(new, self._distance(q[live], safe), np.inf)
             every_d = np.concatenate([dist[live], d], 1)
             every_i = np.concatenate([ids[live], near], 1)
