@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrowkit import LOWER, NOT_BLANK, U64, Tokens, _WORD_POWERS, discard, mix, rolling, slices, text_bytes, written
@@ -83,7 +83,7 @@ def _signed(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
         at = np.flatnonzero(counts)
         if len(at):
             none = pa.nulls(len(at), pa.int64())
-            yield pa.RecordBatch.from_arrays([none.cast(key_type), none, none, pa.array(at.astype(np.int32)), pa.array(counts[at])], names=["key", "n", "sign", "bucket", "c"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(at), key_type), none, none, pa.array(at.astype(np.int32)), pa.array(counts[at])], names=["key", "n", "sign", "bucket", "c"])
 
     source = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("t"))
     from pyspark.sql.pandas.types import to_arrow_type
@@ -299,7 +299,23 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     discard(lists, sets, links)
     classes = rows.where("n > 0").groupBy("sign").agg(F.min("key").alias("least"))
     named = classes.join(roots.withColumnRenamed("node", "sign"), "sign", "left").withColumn("root", F.coalesce("root", "sign"))
-    least = named.groupBy("root").agg(F.min("least").alias("component"))
+    least = named.groupBy("root").agg(F.min("least").alias("component"))  # null keys don't count
     of_class = named.join(least, "root").select("sign", "component")
     out = rows.join(of_class, "sign", "left")
     return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.col("sign").alias("class_id"), F.coalesce("component", "key").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, share: tuple[int, int] = (8, 10)) -> DataFrame:
+    """``docs`` without near copies: of each component the row with the least (key, hash of text) stays, nulls first.
+
+    Rows are told apart by key and text, so repeated and null keys do no harm; of rows that repeat
+    wholly one stays. Rows without words are linked with nothing and all stay. Columns are unchanged.
+    """
+    names = docs.columns
+    marked = docs.withColumn("__key", F.struct(F.col(f"`{key}`").alias("k"), F.xxhash64(F.col(f"`{text}`")).alias("h")))
+    found = jaccard_components(marked, "__key", text, n, share)
+    winners = found.where("__key = component_id").groupBy(F.col("__key.k").alias("__k"), F.col("__key.h").alias("__h")).agg(F.max("n_shingles").alias("__n"))
+    split = docs.withColumns({"__j": F.col(f"`{key}`"), "__i": F.xxhash64(F.col(f"`{text}`"))})
+    joined = split.join(winners, F.col("__j").eqNullSafe(F.col("__k")) & (F.col("__i") == F.col("__h")))
+    order = Window.partitionBy("__j", "__i").orderBy(F.lit(1))
+    return joined.withColumn("__r", F.row_number().over(order)).where("__r = 1 or __n = 0").select(*[F.col(f"`{c}`") for c in names])
