@@ -290,42 +290,6 @@ class BytePairCounter:
         n = self.known.get(piece) or self.long.get(piece)
         return n if n else self.count_piece(piece)
 
-    def parts(self, text: str) -> Iterator[tuple[str, bool]]:
-        """The text between special tokens' strings, and these."""
-        at = 0
-        if self.special is not None:
-            for m in self.special.finditer(text):
-                if m.start() > at:
-                    yield text[at : m.start()], False
-                yield m[0], True
-                at = m.end()
-        if at < len(text):
-            yield text[at:], False
-
-    def count(self, text: str) -> int:
-        return self.counts([text])[0]
-
-    def counts(self, texts: list[str]) -> list[int]:
-        """Token counts of many texts; pieces not met before are counted together."""
-        known, cut, special = self.known, [], []
-        for text in texts:
-            if self.special is None or not self.special.search(text):
-                cut.append(self.pieces.findall(text))
-                special.append(0)
-            else:
-                parts = list(self.parts(text))
-                cut.append([p for part, s in parts if not s for p in self.pieces.findall(part)])
-                special.append(sum(s for _, s in parts))
-        fresh = self.learn(list({p for pieces in cut for p in pieces if p not in known}))
-        if len(known) + len(fresh) > _REMEMBERED:
-            known.clear()
-        known.update((p, n) for p, n in fresh.items() if len(p) <= _SHORT)
-        try:
-            return [s + sum(map(known.__getitem__, pieces)) for s, pieces in zip(special, cut)]
-        except KeyError:  # long pieces, and those known before the table was cleared
-            look = lambda p: known[p] if p in known else fresh[p] if p in fresh else self.count_piece(p)
-            return [s + sum(map(look, pieces)) for s, pieces in zip(special, cut)]
-
 
 class PrefixCounts:
     """Counts at the piece boundaries of one text, and what follows from them."""
