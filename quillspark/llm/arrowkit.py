@@ -77,7 +77,7 @@ def append(df: DataFrame, compute: Callable[[pa.RecordBatch], dict[str, pa.Array
                 out = pa.RecordBatch.from_arrays(columns, names=[*kept, *fresh])
                 yield out.filter(pa.array(choose(new), pa.bool_())) if choose else out
 
-    need = list(dict.fromkeys([*kept, text]))
+    need = list(dict.fromkeys([*kept, text, *(c for c in (keep or []) if c not in kept)]))
     return df.select(*[f"`{c}`" for c in need]).mapInArrow(run, schema)
 
 

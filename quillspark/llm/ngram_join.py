@@ -4,9 +4,9 @@ Sets of word n-grams are indexed by the rarest of their elements (a prefix long
 sets share an element of it), rarity being counted over all rows. Two relations between sets are used
 to skip work, and neither loses a link between different sets:
 
-* *Index lists.* Entries of a list are ordered by position and size; an entry's position bounds the
-  overlap of two sets from their first common element on, and sizes bound it altogether, so blocks of
-  entries out of reach are skipped.
+* *Index lists.* Entries of a list are ordered by position; positions and sizes bound the overlap of
+  two sets, so blocks of entries out of reach are skipped. Prefixes are ``COMMON`` - 1 elements longer
+  than one common element needs: linked sets share at least ``COMMON`` elements of them.
 * *Answers.* Equal sets form one class, which is joined once. In each list the most central entry (the
   lowest position) is the pivot of the others. Sets that link with their pivot have its answer
   already: all of them are in its component, and no pair among them is looked at. Only pairs of a list
@@ -34,6 +34,7 @@ from .components import components
 from .substring_dedup import bitmap, in_bitmap
 
 BUCKETS = 18
+COMMON = 4
 _SEEN = 200_000
 SHARE_BITS = 22
 
@@ -67,6 +68,14 @@ def linked(share: tuple[int, int], both, n, m):
     return share[1] * both >= share[0] * (n + m - both)
 
 
+def common(share: tuple[int, int]) -> int:
+    """How many prefix elements linked sets share at least: ``COMMON``, or fewer where small sets can be linked."""
+    size = 1
+    while not linked(share, size, size, size + 1):
+        size += 1
+    return min(COMMON, needed(share, size))
+
+
 def _signed(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
     """Per row its set's size and signature; and at the end of each task the counts of element buckets (rows with a bucket)."""
 
@@ -112,7 +121,7 @@ def _entries(docs: DataFrame, text: str, n: int, share: tuple[int, int], rarity)
                     if len(seen) < _SEEN:
                         seen.add(sign)
                     count = rarity.value[(elements >> U64(64 - BUCKETS)).astype(np.int64)]
-                    prefix = elements[np.argsort(count, kind="stable")][: size - needed(share, size) + 1]
+                    prefix = elements[np.argsort(count, kind="stable")][: size - needed(share, size) + common(share)]
                     columns[0].append(prefix.view(np.int64))
                     columns[1].append(np.full(len(prefix), sign))
                     columns[2].append(np.full(len(prefix), size, np.int32))
@@ -180,7 +189,7 @@ def _first_fit(sizes: np.ndarray, share: tuple[int, int]) -> np.ndarray:
 
 
 def _across(labelled: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """Pairs of a list in different components that sizes and positions allow."""
+    """Pairs in different components with enough common elements, of those that sizes and positions allow."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for e, at, sign, n, root in _lists(batches, ["e", "at", "sign", "n", "root"]):
@@ -191,7 +200,7 @@ def _across(labelled: DataFrame, share: tuple[int, int]) -> DataFrame:
                     continue
                 for i in range(a, b - 1):
                     j = np.flatnonzero(root[i + 1 : b] != root[i]) + i + 1
-                    most = 1 + np.minimum(n[i] - at[i], n[j] - at[j]) - 1
+                    most = np.minimum(at[i], at[j]) + np.minimum(n[i] - at[i], n[j] - at[j])
                     j = j[linked(share, most.astype(np.int64), int(n[i]), n[j].astype(np.int64))]
                     if len(j):
                         us.append(np.full(len(j), sign[i]))
@@ -203,13 +212,16 @@ def _across(labelled: DataFrame, share: tuple[int, int]) -> DataFrame:
                 yield _pairs(us, vs)
 
     dealt = labelled.repartition("e").sortWithinPartitions("e", "at", "sign").select("e", "at", "sign", "n", "root")
-    return dealt.mapInArrow(run, "u long, v long").distinct()
+    return _often(dealt.mapInArrow(run, "u long, v long"), common(share))
+
+
+def _often(pairs: DataFrame, least: int) -> DataFrame:
+    return pairs.groupBy("u", "v").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("u", "v")
 
 
 def _pairs(us: list[np.ndarray], vs: list[np.ndarray]) -> pa.RecordBatch:
     u, v = np.concatenate(us), np.concatenate(vs)
-    pair = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], 1), axis=0)
-    return pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["u", "v"])
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
 
 
 def _packed(elements: np.ndarray) -> bytes:
@@ -271,6 +283,13 @@ def _verified(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> Data
     return joined.mapInArrow(run, "u long, v long")
 
 
+def _compared(docs: DataFrame, text: str, n: int, pairs: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """The pairs that are linked; sets are made for the classes that occur in a pair and for no others."""
+    signs = pairs.select(F.explode(F.array("u", "v")).alias("sign"))
+    wanted = docs.sparkSession.sparkContext.broadcast(bitmap(signs, "sign", SHARE_BITS))
+    return _verified(pairs, _sets(docs, text, n, wanted), share)
+
+
 def _common(x: np.ndarray, y: np.ndarray) -> int:
     """Size of the intersection of multisets (two elements may share 40 bits)."""
     values, n = np.unique(x, return_counts=True)
@@ -288,15 +307,16 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     rarity[counts.column("bucket").to_numpy()] = counts.column("c").to_numpy()
     rows = signed.where("bucket is null").select("key", "n", "sign")
     lists = written(_with_pivots(_entries(docs, text, n, share, spark.sparkContext.broadcast(rarity)), share), "lists")
-    wanted = spark.sparkContext.broadcast(bitmap(lists.select("sign"), "sign", SHARE_BITS))
-    sets = written(_sets(docs, text, n, wanted), "sets")
-    stars = lists.where("sign <> pivot").select(F.col("sign").alias("u"), F.col("pivot").alias("v")).distinct()
-    links = written(_verified(stars, sets, share), "links")
+    # only pairs that share several lists are worth a look as stars; what they leave open is settled below
+    stars = written(_often(lists.where("sign <> pivot").select(F.col("sign").alias("u"), F.col("pivot").alias("v")), common(share)), "pairs")
+    links = written(_compared(docs, text, n, stars, share), "links")
     roots = components(links)
     labelled = lists.join(roots.withColumnRenamed("node", "sign"), "sign", "left").select("e", "at", "sign", "n", F.coalesce("root", "sign").alias("root"))
-    more = written(_verified(_across(labelled, share), sets, share), "links")
+    pairs = written(_across(labelled, share), "pairs")
+    more = written(_compared(docs, text, n, pairs, share), "links")
+    discard(lists, stars, pairs)
     roots = written(components(links.unionByName(more)), "roots")
-    discard(lists, sets, links)
+    discard(links, more)
     classes = rows.where("n > 0").groupBy("sign").agg(F.min("key").alias("least"))
     named = classes.join(roots.withColumnRenamed("node", "sign"), "sign", "left").withColumn("root", F.coalesce("root", "sign"))
     least = named.groupBy("root").agg(F.min("least").alias("component"))  # null keys don't count

@@ -3,16 +3,17 @@
 1. Each window's *anchor* is the least hash among the shorter word runs inside it. Equal windows have
    equal anchors in different places, so a window whose anchor occurs in one place only can't repeat.
    Anchor places are an eighth of all places; Spark counts their hashes.
-2. Rolling hashes of the windows whose anchor repeats are counted in Spark: those that start more than
-   once are repeated. (Which anchors repeat is held in a bitmap of fixed size; a full bitmap would
+2. Rolling hashes of the windows whose anchor repeats are counted in Spark; those that start once are
+   noted with their place. (Which anchors repeat is held in a bitmap of fixed size; a full bitmap would
    only let more windows through to the count.)
-3. The repeated windows of each text, merged into maximal intervals, are the words to remove.
+3. A text's windows whose anchor repeats, less the ones that start once, are merged into maximal
+   intervals: the words to remove.
 
 Windows are judged on the input: every occurrence goes, in the same text or in another. Hashes are
 64-bit and taken for the windows themselves.
 
 Defined results: null and empty texts have no words and keep the empty text; rows that repeat count
-as further occurrences; rows are told apart by 96 bits of hash of key and text, so null and repeated
+as further occurrences; rows are told apart by a 64-bit hash of key and text, so null and repeated
 keys do no harm; columns of the input with a result's name are replaced.
 """
 
@@ -23,11 +24,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrowkit import NOT_BLANK, Tokens, append, rolling, slices, text_bytes, written, _WORD_POWERS, mix
+from .arrowkit import NOT_BLANK, Tokens, append, rolling, slices, text_bytes, _WORD_POWERS, mix
 
 BITS = 26
 
@@ -103,52 +105,49 @@ def kept_text(tokens: Tokens, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return out, np.append(at, len(out))[first]
 
 
+def _single_windows(docs: DataFrame, text: str, width: int, gram: int, table) -> DataFrame:
+    """Of the windows that the bitmap lets through, those that start once: (row hash, word places).
+
+    One aggregation counts them and, where the count is one, has the place: nothing is joined back.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "t"):
+                tokens, at, whole, anchor, _ = _windows(part, "t", width, gram)
+                hit = np.flatnonzero(in_bitmap(table.value, anchor)) if len(at) else np.zeros(0, np.int64)
+                found, first, n = np.unique(whole[hit], return_index=True, return_counts=True)
+                word = at[hit][first]
+                row = tokens.row_of(word)
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n), part.column(0).take(pa.array(row)), pa.array((word - tokens.first[row]).astype(np.int32))], names=["h", "n", "k", "at"])
+
+    windows = docs.select(F.col("_k").alias("k"), F.col(f"`{text}`").alias("t")).mapInArrow(run, "h long, n long, k long, at int")
+    counted = windows.groupBy("h").agg(F.sum("n").alias("n"), F.min("k").alias("k"), F.min("at").alias("at"))
+    return counted.where("n = 1").groupBy("k").agg(F.collect_list("at").alias("_single")).withColumnRenamed("k", "_k")
+
+
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 35, gram: int = 20, keep: list[str] | None = None, texts: bool = True) -> DataFrame:
     """Add ``n_words``, ``n_removed``, ``kept_sha256`` and, unless ``texts`` is false, ``removed`` (word intervals) and ``kept``.
 
     ``width`` is the length of a window in words; ``gram`` (shorter) that of the runs that anchors
-    are chosen from, and has no bearing on the result.
+    are chosen from, and has no bearing on the result. Of the texts only those with a window that may
+    repeat are shuffled, to meet their single windows.
     """
     spark = docs.sparkSession
     gram = min(gram, width)
     table = spark.sparkContext.broadcast(bitmap(_anchors(docs, text, width, gram), "h", BITS))
-    hashed = [F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`")).alias("_k"), F.hash(F.col(f"`{text}`"), F.col(f"`{key}`")).alias("_j")]
+    marked = docs.withColumn("_k", F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`")))
+    fields = RESULT + [T.StructField("removed", T.ArrayType(T.ArrayType(T.IntegerType()))), T.StructField("kept", T.StringType())] * texts
+    names = {f.name for f in fields}
+    held = [c for c in (docs.columns if keep is None else keep) if c.lower() not in names]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "t"):
-                tokens, at, whole, anchor, _ = _windows(part, "t", width, gram)
-                hit = np.flatnonzero(in_bitmap(table.value, anchor)) if len(at) else np.zeros(0, np.int64)
-                row = tokens.row_of(at[hit])
-                place = (at[hit] - tokens.first[row]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row)), pa.array(place), pa.array(whole[hit].view(np.int64))], names=["_k", "_j", "at", "h"])
-
-    windows = written(docs.select(*hashed, F.col(f"`{text}`").alias("t")).mapInArrow(run, "_k long, _j int, at int, h long"), "windows")
-    repeated = windows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    starts = windows.join(repeated, "h", "left_semi").groupBy("_k", "_j").agg(F.collect_set("at").alias("_starts"))
-    held = [c for c in (docs.columns if keep is None else keep)]
-    need = list(dict.fromkeys([*held, text]))
-    joined = docs.select(*[F.col(f"`{c}`") for c in need], *hashed).join(starts, ["_k", "_j"], "left")
-    fields = RESULT + [T.StructField("removed", T.ArrayType(T.ArrayType(T.IntegerType()))), T.StructField("kept", T.StringType())] * 1
-    fields = fields if texts else RESULT
-
-    def compute(part: pa.RecordBatch) -> dict[str, pa.Array]:
-        data, offsets = text_bytes(part.column(part.schema.get_field_index(text)))
-        tokens = Tokens(data, offsets, NOT_BLANK)
-        change = np.zeros(len(tokens.starts) + 1, np.int64)
-        column = part.column(part.schema.get_field_index("_starts"))
-        for r, begins in enumerate(column.to_pylist()):
-            if begins:
-                begin = tokens.first[r] + np.array(begins)
-                change[begin] += 1
-                change[begin + width] -= 1
-        gone = np.cumsum(change[:-1]) > 0
+    def results(tokens: Tokens, gone: np.ndarray) -> dict[str, pa.Array]:
         sums = np.concatenate([[0], np.cumsum(gone)])
         n_removed = sums[tokens.first[1:]] - sums[tokens.first[:-1]]
         out, at = kept_text(tokens, ~gone)
         raw = out.tobytes()
         bodies = [raw[a : max(a, b - 1)] for a, b in zip(at.tolist(), at[1:].tolist())]
-        new = {"n_words": pa.array(tokens.counts.astype(np.int64)), "n_removed": pa.array(n_removed.astype(np.int64)), "kept_sha256": pa.array([hashlib.sha256(b).hexdigest() for b in bodies])}
+        new = {"n_words": pa.array(tokens.counts.astype(np.int64)), "n_removed": pa.array(n_removed.astype(np.int64)), "kept_sha256": pa.array([hashlib.sha256(b).hexdigest() for b in bodies], pa.string())}
         if texts:
             runs = []
             for a, b in zip(tokens.first.tolist(), tokens.first[1:].tolist()):
@@ -157,8 +156,32 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
             new |= {"removed": pa.array(runs, pa.list_(pa.list_(pa.int32()))), "kept": pa.array([b.decode() for b in bodies], pa.string())}
         return new
 
-    return append(_with_starts(joined, need), compute, fields, text, [*held, "_starts"]).drop("_starts")
-
+    def first(part: pa.RecordBatch) -> dict[str, pa.Array]:
+        """Rows without a window that may repeat are done; the others keep their text for the join."""
+        tokens, at, _, anchor, _ = _windows(part, text, width, gram)
+        open_ = np.zeros(part.num_rows, bool)
+        if len(at):
+            open_[tokens.row_of(at[in_bitmap(table.value, anchor)])] = True
+        column = part.column(part.schema.get_field_index(text))
+        waiting = pc.if_else(pa.array(open_), column, pa.scalar(None, column.type))
+        return results(tokens, np.zeros(len(tokens.starts), bool)) | {"_t": waiting}
+
+    def second(part: pa.RecordBatch) -> dict[str, pa.Array]:
+        """The windows that may repeat, less those that start once, cover what goes."""
+        tokens, at, _, anchor, _ = _windows(part, "_t", width, gram)
+        change = np.zeros(len(tokens.starts) + 1, np.int64)
+        begin = at[in_bitmap(table.value, anchor)] if len(at) else at
+        lists = part.column(part.schema.get_field_index("_single"))
+        rows = np.repeat(np.arange(part.num_rows), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+        single = tokens.first[rows] + lists.flatten().to_numpy(zero_copy_only=False)
+        begin = np.setdiff1d(begin, single)
+        change[begin] += 1
+        change[begin + width] -= 1
+        gone = np.cumsum(change[:-1]) > 0
+        new = results(tokens, gone)
+        waited = part.column(part.schema.get_field_index("_t")).is_valid()
+        return {n: pc.if_else(waited, new[n], part.column(part.schema.get_field_index(n))) for n in new}
 
-def _with_starts(joined: DataFrame, need: list[str]) -> DataFrame:
-    return joined.select(*[F.col(f"`{c}`") for c in need], "_starts")
+    started = append(marked, first, [*fields, T.StructField("_t", T.StringType())], text, [*held, "_k"])
+    joined = started.join(_single_windows(marked, text, width, gram, table), "_k", "left")
+    return append(joined, second, fields, "_t", [*held, *[f.name for f in fields], "_single"]).select(*[F.col(f"`{c}`") for c in held], *[f.name for f in fields])
