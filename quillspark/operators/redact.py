@@ -58,7 +58,8 @@ DOCUMENT_DETECTORS = [("EMAIL", patterns.EMAIL), ("PHONE_NUMBER", patterns.PHONE
 
 def detect(df: DataFrame, body: str, confidence: Column, detectors: list[tuple[str, str]] | None = None) -> DataFrame:
     """One row for each match: the input's columns, entity_type, seq, detected_text, confidence. No shuffle."""
-    found = [F.transform(F.regexp_extract_all(F.col(body), F.lit(p), F.lit(0)), lambda m, k=kind: F.struct(F.lit(k).alias("entity_type"), m.alias("detected_text"))) for kind, p in (detectors or REGEX_DETECTORS)]
+    typed = lambda kind: lambda m: F.struct(F.lit(kind).alias("entity_type"), m.alias("detected_text"))
+    found = [F.transform(F.regexp_extract_all(F.col(body), F.lit(p), F.lit(0)), typed(kind)) for kind, p in (detectors or REGEX_DETECTORS)]
     rows = df.select("*", F.posexplode(F.concat(*found)).alias("seq", "m"))
     return rows.select(*df.columns, "m.entity_type", "seq", "m.detected_text", confidence.alias("confidence"))
 

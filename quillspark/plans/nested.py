@@ -1 +1,78 @@
+"""Nested and semi-structured records."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import studies
+from .registry import query, table
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k, coalesce(json_extract_string(props, '$.none.deep'), 'n/a') AS missing FROM events")
+def jsn01_props(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"), F.coalesce(F.get_json_object("props", "$.none.deep"), F.lit("n/a")).alias("missing"))
+
+
+def _orders(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as records with nested lines by flag."""
+    lines = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_returnflag").agg(F.collect_list(F.struct("l_linenumber", "l_quantity")).alias("lines"))
+    return lines.groupBy("l_orderkey").agg(F.collect_list(F.struct("l_returnflag", "lines")).alias("flags"))
+
+
+@query("SELECT l_orderkey, l_returnflag, l_linenumber, l_quantity FROM lineitem")
+def jsn02_explode(spark: SparkSession, sf: str) -> DataFrame:
+    flags = _orders(spark, sf).select("l_orderkey", F.inline("flags"))
+    return flags.select("l_orderkey", "l_returnflag", F.inline("lines"))
+
+
+@query("SELECT l_orderkey, CASE WHEN l_returnflag = 'R' THEN 'serious' ELSE 'other' END AS kind, count(*) AS n FROM lineitem WHERE l_returnflag <> 'N' GROUP BY 1, 2")
+def jsn03_tagged_union(spark: SparkSession, sf: str) -> DataFrame:
+    """Two arrays of a record become one tagged array."""
+    e = F.struct("l_linenumber")
+    rows = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.when(F.col("l_returnflag") == "R", e)).alias("serious"), F.collect_list(F.when(F.col("l_returnflag") == "A", e)).alias("other"))
+    tagged = rows.select("l_orderkey", F.inline(F.array(F.struct(F.lit("serious").alias("kind"), F.col("serious").alias("events")), F.struct(F.lit("other").alias("kind"), F.col("other").alias("events")))))
+    return tagged.select("l_orderkey", "kind", F.explode("events").alias("e")).groupBy("l_orderkey", "kind").agg(F.count("*").alias("n"))
+
+
+_RECORD = "struct<protocolSection:struct<identificationModule:struct<nctId:string,briefTitle:string>,conditionsModule:struct<conditions:array<string>>>>"
+
+
+@query("SELECT p_partkey, 'P' || p_partkey AS nct_id, p_name AS title, p_brand || '; ' || p_type AS conditions FROM part")
+def jsn04_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """Records go to JSON text and back by a given schema."""
+    ident = F.struct(F.concat(F.lit("P"), F.col("p_partkey")).alias("nctId"), F.col("p_name").alias("briefTitle"))
+    record = F.struct(F.struct(ident.alias("identificationModule"), F.struct(F.array("p_brand", "p_type").alias("conditions")).alias("conditionsModule")).alias("protocolSection"))
+    parsed = table(spark, sf, "part").select("p_partkey", F.from_json(F.to_json(record), studies.STUDY).alias("s"))
+    return studies.summary(parsed, "s").select("p_partkey", "nct_id", F.col("brief_title").alias("title"), "conditions")
+
+
+@query("""SELECT r_regionkey, '{"key":' || r_regionkey || ',"name":"' || r_name || '"}' AS body FROM region""")
+def jsn05_sorted_keys(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "region").select("r_regionkey", F.to_json(F.struct(F.col("r_regionkey").alias("key"), F.col("r_name").alias("name"))).alias("body"))
+
+
+@query("""SELECT n_nationkey, '{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '","n_regionkey":' || n_regionkey || '}' AS body FROM nation""")
+def jsn06_document(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "nation").select("n_nationkey", F.to_json(F.struct("*")).alias("body"))
+
+
+@query("SELECT p_partkey, '[' || p_size || ',0,' || (p_size + 10) || ',5]' AS box FROM part")
+def jsn07_box_text(spark: SparkSession, sf: str) -> DataFrame:
+    s = F.col("p_size")
+    return table(spark, sf, "part").select("p_partkey", F.to_json(F.array(s, F.lit(0), s + 10, F.lit(5))).alias("box"))
+
+
+@query("SELECT 'GET' AS method, '/v1/jobs' AS path UNION ALL SELECT 'POST', '/v1/jobs' UNION ALL SELECT 'GET', '/v1/health'")
+def src25_openapi(spark: SparkSession, sf: str) -> DataFrame:
+    from ..sources.files import openapi_routes
+
+    return openapi_routes(spark, '{"paths": {"/v1/jobs": {"get": {}, "post": {}, "parameters": []}, "/v1/health": {"get": {}}}}').select("method", "path")
+
+
+@query()
+def ml01_svc(spark: SparkSession, sf: str) -> DataFrame:
+    from ..operators.models import classify_vectors
+
+    rows = table(spark, sf, "embeddings")
+    return classify_vectors(rows, rows, "embedding", "label").select("vec_id", "prediction", F.round("margin", 4).alias("margin"))
