@@ -36,7 +36,10 @@ def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     codes = np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), "<u4")
     lengths = np.array([len(t) for t in lowered], np.int64)
     row = np.repeat(np.arange(len(texts), dtype=np.int64), lengths)
-    letter = np.where(codes < 0x10000, _LETTER[np.minimum(codes, 0xFFFF)], True)
+    letter = _LETTER[np.minimum(codes, 0xFFFF)]
+    if (high := codes >= 0x10000).any():
+        rare, which = np.unique(codes[high], return_inverse=True)
+        letter[high] = np.array([chr(c).isalpha() for c in rare.tolist()])[which]
     lettered = np.zeros(len(texts), bool)
     lettered[row[letter]] = True
     a = np.where(letter, codes, 32).astype(U64)

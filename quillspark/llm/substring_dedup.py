@@ -163,7 +163,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
         if len(at):
             open_[tokens.row_of(at[in_bitmap(table.value, anchor)])] = True
         column = part.column(part.schema.get_field_index(text))
-        waiting = pc.if_else(pa.array(open_), column, pa.scalar(None, column.type))
+        waiting = column.take(pa.array(np.arange(part.num_rows), mask=~open_))
         return results(tokens, np.zeros(len(tokens.starts), bool)) | {"_t": waiting}
 
     def second(part: pa.RecordBatch) -> dict[str, pa.Array]:
@@ -179,8 +179,9 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
         change[begin + width] -= 1
         gone = np.cumsum(change[:-1]) > 0
         new = results(tokens, gone)
-        waited = part.column(part.schema.get_field_index("_t")).is_valid()
-        return {n: pc.if_else(waited, new[n], part.column(part.schema.get_field_index(n))) for n in new}
+        waited = part.column(part.schema.get_field_index("_t")).is_valid().to_numpy(zero_copy_only=False)
+        pick = pa.array(np.arange(part.num_rows) + np.where(waited, 0, part.num_rows))
+        return {n: pa.concat_arrays([new[n].cast(old.type), old]).take(pick) for n in new for old in [part.column(part.schema.get_field_index(n))]}
 
     started = append(marked, first, [*fields, T.StructField("_t", T.StringType())], text, [*held, "_k"])
     joined = started.join(_single_windows(marked, text, width, gram, table), "_k", "left")

@@ -1,0 +1,400 @@
+import hashlib
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from . import brute
+
+P = pytest.importorskip("public_tokenizers")
+ODD = ["", "  a  b\n\n c   ", "it're they'll 'r", "x 　y \x1c z", "<|endoftext|>a <|endoftext|>", "ñandú ß 日本語 🤦🏼‍♂️", "a" * 700, "\x00\x01", " " * 40 + "x" + " " * 9, "ſK İ", "=-" * 300, None]
+
+
+def words(rng, n, vocabulary=400):
+    return " ".join(f"w{rng.randrange(vocabulary)}" for _ in range(n))
+
+
+def frame(spark, texts, keys=None):
+    keys = list(range(len(texts))) if keys is None else keys
+    return spark.createDataFrame(list(zip(keys, texts)), "doc_id long, text string")
+
+
+def by_key(df, *columns):
+    return {r["doc_id"]: tuple(r[c] for c in columns) for r in df.collect()}
+
+
+# ---- token counts ------------------------------------------------------------------------------
+
+
+def test_token_counts_are_the_librarys(spark):
+    from tokenizers import Tokenizer
+
+    from quillspark.llm.token_counts import count_tokens
+
+    rng = random.Random(3)
+    texts = ODD + [words(rng, 1500), "mixed CASE, text. " * 30]
+    path = P.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    found = by_key(count_tokens(frame(spark, texts).withColumn("N_TOKENS", F.lit("clash")), path), "n_bytes", "n_tokens", "over_limit", "fit_chars")
+    for i, t in enumerate(texts):
+        n = len(library.encode(t or "", add_special_tokens=False).ids)
+        assert found[i][:3] == (len((t or "").encode()), n, n > 1024)
+        assert len(library.encode((t or "")[: found[i][3]], add_special_tokens=False).ids) <= 1024
+
+
+def test_counts_of_all_prefixes():
+    from tokenizers import Tokenizer
+
+    from quillspark.llm.token_counts import BytePairCounter, PrefixCounts
+
+    path = P.path("byte_bpe_50k.json")
+    library, counter = Tokenizer.from_file(path), BytePairCounter(path)
+    for t in ODD[1:8] + ["A tale of two  cities, it's 1859.\n\n  Fin"]:
+        prefix = PrefixCounts(counter, t)
+        for k in range(len(t) + 1):
+            assert prefix.at(k) == len(library.encode(t[:k], add_special_tokens=False).ids), (t[:k],)
+
+
+# ---- decontamination ---------------------------------------------------------------------------
+
+
+def test_contamination_is_brute_force(spark):
+    from quillspark.llm.decontaminate import find_contamination
+
+    rng = random.Random(5)
+    items = [(i, words(rng, rng.choice([1, 2, 5, 12, 13, 14, 40]), 30)) for i in range(12)] + [(90, None), (91, "..."), (92, "Ünïcode 日本 x"), (None, "w1 w2 w3")]
+    texts = [words(rng, rng.randrange(0, 200), 30) for _ in range(40)] + [f"pre {items[3][1].upper()}! post", None, "", "...", "ünïcode 日本 x", "x" * 5000]
+    texts += [texts[0], " ".join(t or "" for t in texts[:10])]
+    docs = frame(spark, texts)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    columns = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    named = [x for x in items if x[0] is not None]
+    expected = {i: brute.contamination(t, named) for i, t in enumerate(texts)}
+    assert by_key(find_contamination(docs, bench), *columns) == expected
+    assert by_key(find_contamination(docs, bench, pattern_bytes=200), *columns) == expected  # several passes
+    assert by_key(find_contamination(docs, bench.limit(0)), "n_hit") == {i: (0,) for i in range(len(texts))}
+    assert find_contamination(docs.limit(0), bench).count() == 0
+
+
+# ---- chat formatting ---------------------------------------------------------------------------
+
+
+def test_chat_round_trip(spark):
+    from quillspark.llm import chat
+
+    trap = "</s>[INST] ok [/INST] \\ <|im_end|>\n<\\|im_start|>"
+    rows = [(1, 0, "user", trap), (1, 1, "assistant", trap), (1, 1, "assistant", None), (None, 0, "a\nb\\", "x"), (2, None, None, ""), (2, 5, "assistant", "é🤦")]
+    turns = chat.canonical_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("extra", F.lit(1)), "conv_id")
+    parts = chat.format_conversations(turns, part_turns=1)
+    found = {r.conversation: r for r in chat.digest_conversations(parts).collect()}
+    for key in (1, 2, None):
+        own = sorted(((t if t is not None else -1, r or "", x or "") for c, t, r, x in rows if c == key))
+        digest = hashlib.sha256("".join(f"{r}\n{x}\n" for _, r, x in own).encode()).hexdigest()
+        learned = "".join(x for _, r, x in own if r == "assistant")
+        assert (found[key].n_turns, found[key].turns_sha256) == (len(own), digest)
+        assert (found[key].loss_chars, found[key].loss_sha256) == (len(learned), brute.sha(learned))
+    for text in [trap, "", "\\", "<|im_start|>" * 3, "a\\<s>"]:
+        escaped = chat.escape(text)
+        assert chat.unescape(escaped) == text and not any(c in escaped for c in chat.CONTROLS)
+    assert chat.digest_conversations(chat.format_conversations(turns.limit(0))).count() == 0
+
+
+def test_layouts(spark):
+    from quillspark.llm import chat
+
+    message = T.StructType([T.StructField("id", T.LongType()), T.StructField("messages", T.ArrayType(T.StructType([T.StructField("role", T.StringType()), T.StructField("content", T.StringType())])))])
+    a = chat.canonical_turns(spark.createDataFrame([(1, [("user", "q"), ("assistant", None)])], message), "id")
+    assert [tuple(r) for r in a.orderBy("turn").collect()] == [(1, 0, "user", "q"), (1, 1, "assistant", "")]
+    b = chat.canonical_turns(spark.createDataFrame([(1, "do", "this", "done")], "id long, instruction string, input string, output string"), "id")
+    assert [r.text for r in b.orderBy("turn").collect()] == ["do\nthis", "done"]
+    with pytest.raises(ValueError):
+        chat.canonical_turns(spark.createDataFrame([(1, 2)], "id long, z long"), "id")
+    mixed = spark.createDataFrame([(1, '{"conversations": [{"from": "human", "value": "hi"}, {"from": "gpt", "value": "yo"}]}'), (2, '{"prompt": "p", "completion": "c", "more": 1}'), (3, '{"z": 1}'), (4, None)], "id long, j string")
+    turns, unknown = chat.from_json_rows(mixed, "id", "j")
+    assert sorted((r.conversation, r.turn, r.role, r.text) for r in turns.collect()) == [(1, 0, "user", "hi"), (1, 1, "assistant", "yo"), (2, 0, "user", "p"), (2, 1, "assistant", "c")]
+    assert sorted(r.conversation for r in unknown.collect()) == [3, 4]
+
+
+# ---- language ----------------------------------------------------------------------------------
+
+
+def test_language(spark):
+    from quillspark.llm.language import fit, identify
+
+    rng = random.Random(1)
+    speech = {"en": "the and of with thing", "de": "der und nicht schön zeit", "fr": "le une être où ça"}
+    rows = [(i, " ".join(rng.choice(speech[k].split()) for _ in range(30)), k) for i, k in enumerate(["en", "de", "fr"] * 60)] + [(900, None, "en"), (901, "x", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = fit(docs.where("doc_id % 3 < 3"), "doc_id", "text", "lang")
+    rows = [(0, "the thing with the and", "?"), (1, None, "?"), (2, "123 ... 🙂", "?"), (3, "nicht der zeit und schön " * 2000, "?")]
+    found = by_key(identify(spark.createDataFrame(rows, "doc_id long, text string, score string"), model), "lang_pred", "score")
+    assert [found[i][0] for i in range(4)] == ["en", "und", "und", "de"]
+    assert all(0 <= found[i][1] <= 1 for i in range(4)) and found[1][1] == 0
+    empty = fit(docs.limit(0), "doc_id", "text", "lang")
+    assert by_key(identify(docs.limit(3), empty), "lang_pred") == {i: ("und",) for i in range(3)}
+
+
+def test_held_out_accuracy(spark):
+    from quillspark.llm.queries import op4_language_id
+    from quillspark.llm.tables import table
+
+    sf = "/root/testdata/sf0.01"
+    found = op4_language_id(spark, sf).join(table(spark, sf, "documents").select("doc_id", "lang"), "doc_id").where("held_out")
+    assert found.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int")).alias("a")).first().a > 0.97
+
+
+# ---- nearest neighbours ------------------------------------------------------------------------
+
+
+def exact(keys, vectors, k):
+    out = {}
+    for q in range(len(keys)):
+        score = vectors @ vectors[q]
+        order = sorted((i for i in range(len(keys)) if keys[i] != keys[q]), key=lambda i: (-score[i], keys[i]))[:k]
+        out[keys[q]] = [keys[i] for i in order]
+    return out
+
+
+def test_recall(spark):
+    from quillspark.llm.ann import nearest
+
+    rng = np.random.default_rng(2)
+    vectors = rng.normal(size=(1500, 24)) * rng.uniform(0.5, 2, size=(1500, 1))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    rows = nearest(df, df.where("vec_id % 20 = 0"), k=20, shard_rows=400).collect()
+    true = exact(list(range(1500)), vectors, 20)
+    found = {}
+    for r in sorted(rows, key=lambda r: r["rank"]):
+        found.setdefault(r.query_id, []).append(r.vec_id)
+        assert r.score == pytest.approx(float(vectors[r.query_id] @ vectors[r.vec_id]), abs=1e-12)
+    assert len(found) == 75 and all(len(set(v)) == 20 for v in found.values())
+    assert sum(len(set(found[q]) & set(true[q])) for q in found) / 20 / len(found) >= 0.9
+
+
+def test_nearest_edges(spark):
+    from quillspark.llm.ann import nearest
+
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, [float("nan"), 1.0]), (6, [None, 1.0]), (7, [0.5, 0.5]), (8, [1.0]), (None, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = {(r.query_id, r["rank"]): r.vec_id for r in nearest(df, df, k=5).collect()}
+    assert found == {(1, 1): 2, (1, 2): 7, (2, 1): 1, (2, 2): 7, (7, 1): 1, (7, 2): 2}
+    assert nearest(df.limit(0), df.limit(0)).count() == 0
+    many = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(200)], "vec_id long, embedding array<double>")
+    assert [r.vec_id for r in nearest(many, many.where("vec_id = 3"), k=4).orderBy("rank").collect()] == [0, 1, 2, 4]
+
+
+# ---- secrets -----------------------------------------------------------------------------------
+
+
+def test_secrets_are_brute_force(spark):
+    from quillspark.llm.secrets import BASE_RULES, MORE_RULES, find_secrets, mask_secrets
+
+    texts = ["password = hunter2x", "TOKEN: 'abc' secret=\"" + "k" * 9 + '"', "token= token:abcdefgh", "AKIA" + "A1" * 8 + " AKIA12", "é🤦 " + "0123456789abcdef" * 3, "api_key==abcdef apikey : zzzzzz", "ghp_" + "a" * 36, "paſſword=abcdefg", None, "", "x" * 100000, "secret:aaaaaa " * 900, "deadbeef" * 2, "pass tok sec api"]
+    rows = {r.doc_id: r for r in mask_secrets(find_secrets(frame(spark, texts).withColumn("Spans", F.lit(1)))).collect()}
+    for i, t in enumerate(texts):
+        every = sorted((a, k, b) for k, r in enumerate([*BASE_RULES, *MORE_RULES]) for a, b in brute.spans(t, r.pattern, r.group, r.least))
+        names = [r.kind for r in [*BASE_RULES, *MORE_RULES]]
+        line = lambda spans: ",".join(f"{names[k]}:{a}:{b}" for a, k, b in spans)
+        assert rows[i].spans == line(every)
+        assert rows[i].base_sha256 == brute.sha(line([s for s in every if s[1] < 3]))
+        assert (rows[i].n_assign, rows[i].n_access, rows[i].n_hex) == tuple(sum(s[1] == k for s in every) for k in range(3))
+    assert rows[0].text == "[SECRET]" and rows[6].text == "[SECRET]" and rows[8].text is None
+    assert find_secrets(frame(spark, texts).limit(0)).count() == 0
+
+
+def test_every_match_answers_the_trigram_query():
+    from quillspark.llm.regex_trigrams import trigram_query
+    from quillspark.llm.secrets import All, BASE_RULES
+
+    def holds(q, text):
+        return q in text if isinstance(q, str) else (all if isinstance(q, All) else any)(holds(p, text) for p in q.parts)
+
+    query = trigram_query(BASE_RULES[0].pattern)
+    for word in ("password", "passwd", "secret", "token", "apikey", "api_key"):
+        assert holds(query, f"x {word}=abcdef")
+    assert not holds(query, "pass word secre") and trigram_query(BASE_RULES[2].pattern) is None
+
+
+# ---- n-gram join -------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("n, share", [(3, (9, 10)), (5, (8, 10)), (2, (1, 2))])
+def test_components_are_brute_force(spark, n, share):
+    from quillspark.llm.ngram_join import jaccard_components
+
+    rng = random.Random(n)
+    texts = [None, "", " \t", "one", "One two", "one two", "a b c", "A B  c"]
+    for size in (9, 10, 11, 30, 60, 200):
+        base = words(rng, size).split()
+        for _ in range(9):
+            copy = list(base)
+            for _ in range(rng.randrange(0, max(2, size // 40 + 1))):
+                copy[rng.randrange(len(copy))] = f"z{rng.randrange(9999)}"
+            texts.append(" ".join(copy[rng.randrange(0, 2) :]))
+    chain = words(rng, 300).split()
+    for k in range(12):
+        chain = chain[:]
+        chain[k * 20] = f"q{k}"
+        texts.append(" ".join(chain))
+    keys = [i * 3 % 997 for i in range(len(texts))]
+    keys[-1] = None
+    rows = list(zip(keys, texts))
+    found = jaccard_components(frame(spark, texts, keys), n=n, share=share).collect()
+    expected = brute.components(rows, n, share)
+    assert sorted((r.n_shingles, r.component_id or -1, r.doc_id or -1) for r in found) == sorted((s, c or -1, k or -1) for (s, c), (k, _) in zip(expected, rows))
+
+
+def test_keep_one(spark):
+    from quillspark.llm.ngram_join import keep_one
+
+    base = " ".join(f"w{i}" for i in range(50))
+    texts = [base, base, base + " more", "another text of some words here", None, "", None]
+    docs = frame(spark, texts, [3, 3, 1, 7, 8, 9, None]).withColumn("n_shingles", F.lit("x"))
+    kept = keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "7", "8", "9", "None"]
+    assert keep_one(docs.limit(0)).count() == 0
+
+
+# ---- quality -----------------------------------------------------------------------------------
+
+
+def test_weak_labels_find_the_bad_labeller():
+    from quillspark.llm.quality import NO, NONE, YES, weak_labels
+
+    rng = np.random.default_rng(0)
+    truth = rng.random(3000) < 0.7
+    columns = []
+    for accuracy, voting in ((0.95, 1.0), (0.9, 0.6), (0.85, 0.8), (0.55, 0.9)):
+        right = rng.random(3000) < accuracy
+        vote = np.where(right == truth, YES, NO)
+        columns.append(np.where(rng.random(3000) < voting, vote, NONE))
+    p, accuracy = weak_labels(np.stack(columns, 1))
+    assert ((p > 0.5) == truth).mean() > 0.95
+    assert np.abs(accuracy - [0.95, 0.9, 0.85, 0.55]).max() < 0.05
+    assert len(weak_labels(np.zeros((0, 3), int))[0]) == 0
+
+
+def test_quality(spark):
+    from quillspark.llm.quality import fit, score
+    from quillspark.llm.tables import table
+
+    sf = "/root/testdata/sf0.01"
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    scorer = fit(docs, labels)
+    joined = score(docs, scorer, keep=["doc_id"]).join(labels, "doc_id")
+    right = joined.agg(F.avg((F.col("keep") == (F.col("quality") == 1) & (F.col("toxic") == 0)).cast("int")).alias("a")).first().a
+    assert right > 0.9
+    odd = frame(spark, [None, "", " . ", "plain words in a row " * 3]).withColumn("KEEP", F.lit("x"))
+    found = by_key(score(odd, scorer), "keep", "quality_score")
+    assert found[0] == found[1] == (False, 0.0)
+    assert "keep" in score(odd, scorer).columns and len(score(odd, scorer).columns) == 6
+    nothing = fit(docs.limit(0), labels.limit(0))
+    assert by_key(score(odd, nothing), "keep")[3] == (True,)
+    assert fit(docs, None).weights.any()
+
+
+# ---- substring dedup ---------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("width, gram", [(35, 20), (5, 3), (3, 3)])
+def test_repeats_are_brute_force(spark, width, gram):
+    from quillspark.llm.substring_dedup import remove_repeats
+
+    rng = random.Random(width)
+    passage = words(rng, 60)
+    texts = [words(rng, rng.randrange(0, 150), 4000) for _ in range(20)] + [None, "", "a b", "same " * 90, passage, f"x {passage} y", f"{passage}\n{passage}", words(rng, 34)]
+    texts += [texts[0], texts[1], f"Ü {texts[2]}"]
+    keys = [None if i % 7 == 0 else i // 2 for i in range(len(texts))]
+    df = frame(spark, texts, keys).withColumn("i", F.monotonically_increasing_id()).withColumn("kept", F.lit(0))
+    found = remove_repeats(df, width=width, gram=gram).collect()
+    expected = brute.repeats(texts, width)
+    assert sorted((r.n_words, r.n_removed, r.kept_sha256) for r in found) == sorted(expected)
+    assert all(brute.sha(r.kept) == r.kept_sha256 and sum(b - a for a, b in r.removed) == r.n_removed for r in found)
+    assert remove_repeats(df.limit(0)).count() == 0
+
+
+# ---- SentencePiece -----------------------------------------------------------------------------
+
+
+def test_pieces_are_the_librarys(spark):
+    import sentencepiece
+
+    from quillspark.llm.pieces import decode, encode
+
+    path = P.path("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    texts = ODD + ["naïve café " * 50, "  two  spaces  ", "\ttab\n\n"]
+    coded = encode(frame(spark, texts).withColumn("piece_ids", F.lit(1)), path)
+    found = by_key(coded, "piece_ids", "n_pieces", "round_trip", "ids_sha256")
+    for i, t in enumerate(texts):
+        ids = library.encode(t or "")
+        assert found[i] == (ids, len(ids), True, brute.sha(",".join(map(str, ids))))
+    back = by_key(decode(coded, path), "text")
+    assert all(back[i] == (t or "",) for i, t in enumerate(texts))
+    assert encode(frame(spark, texts).limit(0), path).count() == 0
+
+
+def test_viterbi_finds_the_best_path():
+    from itertools import product
+
+    from quillspark.llm.pieces import PieceCoder
+
+    coder = PieceCoder(P.path("piece_bpe_32k.model"))
+    for word in ("▁there", "▁zqxj", "▁a"):
+        codes = np.array([[ord(c) for c in word]], np.uint32)
+        total = lambda cuts: sum(coder.score[coder.index[p]] if p in coder.index else (coder.score.min() - 10 if len(p) == 1 else -np.inf) for p in (word[a:b] for a, b in zip(cuts, [*cuts[1:], len(word)])))  # noqa: B023, E731
+        best = max(total([0, *[i + 1 for i, b in enumerate(bits) if b]]) for bits in product([0, 1], repeat=len(word) - 1))
+        assert total(np.flatnonzero(coder.viterbi(codes)[0]).tolist()) == best
+
+
+# ---- pipeline ----------------------------------------------------------------------------------
+
+
+def test_pipeline(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    bench = spark.read.parquet(f"{sf}/benchmark.parquet").collect()
+    names = docs.columns
+    for name, stage in pipeline.STAGES[:-1]:
+        before = {r.doc_id: r for r in docs.collect()}
+        docs = stage(spark, docs, sf).cache()
+        after = {r.doc_id: r for r in docs.collect()}
+        assert docs.columns == names and set(after) <= set(before)
+        if name.startswith("n-gram"):
+            groups = dict(zip(before, brute.components([(k, r.text) for k, r in before.items()], 5, (8, 10))))
+            assert set(after) == {k for k, (_, c) in groups.items() if c == k}
+        if name.startswith("benchmark"):
+            assert set(after) == {k for k, r in before.items() if not brute.contamination(r.text, [(b.item_id, b.text) for b in bench])[4]}
+        if name.startswith("secret"):
+            assert set(after) == set(before) and all(r.n_chars == len(r.text) for r in after.values())
+            from quillspark.llm.secrets import BASE_RULES, MORE_RULES
+
+            held = {k for k, r in before.items() if any(brute.spans(r.text, x.pattern, x.group, x.least) for x in [*BASE_RULES, *MORE_RULES])}
+            assert {k for k in after if after[k].text != before[k].text} == held
+    last = pipeline.STAGES[-1][1](spark, docs, sf)
+    assert last.where("not round_trip").count() == 0 and last.count() == len(after)
+
+
+def test_oracles(spark):
+    import glob
+    import os
+
+    import duckdb
+
+    from quillspark.llm import oracles, queries
+
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for f in glob.glob(f"{sf}/*.parquet"):
+        con.sql(f"CREATE VIEW {os.path.basename(f)[:-8]} AS SELECT * FROM '{f}'")
+    for name, sql in oracles.oracles().items():
+        table = queries.queries()[name](spark, sf).toArrow()
+        other = con.sql(sql).arrow()
+        other = other.read_all() if hasattr(other, "read_all") else other
+        names = sorted(table.column_names)
+        assert names == sorted(other.column_names)
+        assert sorted(tuple(r[c] for c in names) for r in table.to_pylist()) == sorted(tuple(r[c] for c in names) for r in other.to_pylist()), name
