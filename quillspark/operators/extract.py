@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import patterns, text
 
@@ -74,7 +75,7 @@ def validated(name: Column, value: Column, sponsor: Column | None = None, simila
     return F.coalesce(*rules, v)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp ratio; no built-in says the same. Arrow batches."""
     from difflib import SequenceMatcher

@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 class CodecUnavailable(RuntimeError):
@@ -106,7 +107,7 @@ def recognition(result: Column) -> Column:
     return F.when(text.isNull(), F.raise_error(F.lit("the recogniser's result has no text")).cast("struct<text:string,confidence:double>")).otherwise(F.struct(F.trim(text).alias("text"), percent.alias("confidence")))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def ink_ratio(pixels: pd.Series, width: pd.Series, height: pd.Series) -> pd.Series:
     """Share of dark pixels in the inner half of a grey crop; the cut-off follows the crop's own background."""
     import numpy as np
