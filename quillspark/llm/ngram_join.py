@@ -121,7 +121,7 @@ def _entries(docs: DataFrame, text: str, n: int, share: tuple[int, int], rarity)
                     if len(seen) < _SEEN:
                         seen.add(sign)
                     count = rarity.value[(elements >> U64(64 - BUCKETS)).astype(np.int64)]
-                    prefix = elements[np.argsort(count, kind="stable")][: size - needed(share, size) + common(share)]
+                    prefix = elements[np.argsort(count, kind="stable")][: int(prefix_size(share, size))]
                     columns[0].append(prefix.view(np.int64))
                     columns[1].append(np.full(len(prefix), sign))
                     columns[2].append(np.full(len(prefix), size, np.int32))
@@ -188,31 +188,49 @@ def _first_fit(sizes: np.ndarray, share: tuple[int, int]) -> np.ndarray:
     return out
 
 
+def prefix_size(share: tuple[int, int], size):
+    """How many of a set's elements are indexed."""
+    return np.minimum(size, size - needed(share, size) + common(share))
+
+
 def _across(labelled: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """Pairs in different components with enough common elements, of those that sizes and positions allow."""
+    """Pairs in different components that may still be linked.
+
+    At any element in common, two sets share at most the smaller position and the smaller rest. Of the
+    elements up to the end of the prefix that ends first, they share those on common lists, so at most
+    ``m``, the lists of more than one class that a set is on; behind it at most what lies behind one
+    of the prefixes. With the common lists counted, the same bound is put to the pair once more.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for e, at, sign, n, root in _lists(batches, ["e", "at", "sign", "n", "root"]):
+        us, vs, held = [], [], 0
+        for e, at, sign, n, root, m in _lists(batches, ["e", "at", "sign", "n", "root", "m"]):
+            at, n, m = at.astype(np.int64), n.astype(np.int64), m.astype(np.int64)
+            behind = n - prefix_size(share, n)
             edges = [0, *(np.flatnonzero(e[1:] != e[:-1]) + 1).tolist(), len(e)]
-            us, vs = [], []
             for a, b in zip(edges, edges[1:]):
                 if b - a < 2 or (root[a:b] == root[a]).all():
                     continue
                 for i in range(a, b - 1):
                     j = np.flatnonzero(root[i + 1 : b] != root[i]) + i + 1
-                    most = np.minimum(at[i], at[j]) + np.minimum(n[i] - at[i], n[j] - at[j])
-                    j = j[linked(share, most.astype(np.int64), int(n[i]), n[j].astype(np.int64))]
+                    most = np.minimum(np.minimum(at[i], at[j]) + np.minimum(n[i] - at[i], n[j] - at[j]), np.minimum(m[i], m[j]) + np.maximum(behind[i], behind[j]))
+                    j = j[linked(share, most, n[i], n[j])]
                     if len(j):
-                        us.append(np.full(len(j), sign[i]))
-                        vs.append(sign[j])
-                if sum(map(len, us)) > 200_000:
+                        us.append(np.stack([np.full(len(j), sign[i]), np.full(len(j), n[i])], 1))
+                        vs.append(np.stack([sign[j], n[j]], 1))
+                        held += len(j)
+                if held > 1_000_000:
                     yield _pairs(us, vs)
-                    us, vs = [], []
-            if us:
-                yield _pairs(us, vs)
+                    us, vs, held = [], [], 0
+        if us:
+            yield _pairs(us, vs)
 
-    dealt = labelled.repartition("e").sortWithinPartitions("e", "at", "sign").select("e", "at", "sign", "n", "root")
-    return _often(dealt.mapInArrow(run, "u long, v long"), common(share))
+    dealt = labelled.repartition("e").sortWithinPartitions("e", "at", "sign").select("e", "at", "sign", "n", "root", "m")
+    counted = dealt.mapInArrow(run, "u long, v long, nu long, nv long, c long").groupBy("u", "v").agg(F.sum("c").alias("c"), F.min("nu").alias("nu"), F.min("nv").alias("nv"))
+    num, den = share
+    behind = lambda n: F.ceil(F.lit(num) * F.col(n) / den).cast("long") - common(share)
+    most = F.col("c") + F.greatest(behind("nu"), behind("nv"), F.lit(0))
+    return counted.where((den * most >= num * (F.col("nu") + F.col("nv") - most)) & (F.col("c") >= common(share))).select("u", "v")
 
 
 def _often(pairs: DataFrame, least: int) -> DataFrame:
@@ -220,8 +238,16 @@ def _often(pairs: DataFrame, least: int) -> DataFrame:
 
 
 def _pairs(us: list[np.ndarray], vs: list[np.ndarray]) -> pa.RecordBatch:
-    u, v = np.concatenate(us), np.concatenate(vs)
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
+    """Distinct pairs, the smaller signature first, with sizes and counts."""
+    x, y = np.concatenate(us), np.concatenate(vs)
+    swap = (x[:, 0] > y[:, 0])[:, None]
+    pair = np.concatenate([np.where(swap, y, x), np.where(swap, x, y)], 1)[:, [0, 2, 1, 3]]
+    order = np.lexsort((pair[:, 1], pair[:, 0]))
+    pair = pair[order]
+    first = np.ones(len(pair), bool)
+    first[1:] = (pair[1:, :2] != pair[:-1, :2]).any(1)
+    at = np.flatnonzero(first)
+    return pa.RecordBatch.from_arrays([*[pa.array(pair[at, k]) for k in range(4)], pa.array(np.diff(np.append(at, len(pair))))], names=["u", "v", "nu", "nv", "c"])
 
 
 def _packed(elements: np.ndarray) -> bytes:
@@ -311,7 +337,9 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     stars = written(_often(lists.where("sign <> pivot").select(F.col("sign").alias("u"), F.col("pivot").alias("v")), common(share)), "pairs")
     links = written(_compared(docs, text, n, stars, share), "links")
     roots = components(links)
-    labelled = lists.join(roots.withColumnRenamed("node", "sign"), "sign", "left").select("e", "at", "sign", "n", F.coalesce("root", "sign").alias("root"))
+    shared = lists.groupBy("sign").agg(F.count("*").alias("m"))
+    of_class = shared.join(roots.withColumnRenamed("node", "sign"), "sign", "left")
+    labelled = lists.join(of_class, "sign").select("e", "at", "sign", "n", F.coalesce("root", "sign").alias("root"), "m")
     pairs = written(_across(labelled, share), "pairs")
     more = written(_compared(docs, text, n, pairs, share), "links")
     discard(lists, stars, pairs)
@@ -320,8 +348,8 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     classes = rows.where("n > 0").groupBy("sign").agg(F.min("key").alias("least"))
     named = classes.join(roots.withColumnRenamed("node", "sign"), "sign", "left").withColumn("root", F.coalesce("root", "sign"))
     least = named.groupBy("root").agg(F.min("least").alias("component"))  # null keys don't count
-    of_class = named.join(least, "root").select("sign", "component")
-    out = rows.join(of_class, "sign", "left")
+    components_of = named.join(least, "root").select("sign", "component")
+    out = rows.join(components_of, "sign", "left")
     return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.col("sign").alias("class_id"), F.coalesce("component", "key").alias("component_id"))
 
 
