@@ -219,9 +219,9 @@ def _across(labelled: DataFrame, share: tuple[int, int]) -> DataFrame:
                         us.append(np.stack([np.full(len(j), sign[i]), np.full(len(j), n[i])], 1))
                         vs.append(np.stack([sign[j], n[j]], 1))
                         held += len(j)
-                if held > 1_000_000:
-                    yield _pairs(us, vs)
-                    us, vs, held = [], [], 0
+                    if held > 200_000:
+                        yield _pairs(us, vs)
+                        us, vs, held = [], [], 0
         if us:
             yield _pairs(us, vs)
 
