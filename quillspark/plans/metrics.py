@@ -8,19 +8,23 @@ from pyspark.sql import functions as F
 from ..operators import summaries
 from .registry import query, table
 
-_FIELD = {"late_rate": F.col("l_discount") > 0.05, "mean_quantity": F.col("l_quantity"), "mean_price": F.col("l_extendedprice"), "mean_discount": F.col("l_discount"), "mean_tax": F.col("l_tax")}
+
+def _field() -> dict:
+    return {"late_rate": F.col("l_discount") > 0.05, "mean_quantity": F.col("l_quantity"), "mean_price": F.col("l_extendedprice"), "mean_discount": F.col("l_discount"), "mean_tax": F.col("l_tax")}
+
+
 _FIELD_SQL = """count(*) AS n, round(avg(CASE WHEN l_discount > 0.05 THEN 1.0 ELSE 0.0 END), 6) AS late_rate, round(avg(l_quantity), 6) AS mean_quantity,
     round(avg(l_extendedprice), 6) AS mean_price, round(avg(l_discount), 6) AS mean_discount, round(avg(l_tax), 6) AS mean_tax"""
 
 
 @query(f"SELECT l_returnflag, l_linestatus, {_FIELD_SQL} FROM lineitem GROUP BY ALL")
 def a01_group_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    return summaries.means(table(spark, sf, "lineitem"), ["l_returnflag", "l_linestatus"], _FIELD)
+    return summaries.means(table(spark, sf, "lineitem"), ["l_returnflag", "l_linestatus"], _field())
 
 
 @query(f"SELECT l_linestatus, {_FIELD_SQL} FROM lineitem WHERE l_returnflag <> 'N' GROUP BY ALL")
 def a02_filtered_overall(spark: SparkSession, sf: str) -> DataFrame:
-    return summaries.means(table(spark, sf, "lineitem").where("l_returnflag <> 'N'"), ["l_linestatus"], _FIELD)
+    return summaries.means(table(spark, sf, "lineitem").where("l_returnflag <> 'N'"), ["l_linestatus"], _field())
 
 
 @query("SELECT toxic, count(*) AS n, round(avg(CASE WHEN quality = 1 THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM labels GROUP BY 1")

@@ -8,17 +8,20 @@ from pyspark.sql import functions as F
 from ..functions import geometry, numbers
 from .registry import query, table
 
-_MONTH = Window.partitionBy("user_id").orderBy("ts", "event_id")
+
+def _in_order():
+    return Window.partitionBy("user_id").orderBy("ts", "event_id")
+
 
 
 @query("SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sequence FROM events")
 def w01_sequence(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "events").select("event_id", F.row_number().over(_MONTH).cast("long").alias("sequence"))
+    return table(spark, sf, "events").select("event_id", F.row_number().over(_in_order()).cast("long").alias("sequence"))
 
 
 @query("SELECT user_id, count(*) FILTER (value < p) AS violations FROM (SELECT user_id, value, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events) GROUP BY 1")
 def w02_monotonic(spark: SparkSession, sf: str) -> DataFrame:
-    before = table(spark, sf, "events").select("user_id", "value", F.lag("value").over(_MONTH).alias("p"))
+    before = table(spark, sf, "events").select("user_id", "value", F.lag("value").over(_in_order()).alias("p"))
     return before.groupBy("user_id").agg(F.count_if(F.col("value") < F.col("p")).alias("violations"))
 
 
