@@ -267,7 +267,7 @@ def nearest(df: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str
     if not widths:
         return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     width = widths[0][0]
-    rows, asked = rows.where(F.size("v") == width), asked.where(F.size("v") == width)
+    rows, asked = rows.where(F.size("v") == width), asked.where(F.size("v") == width).groupBy("key").agg(F.min("v").alias("v"))
     shards = max(1, -(-rows.count() // shard_rows))
     stored = rows.select(F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("kind"), "key", "v")
     sent = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"), "key", "v")
@@ -297,9 +297,9 @@ def nearest(df: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str
                     number, found, score = shard.search(q, matrix[begin : begin + 2048], k, breadth)
                     yield pa.RecordBatch.from_arrays([pa.array(q[number]), pa.array(found), pa.array(score)], names=["query_id", "vec_id", "score"])
 
-    dealt = stored.unionByName(sent).repartition(shards, "shard").sortWithinPartitions("shard", "kind", "key").select("shard", "kind", "key", "v")
+    dealt = stored.unionByName(sent).repartition(shards, "shard").sortWithinPartitions("shard", "kind", "key", "v").select("shard", "kind", "key", "v")
     found = dealt.mapInArrow(run, schema)
     from pyspark.sql import Window
 
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.dropDuplicates(["query_id", "vec_id"]).withColumn("rank", F.row_number().over(order)).where(f"rank <= {k}").select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(order)).where(f"rank <= {k}").select("query_id", "rank", "vec_id", "score")
