@@ -104,3 +104,10 @@ def exposition(name: Column, labels: Column, value: Column) -> Column:
 def replace_partitions(df: DataFrame, path: str, key: str) -> None:
     """Delete-then-insert by key: only the partitions that ``df`` has are replaced."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
+
+
+def read_studies(spark: SparkSession, path: str) -> DataFrame:
+    """Registry records from JSON files that hold them under ``studies``: column ``study``."""
+    from ..operators.studies import STUDY
+
+    return spark.read.schema(f"studies array<{STUDY}>").json(path, multiLine=True).select(F.explode("studies").alias("study"))

@@ -156,3 +156,44 @@ def test_pages_source(spark, tmp_path):
     spark.dataSource.register(rest.StudiesSource)
     rows = spark.read.format("studies").option("url", tmp_path.as_uri()).option("ids", "N1,N2").load().collect()
     assert sorted(r.id for r in rows) == ["N1", "N2"]
+
+
+def test_store(spark):
+    from quillspark.operators import store
+
+    uploads = spark.createDataFrame([("j1", "d1", None, 1), ("j2", "d2", "b", 2)], "job_id string, document_id string, batch_id string, created_at int")
+    made, events = store.submitted(uploads)
+    assert made.count() == 2 and [r.sequence for r in events.collect()] == [1, 1]
+    fresh = spark.createDataFrame([("j1", 10, 5), ("j1", 5, 6), ("j3", 0, 7)], "job_id string, progress int, created_at int")
+    more = store.appended(events, fresh, ["created_at"])
+    assert sorted((r.job_id, r.sequence) for r in more.collect()) == [("j1", 2), ("j1", 3), ("j3", 1)]
+    assert [r.progress for r in store.monotonic_violations(more).collect()] == [5]
+    assert store.invalid(more.withColumn("progress", F.lit(101))).count() == 3
+    old = spark.createDataFrame([("j1", "a"), ("j1", "b"), ("j2", "c")], "job_id string, name string")
+    new = spark.createDataFrame([("j1", "z", 5)], "job_id string, name string, size int")
+    assert sorted(r.name for r in store.replaced(old, new).collect()) == ["c", "z"]
+    failed = spark.range(1).select(store.failure(F.lit("OSError"), F.lit("x" * 9000)).alias("f")).first().f
+    assert (failed.status, len(failed.error_message)) == ("failed", 4000)
+    assert store.attempt(made).first().attempt_count == 1
+
+
+def test_read_studies(spark, tmp_path):
+    (tmp_path / "s.json").write_text(json.dumps({"studies": [{"protocolSection": {"identificationModule": {"nctId": "N1"}}}, {}]}, indent=1))
+    assert [r.nct_id for r in studies.summary(files.read_studies(spark, str(tmp_path))).collect()] == ["N1", None]
+
+
+def test_stream_progress(spark, tmp_path):
+    from quillspark.streaming import windows
+    from quillspark.streaming.progress import ProgressRows
+
+    spark.range(10).selectExpr("id", "timestamp_seconds(id) as ts").write.parquet(str(tmp_path / "in"))
+    seen = []
+    listener = ProgressRows(lambda *row: seen.append(row))
+    spark.streams.addListener(listener)
+    try:
+        rows = windows.stream(spark, str(tmp_path / "in"), "id long, ts timestamp", "ts", "1 hour")
+        run = windows.write_idempotent(rows, str(tmp_path / "out"), str(tmp_path / "check"), ["id"]).trigger(availableNow=True).start()
+        run.awaitTermination()
+    finally:
+        spark.streams.removeListener(listener)
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 10
