@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 U64 = np.uint64
 
@@ -49,6 +49,17 @@ def slices(batch: pa.RecordBatch, text: str, most: int = SLICE_BYTES) -> Iterato
         begin = stop
 
 
+def release() -> None:
+    """Give memory that a task has freed back to the system: workers stay for later stages."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        return
+
+
 def without(df: DataFrame, names: list[str]) -> list[str]:
     """The columns of ``df`` but for those that an operator is about to write (Spark compares without case)."""
     taken = {n.lower() for n in names}
@@ -76,6 +87,7 @@ def append(df: DataFrame, compute: Callable[[pa.RecordBatch], dict[str, pa.Array
                 columns += [pa.array(new[f.name], arrow.field(f.name).type) if not isinstance(new[f.name], pa.Array) else new[f.name] for f in fields]
                 out = pa.RecordBatch.from_arrays(columns, names=[*kept, *fresh])
                 yield out.filter(pa.array(choose(new), pa.bool_())) if choose else out
+        release()
 
     need = list(dict.fromkeys([*kept, text, *(c for c in (keep or []) if c not in kept)]))
     return df.select(*[f"`{c}`" for c in need]).mapInArrow(run, schema)

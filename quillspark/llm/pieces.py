@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from .arrowkit import append, mix
 
 BLANK = "▁"
-_REMEMBERED = 800_000
+_REMEMBERED = 500_000
 _SHORT = 64
 _CHAR = np.uint64(0x9E3779B97F4A7C15)
 _LONG = 256  # longer words are merged with a heap, one by one
@@ -192,27 +192,37 @@ class PieceCoder:
             out += [i] if i is not None else [self.byte_id[b] for b in p.encode()]
         return out
 
-    def learn(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of distinct words, as little-endian int32."""
+    def learn(self, segments: list[str]) -> dict[str, bytes]:
+        """Ids of distinct segments (without their first blank), as little-endian int32."""
         by_length: dict[int, list[str]] = {}
         out: dict[str, bytes] = {}
-        for w in words:
-            if len(w) > _LONG:
-                out[w] = np.array(self._ids(self._long(w)), "<i4").tobytes()
+        for segment in segments:
+            if len(segment) >= _LONG:
+                out[segment] = np.array(self._ids(self._long(BLANK + segment)), "<i4").tobytes()
             else:
-                by_length.setdefault(len(w), []).append(w)
+                by_length.setdefault(len(segment) + 1, []).append(segment)
         for length, group in by_length.items():
-            for begin in range(0, len(group), max(1, 200_000 // length)):
-                block = group[begin : begin + max(1, 200_000 // length)]
-                codes = np.frombuffer("".join(block).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(block), length)
-                for word, mask in zip(block, self.merge(codes)):
+            size = max(1, 200_000 // length)
+            for begin in range(0, len(group), size):
+                block = group[begin : begin + size]
+                words = [BLANK + segment for segment in block]
+                codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(words), length)
+                for segment, word, mask in zip(block, words, self.merge(codes)):
                     cuts = [*np.flatnonzero(mask).tolist(), length]
-                    out[word] = np.array(self._ids([word[a:b] for a, b in zip(cuts, cuts[1:])]), "<i4").tobytes()
+                    out[segment] = np.array(self._ids([word[a:b] for a, b in zip(cuts, cuts[1:])]), "<i4").tobytes()
         return out
 
+    def cut(self, text: str) -> list[str]:
+        """Independent segments, each without the blank it begins with."""
+        if not text:
+            return []
+        if BLANK not in text and "  " not in text and text[0] != " ":
+            return text.split(" ")
+        return [segment[1:] for segment in self.segments.findall((BLANK + text).replace(" ", BLANK))]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian int32."""
-        cut = [self.segments.findall((BLANK + t).replace(" ", BLANK)) if t else [] for t in texts]
+        cut = [self.cut(t) for t in texts]
         known = self.known
         fresh = self.learn(list({w for segments in cut for w in segments if w not in known}))
         if len(known) + len(fresh) > _REMEMBERED:
@@ -246,7 +256,7 @@ def _lists(blobs: list[bytes]) -> pa.Array:
 
 
 def encode(docs: DataFrame, model: str, text: str = "text", keep: list[str] | None = None, ids: bool = True) -> DataFrame:
-    """Add ``n_pieces``, ``ids_sha256`` (of the ids, comma-joined), ``round_trip`` (decoding gives the text back) and, unless ``ids`` is false, ``piece_ids``."""
+    """Add ``n_pieces``, ``ids_sha256`` (of the ids as little-endian int32), ``round_trip`` (decoding gives the text back) and, unless ``ids`` is false, ``piece_ids``."""
     fields = [T.StructField("n_pieces", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("round_trip", T.BooleanType())]
     fields += [T.StructField("piece_ids", T.ArrayType(T.IntegerType()))] * ids
 
@@ -254,7 +264,7 @@ def encode(docs: DataFrame, model: str, text: str = "text", keep: list[str] | No
         c = coder(model)
         texts = [t or "" for t in part.column(part.schema.get_field_index(text)).to_pylist()]
         blobs = c.encode(texts)
-        digests = [hashlib.sha256(",".join(map(str, np.frombuffer(b, "<i4").tolist())).encode()).hexdigest() for b in blobs]
+        digests = [hashlib.sha256(b).hexdigest() for b in blobs]
         out = {"n_pieces": pa.array([len(b) // 4 for b in blobs], pa.int64()), "ids_sha256": pa.array(digests), "round_trip": pa.array([c.decode(b) == t for b, t in zip(blobs, texts)])}
         return out | ({"piece_ids": _lists(blobs)} if ids else {})
 
