@@ -35,6 +35,7 @@ from .substring_dedup import bitmap, in_bitmap
 
 BUCKETS = 18
 COMMON = 4
+LIST_BLOCK = 4096
 _SEEN = 200_000
 SHARE_BITS = 22
 
@@ -150,42 +151,62 @@ def _lists(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[list
 
 
 def _with_pivots(entries: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """Entries of lists that more than one class is on, each with its pivot."""
+    """Entries of lists that more than one class is on, each with its pivot.
+
+    Lists of any length stream through: of a list that goes on in the next batch only its pivots and,
+    while it has one class only, that entry are kept.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for e, at, sign, n in _lists(batches, ["e", "at", "sign", "n"]):
+        current, leads, waiting, last = None, [], None, None
+        for batch in batches:
+            e, at, sign, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            if not len(e):
+                continue
             again = np.zeros(len(e), bool)  # one class from several tasks
             again[1:] = (e[1:] == e[:-1]) & (sign[1:] == sign[:-1])
+            again[0] = last == (e[0], sign[0])
+            last = (e[-1], sign[-1])
             e, at, sign, n = e[~again], at[~again], sign[~again], n[~again]
-            alone = np.ones(len(e), bool)
-            same = e[1:] == e[:-1]
-            alone[1:] &= ~same
-            alone[:-1] &= ~same
-            e, at, sign, n = e[~alone], at[~alone], sign[~alone], n[~alone]
             if not len(e):
                 continue
-            pivot = np.zeros(len(e), np.int64)
             edges = [0, *(np.flatnonzero(e[1:] != e[:-1]) + 1).tolist(), len(e)]
+            out: list = []
             for a, b in zip(edges, edges[1:]):
-                first = _first_fit(n[a:b], share)
-                pivot[a:b] = sign[a:b][first]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (e, at, sign, n, pivot)], names=["e", "at", "sign", "n", "pivot"])
+                goes_on = current is not None and e[a] == current
+                if not goes_on:
+                    current, leads, waiting = e[a], [], None
+                    if b - a == 1 and b < len(e):
+                        continue  # a list of one class
+                pivot = np.zeros(b - a, np.int64)
+                left = np.arange(a, b)
+                for size, lead in leads:
+                    fit = _fits(n[left], size, share)
+                    pivot[left[fit] - a] = lead
+                    left = left[~fit]
+                while len(left):
+                    size, lead = int(n[left[0]]), int(sign[left[0]])
+                    leads.append((size, lead))
+                    fit = _fits(n[left], size, share)
+                    pivot[left[fit] - a] = lead
+                    left = left[~fit]
+                if not goes_on and b - a == 1:
+                    waiting = (e[a], at[a], sign[a], n[a], pivot[0])  # the last of the batch: more may come
+                    continue
+                if waiting is not None:
+                    out.append([np.array([x]) for x in waiting])
+                    waiting = None
+                out.append([e[a:b], at[a:b], sign[a:b], n[a:b], pivot])
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["e", "at", "sign", "n", "pivot"])
 
     dealt = entries.repartition("e").sortWithinPartitions("e", "at", "sign").select("e", "at", "sign", "n")
     return dealt.mapInArrow(run, "e long, at int, sign long, n int, pivot long")
 
 
-def _first_fit(sizes: np.ndarray, share: tuple[int, int]) -> np.ndarray:
-    """For each entry the first pivot of a size it could be linked with; entries that fit none become pivots."""
-    out = np.zeros(len(sizes), np.int64)
-    left = np.arange(len(sizes))
-    while len(left):
-        lead = left[0]
-        small, large = np.minimum(sizes[left], sizes[lead]), np.maximum(sizes[left], sizes[lead])
-        fit = share[1] * small >= share[0] * large
-        out[left[fit]] = lead
-        left = left[~fit]
-    return out
+def _fits(sizes: np.ndarray, size: int, share: tuple[int, int]) -> np.ndarray:
+    """Which sets have a size that a set of ``size`` elements could be linked with."""
+    return share[1] * np.minimum(sizes, size).astype(np.int64) >= share[0] * np.maximum(sizes, size).astype(np.int64)
 
 
 def prefix_size(share: tuple[int, int], size):
@@ -204,15 +225,17 @@ def _across(labelled: DataFrame, share: tuple[int, int]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         us, vs, held = [], [], 0
-        for e, at, sign, n, root, m in _lists(batches, ["e", "at", "sign", "n", "root", "m"]):
+        for key, at, sign, n, root, m, own in _lists(batches, ["key", "at", "sign", "n", "root", "m", "own"]):
             at, n, m = at.astype(np.int64), n.astype(np.int64), m.astype(np.int64)
             behind = n - prefix_size(share, n)
-            edges = [0, *(np.flatnonzero(e[1:] != e[:-1]) + 1).tolist(), len(e)]
+            edges = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
             for a, b in zip(edges, edges[1:]):
                 if b - a < 2 or (root[a:b] == root[a]).all():
                     continue
+                two = (own[a:b] != own[a]).any()  # two blocks of a list: pairs within a block are another task's
                 for i in range(a, b - 1):
-                    j = np.flatnonzero(root[i + 1 : b] != root[i]) + i + 1
+                    other = root[i + 1 : b] != root[i]
+                    j = np.flatnonzero(other & (own[i + 1 : b] != own[i]) if two else other) + i + 1
                     most = np.minimum(np.minimum(at[i], at[j]) + np.minimum(n[i] - at[i], n[j] - at[j]), np.minimum(m[i], m[j]) + np.maximum(behind[i], behind[j]))
                     j = j[linked(share, most, n[i], n[j])]
                     if len(j):
@@ -225,7 +248,14 @@ def _across(labelled: DataFrame, share: tuple[int, int]) -> DataFrame:
         if us:
             yield _pairs(us, vs)
 
-    dealt = labelled.repartition("e").sortWithinPartitions("e", "at", "sign").select("e", "at", "sign", "n", "root", "m")
+    # long lists are cut into blocks by class, and each pair of blocks is dealt to a place of its own
+    long = labelled.groupBy("e").agg(F.ceil(F.count("*") / LIST_BLOCK).cast("int").alias("blocks")).where("blocks > 1")
+    cut = labelled.join(long, "e", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    cut = cut.withColumn("own", F.pmod(F.xxhash64("sign"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # two blocks meet once: the key names them in order; a block alone is its pair with itself
+    key = F.when(F.col("blocks") == 1, F.col("e")).otherwise(F.xxhash64("e", F.least("own", "with"), F.greatest("own", "with")))
+    order = ["key", "at", "sign"]
+    dealt = cut.withColumn("key", key).repartition("key").sortWithinPartitions(*order).select(*order, "n", "root", "m", "own")
     counted = dealt.mapInArrow(run, "u long, v long, nu long, nv long, c long").groupBy("u", "v").agg(F.sum("c").alias("c"), F.min("nu").alias("nu"), F.min("nv").alias("nv"))
     num, den = share
     behind = lambda n: F.ceil(F.lit(num) * F.col(n) / den).cast("long") - common(share)

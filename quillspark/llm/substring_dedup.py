@@ -121,9 +121,9 @@ def _single_windows(docs: DataFrame, text: str, width: int, gram: int, table) ->
                 row = tokens.row_of(word)
                 yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n), part.column(0).take(pa.array(row)), pa.array((word - tokens.first[row]).astype(np.int32))], names=["h", "n", "k", "at"])
 
-    windows = docs.select(F.col("_k").alias("k"), F.col(f"`{text}`").alias("t")).mapInArrow(run, "h long, n long, k long, at int")
+    windows = docs.select(F.col("__k").alias("k"), F.col(f"`{text}`").alias("t")).mapInArrow(run, "h long, n long, k long, at int")
     counted = windows.groupBy("h").agg(F.sum("n").alias("n"), F.min("k").alias("k"), F.min("at").alias("at"))
-    return counted.where("n = 1").groupBy("k").agg(F.collect_list("at").alias("_single")).withColumnRenamed("k", "_k")
+    return counted.where("n = 1").groupBy("k").agg(F.collect_list("at").alias("__single")).withColumnRenamed("k", "__k")
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 35, gram: int = 20, keep: list[str] | None = None, texts: bool = True) -> DataFrame:
@@ -136,7 +136,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
     spark = docs.sparkSession
     gram = min(gram, width)
     table = spark.sparkContext.broadcast(bitmap(_anchors(docs, text, width, gram), "h", BITS))
-    marked = docs.withColumn("_k", F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`")))
+    marked = docs.withColumn("__k", F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`")))
     fields = RESULT + [T.StructField("removed", T.ArrayType(T.ArrayType(T.IntegerType()))), T.StructField("kept", T.StringType())] * texts
     names = {f.name for f in fields}
     held = [c for c in (docs.columns if keep is None else keep) if c.lower() not in names]
@@ -164,14 +164,14 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
             open_[tokens.row_of(at[in_bitmap(table.value, anchor)])] = True
         column = part.column(part.schema.get_field_index(text))
         waiting = column.take(pa.array(np.arange(part.num_rows), mask=~open_))
-        return results(tokens, np.zeros(len(tokens.starts), bool)) | {"_t": waiting}
+        return results(tokens, np.zeros(len(tokens.starts), bool)) | {"__t": waiting}
 
     def second(part: pa.RecordBatch) -> dict[str, pa.Array]:
         """The windows that may repeat, less those that start once, cover what goes."""
-        tokens, at, _, anchor, _ = _windows(part, "_t", width, gram)
+        tokens, at, _, anchor, _ = _windows(part, "__t", width, gram)
         change = np.zeros(len(tokens.starts) + 1, np.int64)
         begin = at[in_bitmap(table.value, anchor)] if len(at) else at
-        lists = part.column(part.schema.get_field_index("_single"))
+        lists = part.column(part.schema.get_field_index("__single"))
         rows = np.repeat(np.arange(part.num_rows), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
         single = tokens.first[rows] + lists.flatten().to_numpy(zero_copy_only=False)
         begin = np.setdiff1d(begin, single)
@@ -179,10 +179,10 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
         change[begin + width] -= 1
         gone = np.cumsum(change[:-1]) > 0
         new = results(tokens, gone)
-        waited = part.column(part.schema.get_field_index("_t")).is_valid().to_numpy(zero_copy_only=False)
+        waited = part.column(part.schema.get_field_index("__t")).is_valid().to_numpy(zero_copy_only=False)
         pick = pa.array(np.arange(part.num_rows) + np.where(waited, 0, part.num_rows))
         return {n: pa.concat_arrays([new[n].cast(old.type), old]).take(pick) for n in new for old in [part.column(part.schema.get_field_index(n))]}
 
-    started = append(marked, first, [*fields, T.StructField("_t", T.StringType())], text, [*held, "_k"])
-    joined = started.join(_single_windows(marked, text, width, gram, table), "_k", "left")
-    return append(joined, second, fields, "_t", [*held, *[f.name for f in fields], "_single"]).select(*[F.col(f"`{c}`") for c in held], *[f.name for f in fields])
+    started = append(marked, first, [*fields, T.StructField("__t", T.StringType())], text, [*held, "__k"])
+    joined = started.join(_single_windows(marked, text, width, gram, table), "__k", "left")
+    return append(joined, second, fields, "__t", [*held, *[f.name for f in fields], "__single"]).select(*[F.col(f"`{c}`") for c in held], *[f.name for f in fields])
