@@ -36,6 +36,7 @@ from .substring_dedup import bitmap, in_bitmap
 BUCKETS = 18
 COMMON = 4
 LIST_BLOCK = 4096
+_MARKS = ["m0", "m1", "m2", "m3"]
 _SEEN = 200_000
 SHARE_BITS = 22
 
@@ -220,14 +221,18 @@ def _across(labelled: DataFrame, share: tuple[int, int]) -> DataFrame:
     At any element in common, two sets share at most the smaller position and the smaller rest. Of the
     elements up to the end of the prefix that ends first, they share those on common lists, so at most
     ``m``, the lists of more than one class that a set is on; behind it at most what lies behind one
-    of the prefixes. With the common lists counted, the same bound is put to the pair once more.
+    of the prefixes. A set's lists are also marked in a bitmap of 256 bits: two sets have no more lists in
+    common than their bitmaps have bits, but for lists that share a bit. With the common lists counted,
+    the same bound is put to the pair once more.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         us, vs, held = [], [], 0
-        for key, at, sign, n, root, m, own in _lists(batches, ["key", "at", "sign", "n", "root", "m", "own"]):
+        for key, at, sign, n, root, m, own, *marks in _lists(batches, ["key", "at", "sign", "n", "root", "m", "own", *_MARKS]):
             at, n, m = at.astype(np.int64), n.astype(np.int64), m.astype(np.int64)
             behind = n - prefix_size(share, n)
+            marks = np.stack([x.view(U64) for x in marks], 1)
+            double = m - np.bitwise_count(marks).sum(1, dtype=np.int64)
             edges = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
             for a, b in zip(edges, edges[1:]):
                 if b - a < 2 or (root[a:b] == root[a]).all():
@@ -236,7 +241,8 @@ def _across(labelled: DataFrame, share: tuple[int, int]) -> DataFrame:
                 for i in range(a, b - 1):
                     other = root[i + 1 : b] != root[i]
                     j = np.flatnonzero(other & (own[i + 1 : b] != own[i]) if two else other) + i + 1
-                    most = np.minimum(np.minimum(at[i], at[j]) + np.minimum(n[i] - at[i], n[j] - at[j]), np.minimum(m[i], m[j]) + np.maximum(behind[i], behind[j]))
+                    lists = np.minimum(np.minimum(m[i], m[j]), np.bitwise_count(marks[i] & marks[j]).sum(1, dtype=np.int64) + np.minimum(double[i], double[j]))
+                    most = np.minimum(np.minimum(at[i], at[j]) + np.minimum(n[i] - at[i], n[j] - at[j]), lists + np.maximum(behind[i], behind[j]))
                     j = j[linked(share, most, n[i], n[j])]
                     if len(j):
                         us.append(np.stack([np.full(len(j), sign[i]), np.full(len(j), n[i])], 1))
@@ -255,7 +261,7 @@ def _across(labelled: DataFrame, share: tuple[int, int]) -> DataFrame:
     # two blocks meet once: the key names them in order; a block alone is its pair with itself
     key = F.when(F.col("blocks") == 1, F.col("e")).otherwise(F.xxhash64("e", F.least("own", "with"), F.greatest("own", "with")))
     order = ["key", "at", "sign"]
-    dealt = cut.withColumn("key", key).repartition("key").sortWithinPartitions(*order).select(*order, "n", "root", "m", "own")
+    dealt = cut.withColumn("key", key).repartition("key").sortWithinPartitions(*order).select(*order, "n", "root", "m", "own", *_MARKS)
     counted = dealt.mapInArrow(run, "u long, v long, nu long, nv long, c long").groupBy("u", "v").agg(F.sum("c").alias("c"), F.min("nu").alias("nu"), F.min("nv").alias("nv"))
     num, den = share
     behind = lambda n: F.ceil(F.lit(num) * F.col(n) / den).cast("long") - common(share)
@@ -367,9 +373,10 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     stars = written(_often(lists.where("sign <> pivot").select(F.col("sign").alias("u"), F.col("pivot").alias("v")), common(share)), "pairs")
     links = written(_compared(docs, text, n, stars, share), "links")
     roots = components(links)
-    shared = lists.groupBy("sign").agg(F.count("*").alias("m"))
+    bit = [F.expr(f"bit_or(if((e >> 6) & 3 = {k}, shiftleft(1L, cast(e & 63 as int)), 0L))").alias(name) for k, name in enumerate(_MARKS)]
+    shared = lists.groupBy("sign").agg(F.count("*").alias("m"), *bit)
     of_class = shared.join(roots.withColumnRenamed("node", "sign"), "sign", "left")
-    labelled = lists.join(of_class, "sign").select("e", "at", "sign", "n", F.coalesce("root", "sign").alias("root"), "m")
+    labelled = lists.join(of_class, "sign").select("e", "at", "sign", "n", F.coalesce("root", "sign").alias("root"), "m", *_MARKS)
     pairs = written(_across(labelled, share), "pairs")
     more = written(_compared(docs, text, n, pairs, share), "links")
     discard(lists, stars, pairs)
