@@ -28,9 +28,10 @@ def checkbox_confidence(ratio: Column, threshold: Column) -> Column:
 
 
 def softmax(values: Column) -> Column:
-    """Softmax of an array."""
-    e = F.transform(values, lambda x: F.exp(x - F.array_max(values)))
-    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, b: a + b))
+    """Softmax of an array. Greatest value and sum are bound once, not taken anew for each component."""
+    once = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))
+    e = once(F.array_max(values), lambda most: F.transform(values, lambda x: F.exp(x - most)))
+    return once(e, lambda e: once(F.aggregate(e, F.lit(0.0), lambda a, b: a + b), lambda total: F.transform(e, lambda x: x / total)))
 
 
 def page_progress(page: Column, pages: Column) -> Column:

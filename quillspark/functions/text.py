@@ -1,9 +1,11 @@
-"""Text expressions: normalisation, error rates, masks, digests. Column in, Column out, JVM only."""
+"""Text expressions: normalisation, error rates, masks, digests. Column in, Column out, JVM only but for the distance of long texts."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def normalize(text: Column) -> Column:
@@ -45,9 +47,36 @@ def token_distance(a: Column, b: Column) -> Column:
     return F.when(F.size(b) == 0, F.size(a)).otherwise(F.element_at(F.aggregate(a, first, next_row), -1))
 
 
+def edit_distance(a: list[str], b: list[str]) -> int:
+    """Edit distance of two token sequences of any length: a row of the table is two bit vectors (Myers, Hyyrö)."""
+    if not len(a) or not len(b):
+        return len(a) + len(b)
+    places: dict[str, int] = {}
+    for i, token in enumerate(a):
+        places[token] = places.get(token, 0) | 1 << i
+    every, last, distance = (1 << len(a)) - 1, 1 << len(a) - 1, len(a)
+    up, down = every, 0  # where a row's value is one more or one less than the value before it
+    for token in b:
+        equal = places.get(token, 0)
+        vertical = equal | down
+        horizontal = (((equal & up) + up) ^ up) | equal
+        more, less = down | (every & ~(horizontal | up)), up & horizontal
+        distance += bool(more & last) - bool(less & last)
+        more, less = more << 1 | 1, less << 1
+        up, down = every & (less | ~(vertical | more)), every & more & vertical
+    return distance
+
+
+@F.pandas_udf(T.IntegerType())
+def long_token_distance(a: pd.Series, b: pd.Series) -> pd.Series:
+    """``token_distance`` for arrays of any length, whose table is too large for a fold. Arrow batches."""
+    return pd.Series([None if x is None or y is None else edit_distance(x, y) for x, y in zip(a, b)], dtype="Int32")
+
+
 def wer(reference: Column, prediction: Column) -> Column:
+    """Word error rate of whole texts."""
     r, h = tokens(reference), tokens(prediction)
-    return token_distance(r, h) / F.greatest(F.lit(1), F.size(r))
+    return long_token_distance(r, h) / F.greatest(F.lit(1), F.size(r))
 
 
 def score_field(reference: Column, prediction: Column) -> Column:
