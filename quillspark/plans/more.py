@@ -131,6 +131,14 @@ def src02_json_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.schema(rows.schema).json(path)
 
 
+@query("SELECT * FROM orders")
+def src02_json_round_trip_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """All rows and columns; ``src02_json_round_trip`` has those that its SQL names."""
+    orders, path = table(spark, sf, "orders"), scratch(spark, "json")
+    files.write_json(orders, path)
+    return spark.read.schema(orders.schema).json(path)
+
+
 @query("SELECT CAST(part AS VARCHAR) AS part, count(*) AS n FROM (SELECT s_suppkey % 3 AS part FROM supplier) GROUP BY 1")
 def snk08_partition_replacement(spark: SparkSession, sf: str) -> DataFrame:
     """One partition is written twice; only it is replaced."""

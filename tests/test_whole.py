@@ -55,3 +55,9 @@ def test_softmax_of_whole_vectors(spark):
     assert max(map(len, vectors.values())) > 5 and set(found) == set(vectors)
     for k, v in vectors.items():
         assert found[k] == pytest.approx(math.exp(max(v)) / sum(map(math.exp, v)), abs=1e-5)
+
+
+def test_json_round_trip_of_the_whole_table(spark):
+    key = lambda r: r["o_orderkey"]
+    before, after = given(spark, "orders"), run(spark, "src02_json_round_trip_whole")
+    assert sorted(after, key=key) == sorted(before, key=key)
