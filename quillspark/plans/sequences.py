@@ -76,8 +76,22 @@ def w08_offsets(spark: SparkSession, sf: str) -> DataFrame:
 @query("""WITH s AS (SELECT DISTINCT p_brand, p_size FROM part), e AS (SELECT p_brand, p_size AS x0, lead(p_size) OVER (PARTITION BY p_brand ORDER BY p_size) AS x1 FROM s)
     SELECT a.p_brand, a.x0, a.x1, b.x0 AS y0, b.x1 AS y1 FROM e a JOIN e b USING (p_brand) WHERE a.x1 IS NOT NULL AND b.x1 IS NOT NULL AND a.x0 < 6 AND b.x0 < 6""")
 def w09_adjacent_cells(spark: SparkSession, sf: str) -> DataFrame:
+    return _cells(_edges(spark, sf).where("p_size < 6"))
+
+
+@query("""WITH s AS (SELECT DISTINCT p_brand, p_size FROM part), e AS (SELECT p_brand, p_size AS x0, lead(p_size) OVER (PARTITION BY p_brand ORDER BY p_size) AS x1 FROM s)
+    SELECT a.p_brand, a.x0, a.x1, b.x0 AS y0, b.x1 AS y1 FROM e a JOIN e b USING (p_brand) WHERE a.x1 IS NOT NULL AND b.x1 IS NOT NULL""")
+def w09_adjacent_cells_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """Of all boundaries; ``w09_adjacent_cells`` has those that its SQL names."""
+    return _cells(_edges(spark, sf))
+
+
+def _edges(spark: SparkSession, sf: str) -> DataFrame:
     sizes = table(spark, sf, "part").select("p_brand", "p_size").distinct()
-    edges = sizes.withColumn("next", F.lead("p_size").over(Window.partitionBy("p_brand").orderBy("p_size"))).where("next is not null and p_size < 6")
+    return sizes.withColumn("next", F.lead("p_size").over(Window.partitionBy("p_brand").orderBy("p_size"))).where("next is not null")
+
+
+def _cells(edges: DataFrame) -> DataFrame:
     rows = edges.groupBy("p_brand").agg(F.array_sort(F.collect_list(F.struct(F.col("p_size").alias("a"), F.col("next").alias("b")))).alias("e"))
     cells = F.flatten(F.transform("e", lambda y: F.transform("e", lambda x: F.struct(x["a"].alias("x0"), x["b"].alias("x1"), y["a"].alias("y0"), y["b"].alias("y1")))))
     return rows.select("p_brand", F.inline(cells))

@@ -61,3 +61,12 @@ def test_json_round_trip_of_the_whole_table(spark):
     key = lambda r: r["o_orderkey"]
     before, after = given(spark, "orders"), run(spark, "src02_json_round_trip_whole")
     assert sorted(after, key=key) == sorted(before, key=key)
+
+
+def test_cells_of_all_boundaries(spark):
+    sizes = defaultdict(set)
+    for r in given(spark, "part"):
+        sizes[r["p_brand"]].add(r["p_size"])
+    pairs = {b: list(zip(sorted(s), sorted(s)[1:])) for b, s in sizes.items()}
+    expected = sorted((b, *x, *y) for b, e in pairs.items() for y in e for x in e)
+    assert sorted((r["p_brand"], r["x0"], r["x1"], r["y0"], r["y1"]) for r in run(spark, "w09_adjacent_cells_whole")) == expected
