@@ -291,6 +291,15 @@ def arr02_padding(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").groupBy("user_id").agg(first.alias("r")).select("user_id", F.concat("r", F.array_repeat(F.lit(""), 5 - F.size("r"))).alias("padded"))
 
 
+@query("WITH l AS (SELECT user_id, list(event_type ORDER BY event_id) AS r FROM events GROUP BY 1) SELECT user_id, list_resize(r, (SELECT max(len(r)) FROM l), '') AS padded FROM l")
+def arr02_padding_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole lists, padded to the greatest length found; ``arr02_padding`` has those that its SQL names."""
+    events = table(spark, sf, "events")
+    lists = events.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))), lambda s: s["event_type"]).alias("r"))
+    width = events.groupBy("user_id").agg(F.count("*").alias("n")).agg(F.max("n").cast("int").alias("width"))
+    return lists.crossJoin(F.broadcast(width)).select("user_id", F.concat("r", F.array_repeat(F.lit(""), F.col("width") - F.size("r"))).alias("padded"))
+
+
 @query("""WITH g AS (SELECT p_brand, k, coalesce(max(p_size) FILTER (p_size % 4 = k), -1) AS m FROM part, range(4) t(k) GROUP BY 1, 2) SELECT p_brand, list(m ORDER BY k) AS row FROM g GROUP BY 1""")
 def arr03_dense_row(spark: SparkSession, sf: str) -> DataFrame:
     cell = lambda k: F.coalesce(F.max(F.when(F.col("p_size") % 4 == k, F.col("p_size"))), F.lit(-1))

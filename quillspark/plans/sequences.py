@@ -124,5 +124,15 @@ def w13_page_progress(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""WITH b AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber) AS r FROM lineitem) SELECT l_orderkey, l_linenumber, CAST(r AS INTEGER) AS r FROM b WHERE r <= 2""")
 def srt04_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    return _ranked(spark, sf).where("r <= 2")
+
+
+@query("SELECT l_orderkey, l_linenumber, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber) AS INTEGER) AS r FROM lineitem")
+def srt04_candidates_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """The rank of every row; ``srt04_candidates`` has those that its SQL names."""
+    return _ranked(spark, sf)
+
+
+def _ranked(spark: SparkSession, sf: str) -> DataFrame:
     order = Window.partitionBy("l_orderkey").orderBy(F.desc("l_extendedprice"), "l_linenumber")
-    return table(spark, sf, "lineitem").withColumn("r", F.row_number().over(order)).where("r <= 2").select("l_orderkey", "l_linenumber", "r")
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.row_number().over(order).alias("r"))

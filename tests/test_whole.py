@@ -70,3 +70,22 @@ def test_cells_of_all_boundaries(spark):
     pairs = {b: list(zip(sorted(s), sorted(s)[1:])) for b, s in sizes.items()}
     expected = sorted((b, *x, *y) for b, e in pairs.items() for y in e for x in e)
     assert sorted((r["p_brand"], r["x0"], r["x1"], r["y0"], r["y1"]) for r in run(spark, "w09_adjacent_cells_whole")) == expected
+
+
+def test_every_candidate_has_a_rank(spark):
+    rows = sorted(given(spark, "lineitem"), key=lambda r: (r["l_orderkey"], -r["l_extendedprice"], r["l_linenumber"]))
+    expected, seen = [], defaultdict(int)
+    for r in rows:
+        seen[r["l_orderkey"]] += 1
+        expected.append((r["l_orderkey"], r["l_linenumber"], seen[r["l_orderkey"]]))
+    assert max(seen.values()) > 2
+    assert sorted((r["l_orderkey"], r["l_linenumber"], r["r"]) for r in run(spark, "srt04_candidates_whole")) == sorted(expected)
+
+
+def test_whole_lists_are_padded(spark):
+    lists = defaultdict(list)
+    for r in sorted(given(spark, "events"), key=lambda r: r["event_id"]):
+        lists[r["user_id"]].append(r["event_type"])
+    width = max(map(len, lists.values()))
+    assert width > min(map(len, lists.values())) > 3
+    assert {r["user_id"]: r["padded"] for r in run(spark, "arr02_padding_whole")} == {u: v + [""] * (width - len(v)) for u, v in lists.items()}
