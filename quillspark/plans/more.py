@@ -105,6 +105,12 @@ def srt10_path_order(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("url", "page_id").orderBy("url", "page_id").limit(20)
 
 
+@query("SELECT url, page_id FROM pages ORDER BY url, page_id")
+def srt10_path_order_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """All rows, sorted; ``srt10_path_order`` has those that its SQL names."""
+    return table(spark, sf, "pages").select("url", "page_id").orderBy("url", "page_id")
+
+
 @query("SELECT n_regionkey, '<table>' || string_agg('<tr><td>' || n_nationkey || '</td><td>' || n_name || '</td></tr>', '' ORDER BY n_nationkey) || '</table>' AS html FROM nation GROUP BY 1")
 def snk04_html(spark: SparkSession, sf: str) -> DataFrame:
     rows = F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda s: F.array(s["n_nationkey"].cast("string"), s["n_name"]))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import classify
+from ..sources.scratch import scratch
 from .registry import query, table
 
 
@@ -121,6 +122,31 @@ def srt02_metric_desc(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "supplier").select("s_suppkey", "s_acctbal").orderBy(F.desc_nulls_last("s_acctbal"), "s_suppkey").limit(10)
 
 
+@query("SELECT p_partkey, p_brand, p_retailprice, row_number() OVER (ORDER BY p_brand, p_retailprice, p_partkey) AS place FROM part")
+def srt01_multi_key_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """All rows, sorted; ``srt01_multi_key`` has those that its SQL names.
+
+    Rows are sorted in ranges of the keys; a place is that in its range and the counts of the ranges before. The
+    ranges are written once, as they must be the same for counts and rows.
+    """
+    keys, path = ["p_brand", "p_retailprice", "p_partkey"], scratch(spark, "ranges")
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    part = table(spark, sf, "part").select("p_partkey", "p_brand", "p_retailprice")
+    part.repartitionByRange(ranges, *keys).sortWithinPartitions(*keys).withColumn("at", F.monotonically_increasing_id()).write.parquet(path)
+    rows = spark.read.schema("p_partkey long, p_brand string, p_retailprice double, at long").parquet(path)
+    rows = rows.withColumn("range", F.shiftright("at", 33)).withColumn("within", F.col("at").bitwiseAND((1 << 33) - 1))
+    before = F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1))  # a row for each range
+    offsets = rows.groupBy("range").agg(F.count("*").alias("n")).select("range", F.coalesce(before, F.lit(0)).alias("before"))
+    placed = rows.join(F.broadcast(offsets), "range").select("p_partkey", "p_brand", "p_retailprice", (F.col("before") + F.col("within") + 1).alias("place"))
+    return placed.orderBy("place")
+
+
+@query("SELECT s_suppkey, s_acctbal FROM supplier ORDER BY s_acctbal DESC NULLS LAST, s_suppkey")
+def srt02_metric_desc_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """All rows, sorted; ``srt02_metric_desc`` has those that its SQL names."""
+    return table(spark, sf, "supplier").select("s_suppkey", "s_acctbal").orderBy(F.desc_nulls_last("s_acctbal"), "s_suppkey")
+
+
 @query("SELECT conv_id, string_agg(role, ' ' ORDER BY turn) AS reading FROM conversations GROUP BY 1")
 def srt03_reading_order(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda s: s["role"]), " ").alias("reading"))

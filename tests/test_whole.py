@@ -89,3 +89,13 @@ def test_whole_lists_are_padded(spark):
     width = max(map(len, lists.values()))
     assert width > min(map(len, lists.values())) > 3
     assert {r["user_id"]: r["padded"] for r in run(spark, "arr02_padding_whole")} == {u: v + [""] * (width - len(v)) for u, v in lists.items()}
+
+
+def test_sorts_return_all_rows_in_order(spark):
+    parts = sorted((r["p_brand"], r["p_retailprice"], r["p_partkey"]) for r in given(spark, "part"))
+    assert len(parts) > 100
+    assert [(r["p_brand"], r["p_retailprice"], r["p_partkey"], r["place"]) for r in run(spark, "srt01_multi_key_whole")] == [(*k, i) for i, k in enumerate(parts, 1)]
+    suppliers = sorted(((r["s_acctbal"] is None, -(r["s_acctbal"] or 0), r["s_suppkey"]) for r in given(spark, "supplier")))
+    assert [r["s_suppkey"] for r in run(spark, "srt02_metric_desc_whole")] == [k for *_, k in suppliers]
+    pages = sorted((r["url"], r["page_id"]) for r in given(spark, "pages"))
+    assert len(pages) > 20 and [(r["url"], r["page_id"]) for r in run(spark, "srt10_path_order_whole")] == pages
