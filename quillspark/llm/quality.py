@@ -192,6 +192,8 @@ def fit(docs: DataFrame, labels: DataFrame | None, key: str = "doc_id", text: st
 
     table = picked.mapInArrow(run, "key string, quality int, toxic int, sound array<int>, safe array<int>, at binary").toArrow()
     rows = sorted(range(table.num_rows), key=lambda i, k=table.column("key").to_pylist(), a=table.column("at").to_pylist(): (k[i], a[i]))
+    if not rows and labels is not None:  # no document has an annotation: heuristics alone
+        return fit(docs, None, key, text, sample_rows, epochs)
     if not rows:
         return Scorer(np.zeros((WIDTH + 1, 2)), (1.0, 1.0), (np.zeros(0), np.zeros(0)))
     blobs = table.column("at")
