@@ -5,7 +5,7 @@ sets share an element of it), rarity being counted over all rows. Two relations
 to skip work, and neither loses a link between different sets:
 
 * *Index lists.* Entries of a list are ordered by position; positions and sizes bound the overlap of
-  two sets, so blocks of entries out of reach are skipped. Prefixes are ``COMMON`` - 1 elements longer
+  two sets, so pairs out of reach are not compared; the bounds are put to each pair, no block is skipped. Prefixes are ``COMMON`` - 1 elements longer
   than one common element needs: linked sets share at least ``COMMON`` elements of them.
 * *Answers.* Equal sets form one class, which is joined once. In each list the most central entry (the
   lowest position) is the pivot of the others. Sets that link with their pivot have its answer
