@@ -35,8 +35,8 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def slices(batch: pa.RecordBatch, text: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut a batch into runs of rows that hold at most ``most`` bytes of ``text`` each."""
+def slices(batch: pa.RecordBatch, text: str, most: int = SLICE_BYTES, rows: int = 1 << 31) -> Iterator[pa.RecordBatch]:
+    """Cut a batch into runs of at most ``rows`` rows that hold at most ``most`` bytes of ``text`` each."""
     if batch.num_rows == 0:
         return
     lengths = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(text))), 0).to_numpy(zero_copy_only=False)
@@ -44,7 +44,7 @@ def slices(batch: pa.RecordBatch, text: str, most: int = SLICE_BYTES) -> Iterato
     begin = 0
     while begin < batch.num_rows:
         floor = ends[begin - 1] if begin else 0
-        stop = max(begin + 1, int(np.searchsorted(ends, floor + most, side="right")))
+        stop = min(begin + rows, max(begin + 1, int(np.searchsorted(ends, floor + most, side="right"))))
         yield batch.slice(begin, stop - begin)
         begin = stop
 
@@ -66,6 +66,18 @@ def without(df: DataFrame, names: list[str]) -> list[str]:
     return [c for c in df.columns if c.lower() not in taken]
 
 
+def spare(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns of an operator's own that clash with none of ``df`` (compared without case)."""
+    taken = {n.lower() for n in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def append(df: DataFrame, compute: Callable[[pa.RecordBatch], dict[str, pa.Array]], fields: list[T.StructField], text: str, keep: list[str] | None = None, choose: Callable | None = None) -> DataFrame:
     """Add columns computed from slices of record batches; one narrow stage, no shuffle.
 
@@ -131,6 +143,7 @@ _RNG = np.random.Generator(np.random.PCG64(20240117))
 _BYTE_VALUES = _RNG.integers(1, 1 << 63, 256, dtype=np.int64).astype(U64) * U64(2) + U64(1)
 _BYTE_POWERS = Powers(0x9E3779B97F4A7C15)
 _WORD_POWERS = Powers(0xD6E8FEB86659FD93)
+_OTHER_POWERS = Powers(0xA0761D6478BD642F)
 
 
 class Tokens:
@@ -162,11 +175,11 @@ class Tokens:
             return np.zeros(0, U64)
         return mix(rolling(table[self.data], self.starts, self.stops, _BYTE_POWERS) + (self.stops - self.starts).astype(U64))
 
-    def windows(self, hashes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    def windows(self, hashes: np.ndarray, width: int, powers: Powers = _WORD_POWERS) -> tuple[np.ndarray, np.ndarray]:
         """Rabin-Karp hash of each run of ``width`` words within one row, and the index of its first word."""
         last = np.repeat(self.first[1:], self.counts) - width
         at = np.flatnonzero(np.arange(len(hashes)) <= last)
-        return mix(rolling(hashes, at, at + width, _WORD_POWERS)), at
+        return mix(rolling(hashes, at, at + width, powers)), at
 
     def row_of(self, words: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.first, words, side="right") - 1
@@ -188,12 +201,15 @@ NOT_BLANK = ~byte_set((0x20, 0x20), (0x09, 0x0D))
 def shared_path(spark, name: str) -> str:
     """A fresh folder under the cluster's checkpoint folder, which all executors share.
 
-    The setting is read from the session; a local default is set only where it is absent.
+    The setting is read from the session. Where it is absent a default is set for a local master, as in
+    tests; a cluster has no folder that would do.
     """
     import uuid
 
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "/tmp/checkpoints"
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/quillspark/{name}-{uuid.uuid4().hex}"
