@@ -1,19 +1,22 @@
-"""SentencePiece encoding and decoding in batches of equal-length words.
+"""SentencePiece encoding and decoding: batched Viterbi over words of equal length.
+
+Words of one length advance together as rows of a matrix. At each end position the hashes of the
+substrings that end there probe the sorted keys of all pieces; a vectorised maximum over the scores
+of the paths picks each word's best last piece, and its beginning is stored as a backpointer.
 
 The vocabulary given here is of the BPE kind: its encoding is what merging the best-scored pair first
-gives, which is not the path of the greatest total score, so a plain Viterbi search gives other ids.
-The batched form stays as named, with that one change of what is maximised: words of one length
-advance together as rows of a matrix; the hash of each pair of neighbours' substrings probes the
-sorted hashes of all pieces; a vectorised maximum over the pairs' scores picks each word's next
-merge; and the links written back say which symbols a piece now spans. ``viterbi`` is the same search
-for unigram vocabularies: vectorised maxima over piece lengths, with stored backpointers.
+gives. That encoding is the only path in which each piece and each pair of neighbours encodes to
+itself (see ``merge_order``), so the maximum is taken over the steps whose piece may stand after the
+last piece of the path that it continues; other steps have a score of minus infinity. Vocabularies of
+the unigram kind have no such condition.
 
 No piece has a blank after another character, so blanks before a word start an independent segment.
-Segments' ids are remembered in a bounded table.
+Segments' ids are remembered in a bounded table. The cost of a word is in proportion to its length.
 
 Defined results: null and empty texts have no ids and decode to an empty text; every text survives a
 round trip, as unknown characters become byte pieces (only the blank sign U+2581 itself, which the
-model writes for a space, comes back as a space); equal rows give equal results.
+model writes for a space, comes back as a space); equal rows give equal results; an empty table gives
+no rows; input columns with the name of a result are replaced.
 """
 
 from __future__ import annotations
@@ -26,12 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .arrowkit import append, mix
+from .merge_order import MergeOrder, Table
 
 BLANK = "▁"
 _REMEMBERED = 500_000
 _SHORT = 64
 _CHAR = np.uint64(0x9E3779B97F4A7C15)
-_LONG = 256  # longer words are merged with a heap, one by one
+_ROWS = 200_000  # characters that advance together
 
 
 class PieceCoder:
@@ -66,6 +70,42 @@ class PieceCoder:
         self.longest = max(len(names[i]) for i in normal)
         self.segments = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
         self.known: dict[str, bytes] = {}
+        self._number([names[i] for i in normal], np.array(normal))
+
+    def _number(self, names: list[str], ids: np.ndarray) -> None:
+        """Numbers of pieces in the order of their merges: 0 unknown characters, then single characters, then the rest by score.
+
+        Each longer piece is merged once by itself, to learn its last merge; those that merging does
+        not reach are never the outcome of an encoding and have no number.
+        """
+        by_length: dict[int, list[int]] = {}
+        for k, name in enumerate(names):
+            by_length.setdefault(len(name), []).append(k)
+        middle = np.full(len(names), -1)
+        for length, group in by_length.items():
+            for begin in range(0, len(group) if length > 1 else 0, max(1, _ROWS // length)):
+                own = np.array(group[begin : begin + max(1, _ROWS // length)])
+                codes = np.frombuffer("".join(names[k] for k in own).encode("utf-32-le"), "<u4").reshape(len(own), length)
+                middle[own] = self._derive(codes)
+        single = by_length.get(1, [])
+        reached = np.flatnonzero(middle > 0)
+        rank = reached[np.argsort(-self.score[ids[reached]], kind="stable")]
+        self.number = np.full(len(self.score), -1, np.int64)  # by id
+        self.number[ids[single]] = np.arange(1, 1 + len(single))
+        self.number[ids[rank]] = np.arange(len(rank)) + 1 + len(single)
+        size = 1 + len(single) + len(rank)
+        self.id_of = np.zeros(size, np.int64)
+        numbered = np.flatnonzero(self.number > 0)
+        self.id_of[self.number[numbered]] = numbered
+        left, right = np.arange(size), np.arange(size)
+        for k in rank.tolist():
+            x, y = (self.index[part] for part in (names[k][: middle[k]], names[k][middle[k] :]))
+            left[self.number[ids[k]]], right[self.number[ids[k]]] = self.number[x], self.number[y]
+        made = np.arange(1 + len(single), size)
+        time = np.zeros(size, np.int64)
+        time[made] = np.unique(-self.score[ids[rank]], return_inverse=True)[1] + 1
+        self.order = MergeOrder(left, right, Table(left[made].astype(np.uint64) << np.uint64(32) | right[made].astype(np.uint64), made), time)
+        self.worth = np.append(self.score, self.score.min() - 10)  # the last: unknown characters
 
     @staticmethod
     def _fold(codes: np.ndarray) -> np.ndarray:
@@ -94,14 +134,13 @@ class PieceCoder:
         powers[1:] = np.multiply.accumulate(np.full(length, _CHAR))
         return prefix, powers
 
-    def merge(self, codes: np.ndarray) -> np.ndarray:
-        """Merge words of one length together; gives the starts of the final symbols (words x length booleans)."""
+    def _derive(self, codes: np.ndarray) -> np.ndarray:
+        """Where the last merge of each word parts it, by plain merging of the best pair; -1 for words that don't become one symbol."""
         words, length = codes.shape
         prefix, powers = self._prefix(codes)
-        starts = np.ones((words, length + 1), bool)
         after = np.tile(np.arange(1, length + 2), (words, 1))  # where the symbol that starts here ends
         before = np.tile(np.arange(-1, length), (words, 1))
-        row = np.arange(words)
+        last = np.full(words, -1)
 
         def value(r: np.ndarray, a: np.ndarray) -> np.ndarray:
             """The score of merging the symbol at ``a`` with the next one."""
@@ -113,8 +152,8 @@ class PieceCoder:
 
         best = np.full((words, length), -np.inf)
         for a in range(length - 1):
-            best[:, a] = value(row, np.full(words, a))
-        live = row
+            best[:, a] = value(np.arange(words), np.full(words, a))
+        live = np.arange(words)
         while len(live):
             at = best[live].argmax(1)  # the leftmost of equal scores
             open_ = best[live, at] > -np.inf
@@ -123,7 +162,7 @@ class PieceCoder:
                 break
             middle = after[live, at]
             end = after[live, middle]
-            starts[live, middle] = False
+            last[live] = middle
             best[live, middle] = -np.inf
             after[live, at] = end
             inner = end < length
@@ -132,84 +171,71 @@ class PieceCoder:
             previous = before[live, at]
             has = previous >= 0
             best[live[has], previous[has]] = value(live[has], previous[has])
-        return starts[:, :length]
+        return np.where(after[:, 0] == length, last, -1)
 
-    def viterbi(self, codes: np.ndarray) -> np.ndarray:
-        """The path of the greatest total score, for unigram vocabularies: starts of pieces as ``merge`` gives them."""
+    def viterbi(self, codes: np.ndarray, merging: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """The best path through each of a number of words of one length.
+
+        Returns a mask of the places where pieces end (words x length) and the pieces' ids there (-1:
+        an unknown character). Without ``merging`` pieces may stand side by side freely, as unigram
+        vocabularies have it.
+        """
         words, length = codes.shape
         prefix, powers = self._prefix(codes)
         total = np.full((words, length + 1), -np.inf)
         total[:, 0] = 0
-        back = np.zeros((words, length + 1), np.int64)
+        back = np.zeros((words, length + 1), np.int32)
+        piece = np.full((words, length + 1), -1, np.int32)
+        rows = np.arange(words)
         for end in range(1, length + 1):
             begins = np.arange(max(0, end - self.longest), end)
             found = self._probe((prefix[:, end : end + 1] - prefix[:, begins] * powers[end - begins]).ravel()).reshape(words, -1)
-            worth = np.where(found >= 0, self.score[found], -np.inf)
-            worth[:, -1] = np.where(found[:, -1] >= 0, worth[:, -1], self.score.min() - 10)  # an unknown character
+            worth = np.where(found >= 0, self.worth[found], -np.inf)
+            worth[:, -1] = self.worth[found[:, -1]]  # a single character, known or not
+            if merging:
+                step = np.where(found >= 0, self.number[found], -1)
+                step[:, -1] = np.maximum(step[:, -1], 0)
+                worth[step < 0] = -np.inf
+                row, k = np.nonzero((step >= 0) & (begins > 0))
+                previous = piece[row, begins[k]]
+                fits = self.order.valid(np.where(previous >= 0, self.number[previous], 0), step[row, k])
+                worth[row[~fits], k[~fits]] = -np.inf
             worth = worth + total[:, begins]
             pick = worth.argmax(1)
             back[:, end] = begins[pick]
-            total[:, end] = worth[np.arange(words), pick]
-        starts = np.zeros((words, length), bool)
+            piece[:, end] = found[rows, pick]
+            total[:, end] = worth[rows, pick]
+        ends = np.zeros((words, length + 1), bool)
         at = np.full(words, length)
-        while (at > 0).any():
-            at = np.where(at > 0, back[np.arange(words), at], 0)
-            starts[np.arange(words), at] = True
-        return starts
-
-    def _long(self, word: str) -> list[str]:
-        """One long word: the same merges, with a heap."""
-        import heapq
-
-        symbols, nxt, prv = list(word), list(range(1, len(word) + 1)), list(range(-1, len(word) - 1))
-        heap: list = []
-
-        def offer(a: int) -> None:
-            b = nxt[a]
-            if a >= 0 and b < len(symbols) and (i := self.index.get(symbols[a] + symbols[b])) is not None:
-                heapq.heappush(heap, (-self.score[i], a, symbols[a], symbols[b]))
-
-        for a in range(len(symbols) - 1):
-            offer(a)
-        while heap:
-            _, a, x, y = heapq.heappop(heap)
-            b = nxt[a] if symbols[a] else len(symbols)
-            if symbols[a] != x or b >= len(symbols) or symbols[b] != y:
-                continue
-            symbols[a], symbols[b] = x + y, ""
-            nxt[a] = nxt[b]
-            if nxt[a] < len(symbols):
-                prv[nxt[a]] = a
-            offer(a)
-            if prv[a] >= 0:
-                offer(prv[a])
-        return [s for s in symbols if s]
-
-    def _ids(self, pieces: list[str]) -> list[int]:
-        out: list[int] = []
-        for p in pieces:
-            i = self.index.get(p)
-            out += [i] if i is not None else [self.byte_id[b] for b in p.encode()]
-        return out
+        while (live := at > 0).any():
+            ends[rows[live], at[live]] = True
+            at = np.where(live, back[rows, at], 0)
+        return ends[:, 1:], piece[:, 1:]
 
     def learn(self, segments: list[str]) -> dict[str, bytes]:
         """Ids of distinct segments (without their first blank), as little-endian int32."""
         by_length: dict[int, list[str]] = {}
         out: dict[str, bytes] = {}
         for segment in segments:
-            if len(segment) >= _LONG:
-                out[segment] = np.array(self._ids(self._long(BLANK + segment)), "<i4").tobytes()
-            else:
-                by_length.setdefault(len(segment) + 1, []).append(segment)
+            by_length.setdefault(len(segment) + 1, []).append(segment)
         for length, group in by_length.items():
-            size = max(1, 200_000 // length)
+            size = max(1, _ROWS // length)
             for begin in range(0, len(group), size):
                 block = group[begin : begin + size]
-                words = [BLANK + segment for segment in block]
-                codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(words), length)
-                for segment, word, mask in zip(block, words, self.merge(codes)):
-                    cuts = [*np.flatnonzero(mask).tolist(), length]
-                    out[segment] = np.array(self._ids([word[a:b] for a, b in zip(cuts, cuts[1:])]), "<i4").tobytes()
+                codes = np.frombuffer("".join(BLANK + segment for segment in block).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(block), length)
+                ends, piece = self.viterbi(codes)
+                ids = piece[ends].astype("<i4")
+                cuts = np.concatenate([[0], np.cumsum(ends.sum(1))]).tolist()
+                unknown = ((piece < 0) & ends).any(1).tolist()
+                raw = ids.tobytes()
+                for k, segment in enumerate(block):
+                    if not unknown[k]:
+                        out[segment] = raw[4 * cuts[k] : 4 * cuts[k + 1]]
+                    else:
+                        found: list[int] = []
+                        for i, e in zip(ids[cuts[k] : cuts[k + 1]].tolist(), np.flatnonzero(ends[k]).tolist()):
+                            found += [i] if i >= 0 else [self.byte_id[b] for b in chr(codes[k, e]).encode("utf-8", "surrogatepass")]
+                        out[segment] = np.array(found, "<i4").tobytes()
         return out
 
     def cut(self, text: str) -> list[str]:

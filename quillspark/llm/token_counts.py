@@ -4,22 +4,21 @@ Byte-pair encoding has a property that makes prefix counts a dynamic programme:
 piece is the only sequence of tokens in which each neighbouring pair encodes to itself. So the last
 token of a prefix is the one candidate (a token that is a suffix of the prefix) that is compatible
 with the last token of what is left before it, and ``count[i] = count[i - len(last)] + 1``. One walk
-over a piece gives the count of all its prefixes; compatibility of a pair is found by encoding the
-pair once and remembered.
+over a piece gives the count of all its prefixes; compatibility of a pair is told by undoing the two
+tokens' merges (see ``merge_order``).
 
-Texts are cut into pieces as the tokenizer's byte-level pattern does it. Counts of whole pieces are
-remembered in a bounded table, so a text costs a look-up for each piece. ``PrefixCounts`` holds the
-count at each piece boundary and answers the count of any prefix and the longest prefix within a
-budget without encoding again.
+Texts are cut into pieces as the tokenizer's byte-level pattern does it. The counts of all prefixes of
+a piece are remembered in a bounded table, so a text costs a look-up for each piece. ``PrefixCounts``
+stores the count of every prefix of a text and answers truncation and budget questions from that.
 
 Defined results: null counts as empty (0 bytes, 0 tokens); equal rows give equal results; strings of
-special tokens inside texts are one token each (the library's default).
+special tokens inside texts are one token each (the library's default); an empty table gives no rows;
+input columns with the name of a result are replaced; long texts cost in proportion to their length.
 """
 
 from __future__ import annotations
 
 import json
-from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,13 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .arrowkit import U64, append, mix
+from .merge_order import ABSENT, MergeOrder, Table
 
 #: Fixed value: the published pattern of byte-level pre-tokenizers.
+CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_REMEMBERED = 1_000_000
+_REMEMBERED = 500_000
 _PAIRS = 100_000
 _SHORT = 64
-_ABSENT = np.int64(1) << np.int64(40)
 _BASE = U64(0x9E3779B97F4A7C15)
 
 
@@ -46,39 +46,6 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
-class _Table:
-    """An open-addressing hash table of 64-bit keys that is probed by whole arrays."""
-
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        if len(np.unique(keys)) != len(keys):
-            raise ValueError("two keys have the same hash")
-        self.bits = max(8, int(len(keys) * 8).bit_length())
-        self.keys, self.values = np.zeros(1 << self.bits, U64), np.full(1 << self.bits, _ABSENT)
-        todo = np.arange(len(keys))
-        place = self._place(keys)
-        while len(todo):
-            free = self.values[place] == _ABSENT
-            slot, first = np.unique(place[free], return_index=True)
-            chosen = todo[free][first]
-            self.keys[slot], self.values[slot] = keys[chosen], values[chosen]
-            rest = ~np.isin(todo, chosen)
-            todo, place = todo[rest], place[rest]
-            place = np.where(self.values[place] != _ABSENT, (place + 1) & ((1 << self.bits) - 1), place)
-
-    def _place(self, keys: np.ndarray) -> np.ndarray:
-        return (mix(keys) >> U64(64 - self.bits)).astype(np.int64)
-
-    def get(self, keys: np.ndarray) -> np.ndarray:
-        place = self._place(keys)
-        out = self.values[place]
-        open_ = np.flatnonzero((self.keys[place] != keys) & (out != _ABSENT))
-        while len(open_):
-            place[open_] = (place[open_] + 1) & ((1 << self.bits) - 1)
-            out[open_] = self.values[place[open_]]
-            open_ = open_[(self.keys[place[open_]] != keys[open_]) & (out[open_] != _ABSENT)]
-        return out
-
-
 class BytePairCounter:
     """Counts tokens of a byte-level BPE vocabulary given as a ``tokenizers`` file."""
 
@@ -98,8 +65,10 @@ class BytePairCounter:
         self.tails = {t[i:] for t in self.tokens for i in range(len(t))}
         self.pieces = regex.compile(PIECES)
         self.special = regex.compile("|".join(regex.escape(x) for x in sorted(added, key=len, reverse=True))) if added else None
+        self.blanks = regex.compile(r"\s+")
         self.known: dict[str, int] = {}
-        self.long: dict[str, int] = {}  # of the texts at hand
+        self.prefixes_of: dict[str, bytes] = {}  # counts after each character of a remembered piece
+        self.long: dict[str, np.ndarray] = {}  # the same for long pieces of the texts at hand
         self.pairs: dict[tuple[bytes, bytes], bool] = {}
         self._number()
 
@@ -115,12 +84,11 @@ class BytePairCounter:
             if a in number and b in number:
                 keys.append(number[a] << 32 | number[b])
                 made.append(number[a + b])
-        self.left, self.right = np.array(left), np.array(right)
-        self.joined = _Table(np.array(keys, U64), np.array(made))
+        self.order = MergeOrder(np.array(left), np.array(right), Table(np.array(keys, U64), np.array(made)))
         self.terms = mix(np.arange(1, 257).astype(U64))
         self.powers = np.ones(1 + max(map(len, self.tokens)), U64)
         self.powers[1:] = np.multiply.accumulate(np.full(len(self.powers) - 1, _BASE))
-        reached = self.valid(np.array(left)[256:], np.array(right)[256:], np.arange(256, len(left)))
+        reached = self.order.valid(np.array(left)[256:], np.array(right)[256:], np.arange(256, len(left)))
         own = {t for t, i in number.items() if (i < 256 or reached[i - 256]) and t in self.tokens}
         tails = sorted({t[i:] for t in own for i in range(len(t))}, key=len)
         hashes, at = np.zeros(len(tails), U64), 0
@@ -133,7 +101,7 @@ class BytePairCounter:
             for j in range(n):
                 hashes[at:stop] = hashes[at:stop] * _BASE + self.terms[block[:, j]]
             at = stop
-        self.table = _Table(hashes, np.array([number[t] if t in own else -1 for t in tails]))
+        self.table = Table(hashes, np.array([number[t] if t in own else -1 for t in tails]))
 
     def merged(self, text: bytes) -> list[bytes]:
         """Plain merging, for pairs of tokens only."""
@@ -173,26 +141,34 @@ class BytePairCounter:
             states.append(self.step(piece, end, states.__getitem__))
         return [n for n, _ in states]
 
-    def count_piece(self, piece: str) -> int:
-        raw = piece.encode()
-        if len(raw) > _SHORT:
-            return self.prefix_counts(raw)[-1]
-        return int(self.batch([raw])[0])
-
-    def learn(self, pieces: list[str]) -> dict[str, int]:
-        """Counts of distinct pieces; short ones advance together, byte by byte."""
+    def learn(self, pieces: list[str]) -> None:
+        """Remember the counts of all prefixes of distinct pieces; short ones advance together, byte by byte."""
         raw = [p.encode() for p in pieces]
         short = [i for i, r in enumerate(raw) if len(r) <= _SHORT]
-        out = dict(zip([pieces[i] for i in short], self.batch([raw[i] for i in short]).tolist()))
-        out.update((p, self.prefix_counts(r)[-1]) for p, r in zip(pieces, raw) if len(r) > _SHORT)
-        return out
-
-    def batch(self, raw: list[bytes]) -> np.ndarray:
-        """The dynamic programme over prefixes for many pieces at once: one step for each position."""
+        for i, counts in zip(short, self.batch([raw[i] for i in short])):
+            self.prefixes_of[pieces[i]], self.known[pieces[i]] = counts, counts[-1]
+        for p, r in zip(pieces, raw):
+            if len(r) > _SHORT:
+                codes = np.frombuffer(r, np.uint8)
+                ends = np.append(np.flatnonzero((codes[1:] & 0xC0) != 0x80) + 1, len(r))
+                self.long[p] = np.array(self.prefix_counts(r), np.int32)[ends]
+
+    def prefixes(self, piece: str) -> np.ndarray:
+        """Token counts after each character of a piece."""
+        if piece not in self.prefixes_of and piece not in self.long:
+            self.learn([piece])
+        found = self.prefixes_of.get(piece)
+        return self.long[piece] if found is None else np.frombuffer(found, np.uint8)
+
+    def batch(self, raw: list[bytes]) -> list[bytes]:
+        """The dynamic programme over prefixes for many pieces (of less than 256 bytes) at once: one step for each position.
+
+        Gives the counts after each character of each piece, a byte each.
+        """
         order = sorted(range(len(raw)), key=lambda i: -len(raw[i]))
         lengths = np.array([len(raw[i]) for i in order], np.int64)
         if not len(lengths):
-            return np.zeros(0, np.int64)
+            return []
         width = int(lengths[0])
         codes = np.frombuffer(b"".join(raw[i].ljust(width, b"\0") for i in order), np.uint8).reshape(len(order), width)
         sums = np.zeros((len(order), width + 1), U64)
@@ -205,7 +181,7 @@ class BytePairCounter:
             rows, tokens, sizes = [], [], []
             for size in range(1, end + 1):  # longer and longer suffixes, as long as they end some token
                 found = self.table.get(sums[live, end] - sums[live, end - size] * self.powers[size])
-                live, found = live[found != _ABSENT], found[found != _ABSENT]
+                live, found = live[found != ABSENT], found[found != ABSENT]
                 if not len(live):
                     break
                 is_token = found >= 0
@@ -216,40 +192,20 @@ class BytePairCounter:
             before = last[row, end - size]
             fits = before < 0
             inner = np.flatnonzero(~fits)
-            fits[inner] = self.valid(before[inner], token[inner], np.full(len(inner), _ABSENT, np.int64))
+            fits[inner] = self.order.valid(before[inner], token[inner])
             row, token, size = row[fits], token[fits], size[fits]
             last[row, end] = token
             count[row, end] = count[row, end - size] + 1
-        out = np.zeros(len(raw), np.int64)
-        out[np.array(order)] = count[np.arange(len(order)), lengths]
+        ends = np.ones((len(order), width), bool)  # a character ends where the next byte doesn't go on with it
+        ends[:, :-1] = (codes[:, 1:] & 0xC0) != 0x80
+        ends &= np.arange(width) < lengths[:, None]
+        flat = count[:, 1:][ends].astype(np.uint8).tobytes()
+        cuts = np.concatenate([[0], np.cumsum(ends.sum(1))]).tolist()
+        out: list[bytes] = [b""] * len(raw)
+        for k, i in enumerate(order):
+            out[i] = flat[cuts[k] : cuts[k + 1]]
         return out
 
-    def valid(self, a: np.ndarray, b: np.ndarray, limit: np.ndarray) -> np.ndarray:
-        """Whether the encodings of each pair's joined bytes are the pair itself.
-
-        Merges are undone from the latest back: while the neighbours at the boundary could not have
-        merged before either was used up by its own later merge, the boundary stands. Tokens are
-        numbered by the rank of the merge that makes them.
-        """
-        good = np.ones(len(a), bool)
-        at = np.arange(len(a))
-        a, b, limit = a.astype(np.int64), b.astype(np.int64), limit.copy()
-        while len(at):
-            joined = self.joined.get(a.astype(U64) << U64(32) | b.astype(U64))
-            bad = (joined != _ABSENT) & (joined < limit)
-            good[at[bad]] = False
-            later = a > b
-            undo_a = self.right[a]
-            undo_b = self.left[b]
-            atom_a, atom_b = undo_a == a, undo_b == b
-            take_a = (later & ~atom_a) | (~later & atom_b & ~atom_a)
-            take_b = ~take_a & ~atom_b
-            limit = np.where(take_a, a, np.where(take_b, b + 1, limit))
-            a, b = np.where(take_a, undo_a, a), np.where(take_b, undo_b, b)
-            go = ~bad & (take_a | take_b)
-            at, a, b, limit = at[go], a[go], b[go], limit[go]
-        return good
-
     def parts(self, text: str) -> Iterator[tuple[str, bool]]:
         """The text between special tokens' strings, and these."""
         at = 0
@@ -263,68 +219,100 @@ class BytePairCounter:
             yield text[at:], False
 
     def count(self, text: str) -> int:
-        return self.counts([text])[0]
+        return self.fits([text], 0)[0][0]
 
-    def counts(self, texts: list[str]) -> list[int]:
-        """Token counts of many texts; pieces not met before are counted together."""
-        known, cut, special = self.known, [], []
+    def fits(self, texts: list[str], limit: int) -> tuple[list[int], list[int]]:
+        """Token counts of many texts, and how many of their characters stay within ``limit`` tokens; pieces not met before are learnt together."""
+        cut, special = [], []
         for text in texts:
-            if self.special is None or not self.special.search(text):
-                cut.append(self.pieces.findall(text))
-                special.append(0)
-            else:
-                parts = list(self.parts(text))
-                cut.append([p for part, s in parts if not s for p in self.pieces.findall(part)])
-                special.append(sum(s for _, s in parts))
-        fresh = self.learn(list({p for pieces in cut for p in pieces if p not in known}))
-        if len(known) + len(fresh) > _REMEMBERED:
-            known.clear()
-            fresh = self.learn(list({p for pieces in cut for p in pieces}))
-        self.long = {p: n for p, n in fresh.items() if len(p) > _SHORT}
-        known.update((p, n) for p, n in fresh.items() if len(p) <= _SHORT)
-        if not self.long:
-            return [s + sum(map(known.__getitem__, pieces)) for s, pieces in zip(special, cut)]
-        return [s + sum(map(self.remembered, pieces)) for s, pieces in zip(special, cut)]
-
-    def remembered(self, piece: str) -> int:
-        n = self.known.get(piece) or self.long.get(piece)
-        return n if n else self.count_piece(piece)
+            special.append(self.special is not None and self.special.search(text) is not None)
+            cut.append([p for part, s in self.parts(text) if not s for p in self.pieces.findall(part)] if special[-1] else self.pieces.findall(text))
+        fresh = list({p for pieces in cut for p in pieces if p not in self.known})
+        if len(self.known) + len(fresh) > _REMEMBERED:
+            self.known.clear()
+            self.prefixes_of.clear()
+            fresh = list({p for pieces in cut for p in pieces})
+        self.long.clear()
+        self.learn(fresh)
+        look = self.known.__getitem__ if not self.long else lambda p: self.known[p] if p in self.known else int(self.long[p][-1])
+        counts, chars = [], []
+        for text, pieces, odd in zip(texts, cut, special):
+            if odd:
+                prefix = PrefixCounts(self, text)
+                counts.append(prefix.total())
+                chars.append(prefix.longest(limit))
+                continue
+            totals = np.cumsum(np.fromiter(map(look, pieces), np.int64, len(pieces)))
+            counts.append(int(totals[-1]) if len(pieces) else 0)
+            chars.append(len(text) if counts[-1] <= limit else self._reach(pieces, totals, limit))
+        return counts, chars
+
+    def _reach(self, pieces: list[str], totals: np.ndarray, limit: int) -> int:
+        """Characters of the longest prefix within ``limit`` tokens, from the stored counts of the pieces around the limit."""
+        over = int(np.searchsorted(totals, limit, side="right"))  # this piece ends beyond the limit
+        low, high = over, over + 1
+        while low > 0 and pieces[low - 1].isspace():  # a run of blanks counts as one piece where a prefix ends in it
+            low -= 1
+        while high < len(pieces) and pieces[high - 1].isspace():
+            high += 1
+        before = int(totals[low - 1]) if low else 0
+        return sum(map(len, pieces[:low])) + PrefixCounts(self, "".join(pieces[low:high])).longest(limit - before)
 
 
 class PrefixCounts:
-    """Counts at the piece boundaries of one text, and what follows from them."""
+    """The token count of every prefix of one text, as encoding that prefix alone would give."""
 
     def __init__(self, counter: BytePairCounter, text: str):
-        self.counter, self.text = counter, text
-        starts, counts, whole = [0], [0], []
-        for part, special in counter.parts(text):
-            for piece in [part] if special else counter.pieces.findall(part):
-                starts.append(starts[-1] + len(piece))
-                counts.append(counts[-1] + (1 if special else counter.remembered(piece)))
-                whole.append(special)
-        self.starts, self.counts, self.special = starts, counts, whole
+        self.counter = counter
+        self.counts = self._all(text)
+
+    def _all(self, text: str) -> np.ndarray:
+        counts = np.zeros(len(text) + 1, np.int64)
+        begin, resume, before = 0, 0, 0
+        for part, special in self.counter.parts(text):
+            end = begin + len(part)
+            if special:
+                # cut short, a special token is ordinary text, which goes on from the last piece with a sign
+                tail = self._all(text[resume : end - 1])
+                counts[begin + 1 : end] = before + tail[begin + 1 - resume :]
+                counts[end] = counts[begin] + 1
+                resume, before = end, int(counts[end])
+            else:
+                last, before = self._ordinary(part, counts[begin : end + 1])
+                resume = begin + last
+            begin = end
+        return counts
+
+    def _ordinary(self, text: str, counts: np.ndarray) -> tuple[int, int]:
+        """Fill in the counts of a text without special tokens (the first is given); returns where its last piece that isn't blank begins, and the count of the pieces before it."""
+        at = last = 0
+        for piece in self.counter.pieces.findall(text):
+            end = at + len(piece)
+            if piece in CONTRACTIONS:  # cut short, it is a sign and a letter
+                steps = [int(self.counter.prefixes(c)[-1]) for c in piece[:-1]]
+                counts[at + 1 : end] = counts[at] + np.cumsum(steps)
+                counts[end] = counts[at] + self.counter.prefixes(piece)[-1]
+            else:
+                counts[at + 1 : end + 1] = counts[at] + self.counter.prefixes(piece)
+            if not piece.isspace():
+                last = at
+            at = end
+        ends = counts.copy()
+        for run in self.counter.blanks.finditer(text):  # at the end of a prefix a run of blanks is one piece
+            counts[run.start() + 1 : run.end() + 1] = ends[run.start()] + self.counter.prefixes(run[0])
+        return last, int(ends[last])
 
     def total(self) -> int:
-        return self.counts[-1]
+        return int(self.counts[-1])
 
     def at(self, n_chars: int) -> int:
-        """Tokens of the first ``n_chars`` characters, as encoding that prefix alone would give."""
-        n_chars = max(0, min(n_chars, len(self.text)))
-        if n_chars == 0:
-            return 0
-        i = bisect_right(self.starts, n_chars) - 1
-        # pieces that end before the last run of blanks are the same in the prefix alone
-        prefix = self.text[:n_chars]
-        safe = len(prefix.rstrip()) if prefix[-1:].isspace() else n_chars
-        while i > 0 and self.starts[i] >= safe:
-            i -= 1
-        if i < len(self.special) and self.special[i] and self.starts[i] < n_chars < self.starts[i + 1]:
-            i = max(0, i - 1)  # a special token cut short is ordinary text, which may continue the piece before
-        return self.counts[i] + self.counter.count(prefix[self.starts[i] :])
+        """Tokens of the first ``n_chars`` characters."""
+        return int(self.counts[max(0, min(n_chars, len(self.counts) - 1))])
 
     def longest(self, budget: int) -> int:
-        """Characters of the longest run of whole pieces from the start within ``budget`` tokens."""
-        return self.starts[bisect_right(self.counts, budget) - 1] if budget >= 0 else 0
+        """Characters of the longest prefix within ``budget`` tokens."""
+        fit = np.flatnonzero(self.counts <= budget)
+        return int(fit[-1]) if len(fit) else 0
 
 
 _COUNTERS: dict[str, BytePairCounter] = {}
@@ -343,16 +331,15 @@ RESULT = [T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.Lo
 def count_tokens(docs: DataFrame, tokenizer: str, text: str = "text", limit: int = 1024, keep: list[str] | None = None) -> DataFrame:
     """Add ``n_bytes``, ``n_tokens``, ``over_limit`` and ``fit_chars``.
 
-    ``fit_chars`` is the number of leading characters of whole pieces that stay within ``limit``
-    tokens (the whole text if it does), read off the prefix counts. One narrow stage.
+    ``fit_chars`` is the number of characters of the longest prefix that stays within ``limit`` tokens
+    (the whole text if it does), read off the prefix counts. One narrow stage.
     """
 
     def compute(part: pa.RecordBatch) -> dict[str, pa.Array]:
         c = counter(tokenizer)
         column = part.column(part.schema.get_field_index(text))
         bodies = [body or "" for body in column.to_pylist()]
-        tokens = c.counts(bodies)
-        fits = [len(body) if n <= limit else PrefixCounts(c, body).longest(limit) for n, body in zip(tokens, bodies)]
+        tokens, fits = c.fits(bodies, limit)
         n_tokens = np.array(tokens, np.int64)
         return {"n_bytes": pc.fill_null(pc.binary_length(column), 0).cast(pa.int64()), "n_tokens": pa.array(n_tokens), "over_limit": pa.array(n_tokens > limit), "fit_chars": pa.array(fits, pa.int64())}
 
