@@ -7,7 +7,9 @@ bounded sample of them (``per_language`` rows of each language, chosen by a hash
 fifth of that sample sets the temperature of the probabilities.
 
 Defined results: null text and text without a letter give ``und`` with score 0; rows without a
-language teach nothing; with nothing to learn from every row is ``und``; equal rows give equal results.
+language teach nothing; with nothing to learn from every row is ``und``; equal rows give equal results;
+languages of equal probability go by name; an empty table gives no rows; input columns with the name
+of a result are replaced. Memory is bounded by bytes and by rows of a slice.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from .arrowkit import U64, append, mix, slices
 from .ftrl import Ftrl, softmax, temperature
 
 WIDTH = 1 << 14
-_SLICE = 256 << 10
+_SLICE, _ROWS = 256 << 10, 128  # counters are an array of rows x WIDTH: 16 MB
 _LETTER = np.fromiter((chr(c).isalpha() for c in range(0x10000)), bool, 0x10000)
 _K = U64(0x9E3779B97F4A7C15)
 
@@ -93,7 +95,7 @@ def _frequencies(docs: DataFrame, text: str) -> tuple[np.ndarray, int]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, n = np.zeros(WIDTH + 1, np.int64), 0
         for batch in batches:
-            for part in slices(batch, text, _SLICE):
+            for part in slices(batch, text, _SLICE, _ROWS):
                 _, buckets, _, lettered = grams(part.column(0).to_pylist())
                 seen[:WIDTH] += np.bincount(buckets, minlength=WIDTH)
                 n += int(lettered.sum())
@@ -126,7 +128,7 @@ def fit(docs: DataFrame, key: str, text: str, language: str, per_language: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", _SLICE):
+            for part in slices(batch, "text", _SLICE, _ROWS):
                 rows, buckets, counts, _ = grams(part.column(1).to_pylist())
                 cuts = np.searchsorted(rows, np.arange(part.num_rows + 1))
                 pair = [(buckets[a:b].astype("<u2").tobytes(), np.minimum(counts[a:b], 65535).astype("<u2").tobytes()) for a, b in zip(cuts, cuts[1:])]
@@ -159,11 +161,11 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str]
 
     def compute(part: pa.RecordBatch) -> dict[str, pa.Array]:
         names, scores = [], []
-        for piece in slices(part.select([text]), text, _SLICE):
+        for piece in slices(part.select([text]), text, _SLICE, _ROWS):
             a, b = shared.value.predict(piece.column(0).to_pylist())
             names += a
             scores.append(b)
-        return {"lang_pred": pa.array(names, pa.string()), "score": pa.array(np.concatenate(scores))}
+        return {"lang_pred": pa.array(names, pa.string()), "score": pa.array(np.concatenate([np.zeros(0), *scores]))}
 
     return append(docs, compute, fields, text, keep)
 
