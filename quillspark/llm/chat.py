@@ -5,7 +5,7 @@ layouts say, as data, where a conversation's turns, roles and texts are; the map
 column expressions that give one row for each turn. Columns beside a layout's own don't matter.
 ``from_json_rows`` does the same for JSON strings whose layout differs from row to row.
 
-Template: ``<|im_start|>role\\ntext<|im_end|>\\n`` for each turn. In texts and roles a backslash is
+The conversation's own column is no part of the layout. Template: ``<|im_start|>role\\ntext<|im_end|>\\n`` for each turn. In texts and roles a backslash is
 doubled and a backslash goes after the first character of each control string, so that no control
 string is left inside; reading back drops each first backslash. Roles also escape line ends.
 
@@ -30,11 +30,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .arrowkit import written
+
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 #: Control strings of common chat templates; none overlaps or holds another.
 CONTROLS = [OPEN, CLOSE, "<|endoftext|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>"]
 _CONTROL = re.compile("|".join(map(re.escape, CONTROLS)))
 _ESCAPED = re.compile(r"\\(.)", re.S)
+_BEGINNING = 32
 _HEAD = re.compile(r"((?:\\.|[^\\\n])*)\n", re.S)
 
 
@@ -85,19 +88,26 @@ REGISTRY = {layout.fingerprint: layout for layout in LAYOUTS}
 
 
 def select_layout(paths: set[str], registry: dict[str, Layout] | None = None) -> Layout | None:
-    """The layout whose fingerprint is that of the paths, or else of the largest part of them that has a known fingerprint."""
+    """The layout whose fingerprint is that of the paths.
+
+    Paths beside a layout's own don't matter: where the fingerprint of all isn't known, paths that no
+    layout has are left out, and then the fingerprints of smaller parts are looked up, largest first.
+    """
     registry = registry or REGISTRY
-    if (exact := registry.get(fingerprint(paths))) is not None:
-        return exact
-    fits = [x for x in registry.values() if fingerprint(paths & x.paths) == x.fingerprint]
-    return max(fits, key=lambda x: len(x.paths), default=None)
+    known = set().union(*(x.paths for x in registry.values()))
+    for part in (paths, paths & known):
+        if (found := registry.get(fingerprint(part))) is not None:
+            return found
+    parts = sorted({frozenset(paths & x.paths) for x in registry.values()}, key=lambda p: (-len(p), sorted(p)))
+    return next((found for p in parts if (found := registry.get(fingerprint(set(p)))) is not None), None)
 
 
 def canonical_turns(df: DataFrame, conversation: str, registry: dict[str, Layout] | None = None) -> DataFrame:
     """(conversation, turn, role, text), one row for each turn, from any registered layout."""
-    layout = select_layout(field_paths(df.schema), registry)
+    paths = set().union(*(field_paths(f.dataType, f.name) for f in df.schema.fields if f.name.lower() != conversation.lower()))
+    layout = select_layout(paths, registry)
     if layout is None:
-        raise ValueError(f"no layout is registered for these fields: {sorted(field_paths(df.schema))}")
+        raise ValueError(f"no layout is registered for these fields: {sorted(paths)}")
     key = F.col(f"`{conversation}`").alias("conversation")
 
     def named(role: Column) -> Column:
@@ -150,6 +160,7 @@ def from_json_rows(df: DataFrame, conversation: str, json: str) -> tuple[DataFra
         return column.map(one)
 
     marked = df.select(F.col(f"`{conversation}`").alias("conversation"), F.col(f"`{json}`").alias("body"), layout_of(F.col(f"`{json}`")).alias("print"))
+    marked = written(marked, "layouts")  # each text is parsed for its layout once
     turns = None
     for layout in LAYOUTS:
         if layout.rows:
@@ -253,7 +264,9 @@ def format_conversations(turns: DataFrame, learned: str = "assistant", part_turn
             yield emit()
 
     order = ["conversation", "turn", "role", "text"]
-    return turns.select(*order).repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, schema)
+    # beginnings go in the order of the whole; range bounds are sampled on the driver, so they hold no whole texts
+    ranges = ["conversation", "turn", F.substring("role", 1, _BEGINNING), F.substring("text", 1, _BEGINNING)]
+    return turns.select(*order).repartitionByRange(*ranges).sortWithinPartitions(*order).mapInArrow(run, schema)
 
 
 DIGEST = [
