@@ -10,12 +10,14 @@ so that nearness does not depend on norms.
 Building and searching advance many vectors at once: each step takes the best open candidate of every
 query in a block, gathers the neighbours of all and merges them into the queries' lists in numpy.
 
-An index is a table with a row for each shard. A search sends each block of queries to each shard and
-merges the shards' answers by (score, key); scores are exact double-precision inner products.
+A task builds the index of one shard and then takes all queries, block by block; the shards' answers
+are merged by (score, key), of which each shard sends ``k`` for each query at most. Scores are exact
+double-precision inner products.
 
 Defined results: vectors that are null, zero, of another length than most, or hold null or non-finite
 components take no part; rows with the same key count as one (the first in order of vector); a query
-is never its own answer; with fewer candidates than ``k`` all are returned; an empty table gives none.
+is never its own answer; with fewer candidates than ``k`` all are returned; an empty table gives none;
+columns beside key and vector are not read.
 """
 
 from __future__ import annotations
@@ -297,7 +299,8 @@ def nearest(df: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str
                     number, found, score = shard.search(q, matrix[begin : begin + 2048], k, breadth)
                     yield pa.RecordBatch.from_arrays([pa.array(q[number]), pa.array(found), pa.array(score)], names=["query_id", "vec_id", "score"])
 
-    dealt = stored.unionByName(sent).repartition(shards, "shard").sortWithinPartitions("shard", "kind", "key", "v").select("shard", "kind", "key", "v")
+    # a shard's number is its task's: no two shards meet in one
+    dealt = stored.unionByName(sent).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "kind", "key", "v").select("shard", "kind", "key", "v")
     found = dealt.mapInArrow(run, schema)
     from pyspark.sql import Window
 
