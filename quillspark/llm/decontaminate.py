@@ -7,18 +7,23 @@ says how far the window may jump, a bucket table over the hash of the pattern's
 the patterns that may end here, and a direct comparison confirms them. Many positions of a buffer
 ("lanes") advance in lockstep, so each step is a handful of numpy operations.
 
-The patterns of one pass are bounded by ``pattern_bytes`` of benchmark text: a larger benchmark is
-searched in several passes over the documents, each with a share of the items, so what is broadcast
-never grows with the benchmark.
-
-Defined results: null or empty text has no words and no hits; an item without words is never found;
-equal rows give equal results; columns of the input that bear the name of a result are replaced.
+The patterns of one pass are bounded by ``pattern_bytes`` of benchmark text. A larger benchmark is
+searched in several passes over the documents, one after the other: each broadcasts the tables of its
+share of the items, writes what it finds and lets the tables go, so that neither the driver nor a
+worker ever holds more than one share. What was found is then brought to the documents by a broadcast
+of at most ``BROADCAST_ROWS`` texts, or else by a join.
+
+Defined results: null or empty text has no words and no hits; an item without words, without text or
+without id is never found; items of equal id are one; equal rows give equal results; an empty table of
+documents gives no rows, an empty benchmark no hits; columns of the input that bear the name of a
+result are replaced, others of any name stay.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,13 +31,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrowkit import LOWER, Tokens, append, byte_set, text_bytes
+from .arrowkit import LOWER, Tokens, append, byte_set, discard, slices, spare, text_bytes, written
 
 WORD = byte_set((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF))
 _WORD_RE = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _HASH = np.uint64(0x9E3779B97F4A7C15)
 _TABLE_BITS = 18
 _LANE = 512
+#: Texts with hits that may be broadcast.
+BROADCAST_ROWS = 1 << 16
 
 
 def item_words(text: str | None) -> list[bytes]:
@@ -166,54 +173,51 @@ class _Benchmark:
         self.finder = WuManber(list(of)) if of else None
 
 
-def _pass(benchmark, text: str, earlier: bool):
-    def compute(part: pa.RecordBatch) -> dict[str, pa.Array]:
-        bench = benchmark.value
-        data, offsets = text_bytes(part.column(part.schema.get_field_index(text)))
-        tokens = Tokens(data, offsets, WORD)
-        n = part.num_rows
-        old = part.column(part.schema.get_field_index("_found")).to_pylist() if earlier else [None] * n
-        found = [set(x or ()) for x in old]
-        covered = np.zeros(len(tokens.starts) + 1, np.int64)
-        if earlier:
-            for r, runs in enumerate(part.column(part.schema.get_field_index("_runs")).to_pylist()):
-                for a, b in zip(runs[::2], runs[1::2]):
-                    covered[tokens.first[r] + a] += 1
-                    covered[tokens.first[r] + b] -= 1
-        if bench.finder is not None and len(tokens.starts):
-            buffer, place = spaced(tokens)
-            position, pattern = bench.finder.search(buffer)
-            word = np.searchsorted(place, position)
-            np.add.at(covered, word, 1)
-            np.add.at(covered, word + bench.words[pattern], -1)
-            row = tokens.row_of(word)
-            for key in np.unique(row * len(bench.items) + pattern).tolist():
-                found[key // len(bench.items)].update(bench.items[key % len(bench.items)])
-        hit = np.cumsum(covered[:-1]) > 0
-        sums = np.concatenate([[0], np.cumsum(hit)])
-        n_hit = sums[tokens.first[1:]] - sums[tokens.first[:-1]]
-        edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]]))).tolist() if hit.any() else []
-        runs: list[list[int]] = [[] for _ in range(n)]
-        for a, b in zip(edge[::2], edge[1::2]):
-            r = int(tokens.row_of(np.array([a]))[0])
-            while a < b:  # a run of hits may go on into the next row
-                end = min(b, int(tokens.first[r + 1]))
-                if end > a:
-                    runs[r] += [a - int(tokens.first[r]), end - int(tokens.first[r])]
-                a, r = max(a, end), r + 1
-        n_words = tokens.counts.astype(np.int64)
-        ordered = [sorted(x) for x in found]
-        return {
-            "n_words": pa.array(n_words),
-            "n_hit": pa.array(n_hit.astype(np.int64)),
-            "n_items": pa.array([len(x) for x in ordered], pa.int64()),
-            "items_sha256": pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in ordered]),
-            "contaminated": pa.array((n_hit > 0) & (20 * n_hit >= n_words)),
-            "_found": pa.array(ordered, pa.list_(pa.string())),
-            "_runs": pa.array(runs, pa.list_(pa.int32())),
-        }
-
-    return compute
+def _search(bench: _Benchmark, tokens: Tokens) -> tuple[np.ndarray, list[set]]:
+    """Where runs of hit words begin (+1) and end (-1), and the items found in each text."""
+    change = np.zeros(len(tokens.starts) + 1, np.int64)
+    found: list[set] = [set() for _ in tokens.counts]
+    if bench.finder is not None and len(tokens.starts):
+        buffer, place = spaced(tokens)
+        position, pattern = bench.finder.search(buffer)
+        word = np.searchsorted(place, position)
+        np.add.at(change, word, 1)
+        np.add.at(change, word + bench.words[pattern], -1)
+        row = tokens.row_of(word)
+        for key in np.unique(row * len(bench.items) + pattern).tolist():
+            found[key // len(bench.items)].update(bench.items[key % len(bench.items)])
+    return change, found
+
+
+def _runs(tokens: Tokens, hit: np.ndarray) -> list[list[int]]:
+    """Runs of hit words of each text: start, end, start, end ..."""
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]]))).tolist() if hit.any() else []
+    runs: list[list[int]] = [[] for _ in tokens.counts]
+    for a, b in zip(edge[::2], edge[1::2]):
+        r = int(tokens.row_of(np.array([a]))[0])
+        while a < b:  # a run of hits may go on into the next row
+            end = min(b, int(tokens.first[r + 1]))
+            if end > a:
+                runs[r] += [a - int(tokens.first[r]), end - int(tokens.first[r])]
+            a, r = max(a, end), r + 1
+    return runs
+
+
+def _columns(tokens: Tokens, change: np.ndarray, found: list) -> dict[str, pa.Array]:
+    hit = np.cumsum(change[:-1]) > 0
+    sums = np.concatenate([[0], np.cumsum(hit)])
+    n_hit = (sums[tokens.first[1:]] - sums[tokens.first[:-1]]).astype(np.int64)
+    n_words = tokens.counts.astype(np.int64)
+    ordered = [sorted(x) for x in found]
+    return {
+        "n_words": pa.array(n_words),
+        "n_hit": pa.array(n_hit),
+        "n_items": pa.array([len(x) for x in ordered], pa.int64()),
+        "items_sha256": pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in ordered], pa.string()),
+        "contaminated": pa.array((n_hit > 0) & (20 * n_hit >= n_words)),
+        "items": pa.array(ordered, pa.list_(pa.string())),
+        "hit_runs": pa.array(_runs(tokens, hit), pa.list_(pa.int32())),
+    }
 
 
 RESULT = [
@@ -222,8 +226,13 @@ RESULT = [
     T.StructField("n_items", T.LongType()),
     T.StructField("items_sha256", T.StringType()),
     T.StructField("contaminated", T.BooleanType()),
+    T.StructField("items", T.ArrayType(T.StringType())),
+    T.StructField("hit_runs", T.ArrayType(T.IntegerType())),
 ]
-_CARRIED = [T.StructField("_found", T.ArrayType(T.StringType())), T.StructField("_runs", T.ArrayType(T.IntegerType()))]
+
+
+def _tokens(part: pa.RecordBatch, text: str) -> Tokens:
+    return Tokens(*text_bytes(part.column(part.schema.get_field_index(text))), WORD)
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = 13, pattern_bytes: int = 2 << 20, keep: list[str] | None = None) -> DataFrame:
@@ -232,43 +241,66 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
     Adds ``n_words``, ``n_hit``, ``n_items``, ``items_sha256``, ``contaminated`` (at least one word
     hit, and at least a twentieth of all words), ``items`` (the item ids found, sorted) and
     ``hit_runs`` (word positions: start, end, start, end ...). Documents are read once for each
-    ``pattern_bytes`` of benchmark text; there is no shuffle of documents.
+    ``pattern_bytes`` of benchmark text; documents without a hit are never shuffled.
     """
     spark = docs.sparkSession
-    items = benchmark.select(F.col(f"`{item_id}`").cast("string").alias("i"), F.col(f"`{item_text}`").alias("t")).where("i is not null and t is not null and t <> ''")
+    items = benchmark.select(F.col(f"`{item_id}`").cast("string").alias("i"), F.col(f"`{item_text}`").alias("t")).where("i is not null and t is not null and t <> ''").distinct()
     size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     passes = max(1, -(-size // pattern_bytes))
-    kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in {f.name.lower() for f in [*RESULT, *_CARRIED]} | {"items", "hit_runs"}]
-    out = docs
-    for k in range(passes):
+
+    def tables(k: int):
         share = items if passes == 1 else items.where(F.pmod(F.xxhash64("i", "t"), F.lit(passes)) == k)
-        tables = spark.sparkContext.broadcast(_Benchmark(sorted((r.i, r.t) for r in share.toLocalIterator()), width))
-        last = k == passes - 1
-        carried = list(kept)
-        if not last:
-            carried = list(dict.fromkeys([*kept, text]))
-        out = _with_earlier(out, tables, text, carried, k > 0)
-    return out.withColumnsRenamed({"_found": "items", "_runs": "hit_runs"})
-
-
-def _with_earlier(df: DataFrame, tables, text: str, kept: list[str], earlier: bool) -> DataFrame:
-    if not earlier:
-        return append(df, _pass(tables, text, False), [*RESULT, *_CARRIED], text, keep=kept)
-    # what earlier passes have found travels along under other names, as the new columns replace theirs
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    fields = [*RESULT, *_CARRIED]
-    schema = T.StructType([df.schema[c] for c in kept] + fields)
-    to_arrow_schema(schema)
-    compute = _pass(tables, text, True)
-    fresh = [f.name for f in fields]
+        return spark.sparkContext.broadcast(_Benchmark(sorted((r.i, r.t) for r in share.toLocalIterator()), width))
 
-    def run(batches):
-        from .arrowkit import slices
+    if passes == 1:
+        bench = tables(0)
 
-        for batch in batches:
-            for part in slices(batch, text):
-                new = compute(part)
-                yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(c)) for c in kept] + [new[n] for n in fresh], names=[*kept, *fresh])
+        def at_once(part: pa.RecordBatch) -> dict[str, pa.Array]:
+            tokens = _tokens(part, text)
+            return _columns(tokens, *_search(bench.value, tokens))
+
+        return append(docs, at_once, RESULT, text, keep)
+
+    kept = docs.columns if keep is None else keep
+    h, g, items_of, runs_of = spare(docs, "h", "g", "found", "runs")
+    named = docs.withColumns({h: F.xxhash64(f"`{text}`"), g: F.xxhash64(F.lit("text"), f"`{text}`")})
+    texts = named.select(F.col(h).alias("h"), F.col(g).alias("g"), F.col(f"`{text}`").alias("t"))
+    parts = []
+    for k in range(passes):
+        bench = tables(k)
+        parts.append(written(_found(texts, bench), "hits"))
+        bench.unpersist()
+    every = reduce(DataFrame.unionByName, parts)
+    merged = every.groupBy(F.col("h").alias(h), F.col("g").alias(g)).agg(F.array_distinct(F.flatten(F.collect_list("items"))).alias(items_of), F.flatten(F.collect_list("runs")).alias(runs_of))
+    merged = written(merged, "found")
+    discard(*parts)
+
+    def joined(part: pa.RecordBatch) -> dict[str, pa.Array]:
+        tokens = _tokens(part, text)
+        change = np.zeros(len(tokens.starts) + 1, np.int64)
+        for first, runs in zip(tokens.first.tolist(), part.column(part.schema.get_field_index(runs_of)).to_pylist()):
+            places = np.array(runs or [], np.int64).reshape(-1, 2) + first
+            np.add.at(change, places[:, 0], 1)
+            np.add.at(change, places[:, 1], -1)
+        return _columns(tokens, change, [x or [] for x in part.column(part.schema.get_field_index(items_of)).to_pylist()])
+
+    both = named.join(F.broadcast(merged) if merged.count() <= BROADCAST_ROWS else merged, [h, g], "left")
+    out = append(both, joined, RESULT, text, [*kept, items_of, runs_of])
+    return out.drop(items_of, runs_of)
+
+
+def _found(texts: DataFrame, bench) -> DataFrame:
+    """(h, g, items, runs) of the texts in which one share of the benchmark is found."""
 
-    return df.select(*[f"`{c}`" for c in dict.fromkeys([*kept, text, "_found", "_runs"])]).mapInArrow(run, schema)
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "t"):
+                tokens = _tokens(part, "t")
+                change, found = _search(bench.value, tokens)
+                runs = _runs(tokens, np.cumsum(change[:-1]) > 0)
+                at = [i for i, x in enumerate(found) if x]
+                if at:
+                    pick = pa.array(at)
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pick), part.column(1).take(pick), pa.array([sorted(found[i]) for i in at], pa.list_(pa.string())), pa.array([runs[i] for i in at], pa.list_(pa.int32()))], names=["h", "g", "items", "runs"])
+
+    return texts.mapInArrow(run, "h long, g long, items array<string>, runs array<int>").dropDuplicates(["h", "g"])
