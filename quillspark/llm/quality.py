@@ -1,18 +1,21 @@
 """Quality classifier: a weak-label model and a hashed linear scorer.
 
 Two questions are asked of a text: is it *sound* prose, and is it *safe*? For each, several heuristic
-labellers vote yes, no or not at all; they overlap and err. Expectation-maximisation over their votes
-estimates how often each labeller's votes are right and the probability of yes for each text. With these posteriors as targets a linear scorer over hashed features (words,
-beginnings of words, shape statistics) is trained by follow-the-regularised-leader; it then scores
-every text.
+labellers vote yes, no or not at all; each looks at something of its own (signs, stutter, capitals,
+words of contempt, names called, address), they overlap and err. Expectation-maximisation over their
+votes estimates how each labeller votes on good and on bad texts, and from that the probability of yes
+for each text. With these posteriors as targets a linear scorer over hashed features (words, beginnings
+of words, shape statistics) is trained by follow-the-regularised-leader; it then scores every text.
 
-Annotations (tables of labels) take part as labellers of their own. The fit is on a bounded sample,
-``sample_rows`` documents chosen by a hash of the key, half of them from those that an annotation
-calls bad where there are as many; scoring covers all rows.
+Annotations (tables of labels) take part as labellers of their own, where there are any. The fit is on
+a bounded sample, about ``sample_rows`` documents chosen by a hash of the key: half of them from all
+documents, a quarter from those that an annotation calls bad and a quarter from those that none does,
+as far as there are any. Scoring covers all rows.
 
 Defined results: null and empty texts, and texts without words, are rejected with score 0; rows
-without annotations are scored all the same; without any row to fit on every text with words is kept
-with score 0.5; equal rows give equal results.
+without annotations are scored all the same; labels that match no document, or are empty or null, count
+as none; without any row to fit on every text with words is kept with score 0.5; equal rows give equal
+results; an empty table gives no rows; input columns with the name of a result are replaced.
 """
 
 from __future__ import annotations
@@ -31,12 +34,11 @@ from .ftrl import Ftrl, temperature
 
 WIDTH = 1 << 18
 _LETTERS = byte_set((0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF))
-#: English insults, in three overlapping lists for three labellers.
-INSULTS = [
-    ["idiot", "moron", "loser", "clown", "stupid", "trash"],
-    ["pathetic", "worthless", "disgusting", "stupid", "idiot", "scum"],
-    ["trash", "scum", "clown", "pathetic", "moron", "worthless"],
-]
+#: English words of contempt (what somebody is like) and names that people call others; no word is on both lists.
+CONTEMPT = ["disgusting", "dumb", "filthy", "hateful", "pathetic", "stupid", "useless", "vile", "worthless"]
+NAMES = ["bastard", "clown", "coward", "creep", "fool", "idiot", "jerk", "loser", "moron", "scum", "trash"]
+#: Words by which English addresses a reader.
+ADDRESS = ["you", "your", "yours", "yourself"]
 YES, NO, NONE = 0, 1, 2
 
 
@@ -97,55 +99,76 @@ class Batch:
         key = np.unique(key)
         return key // WIDTH, key % WIDTH
 
-    def contains(self, words: list[str]) -> np.ndarray:
-        """How many different ones of the given lower-case words each text has."""
+    def count(self, words: list[str]) -> np.ndarray:
+        """How many words of each text are among the given lower-case ones."""
         raw = np.frombuffer("".join(words).encode(), np.uint8)
         ends = np.cumsum([len(w) for w in words])
         wanted = Tokens(raw, np.concatenate([[0], ends]).astype(np.int64), _LETTERS).hashes(LOWER)
-        out = np.zeros(self.rows, np.int64)
-        for h in wanted:
-            hit = np.flatnonzero(self.letter_hash == h)
-            seen = np.zeros(self.rows, bool)
-            seen[self.letters.row_of(hit)] = True
-            out += seen
-        return out
+        return self._sums(np.isin(self.letter_hash, wanted), self.letters.first)
 
 
 def heuristic_votes(batch: Batch) -> tuple[np.ndarray, np.ndarray]:
-    """Votes on soundness (rows x labellers) and on safety."""
+    """Votes on soundness (rows x labellers) and on safety. Every labeller can vote both ways."""
     signs, repeated, capitals, digits, length, single, stutter, size = batch.stats.T
     vote = lambda no, yes: np.where(no, NO, np.where(yes, YES, NONE))
-    none = np.zeros(batch.rows, bool)
-    faults = np.stack([signs > 0.06, stutter > 0.2, repeated > 0.85, capitals > 0.4, single > 0.2, (length < 2.5) | (length > 14), digits > 0.3, size < np.log1p(3)], 1)
-    clean = (signs < 0.015) & (stutter < 0.05) & (capitals < 0.12) & (single < 0.03) & (length > 3) & (length < 10) & (digits < 0.05) & (size > np.log1p(20))
-    # a fault speaks against a text; the absence of one fault alone says nothing
-    sound = np.concatenate([vote(faults, np.zeros_like(faults)), vote(none, clean)[:, None]], 1)
-    safe = np.stack([vote(batch.contains(words) > 0, none) for words in INSULTS], 1)
+    sound = np.stack([
+        vote(signs > 0.06, signs < 0.02),
+        vote(stutter > 0.2, stutter < 0.05),
+        vote(repeated > 0.85, repeated < 0.6),
+        vote(capitals > 0.4, capitals < 0.15),
+        vote(single > 0.2, single < 0.05),
+        vote((length < 2.5) | (length > 14), (length > 3.5) & (length < 9)),
+        vote(digits > 0.3, digits < 0.05),
+        vote(size < np.log1p(3), size > np.log1p(20)),
+    ], 1)
+    words = np.maximum(batch.letters.counts, 1)
+    enough = batch.letters.counts >= 5
+    contempt, names, address = (batch.count(x) for x in (CONTEMPT, NAMES, ADDRESS))
+    safe = np.stack([
+        vote(contempt > 0, enough),
+        vote(names > 0, enough),
+        vote((address / words > 0.12) & (address > 2), enough & (address / words < 0.04)),
+    ], 1)
     return sound, safe
 
 
-def weak_labels(votes: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
-    """Expectation-maximisation: the probability of yes for each row, and the accuracy of each labeller's votes.
+def posterior(votes: np.ndarray, theta: np.ndarray, prior: float) -> np.ndarray:
+    """Probability of yes by the votes' likelihoods: ``theta[j, y, v]`` is how often labeller j, where it votes, votes v (YES, NO) on texts of truth y (1: yes)."""
+    odds = np.full(len(votes), np.log(prior / (1 - prior)))
+    for j, column in enumerate(votes.T):
+        for v in (YES, NO):
+            odds += (column == v) * np.log(theta[j, 1, v] / theta[j, 0, v])
+    return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
 
-    ``votes`` is rows x labellers of YES, NO and NONE. A labeller that doesn't vote says nothing; a
-    vote counts by the log-odds of its labeller's accuracy, which is the expected share of its votes
-    that agree with the truth. It starts from equal accuracies and stops when probabilities rest.
+
+def weak_labels(votes: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Expectation-maximisation: the probability of yes for each row, each labeller's accuracy, and its ``theta``.
+
+    ``votes`` is rows x labellers of YES, NO and NONE; a labeller that doesn't vote says nothing. The
+    start and a few pseudo-votes have it that a good text has hardly ever the fault that a labeller looks
+    for, and that a bad text has every third of them; no labeller's vote is ever taken for its opposite.
+    It stops when probabilities rest.
     """
     n, k = votes.shape
-    sign = (votes == YES).astype(float) - (votes == NO)
-    cast = np.maximum((votes != NONE).sum(0), 1)
-    accuracy, p, prior = np.full(k, 0.8), np.full(n, 0.5), 0.5
+    pseudo = np.array([[2.67, 1.33], [3.96, 0.04]])  # on bad texts: YES, NO; on good ones
+    theta, prior = np.tile(pseudo / 4, (k, 1, 1)), 0.5
+    p = posterior(votes, theta, prior)
     for _ in range(rounds):
-        odds = np.log(prior / (1 - prior)) + sign @ np.log(accuracy / (1 - accuracy))
-        new = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+        for j, column in enumerate(votes.T):
+            counts = pseudo + [[((1 - p) * (column == v)).sum() for v in (YES, NO)], [(p * (column == v)).sum() for v in (YES, NO)]]
+            shares = counts / counts.sum(1, keepdims=True)
+            if shares[1, YES] < shares[0, YES]:  # an inverted labeller says nothing
+                shares[:] = counts.sum(0) / counts.sum()
+            theta[j] = shares
+        prior = float(np.clip((p.sum() + 4) / (n + 5), 0.02, 0.98))
+        new = posterior(votes, theta, prior)
         moved = np.abs(new - p).max() if n else 0.0
         p = new
-        agree = ((votes == YES) * p[:, None] + (votes == NO) * (1 - p)[:, None]).sum(0)
-        accuracy = np.clip((agree + 4) / (cast + 5), 0.05, 0.995)
-        prior = float(np.clip((p.sum() + 1) / (n + 2), 0.1, 0.9))
-        if moved < 1e-4:
+        if moved < 1e-5:
             break
-    return p, accuracy
+    cast = np.maximum((votes != NONE).sum(0), 1)
+    agree = ((votes == YES) * p[:, None] + (votes == NO) * (1 - p)[:, None]).sum(0)
+    return p, agree / cast, theta
 
 
 @dataclass
@@ -162,23 +185,30 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(out / np.array(self.heat), -30, 30)))
 
 
-def fit(docs: DataFrame, labels: DataFrame | None, key: str = "doc_id", text: str = "text", sample_rows: int = 24000, epochs: int = 4) -> Scorer:
-    """Fit on at most about ``sample_rows`` documents, annotated ones where there are annotations.
+def _sample(docs: DataFrame, labels: DataFrame | None, key: str, text: str, rows: int) -> DataFrame:
+    """About ``rows`` documents with their annotations (null where there are none), whatever the size of the tables."""
+    chance = lambda word: F.pmod(F.xxhash64(F.lit(word), F.col("key")), F.lit(1 << 30)) / float(1 << 30)
+    texts = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
+    every = chance("any") < rows / (2 if labels is not None else 1) / max(1, docs.count())
+    none = F.lit(None).cast("int")
+    if labels is None:
+        return texts.where(every).select("key", "text", none.alias("quality"), none.alias("toxic"))
+    notes = labels.select(F.col(f"`{key}`").alias("key"), F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic")).where("key is not null")
+    bad = F.coalesce((F.col("quality") == 0) | (F.col("toxic") == 1), F.lit(False))
+    count = {r[0]: r[1] for r in notes.groupBy(bad.alias("bad")).count().collect()}
+    # about half of ``rows`` pass, whatever the size of the table: that bounds what is broadcast
+    share = {b: min(1.0, rows / 4 / max(1, count.get(b, 0))) for b in (True, False)}
+    notes = notes.where(chance("quality") < F.when(bad, F.lit(share[True])).otherwise(F.lit(share[False])))
+    notes = notes.groupBy("key").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"), F.lit(True).alias("noted"))
+    return texts.join(F.broadcast(notes), "key", "left").where(F.col("noted") | every).select("key", "text", "quality", "toxic")
+
+
+def fit(docs: DataFrame, labels: DataFrame | None, key: str = "doc_id", text: str = "text", sample_rows: int = 12000, epochs: int = 4) -> Scorer:
+    """Fit on about ``sample_rows`` documents, a documented bound; annotations, if any, are one more labeller.
 
     ``labels`` has ``key``, ``quality`` (1 good) and ``toxic`` (1 bad); either may be null.
     """
-    spark = docs.sparkSession
-    chance = F.pmod(F.xxhash64(F.lit("quality"), F.col("key")), F.lit(1 << 30)) / float(1 << 30)
-    if labels is not None:
-        notes = labels.select(F.col(f"`{key}`").alias("key"), F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic")).where("key is not null")
-    else:
-        notes = docs.select(F.col(f"`{key}`").alias("key"), F.lit(None).cast("int").alias("quality"), F.lit(None).cast("int").alias("toxic")).where("key is not null")
-    bad = F.coalesce((F.col("quality") == 0) | (F.col("toxic") == 1), F.lit(False))
-    count = {r[0]: r[1] for r in notes.groupBy(bad.alias("bad")).count().collect()}
-    # about sample_rows rows pass, whatever the size of the table: that bounds what is broadcast
-    share = {b: min(1.0, sample_rows / 2 / max(1, count.get(b, 0))) for b in (True, False)}
-    notes = notes.where(chance < F.when(bad, F.lit(share[True])).otherwise(F.lit(share[False]))).groupBy("key").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    picked = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).join(F.broadcast(notes), "key").select("key", "text", "quality", "toxic")
+    picked = _sample(docs, labels, key, text, sample_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,8 +222,6 @@ def fit(docs: DataFrame, labels: DataFrame | None, key: str = "doc_id", text: st
 
     table = picked.mapInArrow(run, "key string, quality int, toxic int, sound array<int>, safe array<int>, at binary").toArrow()
     rows = sorted(range(table.num_rows), key=lambda i, k=table.column("key").to_pylist(), a=table.column("at").to_pylist(): (k[i], a[i]))
-    if not rows and labels is not None:  # no document has an annotation: heuristics alone
-        return fit(docs, None, key, text, sample_rows, epochs)
     if not rows:
         return Scorer(np.zeros((WIDTH + 1, 2)), (1.0, 1.0), (np.zeros(0), np.zeros(0)))
     blobs = table.column("at")
@@ -204,7 +232,7 @@ def fit(docs: DataFrame, labels: DataFrame | None, key: str = "doc_id", text: st
     held = np.arange(len(rows)) % 5 == 0
     weights, heat, tables = [], [], []
     for question in ("sound", "safe"):
-        p, accuracy = weak_labels(np.concatenate([annotated[question][:, None], votes[question]], 1))
+        p, accuracy, _ = weak_labels(np.concatenate([annotated[question][:, None], votes[question]], 1))
         target = np.stack([1 - p, p], 1)
         learner = Ftrl(WIDTH + 1, 2, alpha=0.05, l1=0.3, l2=1.0)
         w = learner.fit_sets([e for e, h in zip(examples, held) if not h], target[~held], epochs)
