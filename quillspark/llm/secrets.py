@@ -1,18 +1,20 @@
 """Secret scans by a trigram inverted index; DataFrame functions only.
 
 Each rule's regular expression is turned into a Boolean query over trigrams that every match must
-contain (alternatives give OR, sequences AND). The index holds a postings bitmap for each trigram
-that some rule asks for, aligned with the rows it covers: bit t of a row's ``postings`` says that
-the row is on trigram t's list. A query is answered by intersecting and uniting those lists with
-bit operations, and the regular expression runs only over the candidates. Rules without mandatory
-trigrams scan every text. As postings stay aligned with their rows, no text is ever shuffled.
+contain (alternatives give OR, sequences AND). The index is a table of postings, clustered by trigram:
+(trigram, row), a row being named by a 64-bit hash of its text. A query is answered by meeting the
+postings of each row: the lists that it is on are united or intersected as the query has it. The rows
+found are candidates, and a rule's expression runs only over its candidates, so that two texts of one
+hash at worst cost a scan. Rules without mandatory trigrams scan every text. Candidates are brought
+to their texts by a broadcast of at most ``BROADCAST_ROWS`` rows, or else by a join.
 
 Offsets come from the pieces between matches: ``split`` gives the texts before and after each match
 and ``regexp_extract_all`` the matches themselves, so that running sums of their lengths are the
 positions in code points.
 
-Defined results: null and empty texts have no spans; equal rows give equal results; an input column
-that bears the name of a result is replaced.
+Defined results: null and empty texts have no spans; equal rows give equal results; an empty table
+gives no rows; an input column that bears the name of a result is replaced, others of any name stay.
+Texts with very many spans cost in proportion to their length.
 """
 
 from __future__ import annotations
@@ -22,7 +24,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .regex_trigrams import All, Any_, trigram_query
+from .arrowkit import discard, spare, written
+from .regex_trigrams import All, trigram_query
 
 
 @dataclass(frozen=True)
@@ -53,6 +56,9 @@ MORE_RULES = [
     Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
 ]
 _CHUNK = 256
+_WORD = 63  # lists in a bitmap
+#: Rows that may be broadcast (16 bytes each).
+BROADCAST_ROWS = 1 << 20
 
 
 class TrigramIndex:
@@ -65,33 +71,40 @@ class TrigramIndex:
         if len(self.trigrams) > 64 * 64:
             raise ValueError("too many trigrams for one index; scan the rules in several groups")
 
-    def postings(self, text: Column) -> list[Column]:
-        """One bitmap column for each 63 trigrams."""
+    def postings(self, text: Column) -> Column:
+        """The numbers of the lists that a text is on."""
         low = F.lower(text)
-        bits = [F.when(F.contains(low, F.lit(t)), F.lit(1 << (i % 63))).otherwise(F.lit(0)).cast("long") for i, t in enumerate(self.trigrams)]
-        words = []
-        for begin in range(0, len(bits), 63):
-            total = bits[begin]
-            for b in bits[begin + 1 : begin + 63]:
-                total = total.bitwiseOR(b)
-            words.append(total)
-        return words
-
-    def candidate(self, kind: str, words: list[Column]) -> Column:
-        """Whether a row is on the intersection of the postings that the rule needs."""
+        return F.array_compact(F.array(*[F.when(F.contains(low, F.lit(t)), F.lit(i).cast("short")) for i, t in enumerate(self.trigrams)]))
+
+    def build(self, texts: DataFrame, row: str, text: str) -> DataFrame:
+        """The index of a table: (trigram, row)."""
+        lists = texts.select(F.col(f"`{row}`").alias("row"), F.explode(self.postings(F.col(f"`{text}`"))).alias("trigram"))
+        return written(lists.sortWithinPartitions("trigram", "row"), "postings")
+
+    def candidates(self, lists: DataFrame) -> DataFrame:
+        """(row, rules): the rows that rules with a query may match, and the rules as a bitmap of their numbers."""
+        words = [F.expr(f"bit_or(if(trigram div {_WORD} = {k}, shiftleft(1L, cast(trigram % {_WORD} as int)), 0L))").alias(f"w{k}") for k in range(-(-len(self.trigrams) // _WORD))]
+        held = [F.col(f"w{k}") for k in range(len(words))]
+        mask = F.lit(0).cast("long")
+        for i, rule in enumerate(self.rules):
+            if self.queries[rule.kind] is not None:
+                mask = mask.bitwiseOR(F.when(self._answer(rule.kind, held), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")))
+        return lists.groupBy("row").agg(*words).select("row", mask.alias("rules")).where("rules <> 0")
+
+    def _answer(self, kind: str, words: list[Column]) -> Column:
+        """Whether a row is on the lists that the rule's query needs."""
 
         def walk(q) -> Column:
             if isinstance(q, str):
                 i = self.trigrams.index(q)
-                return words[i // 63].bitwiseAND(F.lit(1 << (i % 63)).cast("long")) != 0
+                return words[i // _WORD].bitwiseAND(F.lit(1 << (i % _WORD)).cast("long")) != 0
             parts = [walk(x) for x in q.parts]
             out = parts[0]
             for p in parts[1:]:
                 out = (out & p) if isinstance(q, All) else (out | p)
             return out
 
-        query = self.queries[kind]
-        return F.lit(True) if query is None else walk(query)
+        return walk(self.queries[kind])
 
 
 def _spans(text: Column, rule: Rule, number: int) -> Column:
@@ -136,37 +149,51 @@ def find_secrets(docs: DataFrame, text: str = "text", more: list[Rule] | None =
     index = TrigramIndex(rules)
     results = ["n_assign", "n_access", "n_hex", "base_sha256", "spans", "secret_spans"]
     kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in results]
-    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    work = docs.select(*[F.col(f"`{c}`") for c in kept], body.alias("__body"))
-    words = index.postings(F.col("__body"))
-    work = work.withColumns({f"__postings{i}": w for i, w in enumerate(words)})
-    held = [F.col(f"__postings{i}") for i in range(len(words))]
+    body, row, rules_of, *spans = spare(docs, "body", "row", "rules", *[f"spans{i}" for i in range(len(rules))])
+    texts = docs.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias(body)).withColumn(row, F.xxhash64(body))
+    lists = index.build(texts, row, body)
+    hits = written(index.candidates(lists).select(F.col("row").alias(row), F.col("rules").alias(rules_of)), "candidates")
+    discard(lists)
+    work = texts.join(F.broadcast(hits) if hits.count() <= BROADCAST_ROWS else hits, row, "left")
     none = F.array().cast("array<struct<begin:int,kind:int,end:int>>")
     found = {}
     for i, rule in enumerate(rules):
-        # a full scan asks first whether there is a match long enough: the pattern is one run of a class
-        likely = index.candidate(rule.kind, held)
-        if index.queries[rule.kind] is None and rule.group == 0 and rule.least > 1 and rule.pattern.endswith("]+"):
-            likely = F.col("__body").rlike(rule.pattern[:-1] + "{" + str(rule.least) + "}")
-        found[f"__s{i}"] = F.coalesce(F.when(likely, _spans(F.col("__body"), rule, i)), none)
+        if index.queries[rule.kind] is not None:
+            likely = F.coalesce(F.col(rules_of), F.lit(0).cast("long")).bitwiseAND(F.lit(1 << i).cast("long")) != 0
+        elif rule.group == 0 and rule.least > 1 and rule.pattern.endswith("]+"):
+            # a full scan asks first whether there is a match long enough: the pattern is one run of a class
+            likely = F.col(body).rlike(rule.pattern[:-1] + "{" + str(rule.least) + "}")
+        else:
+            likely = F.lit(True)
+        found[spans[i]] = F.coalesce(F.when(likely, _spans(F.col(body), rule, i)), none)
     work = work.withColumns(found)
-    base = F.concat(*[F.col(f"__s{i}") for i in range(len(BASE_RULES))])
-    every = F.concat(*[F.col(f"__s{i}") for i in range(len(rules))])
-    counts = {f"n_{r.kind}": F.size(F.col(f"__s{i}")).cast("long") for i, r in enumerate(BASE_RULES)}
+    base = F.concat(*[F.col(s) for s in spans[: len(BASE_RULES)]])
+    every = F.concat(*[F.col(s) for s in spans])
+    counts = {f"n_{r.kind}": F.size(F.col(spans[i])).cast("long") for i, r in enumerate(BASE_RULES)}
     out = work.withColumns(counts | {"base_sha256": F.sha2(_listed(base, kinds), 256), "spans": _listed(every, kinds), "secret_spans": F.array_sort(every)})
     return out.select(*[F.col(f"`{c}`") for c in kept], *results)
 
 
 def mask_secrets(found: DataFrame, text: str = "text") -> DataFrame:
-    """Replace the spans in ``secret_spans`` by ``[SECRET]``; overlapping spans are masked once."""
-    last = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    body = F.col(f"`{text}`")
+    """Replace the spans in ``secret_spans`` by ``[SECRET]``; overlapping spans are masked once. Null texts stay null.
+
+    Spans are taken in chunks, each of which looks only at its own stretch of the text.
+    """
+    body, spans = F.col(f"`{text}`"), F.col("secret_spans")
+    numbers = F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / _CHUNK).cast("int"))
+    chunks = F.transform(numbers, lambda i: F.slice(spans, i * _CHUNK + 1, F.lit(_CHUNK)))
+    ends = F.transform(chunks, lambda c: F.array_max(F.transform(c, lambda s: s["end"])))
+    # where the stretch of each chunk begins and ends
+    stretches = F.transform(numbers, lambda i: F.struct(F.coalesce(F.array_max(F.slice(ends, F.lit(1), i)), F.lit(0)).alias("a"), F.array_max(F.slice(ends, F.lit(1), i + 1)).alias("b")))
 
     def step(acc, s):
-        skip = s["end"] <= acc["at"]
-        piece = F.substring(body, acc["at"] + 1, F.greatest(F.lit(0), s["begin"] - acc["at"]))
-        fresh = F.when(s["begin"] >= acc["at"], F.concat(piece, F.lit("[SECRET]"))).otherwise(F.lit(""))
-        return F.when(skip, acc).otherwise(F.struct(F.greatest(s["end"], acc["at"]).alias("at"), F.concat(acc["out"], F.array(fresh)).alias("out")))
+        fresh = F.when(s["begin"] >= acc["at"], F.concat(F.substring(acc["own"], acc["at"] - acc["a"] + 1, s["begin"] - acc["at"]), F.lit("[SECRET]"))).otherwise(F.lit(""))
+        return F.struct(acc["own"].alias("own"), acc["a"].alias("a"), F.greatest(s["end"], acc["at"]).alias("at"), F.concat(acc["out"], F.array(fresh)).alias("out"))
+
+    def masked(chunk, x):
+        begin = F.struct(F.substring(body, x["a"] + 1, x["b"] - x["a"]).alias("own"), x["a"].alias("a"), x["a"].alias("at"), F.array().cast("array<string>").alias("out"))
+        return F.aggregate(chunk, begin, step, lambda acc: F.array_join(acc["out"], ""))
 
-    folded = F.aggregate(F.col("secret_spans"), last, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(body, acc["at"] + 1, F.length(body))))
-    return found.withColumn(text, F.when(F.size("secret_spans") > 0, folded).otherwise(body))
+    last = F.array_max(ends)
+    whole = F.concat(F.array_join(F.zip_with(chunks, stretches, masked), ""), F.substring(body, last + 1, F.length(body)))
+    return found.withColumn(text, F.when(F.size(spans) > 0, whole).otherwise(body))
