@@ -4,17 +4,18 @@
    equal anchors in different places, so a window whose anchor occurs in one place only can't repeat.
    Anchor places are an eighth of all places; Spark counts their hashes.
 2. Rolling hashes of the windows whose anchor repeats are counted in Spark; those that start once are
-   noted with their place. (Which anchors repeat is held in a bitmap of fixed size; a full bitmap would
-   only let more windows through to the count.)
+   noted with their place. Which anchors repeat is held in a bitmap with 16 places for each of them, up
+   to 128 MB; beyond that more windows go through to the count, and nothing else changes.
 3. A text's windows whose anchor repeats, less the ones that start once, are merged into maximal
    intervals: the words to remove.
 
-Windows are judged on the input: every occurrence goes, in the same text or in another. Hashes are
-64-bit and taken for the windows themselves.
+Windows are judged on the input: every occurrence goes, in the same text or in another. A window is
+told by two rolling hashes of different bases, 128 bits together, over 64-bit hashes of its words.
 
 Defined results: null and empty texts have no words and keep the empty text; rows that repeat count
 as further occurrences; rows are told apart by a 64-bit hash of key and text, so null and repeated
-keys do no harm; columns of the input with a result's name are replaced.
+keys do no harm; an empty table gives no rows; columns of the input with a result's name are replaced,
+and others of any name are kept as they are.
 """
 
 from __future__ import annotations
@@ -29,9 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrowkit import NOT_BLANK, Tokens, append, rolling, slices, text_bytes, _WORD_POWERS, mix
-
-BITS = 26
+from .arrowkit import NOT_BLANK, Tokens, append, discard, rolling, slices, spare, text_bytes, written, _OTHER_POWERS, _WORD_POWERS, mix
 
 
 def _least(values: np.ndarray, span: int, pick) -> np.ndarray:
@@ -45,14 +44,15 @@ def _least(values: np.ndarray, span: int, pick) -> np.ndarray:
 
 
 def _windows(part: pa.RecordBatch, column: str, width: int, gram: int):
-    """Per slice: tokens, window starts, window hashes, anchor hash of each window, anchor places' hashes."""
+    """Per slice: tokens, window starts, window hashes (two), anchor hash of each window, anchor places' hashes."""
     data, offsets = text_bytes(part.column(part.schema.get_field_index(column)))
     tokens = Tokens(data, offsets, NOT_BLANK)
     hashes = tokens.hashes()
     empty = np.zeros(0, np.uint64)
     if len(hashes) < width:
-        return tokens, np.zeros(0, np.int64), empty, empty, empty
+        return tokens, np.zeros(0, np.int64), (empty, empty), empty, empty
     whole, at = tokens.windows(hashes, width)
+    other, _ = tokens.windows(hashes, width, _OTHER_POWERS)
     places = np.arange(len(hashes) - gram + 1)
     grams = mix(rolling(hashes, places, places + gram, _WORD_POWERS))
     span = width - gram + 1
@@ -63,7 +63,7 @@ def _windows(part: pa.RecordBatch, column: str, width: int, gram: int):
     reach = np.where(valid, least, np.uint64(0))
     padded = np.concatenate([np.zeros(span - 1, np.uint64), reach, np.zeros(span - 1, np.uint64)])
     most = _least(padded, span, np.maximum)[: len(grams)]
-    return tokens, at, whole, least[at], grams[most == grams]
+    return tokens, at, (whole, other), least[at], grams[most == grams]
 
 
 def _anchors(docs: DataFrame, text: str, width: int, gram: int) -> DataFrame:
@@ -76,6 +76,11 @@ def _anchors(docs: DataFrame, text: str, width: int, gram: int) -> DataFrame:
     return docs.select(F.col(f"`{text}`")).mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
 
 
+def bits_for(count: int, least: int = 18, most: int = 30) -> int:
+    """Bits of a bitmap's width for so many hashes: 16 places for each, 128 MB at most."""
+    return min(most, max(least, (16 * max(1, count)).bit_length()))
+
+
 def bitmap(hashes: DataFrame, column: str, bits: int) -> np.ndarray:
     """A bitmap (at most 2**bits bits, whatever the input) of the low bits of 64-bit hashes."""
     words = hashes.select(F.expr(f"cast((`{column}` & {(1 << bits) - 1}) >> 6 as int)").alias("w"), F.expr(f"shiftleft(1L, cast(`{column}` & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
@@ -105,7 +110,7 @@ def kept_text(tokens: Tokens, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return out, np.append(at, len(out))[first]
 
 
-def _single_windows(docs: DataFrame, text: str, width: int, gram: int, table) -> DataFrame:
+def _single_windows(docs: DataFrame, row: str, text: str, width: int, gram: int, table) -> DataFrame:
     """Of the windows that the bitmap lets through, those that start once: (row hash, word places).
 
     One aggregation counts them and, where the count is one, has the place: nothing is joined back.
@@ -114,16 +119,20 @@ def _single_windows(docs: DataFrame, text: str, width: int, gram: int, table) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "t"):
-                tokens, at, whole, anchor, _ = _windows(part, "t", width, gram)
+                tokens, at, (whole, other), anchor, _ = _windows(part, "t", width, gram)
                 hit = np.flatnonzero(in_bitmap(table.value, anchor)) if len(at) else np.zeros(0, np.int64)
-                found, first, n = np.unique(whole[hit], return_index=True, return_counts=True)
-                word = at[hit][first]
-                row = tokens.row_of(word)
-                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n), part.column(0).take(pa.array(row)), pa.array((word - tokens.first[row]).astype(np.int32))], names=["h", "n", "k", "at"])
+                order = hit[np.lexsort((other[hit], whole[hit]))]  # stable: the first place leads
+                fresh = np.ones(len(order), bool)
+                fresh[1:] = (whole[order[1:]] != whole[order[:-1]]) | (other[order[1:]] != other[order[:-1]])
+                lead = np.flatnonzero(fresh)
+                first, n = order[lead], np.diff(np.append(lead, len(order)))
+                word = at[first]
+                of = tokens.row_of(word)
+                yield pa.RecordBatch.from_arrays([pa.array(whole[first].view(np.int64)), pa.array(other[first].view(np.int64)), pa.array(n), part.column(0).take(pa.array(of)), pa.array((word - tokens.first[of]).astype(np.int32))], names=["h", "g", "n", "k", "at"])
 
-    windows = docs.select(F.col("__k").alias("k"), F.col(f"`{text}`").alias("t")).mapInArrow(run, "h long, n long, k long, at int")
-    counted = windows.groupBy("h").agg(F.sum("n").alias("n"), F.min("k").alias("k"), F.min("at").alias("at"))
-    return counted.where("n = 1").groupBy("k").agg(F.collect_list("at").alias("__single")).withColumnRenamed("k", "__k")
+    windows = docs.select(F.col(f"`{row}`").alias("k"), F.col(f"`{text}`").alias("t")).mapInArrow(run, "h long, g long, n long, k long, at int")
+    counted = windows.groupBy("h", "g").agg(F.sum("n").alias("n"), F.min("k").alias("k"), F.min("at").alias("at"))
+    return counted.where("n = 1").groupBy("k").agg(F.collect_list("at").alias("single"))
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 35, gram: int = 20, keep: list[str] | None = None, texts: bool = True) -> DataFrame:
@@ -135,8 +144,11 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
     """
     spark = docs.sparkSession
     gram = min(gram, width)
-    table = spark.sparkContext.broadcast(bitmap(_anchors(docs, text, width, gram), "h", BITS))
-    marked = docs.withColumn("__k", F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`")))
+    row, single, waiting = spare(docs, "row", "single", "waiting")
+    anchors = written(_anchors(docs, text, width, gram), "anchors")
+    table = spark.sparkContext.broadcast(bitmap(anchors, "h", bits_for(anchors.count())))
+    discard(anchors)
+    marked = docs.withColumn(row, F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`")))
     fields = RESULT + [T.StructField("removed", T.ArrayType(T.ArrayType(T.IntegerType()))), T.StructField("kept", T.StringType())] * texts
     names = {f.name for f in fields}
     held = [c for c in (docs.columns if keep is None else keep) if c.lower() not in names]
@@ -163,26 +175,26 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
         if len(at):
             open_[tokens.row_of(at[in_bitmap(table.value, anchor)])] = True
         column = part.column(part.schema.get_field_index(text))
-        waiting = column.take(pa.array(np.arange(part.num_rows), mask=~open_))
-        return results(tokens, np.zeros(len(tokens.starts), bool)) | {"__t": waiting}
+        left = column.take(pa.array(np.arange(part.num_rows), mask=~open_))
+        return results(tokens, np.zeros(len(tokens.starts), bool)) | {waiting: left}
 
     def second(part: pa.RecordBatch) -> dict[str, pa.Array]:
         """The windows that may repeat, less those that start once, cover what goes."""
-        tokens, at, _, anchor, _ = _windows(part, "__t", width, gram)
+        tokens, at, _, anchor, _ = _windows(part, waiting, width, gram)
         change = np.zeros(len(tokens.starts) + 1, np.int64)
         begin = at[in_bitmap(table.value, anchor)] if len(at) else at
-        lists = part.column(part.schema.get_field_index("__single"))
+        lists = part.column(part.schema.get_field_index(single))
         rows = np.repeat(np.arange(part.num_rows), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
-        single = tokens.first[rows] + lists.flatten().to_numpy(zero_copy_only=False)
-        begin = np.setdiff1d(begin, single)
+        begin = np.setdiff1d(begin, tokens.first[rows] + lists.flatten().to_numpy(zero_copy_only=False))
         change[begin] += 1
         change[begin + width] -= 1
         gone = np.cumsum(change[:-1]) > 0
         new = results(tokens, gone)
-        waited = part.column(part.schema.get_field_index("__t")).is_valid().to_numpy(zero_copy_only=False)
+        waited = part.column(part.schema.get_field_index(waiting)).is_valid().to_numpy(zero_copy_only=False)
         pick = pa.array(np.arange(part.num_rows) + np.where(waited, 0, part.num_rows))
         return {n: pa.concat_arrays([new[n].cast(old.type), old]).take(pick) for n in new for old in [part.column(part.schema.get_field_index(n))]}
 
-    started = append(marked, first, [*fields, T.StructField("__t", T.StringType())], text, [*held, "__k"])
-    joined = started.join(_single_windows(marked, text, width, gram, table), "__k", "left")
-    return append(joined, second, fields, "__t", [*held, *[f.name for f in fields], "__single"]).select(*[F.col(f"`{c}`") for c in held], *[f.name for f in fields])
+    started = append(marked, first, [*fields, T.StructField(waiting, T.StringType())], text, [*held, row])
+    found = _single_windows(marked, row, text, width, gram, table).withColumnsRenamed({"k": row, "single": single})
+    joined = started.join(found, row, "left")
+    return append(joined, second, fields, waiting, [*held, *[f.name for f in fields], single]).select(*[F.col(f"`{c}`") for c in held], *[f.name for f in fields])
