@@ -41,3 +41,15 @@ def page_progress(page: Column, pages: Column) -> Column:
 
 def elapsed_seconds(begin: Column, end: Column) -> Column:
     return F.greatest(F.lit(0), F.unix_micros(end) - F.unix_micros(begin)) / 1e6
+
+
+def written_map(pairs: Column) -> Column:
+    """A map as text, ``key=value`` by key."""
+    entries = F.array_sort(F.map_entries(pairs))
+    return F.array_join(F.transform(entries, lambda e: F.concat_ws("=", e["key"].cast("string"), e["value"].cast("string"))), ";")
+
+
+def united(first: Column, second: Column) -> Column:
+    """The union of two maps, keys in order; where both have a key the second's value counts."""
+    rest = F.map_filter(first, lambda k, v: ~F.map_contains_key(second, k))
+    return F.map_from_entries(F.array_sort(F.concat(F.map_entries(rest), F.map_entries(second))))

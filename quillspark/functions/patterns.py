@@ -42,6 +42,7 @@ COVER = [
 
 #: Statuses of jobs.
 JOB_STATUSES = ["queued", "retrying", "preprocessing", "classifying", "extracting", "redacting", "persisting", "completed", "needs_review", "failed"]
+ACTIVE = ["preprocessing", "classifying", "extracting", "redacting", "persisting"]
 TERMINAL = ["completed", "needs_review", "failed"]
 SUCCESS = ["completed", "needs_review"]
 

@@ -2,15 +2,29 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Characters outside ASCII that case folding turns into ASCII letters, by the rule of Unicode as Python has it.
+FOLDED = {chr(c): re.sub("[^a-z0-9]", " ", chr(c).casefold()) for c in range(0x80, 0x10000) if re.search("[a-z]", chr(c).casefold())}
+
+
+def folded(text: Column) -> Column:
+    """The text with ligatures and the like in ASCII letters; other characters stay."""
+    out = text
+    for char, letters in FOLDED.items():
+        out = F.replace(out, F.lit(char), F.lit(letters))
+    return F.when(text.rlike("[" + "".join(FOLDED) + "]"), out).otherwise(text)
+
+
 def normalize(text: Column) -> Column:
     """Case-folded text with everything but ASCII letters and digits squeezed to single blanks."""
-    return F.trim(F.regexp_replace(F.lower(F.replace(text, F.lit("ß"), F.lit("ss"))), "[^a-z0-9]+", " "))
+    return F.trim(F.regexp_replace(F.lower(folded(text)), "[^a-z0-9]+", " "))
 
 
 def squeeze(text: Column) -> Column:

@@ -22,11 +22,14 @@ def under_conditions(rows: DataFrame) -> DataFrame:
 def balanced(rows: DataFrame, label: str, order: str, n: int) -> DataFrame:
     """``n`` rows of each class, going round the class's rows in order; ``copy`` numbers the rounds.
 
-    The class's size is counted first; each row then makes its own copies, so no class meets in one task.
+    Only a class's first ``n`` rows are ever numbered: they are chosen in parts (by a hash of the order)
+    and then among the parts' first ``n``, so that no class meets whole in one task.
     """
-    sizes = rows.groupBy(label).agg(F.count("*").alias("_n"))
-    numbered = rows.withColumn("_k", F.row_number().over(Window.partitionBy(label).orderBy(order)) - 1)
-    joined = numbered.join(F.broadcast(sizes), label)  # as many rows as classes
+    sizes = rows.groupBy(label).agg(F.count("*").alias("_n")).withColumnRenamed(label, "_label")
+    part = F.pmod(F.xxhash64(order), F.lit(64))
+    first = rows.withColumn("_k", F.row_number().over(Window.partitionBy(label, part).orderBy(order))).where(F.col("_k") <= n)
+    numbered = first.withColumn("_k", F.row_number().over(Window.partitionBy(label).orderBy(order)) - 1)
+    joined = numbered.join(sizes, F.col(label) == F.col("_label")).drop("_label")
     rounds = F.floor((F.lit(n - 1) - F.col("_k")) / F.col("_n")).cast("int")
     return joined.where(F.col("_k") < n).withColumn("copy", F.explode(F.sequence(F.lit(0), rounds))).drop("_k", "_n")
 

@@ -42,6 +42,15 @@ def cover_fields(df: DataFrame, body: str) -> DataFrame:
     return _canonical(out)
 
 
+def labelled(df: DataFrame, body: str, labels: dict[str, str], strict: bool = False) -> DataFrame:
+    """A column for the first match of each label's pattern (null if none) and ``missing``, the labels without one; ``strict`` makes these an error."""
+    out = df.withColumns({name: F.nullif(F.regexp_extract(body, pattern, 1), F.lit("")) for name, pattern in labels.items()})
+    missing = F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(f"missing:{c}")) for c in labels]))
+    if strict:
+        missing = F.when(F.size(missing) > 0, F.raise_error(F.concat(F.lit("no value: "), F.array_join(missing, ", "))).cast("array<string>")).otherwise(missing)
+    return out.withColumn("missing", missing)
+
+
 def _canonical(df: DataFrame) -> DataFrame:
     """One sponsor's name and town in their usual spelling."""
     sponsor = F.when(F.contains(text.normalize(F.col("sponsor_name")), F.lit("modernatx")), F.lit("ModernaTX, Inc.")).otherwise(F.col("sponsor_name"))
@@ -53,8 +62,13 @@ COVER_FIELDS = ["nct_id", "protocol_number", "sponsor_name", "sponsor_address",
 
 
 def resolve_known(extracted: DataFrame, known: DataFrame) -> DataFrame:
-    """Fields of a known record where the normalised protocol numbers agree, else what was read."""
-    records = known.select(text.normalize(F.col("protocol_number")).alias("_key"), *[F.col(c).alias(f"_{c}") for c in COVER_FIELDS if c in known.columns])
+    """Fields of a known record where the normalised protocol numbers agree, else what was read.
+
+    Of several records of one normalised number the one of the least protocol number counts.
+    """
+    fields = [c for c in COVER_FIELDS if c in known.columns]
+    least = known.groupBy(text.normalize(F.col("protocol_number")).alias("_key")).agg(F.min_by(F.struct(*fields), F.struct("protocol_number", *fields)).alias("_r"))
+    records = least.where("_key <> ''").select("_key", *[F.col(f"_r.{c}").alias(f"_{c}") for c in fields])
     joined = extracted.withColumn("_key", text.normalize(F.col("protocol_number"))).join(records, "_key", "left")
     return _canonical(joined.withColumns({c: F.coalesce(f"_{c}", c) for c in COVER_FIELDS if c in known.columns}).select(*extracted.columns))
 

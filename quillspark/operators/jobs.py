@@ -9,7 +9,7 @@ from ..functions import patterns
 from ..functions.numbers import elapsed_seconds, rate
 
 #: Status that a stage stands for; others are ``extracting``.
-STAGE_STATUS = {"validating": "preprocessing", "rendering": "preprocessing", "preprocessing": "preprocessing", "classifying": "classifying", "extracting": "extracting", "redacting": "redacting", "persisting": "persisting", "completed": "completed"}
+STAGE_STATUS = {"uploaded": "queued", "preprocessing": "preprocessing", "classifying": "classifying", "extracting": "extracting", "redacting": "redacting", "persisting": "persisting", "completed": "completed", "needs_review": "needs_review"}
 
 
 def sequenced(events: DataFrame, job: str, time: str, tie: str) -> DataFrame:
@@ -27,18 +27,20 @@ def status_of(stage):
 def job_state(events: DataFrame) -> DataFrame:
     """One row a job from (job_id, sequence, status, stage, progress, created_at): a single aggregation.
 
-    ``started_at`` is the first active event and stays over attempts; ``completed_at`` the latest terminal one.
+    ``started_at`` is the first event of an active status or the first start of an attempt, and stays
+    over attempts; ``completed_at`` is the latest terminal event. Without a start there is no time.
     """
     terminal = F.col("status").isin(patterns.TERMINAL)
     last = F.max_by(F.struct("status", "stage", F.greatest(F.lit(0), F.least(F.lit(100), "progress")).alias("progress")), "sequence")
     state = events.groupBy("job_id").agg(
         last.alias("s"),
-        F.min(F.when(~F.col("status").isin("queued", "retrying"), F.col("created_at"))).alias("started_at"),
+        F.min(F.when(F.col("status").isin(patterns.ACTIVE) | (F.col("stage") == "attempt"), F.col("created_at"))).alias("started_at"),
         F.max(F.when(terminal, F.col("created_at"))).alias("completed_at"),
         F.count_if(F.col("stage") == "attempt").alias("attempts"),
         F.max("sequence").alias("events"),
     )
-    return state.select("job_id", "s.*", "started_at", "completed_at", elapsed_seconds(F.col("started_at"), F.col("completed_at")).alias("processing_seconds"), "attempts", "events")
+    took = F.when(F.col("completed_at") >= F.col("started_at"), elapsed_seconds(F.col("started_at"), F.col("completed_at")))
+    return state.select("job_id", "s.*", "started_at", "completed_at", took.alias("processing_seconds"), "attempts", "events")
 
 
 def batch_progress(jobs: DataFrame, batch: str, status: str) -> DataFrame:
@@ -48,13 +50,15 @@ def batch_progress(jobs: DataFrame, batch: str, status: str) -> DataFrame:
 
 
 def operations(jobs: DataFrame) -> DataFrame:
-    """One row: counts, rates, times and percentiles over jobs; zeros where there are none."""
-    n = F.count("*")
+    """One row: counts; rates, times and percentiles over terminal jobs; zeros where there are none."""
+    ended = F.col("status").isin(patterns.TERMINAL)
+    n = F.count_if(ended)
     success = F.count_if(F.col("status").isin(patterns.SUCCESS))
-    seconds = F.col("processing_seconds")
+    seconds = F.when(ended, F.col("processing_seconds"))
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     return jobs.agg(
-        n.alias("job_count"),
+        F.count("*").alias("job_count"),
+        n.alias("terminal_job_count"),
         F.bround(rate(success, n), 6).alias("success_rate"),
         F.bround(rate(F.count_if(F.col("status") == "failed"), n), 6).alias("failure_rate"),
         F.bround(rate(F.count_if(F.col("status") == "needs_review"), n), 6).alias("needs_review_rate"),
@@ -62,7 +66,7 @@ def operations(jobs: DataFrame) -> DataFrame:
         zero(F.percentile(seconds, F.lit(0.5))).alias("p50_seconds"),
         zero(F.percentile(seconds, F.lit(0.95))).alias("p95_seconds"),
         zero(F.max(seconds)).alias("max_seconds"),
-        F.max("completed_at").alias("latest_terminal_at"),
+        F.max(F.when(ended, F.col("completed_at"))).alias("latest_terminal_at"),
     )
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import numbers, patterns, text
@@ -121,8 +121,8 @@ def resolve(detected: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
 
 def keep_best(detected: DataFrame, keys: list[str]) -> DataFrame:
     """Of rows with equal keys the one of the greatest confidence, the first on ties."""
-    order = Window.partitionBy(*keys).orderBy(F.desc("confidence"), "seq")
-    return detected.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
+    rest = [c for c in detected.columns if c not in keys]
+    return detected.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct("confidence", -F.col("seq"))).alias("_s")).select(*keys, "_s.*").select(*detected.columns)
 
 
 def keep_last(detected: DataFrame, keys: list[str]) -> DataFrame:
@@ -143,9 +143,9 @@ def redact_text(body: Column, detectors: list[tuple[str, str]]) -> Column:
 
 
 def verify(records: DataFrame) -> DataFrame:
-    """Whether redactions hold. Input: action, target, before, after (texts in the box)."""
+    """Whether redactions hold. Input: action, target, before, after (texts in the box). An empty target is nowhere."""
     t, before, after = (text.verification_form(F.coalesce(c, F.lit(""))) for c in ("target", "before", "after"))
-    there, still = F.contains(before, t), F.contains(after, t)
+    there, still = (t != "") & F.contains(before, t), (t != "") & F.contains(after, t)
     passed = F.when(F.col("action") == "redact", there & ~still).when(F.col("action") == "review", after != "").otherwise(F.lit(True))
     return records.withColumns({"present_before": there, "present_after": still, "passed": passed})
 

@@ -22,14 +22,29 @@ def grains(df: DataFrame, fine: list[str], coarse: list[str], columns: dict[str,
     return df.groupingSets(sets, *[F.col(c) for c in fine]).agg((F.grouping(dropped[0]) == 1).alias("is_total"), F.count("*").alias("n"), *[F.round(F.avg(c.cast("double")), 6).alias(n) for n, c in columns.items()])
 
 
+DETECTION_METRICS = ["precision", "recall", "f1", "redaction_coverage", "missed_redaction_rate", "false_redaction_rate", "action_accuracy", "mean_containment", "mean_latency"]
+
+
 def detection_scores(outcomes: DataFrame, keys: list[str]) -> DataFrame:
-    """Precision, recall, F1, coverage and false rate from ``expected`` and ``predicted`` booleans; null keys are kept."""
-    tp, fp, fn = F.count_if(F.col("expected") & F.col("predicted")), F.count_if(~F.col("expected") & F.col("predicted")), F.count_if(F.col("expected") & ~F.col("predicted"))
-    counted = outcomes.groupBy(*keys).agg(F.count("*").alias("rows"), tp.alias("tp"), fp.alias("fp"), fn.alias("fn"))
-    t, p, n = F.col("tp"), F.col("fp"), F.col("fn")
-    precision, recall = rate(t, t + p), rate(t, t + n)
-    scored = counted.withColumns({"precision": precision, "recall": recall, "coverage": rate(t, t + n, 1.0), "false_rate": rate(p, t + p)})
-    return scored.withColumn("f1", rate(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
+    """Detection and redaction metrics; null keys are kept.
+
+    Input: ``expected`` and ``predicted`` (booleans), ``expected_action`` and ``predicted_action`` (null
+    where there is none), ``containment`` and ``latency``. Coverage is the share of expected redactions
+    that are found and redacted (1 where none is expected), its complement is what is missed; false
+    redactions are counted among predicted ones; actions are right or wrong on all expected entities.
+    """
+    e, p = F.col("expected"), F.col("predicted")
+    redact, redacted = e & (F.col("expected_action") == "redact"), F.coalesce(F.col("predicted_action") == "redact", F.lit(False))
+    right = p & F.coalesce(F.col("predicted_action") == F.col("expected_action"), F.lit(False))
+    counts = {"tp": e & p, "fp": ~e & p, "fn": e & ~p, "to_redact": redact, "covered": redact & p & redacted, "redacted": redacted, "wrongly": ~e & redacted, "right": e & right, "wanted": e}
+    sums = [F.count_if(c).alias(name) for name, c in counts.items()]
+    means = [F.coalesce(F.avg(F.when(e & p, F.col("containment"))), F.lit(0.0)).alias("mean_containment"), F.avg("latency").alias("mean_latency")]
+    counted = outcomes.groupBy(*keys).agg(F.count("*").alias("rows"), *sums, *means)
+    c = F.col
+    precision, recall, coverage = rate(c("tp"), c("tp") + c("fp")), rate(c("tp"), c("tp") + c("fn")), rate(c("covered"), c("to_redact"), 1.0)
+    rates = {"precision": precision, "recall": recall, "redaction_coverage": coverage, "missed_redaction_rate": 1 - coverage, "false_redaction_rate": rate(c("wrongly"), c("redacted")), "action_accuracy": rate(c("right"), c("wanted"), 1.0)}
+    scored = counted.withColumns(rates).withColumn("f1", rate(2 * c("precision") * c("recall"), c("precision") + c("recall")))
+    return scored.select(*keys, "rows", "tp", "fp", "fn", *DETECTION_METRICS)
 
 
 def weighted(scores: DataFrame, keys: list[str], metrics: list[str], weight: str) -> DataFrame:

@@ -22,7 +22,7 @@ def _log(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _STATE = f"""SELECT user_id AS job_id, arg_max(s, q) AS status, arg_max(event_type, q) AS stage, CAST(greatest(0, least(100, CAST(trunc(arg_max(value, q)) AS INTEGER))) AS INTEGER) AS progress,
-    min(ts) FILTER (s <> 'queued') AS started_at, max(ts) FILTER (s IN ('completed', 'failed')) AS completed_at, count(*) AS events
+    min(ts) FILTER (s IN ('preprocessing', 'extracting')) AS started_at, max(ts) FILTER (s IN ('completed', 'failed')) AS completed_at, count(*) AS events
     FROM (SELECT *, {_STATUS_SQL} AS s, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS q FROM events) GROUP BY 1"""
 
 
@@ -42,18 +42,19 @@ def a21_batch_progress(spark: SparkSession, sf: str) -> DataFrame:
     return jobs.batch_progress(_log(spark, sf).withColumnRenamed("job_id", "user_id"), "user_id", "status")
 
 
-@query(f"""SELECT count(*) AS job_count, round_even(count(*) FILTER (status = 'completed') / count(*)::DOUBLE, 6) AS success_rate, round_even(count(*) FILTER (status = 'failed') / count(*)::DOUBLE, 6) AS failure_rate,
-    CAST(0 AS DOUBLE) AS needs_review_rate, round(coalesce(avg(s), 0), 3) AS mean_seconds, round(coalesce(quantile_cont(s, 0.5), 0), 3) AS p50_seconds, round(coalesce(quantile_cont(s, 0.95), 0), 3) AS p95_seconds, round(coalesce(max(s), 0), 3) AS max_seconds,
-    max(completed_at) AS latest_terminal_at FROM (SELECT *, greatest(0, epoch(completed_at) - epoch(started_at)) AS s FROM ({_STATE}))""")
+@query(f"""SELECT count(*) AS job_count, count(*) FILTER (ended) AS terminal_job_count, round_even(count(*) FILTER (status = 'completed') / greatest(1, count(*) FILTER (ended))::DOUBLE, 6) AS success_rate,
+    round_even(count(*) FILTER (status = 'failed') / greatest(1, count(*) FILTER (ended))::DOUBLE, 6) AS failure_rate, CAST(0 AS DOUBLE) AS needs_review_rate, round(coalesce(avg(s), 0), 3) AS mean_seconds, round(coalesce(quantile_cont(s, 0.5), 0), 3) AS p50_seconds, round(coalesce(quantile_cont(s, 0.95), 0), 3) AS p95_seconds, round(coalesce(max(s), 0), 3) AS max_seconds,
+    max(completed_at) FILTER (ended) AS latest_terminal_at FROM (SELECT *, CASE WHEN ended AND completed_at >= started_at THEN epoch(completed_at) - epoch(started_at) END AS s
+    FROM (SELECT *, status IN ('completed', 'failed') AS ended FROM ({_STATE})))""")
 def a22_ops_summary(spark: SparkSession, sf: str) -> DataFrame:
     out = jobs.operations(jobs.job_state(_log(spark, sf)))
     seconds = ["mean_seconds", "p50_seconds", "p95_seconds", "max_seconds"]
     return out.withColumns({c: F.round(c, 3) for c in seconds} | {"latest_terminal_at": F.col("latest_terminal_at").cast("timestamp_ntz")})
 
 
-@query("SELECT event_type, CAST(le AS DOUBLE) AS le, count(e.value) AS n FROM (SELECT DISTINCT event_type FROM events) t CROSS JOIN (VALUES (0.005), (0.01), (0.025), (0.05), (0.1), (0.25), (0.5), (1.0), (2.5), (5.0), (15.0), (30.0)) b(le) LEFT JOIN events e USING (event_type) WHERE e.value <= le OR e.value IS NULL GROUP BY 1, 2 HAVING count(e.value) > 0")
+@query("SELECT event_type, CAST(le AS DOUBLE) AS le, count(e.value) FILTER (e.value <= le) AS n FROM events e CROSS JOIN (VALUES (0.005), (0.01), (0.025), (0.05), (0.1), (0.25), (0.5), (1.0), (2.5), (5.0), (15.0), (30.0)) b(le) GROUP BY 1, 2")
 def a38_latency_histogram(spark: SparkSession, sf: str) -> DataFrame:
-    return summaries.latency_buckets(table(spark, sf, "events"), ["event_type"], "value", patterns.LATENCY_BUCKETS).where("n > 0")
+    return summaries.latency_buckets(table(spark, sf, "events"), ["event_type"], "value", patterns.LATENCY_BUCKETS)
 
 
 @query("SELECT status, coalesce(n, 0) AS n FROM (VALUES " + ", ".join(f"('{s}')" for s in patterns.JOB_STATUSES) + f") v(status) LEFT JOIN (SELECT {_STATUS_SQL} AS status, count(*) AS n FROM events GROUP BY 1) USING (status)")
@@ -69,9 +70,13 @@ def a40_mean_confidence(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").groupBy("event_type").agg(F.round(F.coalesce(F.avg(F.when(v >= 10, v)), F.lit(0.0)), 6).alias("mean_conf"))
 
 
-@query("SELECT event_id, CASE event_type WHEN 'view' THEN 'preprocessing' WHEN 'click' THEN 'classifying' ELSE 'extracting' END AS status FROM events")
+_STAGES = [*jobs.STAGE_STATUS, "rendering"]  # the last one has no status of its own
+
+
+@query("""SELECT event_id, CASE event_id % 9 WHEN 0 THEN 'queued' WHEN 1 THEN 'preprocessing' WHEN 2 THEN 'classifying' WHEN 3 THEN 'extracting' WHEN 4 THEN 'redacting'
+    WHEN 5 THEN 'persisting' WHEN 6 THEN 'completed' WHEN 7 THEN 'needs_review' ELSE 'extracting' END AS status FROM events""")
 def st02_stage_status(spark: SparkSession, sf: str) -> DataFrame:
-    stage = F.when(F.col("event_type") == "view", "rendering").when(F.col("event_type") == "click", "classifying").otherwise(F.col("event_type"))
+    stage = F.element_at(F.array(*[F.lit(s) for s in _STAGES]), (F.col("event_id") % 9).cast("int") + 1)
     return table(spark, sf, "events").select("event_id", jobs.status_of(stage).alias("status"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import numbers
 from ..operators import summaries
 from .registry import query, table
 
@@ -71,22 +72,29 @@ def a09_robustness_grains(spark: SparkSession, sf: str) -> DataFrame:
     return summaries.grains(table(spark, sf, "lineitem"), ["l_returnflag", "l_linestatus"], ["l_returnflag"], {"mean_discount": F.col("l_discount"), "large": F.col("l_quantity") > 25})
 
 
-_SCORES = """SELECT lang, count(*) AS rows, count(*) FILTER (quality = 1 AND toxic = 1) AS tp, count(*) FILTER (quality = 0 AND toxic = 1) AS fp,
-    count(*) FILTER (quality = 1 AND toxic = 0) AS fn FROM documents JOIN labels USING (doc_id) GROUP BY 1"""
-_PRF = f"""SELECT lang, rows, tp, fp, fn, p AS precision, r AS recall, coverage, false_rate, CASE WHEN p + r = 0 THEN 0 ELSE 2 * p * r / (p + r) END AS f1 FROM (
-    SELECT *, CASE WHEN tp + fp = 0 THEN 0.0 ELSE tp::DOUBLE / (tp + fp) END AS p, CASE WHEN tp + fn = 0 THEN 0.0 ELSE tp::DOUBLE / (tp + fn) END AS r,
-    CASE WHEN tp + fn = 0 THEN 1.0 ELSE tp::DOUBLE / (tp + fn) END AS coverage, CASE WHEN tp + fp = 0 THEN 0.0 ELSE fp::DOUBLE / (tp + fp) END AS false_rate FROM ({_SCORES}))"""
+#: An entity for each label: expected where quality is 1, predicted where toxic is 1; actions, containment and latency follow from the key.
+_OUTCOMES = """SELECT lang, quality = 1 AS e, toxic = 1 AS p, CASE WHEN quality = 1 THEN CASE WHEN doc_id % 3 = 0 THEN 'review' ELSE 'redact' END END AS ea,
+    CASE WHEN toxic = 1 THEN CASE WHEN doc_id % 5 = 0 THEN 'review' ELSE 'redact' END END AS pa, (doc_id % 7) / 7.0::DOUBLE AS containment, n_chars / 1000.0::DOUBLE AS latency FROM documents JOIN labels USING (doc_id)"""
+_COUNTS = f"""SELECT lang, count(*) AS rows, count(*) FILTER (e AND p) AS tp, count(*) FILTER (NOT e AND p) AS fp, count(*) FILTER (e AND NOT p) AS fn,
+    count(*) FILTER (e AND ea = 'redact') AS to_redact, count(*) FILTER (e AND p AND ea = 'redact' AND pa = 'redact') AS covered, count(*) FILTER (pa = 'redact') AS redacted,
+    count(*) FILTER (NOT e AND pa = 'redact') AS wrongly, count(*) FILTER (e AND p AND ea = pa) AS correct, count(*) FILTER (e) AS wanted,
+    coalesce(avg(containment) FILTER (e AND p), 0) AS mean_containment, avg(latency) AS mean_latency FROM ({_OUTCOMES}) GROUP BY 1"""
+_RATES = f"""SELECT *, CASE WHEN tp + fp = 0 THEN 0.0 ELSE tp::DOUBLE / (tp + fp) END AS precision, CASE WHEN tp + fn = 0 THEN 0.0 ELSE tp::DOUBLE / (tp + fn) END AS recall,
+    CASE WHEN to_redact = 0 THEN 1.0 ELSE covered::DOUBLE / to_redact END AS redaction_coverage, 1 - CASE WHEN to_redact = 0 THEN 1.0 ELSE covered::DOUBLE / to_redact END AS missed_redaction_rate,
+    CASE WHEN redacted = 0 THEN 0.0 ELSE wrongly::DOUBLE / redacted END AS false_redaction_rate, CASE WHEN wanted = 0 THEN 1.0 ELSE correct::DOUBLE / wanted END AS action_accuracy FROM ({_COUNTS})"""
+_PRF = f"SELECT *, CASE WHEN precision + recall = 0 THEN 0 ELSE 2 * precision * recall / (precision + recall) END AS f1 FROM ({_RATES})"
+_METRICS = summaries.DETECTION_METRICS
 
 
 def _by_language(spark: SparkSession, sf: str) -> DataFrame:
-    joined = table(spark, sf, "documents").select("doc_id", "lang").join(table(spark, sf, "labels"), "doc_id")
-    return summaries.detection_scores(joined.select("lang", (F.col("quality") == 1).alias("expected"), (F.col("toxic") == 1).alias("predicted")), ["lang"])
-
+    joined = table(spark, sf, "documents").select("doc_id", "lang", "n_chars").join(table(spark, sf, "labels"), "doc_id")
+    e, p = F.col("quality") == 1, F.col("toxic") == 1
+    action = lambda k: F.when(F.col("doc_id") % k == 0, "review").otherwise("redact")
+    outcomes = joined.select("lang", e.alias("expected"), p.alias("predicted"), F.when(e, action(3)).alias("expected_action"), F.when(p, action(5)).alias("predicted_action"), (F.col("doc_id") % 7 / 7.0).alias("containment"), (F.col("n_chars") / 1000.0).alias("latency"))
+    return summaries.detection_scores(outcomes, ["lang"])
 
-_METRICS = ["precision", "recall", "f1", "coverage", "false_rate"]
 
-
-@query(f"SELECT lang, rows, tp, fp, fn, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, round(coverage, 6) AS coverage, round(false_rate, 6) AS false_rate FROM ({_PRF})")
+@query("SELECT lang, rows, tp, fp, fn, " + ", ".join(f"round({m}, 6) AS {m}" for m in _METRICS) + f" FROM ({_PRF})")
 def a10_prf_by_group(spark: SparkSession, sf: str) -> DataFrame:
     return _by_language(spark, sf).select("lang", "rows", "tp", "fp", "fn", *[F.round(m, 6).alias(m) for m in _METRICS])
 
@@ -146,9 +154,9 @@ def a20_status_histogram(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"))
 
 
-@query()
+@query("SELECT string_agg(event_type || '=' || n, ';' ORDER BY event_type) AS status_counts FROM (SELECT event_type, count(*) AS n FROM events GROUP BY 1)")
 def a20_status_histogram_map(spark: SparkSession, sf: str) -> DataFrame:
-    return summaries.status_histogram(table(spark, sf, "events"), "event_type")
+    return summaries.status_histogram(table(spark, sf, "events"), "event_type").select(numbers.written_map(F.col("status_counts")).alias("status_counts"))
 
 
 @query("SELECT source, CAST(sum(strlen(text)) AS BIGINT) AS total_bytes FROM documents GROUP BY 1")

@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import geometry, numbers, text
 from .registry import query, table
 
-_NORM = "trim(regexp_replace(lower(replace({0}, 'ß', 'ss')), '[^a-z0-9]+', ' ', 'g'))"
+_FOLDED = "{0}"
+for _char, _letters in text.FOLDED.items():
+    _FOLDED = f"replace({_FOLDED}, '{_char}', '{_letters}')"
+_NORM = f"trim(regexp_replace(lower({_FOLDED}), '[^a-z0-9]+', ' ', 'g'))"
 
 
 @query(f"SELECT doc_id, {_NORM.format('text')} AS norm FROM documents")
@@ -81,7 +84,7 @@ def str14_field_validation(spark: SparkSession, sf: str) -> DataFrame:
 def str13_ratio(spark: SparkSession, sf: str) -> DataFrame:
     from ..operators.extract import similarity
 
-    return _neighbours(spark, sf).select("p_partkey", F.round(similarity("r", "h"), 6).alias("ratio"))
+    return _neighbours(spark, sf).select("p_partkey", F.round(similarity(text.normalize(F.col("r")), text.normalize(F.col("h"))), 6).alias("ratio"))
 
 
 @query("""SELECT page_id, regexp_extract(html, '<title>([^<]*)', 1) AS title, CASE WHEN regexp_extract(html, '<title>([^<]*)', 1) = '' THEN 'missing:title' END AS warning FROM pages""")
@@ -265,35 +268,21 @@ def mth11_rounding(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select("event_id", F.round(F.abs(v - 50), 6).alias("residual"), F.bround(v, 1).alias("rounded"), numbers.clamp01(v / 50).alias("clamped"))
 
 
-@query("""WITH u AS (SELECT vec_id, CAST(unnest(embedding[1:5]) AS DOUBLE) AS x FROM embeddings) SELECT vec_id, round(exp(max(x)) / sum(exp(x)), 6) AS top FROM u GROUP BY 1""")
-def mth13_softmax(spark: SparkSession, sf: str) -> DataFrame:
-    head = F.slice("embedding", 1, 5).cast("array<double>")
-    return table(spark, sf, "embeddings").select("vec_id", F.round(F.array_max(numbers.softmax(head)), 6).alias("top"))
-
-
 @query("""WITH u AS (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings) SELECT vec_id, round(exp(max(x)) / sum(exp(x)), 6) AS top FROM u GROUP BY 1""")
-def mth13_softmax_whole(spark: SparkSession, sf: str) -> DataFrame:
-    """Of all components; ``mth13_softmax`` has those that its SQL names."""
+def mth13_softmax(spark: SparkSession, sf: str) -> DataFrame:
     whole = F.col("embedding").cast("array<double>")
     return table(spark, sf, "embeddings").select("vec_id", F.round(F.array_max(numbers.softmax(whole)), 6).alias("top"))
 
 
-@query("SELECT vec_id, list_sum([list_sum(embedding[i:i+1]) * 0 + i for i in [1, 2, 3]]) AS s, CAST(len(embedding[3:6]) AS INTEGER) AS n, embedding[1] AS first FROM embeddings")
+@query("SELECT vec_id, CAST(embedding[3:6] AS DOUBLE[]) AS part, CAST(len(embedding) AS INTEGER) AS n, embedding[1] AS first, embedding[-1] AS last FROM embeddings")
 def arr01_slices(spark: SparkSession, sf: str) -> DataFrame:
     e = F.col("embedding")
-    s = F.aggregate(F.array(F.lit(1), F.lit(2), F.lit(3)), F.lit(0.0), lambda a, i: a + i)
-    return table(spark, sf, "embeddings").select("vec_id", s.alias("s"), F.size(F.slice(e, 3, 4)).alias("n"), F.get(e, F.lit(0)).alias("first"))
-
-
-@query("""SELECT user_id, list_resize(list(event_type ORDER BY event_id)[1:3], 5, '') AS padded FROM events GROUP BY 1""")
-def arr02_padding(spark: SparkSession, sf: str) -> DataFrame:
-    first = F.slice(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))), lambda s: s["event_type"]), 1, 3)
-    return table(spark, sf, "events").groupBy("user_id").agg(first.alias("r")).select("user_id", F.concat("r", F.array_repeat(F.lit(""), 5 - F.size("r"))).alias("padded"))
+    return table(spark, sf, "embeddings").select("vec_id", F.slice(e, 3, 4).cast("array<double>").alias("part"), F.size(e).alias("n"), F.get(e, F.lit(0)).alias("first"), F.element_at(e, -1).alias("last"))
 
 
 @query("WITH l AS (SELECT user_id, list(event_type ORDER BY event_id) AS r FROM events GROUP BY 1) SELECT user_id, list_resize(r, (SELECT max(len(r)) FROM l), '') AS padded FROM l")
-def arr02_padding_whole(spark: SparkSession, sf: str) -> DataFrame:
-    """Whole lists, padded to the greatest length found; ``arr02_padding`` has those that its SQL names."""
+def arr02_padding(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole lists, padded to the greatest length found."""
     events = table(spark, sf, "events")
     lists = events.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))), lambda s: s["event_type"]).alias("r"))
     width = events.groupBy("user_id").agg(F.count("*").alias("n")).agg(F.max("n").cast("int").alias("width"))
@@ -312,7 +301,7 @@ def map01_lookup_default(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select("event_id", F.coalesce(F.try_element_at(names, F.col("event_type")), F.col("event_type")).alias("title"))
 
 
-@query()
+@query("SELECT n_regionkey, string_agg(n_nationkey || '=' || n_name, ';' ORDER BY n_nationkey) AS names FROM nation GROUP BY 1")
 def map02_from_rows(spark: SparkSession, sf: str) -> DataFrame:
     pairs = F.array_sort(F.collect_list(F.struct(F.col("n_nationkey").alias("k"), F.col("n_name").alias("v"))))
-    return table(spark, sf, "nation").groupBy("n_regionkey").agg(F.map_from_entries(pairs).alias("names"))
+    return table(spark, sf, "nation").groupBy("n_regionkey").agg(numbers.written_map(F.map_from_entries(pairs)).alias("names"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import numbers, text
 from ..operators import classify
 from ..sources.scratch import scratch
 from .registry import query, table
@@ -111,20 +111,9 @@ def prj22_route(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "orders").select("o_orderkey", text.route(path).alias("route"))
 
 
-@query("SELECT p_partkey, p_brand, p_retailprice, row_number() OVER (ORDER BY p_brand, p_retailprice, p_partkey) AS place FROM part QUALIFY place <= 100")
-def srt01_multi_key(spark: SparkSession, sf: str) -> DataFrame:
-    top = table(spark, sf, "part").select("p_partkey", "p_brand", "p_retailprice").orderBy("p_brand", "p_retailprice", "p_partkey").limit(100)  # a heap in each task, then one of 100 rows each
-    return top.withColumn("place", F.row_number().over(Window.orderBy("p_brand", "p_retailprice", "p_partkey")).cast("long"))
-
-
-@query("SELECT s_suppkey, s_acctbal FROM supplier ORDER BY s_acctbal DESC NULLS LAST, s_suppkey LIMIT 10")
-def srt02_metric_desc(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "supplier").select("s_suppkey", "s_acctbal").orderBy(F.desc_nulls_last("s_acctbal"), "s_suppkey").limit(10)
-
-
 @query("SELECT p_partkey, p_brand, p_retailprice, row_number() OVER (ORDER BY p_brand, p_retailprice, p_partkey) AS place FROM part")
-def srt01_multi_key_whole(spark: SparkSession, sf: str) -> DataFrame:
-    """All rows, sorted; ``srt01_multi_key`` has those that its SQL names.
+def srt01_multi_key(spark: SparkSession, sf: str) -> DataFrame:
+    """All rows, sorted, with their places.
 
     Rows are sorted in ranges of the keys; a place is that in its range and the counts of the ranges before. The
     ranges are written once, as they must be the same for counts and rows.
@@ -142,8 +131,7 @@ def srt01_multi_key_whole(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("SELECT s_suppkey, s_acctbal FROM supplier ORDER BY s_acctbal DESC NULLS LAST, s_suppkey")
-def srt02_metric_desc_whole(spark: SparkSession, sf: str) -> DataFrame:
-    """All rows, sorted; ``srt02_metric_desc`` has those that its SQL names."""
+def srt02_metric_desc(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "supplier").select("s_suppkey", "s_acctbal").orderBy(F.desc_nulls_last("s_acctbal"), "s_suppkey")
 
 
@@ -198,9 +186,17 @@ def set05_set_equality(spark: SparkSession, sf: str) -> DataFrame:
     return a.exceptAll(b).unionByName(b.exceptAll(a)).agg((F.count("*") == 0).alias("equal"))
 
 
-@query("SELECT n_nationkey, n_name, n_regionkey, 'table' AS kind, n_nationkey * 10 AS score FROM nation")
+@query("""SELECT n_nationkey, string_agg(k || '=' || v, ';' ORDER BY k) AS merged FROM (
+    SELECT n_nationkey, k, arg_max(v, side) AS v FROM (
+      SELECT n_nationkey, 0 AS side, unnest(['name', 'region']) AS k, unnest([n_name, CAST(n_regionkey AS VARCHAR)]) AS v FROM nation
+      UNION ALL SELECT n_nationkey, 1, unnest(['region', 'comment']), unnest([r_name, r_name || n_name]) FROM nation JOIN region ON n_regionkey = r_regionkey)
+    GROUP BY 1, 2) GROUP BY 1""")
 def set06_row_union(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "nation").select("*", F.lit("table").alias("kind"), (F.col("n_nationkey") * 10).alias("score"))
+    """Two maps of a row united; where both have a key the second counts."""
+    both = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    first = F.create_map(F.lit("name"), F.col("n_name"), F.lit("region"), F.col("n_regionkey").cast("string"))
+    second = F.create_map(F.lit("region"), F.col("r_name"), F.lit("comment"), F.concat("r_name", "n_name"))
+    return both.select("n_nationkey", numbers.written_map(numbers.united(first, second)).alias("merged"))
 
 
 @query("SELECT CASE WHEN NOT ends_with(url, '.html') THEN 'type' WHEN html = '' THEN 'empty' WHEN strlen(html) > 4000 THEN 'size' ELSE 'ok' END AS verdict, count(*) AS n FROM pages GROUP BY 1")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,17 +40,19 @@ def _stream(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT event_type, time_bucket(INTERVAL 1 DAY, ts) AS begin, time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY AS \"end\", count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2, 3")
 def st_tumbling_stream(spark: SparkSession, sf: str) -> DataFrame:
     """The stream in complete mode says what the batch says."""
-    return windows.drained(windows.tumbling(_stream(spark, sf), "ts", "1 day", ["event_type"], "value"), f"tumbling_{uuid.uuid4().hex}", "complete")
+    return windows.drained(windows.tumbling(_stream(spark, sf), "ts", "1 day", ["event_type"], "value"), "tumbling", "complete")
 
 
-@query()
+@query("""SELECT user_id AS job_id, arg_max(CASE event_type WHEN 'view' THEN 'preprocessing' ELSE 'extracting' END, event_id) AS status, arg_max(event_type, event_id) AS stage, 50 AS progress,
+    min(ts) AS started_at, CAST(NULL AS TIMESTAMP) AS completed_at, max(event_id) AS events FROM events GROUP BY 1""")
 def st_job_state_stream(spark: SparkSession, sf: str) -> DataFrame:
     """Job state as a streaming aggregation, updated as events arrive."""
-    events = _stream(spark, sf).select(F.col("user_id").alias("job_id"), F.col("event_id").alias("sequence"), jobs.status_of(F.col("event_type")).alias("status"), F.col("event_type").alias("stage"), F.lit(50).alias("progress"), F.col("ts").alias("created_at"))
-    return windows.drained(jobs.job_state(events), f"state_{uuid.uuid4().hex}", "complete")
+    events = _stream(spark, sf).select(F.col("user_id").alias("job_id"), F.col("event_id").alias("sequence"), F.when(F.col("event_type") == "view", "preprocessing").otherwise(jobs.status_of(F.col("event_type"))).alias("status"), F.col("event_type").alias("stage"), F.lit(50).alias("progress"), F.col("ts").alias("created_at"))
+    state = windows.drained(jobs.job_state(events), "state", "complete")
+    return state.select("job_id", "status", "stage", "progress", F.col("started_at").cast("timestamp_ntz").alias("started_at"), F.col("completed_at").cast("timestamp_ntz").alias("completed_at"), F.col("events").cast("long").alias("events"))
 
 
-@query()
+@query("SELECT DISTINCT event_id, event_type FROM events")
 def st_dedup_stream(spark: SparkSession, sf: str) -> DataFrame:
     events = windows.deduplicated(_stream(spark, sf), ["event_id"])
-    return windows.drained(events.select("event_id", "event_type"), f"dedup_{uuid.uuid4().hex}", "append")
+    return windows.drained(events.select("event_id", "event_type"), "dedup", "append")

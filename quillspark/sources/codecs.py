@@ -90,15 +90,22 @@ def page_text(words: DataFrame, document: list[str]) -> DataFrame:
     return line.groupBy(*document).agg(F.array_join(F.transform(lines, lambda x: x["s"]), "\n").alias("text"))
 
 
-_RECOGNITION = "struct<rec_text:string,rec_score:double,rec_texts:array<string>,rec_scores:array<double>,res:struct<rec_text:string,rec_score:double,rec_texts:array<string>,rec_scores:array<double>>>"
+_FIELDS = "rec_text:string,rec_score:double,rec_texts:array<string>,rec_scores:array<double>"
+#: How deep results may lie in one another.
+_DEPTH = 8
 
 
 def recognition(result: Column) -> Column:
-    """struct(text, confidence 0-100) of a recogniser's JSON result, nested or not, single or plural; an unknown form is an error."""
-    r = F.from_json(result, _RECOGNITION)
-    one = F.coalesce(r["rec_text"], r["res"]["rec_text"])
-    score = F.coalesce(r["rec_score"], r["res"]["rec_score"])
-    texts, scores = F.coalesce(r["rec_texts"], r["res"]["rec_texts"]), F.coalesce(r["rec_scores"], r["res"]["rec_scores"])
+    """struct(text, confidence 0-100) of a recogniser's JSON result, single or plural, under any number of ``res`` up to ``_DEPTH``; an unknown form is an error."""
+    schema = f"struct<{_FIELDS}>"
+    for _ in range(_DEPTH):
+        schema = f"struct<{_FIELDS},res:{schema}>"
+    parsed = F.from_json(result, schema)
+    levels = [parsed]
+    for _ in range(_DEPTH):
+        levels.append(levels[-1]["res"])
+    inner = F.coalesce(*[F.when(level.isNotNull(), F.struct(*[level[f.split(":")[0]].alias(f.split(":")[0]) for f in ("rec_text", "rec_score", "rec_texts", "rec_scores")])) for level in reversed(levels)])  # the innermost
+    one, score, texts, scores = (inner[f] for f in ("rec_text", "rec_score", "rec_texts", "rec_scores"))
     joined = F.array_join(F.filter(texts, lambda t: F.trim(t) != ""), "\n")
     mean = F.try_divide(F.aggregate(scores, F.lit(0.0), lambda a, b: a + b), F.size(scores))
     text = F.coalesce(one, joined)

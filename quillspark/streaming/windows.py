@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import scratch
+
 
 def tumbling(events: DataFrame, time: str, size: str, keys: list[str], value: str) -> DataFrame:
     return _counted(events, F.window(F.col(time).cast("timestamp"), size), keys, value)
@@ -29,10 +31,15 @@ def stream(spark: SparkSession, path: str, schema, time: str, late: str) -> Data
 
 
 def drained(df: DataFrame, name: str, mode: str) -> DataFrame:
-    """Run a stream over all that is there and read the result; for checks, where results are small."""
-    run = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    run.awaitTermination()
-    return df.sparkSession.table(name)
+    """Run a stream over all that is there and read the result, which each micro-batch writes to files: in complete mode whole, else as an addition."""
+    spark = df.sparkSession
+    path, checkpoint = scratch(spark, name), scratch(spark, f"{name}-checkpoint")
+
+    def save(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(path if mode == "complete" else f"{path}/batch={number}")
+
+    df.writeStream.outputMode(mode).foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
 def deduplicated(events: DataFrame, keys: list[str]) -> DataFrame:

@@ -6,22 +6,19 @@ from pyspark.sql import functions as F
 from quillspark.operators import classify, extract, jobs, joins, redact, studies, summaries
 from quillspark.sources import codecs, files, rest
 
-COVER = """Protocol Title: A Phase 2 / 3, Observer-Blind Study
-Protocol Number: mRNA-1273-P203
-NCT #: NCTO4796896
-Sponsor Name: ModernaTX, lnc.
-Legal Registered Address: 200 Technology Square Cambridge MA 02139
-Sponsor Contact: x
-Amendment Number: 5
-Date of Amendment 4: 01 Jan 2021
-Date of Amendment 5: 11 Nov 2021"""
+COVER = """Sponsor Name: ModernaTX Incorporated   Legal Registered Address: 14 Harbour Row, cambridge ,MA 02142
+Medical Monitor: on file
+NCT # : nctO1234O67   Protocol Number: XY-77-b
+Amendment Number: 2   Date of Amendment 2: 3 Feb 2019   Date of Amendment 1: 30 Dec 2018
+Protocol Title: Effects of a phase 1/ 2 programme
+ on sleep Protocol Number: XY-77-b"""
 
 
 def test_cover_fields(spark):
     row = extract.cover_fields(spark.createDataFrame([(COVER,), ("nothing",), (None,)], "t string"), "t").collect()
     full = row[0]
-    assert full.nct_id == "NCT04796896" and full.phase == "Phase 2/3" and full.amendment_date == "11 Nov 2021"
-    assert full.sponsor_name == "ModernaTX, Inc." and full.sponsor_address.endswith("Cambridge, MA 02139")
+    assert full.nct_id == "NCT01234067" and full.phase == "Phase 1/2" and full.amendment_date == "3 Feb 2019"
+    assert full.sponsor_name == "ModernaTX, Inc." and full.sponsor_address == "14 Harbour Row, Cambridge, MA 02142"
     assert full.warnings == []
     assert row[1].warnings[0] == "missing:nct_id" and len(row[1].warnings) == 8
 
@@ -114,9 +111,9 @@ def test_codecs(spark):
     clean = codecs.clean_words(words)
     assert codecs.page_text(clean, ["page"]).first().text == "hello world"
     assert [(r.start, r.end) for r in codecs.token_offsets(clean, ["page"]).orderBy("start").collect()] == [(0, 5), (6, 11)]
-    results = spark.createDataFrame([('{"res": {"rec_text": "a", "rec_score": 0.97}}',), ('{"rec_texts": ["line one", "line two"], "rec_scores": [0.8, 0.9]}',)], "j string")
+    results = spark.createDataFrame([('{"res": {"rec_text": "a", "rec_score": 0.97}}',), ('{"rec_texts": ["north", "south east"], "rec_scores": [0.25, 0.75]}',)], "j string")
     parsed = [r.r for r in results.select(codecs.recognition(F.col("j")).alias("r")).collect()]
-    assert [(p.text, round(p.confidence, 6)) for p in parsed] == [("a", 97.0), ("line one\nline two", 85.0)]
+    assert [(p.text, round(p.confidence, 6)) for p in parsed] == [("a", 97.0), ("north\nsouth east", 50.0)]
     with pytest.raises(Exception, match="no text"):
         spark.createDataFrame([("{}",)], "j string").select(codecs.recognition(F.col("j"))).collect()
 
@@ -197,3 +194,64 @@ def test_stream_progress(spark, tmp_path):
     finally:
         spark.streams.removeListener(listener)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 10
+
+
+def test_stages_stand_for_statuses(spark):
+    stages = ["uploaded", "preprocessing", "classifying", "extracting", "redacting", "persisting", "completed", "needs_review", "rendering", ""]
+    rows = spark.createDataFrame([(s,) for s in stages], "s string").select(jobs.status_of(F.col("s")).alias("t")).collect()
+    assert [r.t for r in rows] == ["queued", *stages[1:8], "extracting", "extracting"]
+
+
+def test_times_run_from_the_first_active_status_and_rates_over_ended_jobs(spark):
+    log = [(1, 1, "queued", "uploaded", 0), (1, 2, "failed", "x", 50), (2, 1, "queued", "attempt", 10), (2, 2, "extracting", "x", 20), (2, 3, "completed", "x", 40), (3, 1, "extracting", "x", 5)]
+    events = spark.createDataFrame([(j, q, s, g, 10, t) for j, q, s, g, t in log], "job_id int, sequence int, status string, stage string, progress int, s long")
+    state = jobs.job_state(events.withColumn("created_at", F.timestamp_seconds("s"))).cache()
+    assert {r.job_id: r.processing_seconds for r in state.collect()} == {1: None, 2: 30.0, 3: None}
+    total = jobs.operations(state).first()
+    assert (total.job_count, total.terminal_job_count, total.success_rate, total.failure_rate, total.mean_seconds, total.max_seconds) == (3, 2, 0.5, 0.5, 30.0, 30.0)
+
+
+def test_redaction_metrics(spark):
+    from quillspark.operators import summaries
+
+    rows = [
+        ("a", True, True, "redact", "redact", 0.5, 1.0),
+        ("a", True, True, "redact", "review", 1.0, 1.0),
+        ("a", True, False, "review", None, 0.0, 4.0),
+        ("a", False, True, None, "redact", 0.0, 2.0),
+        (None, False, True, None, "review", 0.0, 1.0),
+    ]
+    frame = spark.createDataFrame(rows, "k string, expected boolean, predicted boolean, expected_action string, predicted_action string, containment double, latency double")
+    found = {r.k: r for r in summaries.detection_scores(frame, ["k"]).collect()}
+    a, none = found["a"], found[None]
+    assert (a.rows, a.tp, a.fp, a.fn) == (4, 2, 1, 1)
+    assert (a.redaction_coverage, a.missed_redaction_rate, a.false_redaction_rate) == (0.5, 0.5, 0.5)
+    assert a.action_accuracy == pytest.approx(1 / 3) and (a.mean_containment, a.mean_latency) == (0.75, 2.0)
+    assert (none.precision, none.redaction_coverage, none.false_redaction_rate, none.action_accuracy, none.mean_containment) == (0.0, 1.0, 0.0, 1.0, 0.0)
+
+
+def test_normal_form_is_case_folded(spark):
+    import re
+
+    from quillspark.functions import text
+
+    odd = ["oﬃce ẞ ſ", "ﬁne ﬅ", "İstanbul K", "ŉ ǰ ẖẗẘẙẚ", "Straße", "É x", "", "ÀB-1", None]
+    rows = spark.createDataFrame([(t,) for t in odd], "t string").select(text.normalize(F.col("t")).alias("n")).collect()
+    assert [r.n for r in rows] == [None if t is None else re.sub(r"[^a-z0-9]+", " ", t.casefold()).strip() for t in odd]
+
+
+def test_an_empty_target_is_nowhere_and_known_records_do_not_multiply(spark):
+    from quillspark.operators import extract
+
+    rows = spark.createDataFrame([("redact", "", "a", "b")], "action string, target string, before string, after string")
+    found = redact.verify(rows).first()
+    assert (found.present_before, found.present_after, found.passed) == (False, False, False)
+    read = spark.createDataFrame([("p-1", "x")], "protocol_number string, phase string").withColumns({c: F.lit(None).cast("string") for c in ("sponsor_name", "sponsor_address")})
+    known = spark.createDataFrame([("P 1", "two"), ("P-1", "three"), ("", "none")], "protocol_number string, phase string")
+    assert [r.phase for r in extract.resolve_known(read, known).collect()] == ["two"]
+
+
+def test_results_within_results(spark):
+    nested = '{"res": {"res": {"res": {"rec_texts": ["up", " ", "down"], "rec_scores": [0.5, 0.7, 0.9]}}}}'
+    found = spark.createDataFrame([(nested,)], "j string").select(codecs.recognition(F.col("j")).alias("r")).first().r
+    assert found.text == "up\ndown" and found.confidence == pytest.approx(70)

@@ -51,7 +51,7 @@ def test_softmax_of_whole_vectors(spark):
     import math
 
     vectors = {r["vec_id"]: r["embedding"] for r in given(spark, "embeddings")}
-    found = {r["vec_id"]: r["top"] for r in run(spark, "mth13_softmax_whole")}
+    found = {r["vec_id"]: r["top"] for r in run(spark, "mth13_softmax")}
     assert max(map(len, vectors.values())) > 5 and set(found) == set(vectors)
     for k, v in vectors.items():
         assert found[k] == pytest.approx(math.exp(max(v)) / sum(map(math.exp, v)), abs=1e-5)
@@ -59,7 +59,7 @@ def test_softmax_of_whole_vectors(spark):
 
 def test_json_round_trip_of_the_whole_table(spark):
     key = lambda r: r["o_orderkey"]
-    before, after = given(spark, "orders"), run(spark, "src02_json_round_trip_whole")
+    before, after = given(spark, "orders"), run(spark, "src02_json_round_trip")
     assert sorted(after, key=key) == sorted(before, key=key)
 
 
@@ -69,7 +69,7 @@ def test_cells_of_all_boundaries(spark):
         sizes[r["p_brand"]].add(r["p_size"])
     pairs = {b: list(zip(sorted(s), sorted(s)[1:])) for b, s in sizes.items()}
     expected = sorted((b, *x, *y) for b, e in pairs.items() for y in e for x in e)
-    assert sorted((r["p_brand"], r["x0"], r["x1"], r["y0"], r["y1"]) for r in run(spark, "w09_adjacent_cells_whole")) == expected
+    assert sorted((r["p_brand"], r["x0"], r["x1"], r["y0"], r["y1"]) for r in run(spark, "w09_adjacent_cells")) == expected
 
 
 def test_every_candidate_has_a_rank(spark):
@@ -79,7 +79,7 @@ def test_every_candidate_has_a_rank(spark):
         seen[r["l_orderkey"]] += 1
         expected.append((r["l_orderkey"], r["l_linenumber"], seen[r["l_orderkey"]]))
     assert max(seen.values()) > 2
-    assert sorted((r["l_orderkey"], r["l_linenumber"], r["r"]) for r in run(spark, "srt04_candidates_whole")) == sorted(expected)
+    assert sorted((r["l_orderkey"], r["l_linenumber"], r["r"]) for r in run(spark, "srt04_candidates")) == sorted(expected)
 
 
 def test_whole_lists_are_padded(spark):
@@ -88,17 +88,17 @@ def test_whole_lists_are_padded(spark):
         lists[r["user_id"]].append(r["event_type"])
     width = max(map(len, lists.values()))
     assert width > min(map(len, lists.values())) > 3
-    assert {r["user_id"]: r["padded"] for r in run(spark, "arr02_padding_whole")} == {u: v + [""] * (width - len(v)) for u, v in lists.items()}
+    assert {r["user_id"]: r["padded"] for r in run(spark, "arr02_padding")} == {u: v + [""] * (width - len(v)) for u, v in lists.items()}
 
 
 def test_sorts_return_all_rows_in_order(spark):
     parts = sorted((r["p_brand"], r["p_retailprice"], r["p_partkey"]) for r in given(spark, "part"))
     assert len(parts) > 100
-    assert [(r["p_brand"], r["p_retailprice"], r["p_partkey"], r["place"]) for r in run(spark, "srt01_multi_key_whole")] == [(*k, i) for i, k in enumerate(parts, 1)]
+    assert [(r["p_brand"], r["p_retailprice"], r["p_partkey"], r["place"]) for r in run(spark, "srt01_multi_key")] == [(*k, i) for i, k in enumerate(parts, 1)]
     suppliers = sorted(((r["s_acctbal"] is None, -(r["s_acctbal"] or 0), r["s_suppkey"]) for r in given(spark, "supplier")))
-    assert [r["s_suppkey"] for r in run(spark, "srt02_metric_desc_whole")] == [k for *_, k in suppliers]
+    assert [r["s_suppkey"] for r in run(spark, "srt02_metric_desc")] == [k for *_, k in suppliers]
     pages = sorted((r["url"], r["page_id"]) for r in given(spark, "pages"))
-    assert len(pages) > 20 and [(r["url"], r["page_id"]) for r in run(spark, "srt10_path_order_whole")] == pages
+    assert len(pages) > 20 and [(r["url"], r["page_id"]) for r in run(spark, "srt10_path_order")] == pages
 
 
 def test_quality_without_matching_labels_is_that_without_labels(spark):
