@@ -32,16 +32,12 @@ def nearest_value(points: DataFrame, point: str, values: Column) -> DataFrame:
     return points.withColumn("nearest", F.get(values, best["i"]))
 
 
-def overlapping(spans: Column, tokens: Column) -> Column:
-    """The tokens of an array that a span (begin, end) touches."""
-    return F.filter(tokens, lambda t: (t["end"] > spans["begin"]) & (t["begin"] < spans["end"]))
-
-
 def cyclic(records: DataFrame, order: str, n: int) -> DataFrame:
     """``n`` rows that go round the records in order: row i has record i mod count. Column ``i`` from 0."""
     from pyspark.sql import Window
 
-    numbered = records.withColumn("_k", F.row_number().over(Window.orderBy(order)) - 1)
-    count = records.agg(F.count("*").alias("_n"))
-    rows = records.sparkSession.range(n).withColumnRenamed("id", "i").join(F.broadcast(count)).where("_n > 0")
-    return rows.withColumn("_k", (F.col("i") % F.col("_n")).cast("int")).join(numbered, "_k").drop("_k", "_n")
+    # rows beyond the first n are never asked for: only these are numbered
+    numbered = records.orderBy(order).limit(n).withColumn("_k", F.row_number().over(Window.orderBy(order)) - 1)
+    rows = records.sparkSession.range(n).withColumnRenamed("id", "i")
+    rows = rows.withColumn("_k", (F.col("i") % F.lit(max(1, numbered.count()))).cast("int"))
+    return rows.join(numbered, "_k").drop("_k")
