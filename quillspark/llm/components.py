@@ -2,7 +2,13 @@
 
 Each step sends every node's neighbours to the smallest one, so the work is in proportion to the
 edges and the number of rounds grows with the logarithm of a component's size. Rounds are written to
-the shared folder; nothing but two sums goes to the driver.
+the shared folder; nothing but two sums goes to the driver. Least neighbours are written too before
+they are joined to all edges, so that the join is one of plain shuffles, whose hot nodes (centres of
+large stars) Spark deals out to several tasks.
+
+Defined results: edges from a node to itself are ignored, repeated edges count once, and so does an
+edge and its reverse; edges with a null end are ignored; without edges there are no rows; columns
+beside ``u`` and ``v`` are not read.
 """
 
 from __future__ import annotations
@@ -23,13 +29,13 @@ def components(edges: DataFrame) -> DataFrame:
     before = _sum(now)
     while before[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
-        small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        lower = large.groupBy("u").agg(F.min("v").alias("m"))
+        joined = large.join(lower, "u")
+        small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(lower.select("u", F.col("m").alias("v")))
         last, now = now, written(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
-        discard(last)
+        discard(last, least)
         after = _sum(now)
         if after == before:
             break
