@@ -5,7 +5,9 @@ layouts say, as data, where a conversation's turns, roles and texts are; the map
 column expressions that give one row for each turn. Columns beside a layout's own don't matter.
 ``from_json_rows`` does the same for JSON strings whose layout differs from row to row.
 
-The conversation's own column is no part of the layout. Template: ``<|im_start|>role\\ntext<|im_end|>\\n`` for each turn. In texts and roles a backslash is
+The conversation's own column is no part of the layout.
+
+Template: ``<|im_start|>role\\ntext<|im_end|>\\n`` for each turn. In texts and roles a backslash is
 doubled and a backslash goes after the first character of each control string, so that no control
 string is left inside; reading back drops each first backslash. Roles also escape line ends.
 

@@ -221,7 +221,8 @@ def fit(docs: DataFrame, labels: DataFrame | None, key: str = "doc_id", text: st
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.string()), part.column(2), part.column(3), pa.array(sound.tolist(), pa.list_(pa.int32())), pa.array(safe.tolist(), pa.list_(pa.int32())), pa.array(blobs, pa.binary())], names=["key", "quality", "toxic", "sound", "safe", "at"])
 
     table = picked.mapInArrow(run, "key string, quality int, toxic int, sound array<int>, safe array<int>, at binary").toArrow()
-    rows = sorted(range(table.num_rows), key=lambda i, k=table.column("key").to_pylist(), a=table.column("at").to_pylist(): (k[i], a[i]))
+    keys, features = table.column("key").to_pylist(), table.column("at").to_pylist()
+    rows = sorted(range(table.num_rows), key=lambda i: (keys[i] or "", features[i]))  # whatever order tasks end in
     if not rows:
         return Scorer(np.zeros((WIDTH + 1, 2)), (1.0, 1.0), (np.zeros(0), np.zeros(0)))
     blobs = table.column("at")
