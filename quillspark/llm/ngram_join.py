@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrowkit import LOWER, NOT_BLANK, U64, Tokens, _WORD_POWERS, discard, mix, rolling, slices, spare, text_bytes, written
+from .arrowkit import LOWER, NOT_BLANK, U64, Tokens, _WORD_POWERS, discard, mix, release, rolling, slices, spare, text_bytes, written
 from .components import components
 from .substring_dedup import bitmap, bits_for, in_bitmap
 
@@ -119,6 +119,8 @@ def _signed(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
                 blob = zlib.compress(np.minimum(chunk, 65535).astype("<u2").tobytes(), 1)
                 none = pa.nulls(1, pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.nulls(1, key_type), none, none, pa.array([k], pa.int32()), pa.array([blob], pa.binary())], names=names)
+        del counts
+        release()
 
     source = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("t"))
     from pyspark.sql.pandas.types import to_arrow_type
@@ -186,6 +188,7 @@ def _entries(docs: DataFrame, text: str, n: int, share: tuple[int, int], rarity)
                     columns[4].append(np.arange(len(order), dtype=np.int32))
                 if columns[0]:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], names=["e", "part", "sign", "n", "at"])
+        release()
 
     return docs.select(F.col(f"`{text}`")).mapInArrow(run, "e long, part int, sign long, n int, at int")
 
@@ -288,6 +291,7 @@ def _sets(docs: DataFrame, text: str, n: int, wanted) -> DataFrame:
                     blobs.append(elements.tobytes())
                 if signs:
                     yield pa.RecordBatch.from_arrays([pa.array(signs, pa.int64()), pa.array(blobs, pa.binary())], names=["sign", "elements"])
+        release()
 
     return docs.select(F.col(f"`{text}`")).mapInArrow(run, "sign long, elements binary").dropDuplicates(["sign"])
 
@@ -311,6 +315,7 @@ def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 sizes.append((len(x), len(other), int((other[place] == x).sum())))
             columns = np.array(sizes, np.int64).reshape(-1, 3).T
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c) for c in columns]], names=["u", "v", "nu", "nv", "both"])
+        release()
 
     return joined.mapInArrow(run, "u long, v long, nu long, nv long, both long")
 
