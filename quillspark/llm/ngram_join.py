@@ -41,6 +41,7 @@ from .substring_dedup import bitmap, bits_for, in_bitmap
 
 BUCKETS = 24
 _CHUNK = 1 << 18
+_HELD = 1 << 22  # elements that a task counts at once
 COMMON = 4
 #: Entries of an index list that one task takes; longer lists are dealt in parts.
 LIST_BLOCK = 4096
@@ -103,23 +104,33 @@ def _signed(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
     """Per row its set's size and signature; and at the end of each task its counts of element buckets, in packed chunks (rows with a chunk)."""
     names = ["key", "n", "sign", "chunk", "counts"]
 
+    def packed(seen: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        places = np.sort(np.concatenate(seen)) if seen else np.zeros(0, np.uint32)
+        cuts = np.searchsorted(places, np.arange(0, (1 << BUCKETS) + 1, _CHUNK))
+        for k, (a, b) in enumerate(zip(cuts.tolist(), cuts[1:].tolist())):
+            if a < b:
+                counts = np.bincount(places[a:b].astype(np.int64) - k * _CHUNK, minlength=_CHUNK)
+                blob = zlib.compress(np.minimum(counts, 65535).astype("<u2").tobytes(), 1)
+                none = pa.nulls(1, pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, key_type), none, none, pa.array([k], pa.int32()), pa.array([blob], pa.binary())], names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << BUCKETS, np.uint32)
+        seen: list[np.ndarray] = []
+        held = 0
         for batch in batches:
             for part in slices(batch, "t"):
                 sets = shingle_sets(part.column(1), n)
                 sizes = np.array([len(s) for s in sets], np.int64)
                 signs = pa.array([signature(s) if len(s) else None for s in sets], pa.int64())
                 if sizes.sum():
-                    np.add.at(counts, (np.concatenate(sets) >> U64(64 - BUCKETS)).astype(np.int64), np.uint32(1))
+                    seen.append((np.concatenate(sets) >> U64(64 - BUCKETS)).astype(np.uint32))
+                    held += len(seen[-1])
+                if held > _HELD:
+                    yield from packed(seen)
+                    seen, held = [], 0
                 none = pa.nulls(len(sets), pa.int32())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), signs, none, pa.nulls(len(sets), pa.binary())], names=names)
-        for k, chunk in enumerate(counts.reshape(-1, _CHUNK)):
-            if chunk.any():
-                blob = zlib.compress(np.minimum(chunk, 65535).astype("<u2").tobytes(), 1)
-                none = pa.nulls(1, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, key_type), none, none, pa.array([k], pa.int32()), pa.array([blob], pa.binary())], names=names)
-        del counts
+        yield from packed(seen)
         release()
 
     source = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("t"))

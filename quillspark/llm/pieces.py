@@ -32,7 +32,7 @@ from .arrowkit import append, mix
 from .merge_order import MergeOrder, Table
 
 BLANK = "▁"
-_REMEMBERED = 500_000
+_REMEMBERED = 200_000
 _SHORT = 64
 _CHAR = np.uint64(0x9E3779B97F4A7C15)
 _ROWS = 200_000  # characters that advance together

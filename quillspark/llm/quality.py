@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrowkit import LOWER, NOT_BLANK, U64, Tokens, _BYTE_POWERS, _BYTE_VALUES, append, byte_set, mix, rolling, slices, text_bytes
+from .arrowkit import LOWER, NOT_BLANK, U64, Tokens, _BYTE_POWERS, _BYTE_VALUES, append, byte_set, mix, release, rolling, slices, text_bytes
 from .ftrl import Ftrl, temperature
 
 WIDTH = 1 << 18
@@ -219,6 +219,7 @@ def fit(docs: DataFrame, labels: DataFrame | None, key: str = "doc_id", text: st
                 cuts = np.searchsorted(row, np.arange(b.rows + 1))
                 blobs = [bucket[x:y].astype("<u4").tobytes() for x, y in zip(cuts, cuts[1:])]
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.string()), part.column(2), part.column(3), pa.array(sound.tolist(), pa.list_(pa.int32())), pa.array(safe.tolist(), pa.list_(pa.int32())), pa.array(blobs, pa.binary())], names=["key", "quality", "toxic", "sound", "safe", "at"])
+        release()
 
     table = picked.mapInArrow(run, "key string, quality int, toxic int, sound array<int>, safe array<int>, at binary").toArrow()
     keys, features = table.column("key").to_pylist(), table.column("at").to_pylist()
