@@ -116,5 +116,86 @@ def op6_secret_scan() -> str:
     FROM documents LEFT JOIN one USING (doc_id)"""
 
 
+def op12_collocations() -> str:
+    return rf"""
+    WITH piece AS (
+      SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w
+      FROM (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER_LETTERS}'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents)),
+    f AS MATERIALIZED (
+      SELECT lang, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS phrase, count(*) AS a
+      FROM (SELECT lang, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i FROM piece, (VALUES (1), (2), (3)) v(k) WHERE len(w) >= k) GROUP BY ALL),
+    total AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY 1),
+    cand AS MATERIALIZED (SELECT * FROM f WHERE k > 1 AND a >= 10),
+    cut AS (
+      SELECT lang, phrase, k, a, c, array_to_string(list_slice(w, 1, c), ' ') AS x, array_to_string(list_slice(w, c + 1, k), ' ') AS y
+      FROM (SELECT *, string_split(phrase, ' ') AS w, unnest(generate_series(1, k - 1)) AS c FROM cand)),
+    scored AS (
+      SELECT cut.*, x.a AS l, y.a AS r, CAST(CAST(1000000 AS HUGEINT) * cut.a * cut.a // (CAST(x.a AS HUGEINT) * y.a) AS BIGINT) AS score
+      FROM cut JOIN f x ON x.lang = cut.lang AND x.phrase = cut.x JOIN f y ON y.lang = cut.lang AND y.phrase = cut.y),
+    best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) AS i FROM scored) WHERE i = 1),
+    inside AS (
+      SELECT lang, p, max(a) AS longer FROM (
+        SELECT lang, a, unnest([array_to_string(list_slice(w, 1, 2), ' '), array_to_string(list_slice(w, 2, 3), ' ')]) AS p
+        FROM (SELECT lang, a, string_split(phrase, ' ') AS w FROM cand WHERE k = 3)) GROUP BY 1, 2),
+    ranked AS (
+      SELECT best.*, row_number() OVER (PARTITION BY best.lang ORDER BY score DESC, a DESC, phrase) AS rank
+      FROM best LEFT JOIN inside ON inside.lang = best.lang AND inside.p = best.phrase WHERE longer IS NULL OR 100 * longer < 50 * a)
+    SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN total USING (lang) WHERE rank <= 2000"""
+
+
+def op13_repair() -> str:
+    def add(path: str, cost: str, edit: str) -> str:
+        """A path is its cost in twelve digits and its audit, so the least string is the cheapest path."""
+        return f"lpad(CAST(CAST({path}[1:12] AS BIGINT) + {cost} AS VARCHAR), 12, '0') || {path}[13:] || '{edit}'"
+
+    said = "coalesce(CAST({0} AS VARCHAR), ' ')".format
+    bits = "c"
+    for _ in range(8):
+        bits = f"list_transform([{bits}], lambda z: xor(z >> 1, CASE WHEN z & 1 = 1 THEN 3988292384 ELSE 0 END))[1]"
+    crc = f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({said('conv_id')} || ':' || {said('turn')}, ''), lambda y: CAST(ord(y) AS BIGINT))), lambda x, y: list_transform([xor(x, y)], lambda c: {bits})[1]), 4294967295)"
+    ready = "least(n, s, p.a)"
+    return rf"""
+    WITH RECURSIVE kinds AS (SELECT conv_id, turn, {said("role")} AS role, {said("text")} AS text, CAST({crc} % 20 AS INTEGER) AS kind FROM conversations),
+    hurt AS (
+      SELECT conv_id AS key, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+        CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+        unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy
+      FROM kinds WHERE kind <> 0),
+    row_ AS MATERIALIZED (
+      SELECT key, turn, role, text, role[1:1] AS c, row_number() OVER w AS place, lag(role[1:1]) OVER w AS before,
+        CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'blank'
+          WHEN row_number() OVER (PARTITION BY key, role, text ORDER BY turn NULLS FIRST, copy) > 1 THEN 'duplicate'
+          WHEN NOT regexp_matches(text, '[.!?][ 	-]*\z') THEN 'truncated' END AS fault
+      FROM hurt WINDOW w AS (PARTITION BY key ORDER BY turn NULLS FIRST, role, text, copy)),
+    fold AS (
+      SELECT key, 0::BIGINT AS place, lpad('', 12, '0') AS n, NULL::VARCHAR AS s, '000000000002I' AS u, '000000000004II' AS a FROM (SELECT DISTINCT key FROM row_)
+      UNION ALL
+      SELECT key, place, n, s, u2, least(a, {add("u2", "2", "I")})
+      FROM (SELECT *, least(u, {add("least(n, s, a)", "2", "I")}) AS u2 FROM (
+        SELECT p.key, q.place, {add("n", "3", "D")} AS n,
+          least({add("s", "3", "D")}, CASE WHEN free AND c = 's' THEN {add("n", "late", "K")} END) AS s,
+          least({add("u", "3", "D")}, CASE WHEN free AND c = 'u' THEN {add(ready, "late", "K")} END, CASE WHEN free THEN {add(ready, "late + 2", "R")} END) AS u,
+          least({add("p.a", "3", "D")}, CASE WHEN free AND c = 'a' THEN {add("u", "late", "K")} END, CASE WHEN free THEN {add("u", "late + 2", "R")} END) AS a
+        FROM fold p JOIN (SELECT key, place, c, coalesce(fault NOT IN ('blank', 'duplicate'), true) AS free, CAST(coalesce(fault = 'truncated', false) AS INTEGER) AS late FROM row_) q
+          ON p.key IS NOT DISTINCT FROM q.key AND q.place = p.place + 1))),
+    best AS MATERIALIZED (SELECT key, CAST(v[1:12] AS BIGINT) AS cost, v[13:] AS audit FROM (SELECT key, arg_max(least(n, a), place) AS v FROM fold GROUP BY 1)),
+    edit AS (SELECT key, unnest(string_split(audit, '')) AS e, unnest(generate_series(1, length(audit))) AS i FROM best WHERE audit <> ''),
+    placed AS (SELECT key, e, i, count(*) FILTER (WHERE e <> 'I') OVER w AS place, count(*) FILTER (WHERE e <> 'D') OVER w AS j FROM edit WINDOW w AS (PARTITION BY key ORDER BY i)),
+    spoken AS (
+      SELECT placed.key, e, i, j, role, text, max(CASE WHEN j = 1 AND e = 'K' AND c = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY placed.key) AS shift
+      FROM placed LEFT JOIN row_ ON row_.key IS NOT DISTINCT FROM placed.key AND row_.place = placed.place AND e <> 'I' WHERE e <> 'D'),
+    line AS (
+      SELECT key, sha256(string_agg((CASE WHEN e = 'K' THEN role WHEN (j - shift) % 2 = 1 THEN 'user' ELSE 'assistant' END) || ':' || coalesce(text, ''), chr(10) ORDER BY i)) AS h FROM spoken GROUP BY 1),
+    fault AS (
+      SELECT key, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank,
+        count(*) FILTER (WHERE fault = 'duplicate') AS duplicate, count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+        count(*) FILTER (WHERE before IS NOT NULL AND before || c NOT IN ('su', 'ua', 'au')) AS illegal
+      FROM row_ GROUP BY 1)
+    SELECT o.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+      coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, coalesce(h, sha256('')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN fault ON fault.key IS NOT DISTINCT FROM o.conv_id
+      LEFT JOIN best ON best.key IS NOT DISTINCT FROM o.conv_id LEFT JOIN line ON line.key IS NOT DISTINCT FROM o.conv_id"""
+
+
 def oracles() -> dict[str, str]:
     return {name: f() for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
