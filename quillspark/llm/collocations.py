@@ -35,7 +35,9 @@ _BREAK = b"\xff"
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else 0xFF if b in b".,;:!?\x0a\x0b\x0c\x0d" else 32 if b == 9 else b for b in range(256))
 
 #: Words of a shard, and bytes of text that are split at once.
-SHARD_WORDS, _CHUNK = 1 << 22, 1 << 20
+SHARD_WORDS, _CHUNK = 1 << 20, 1 << 20
+#: Rows handed on at once.
+_ROWS = 1 << 15
 _TURN = U64(0x9FB21C651E98DF25)
 
 
@@ -126,7 +128,7 @@ class Automaton:
 def _levels(docs: DataFrame, depth: int, table) -> DataFrame:
     """Runs of ``depth`` words by shard: g, phrase, n; with depth 1 also the number of all words (phrase null)."""
 
-    def emit(known: Words, parts: list[np.ndarray], context: int) -> pa.RecordBatch:
+    def emit(known: Words, parts: list[np.ndarray], context: int) -> Iterator[pa.RecordBatch]:
         words = np.concatenate(parts)
         hashes = np.array([0, *(_hash(w, g.encode()) for w, g in zip(known.words[1:], known.names[1:]))], U64) if depth > 1 else None
         found = Automaton(words, depth, context, hashes, table.value if table else None)
@@ -140,7 +142,9 @@ def _levels(docs: DataFrame, depth: int, table) -> DataFrame:
             sums = pa.table([of, n], ["g", "n"]).group_by("g").aggregate([("n", "sum")])
             of, n = pa.concat_arrays([of, *sums.column("g").chunks]), pa.concat_arrays([n, *sums.column("n_sum").chunks])
             phrase = pa.concat_arrays([phrase, pa.nulls(sums.num_rows, pa.string())])
-        return pa.RecordBatch.from_arrays([of, phrase, n], names=["g", "phrase", "n"])
+        whole = pa.RecordBatch.from_arrays([of, phrase, n], names=["g", "phrase", "n"])
+        for at in range(0, whole.num_rows, _ROWS):
+            yield whole.slice(at, _ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, parts, held, context = Words(), [np.zeros(1, np.int32)], 0, 0
@@ -152,14 +156,14 @@ def _levels(docs: DataFrame, depth: int, table) -> DataFrame:
                         parts.append(numbers)
                         held += len(numbers)
                         if held >= SHARD_WORDS:
-                            yield emit(known, parts, context)
+                            yield from emit(known, parts, context)
                             tail = np.concatenate(parts[-depth:])[-(depth - 1) :] if depth > 1 else numbers[:0]
                             before = [_BREAK if not x else known.words[x] for x in tail.tolist()]
                             known = Words()
                             parts, held, context = [np.zeros(1, np.int32), known.numbers(group, before)], 0, 1 + len(before)
                     parts.append(np.zeros(1, np.int32))
         if held:
-            yield emit(known, parts, context)
+            yield from emit(known, parts, context)
         release()
 
     return docs.mapInArrow(run, "g string, phrase string, n long")
