@@ -45,14 +45,14 @@ class Words:
     """Numbers of the words of one group; all groups of a shard number from one list. Breaks are 0."""
 
     class _Group(dict):
-        def __init__(self, owner: Words, name: str):
+        def __init__(self, name: str, words: list[bytes], names: list[str]):  # no link back to the owner: a cycle would stay in memory
             super().__init__({_BREAK: 0})
-            self.owner, self.name = owner, name
+            self.name, self.words, self.names = name, words, names
 
         def __missing__(self, word: bytes) -> int:
-            self[word] = number = len(self.owner.words)
-            self.owner.words.append(word)
-            self.owner.names.append(self.name)
+            self[word] = number = len(self.words)
+            self.words.append(word)
+            self.names.append(self.name)
             return number
 
     def __init__(self):
@@ -63,7 +63,7 @@ class Words:
     def numbers(self, group: str, words: list[bytes]) -> np.ndarray:
         own = self.groups.get(group)
         if own is None:
-            own = self.groups[group] = self._Group(self, group)
+            own = self.groups[group] = self._Group(group, self.words, self.names)
         return np.fromiter(map(own.__getitem__, words), np.int32, len(words))
 
 
@@ -143,6 +143,7 @@ def _levels(docs: DataFrame, depth: int, table) -> DataFrame:
             of, n = pa.concat_arrays([of, *sums.column("g").chunks]), pa.concat_arrays([n, *sums.column("n_sum").chunks])
             phrase = pa.concat_arrays([phrase, pa.nulls(sums.num_rows, pa.string())])
         whole = pa.RecordBatch.from_arrays([of, phrase, n], names=["g", "phrase", "n"])
+        del words, hashes, found, runs, letters, texts
         for at in range(0, whole.num_rows, _ROWS):
             yield whole.slice(at, _ROWS)
 
