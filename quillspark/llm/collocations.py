@@ -35,7 +35,7 @@ _BREAK = b"\xff"
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else 0xFF if b in b".,;:!?\x0a\x0b\x0c\x0d" else 32 if b == 9 else b for b in range(256))
 
 #: Words of a shard, and bytes of text that are split at once.
-SHARD_WORDS, _CHUNK = 1 << 20, 1 << 20
+SHARD_WORDS, _CHUNK = 1 << 19, 1 << 20
 #: Rows handed on at once.
 _ROWS = 1 << 15
 _TURN = U64(0x9FB21C651E98DF25)
