@@ -65,3 +65,29 @@ def test_queries_need_no_session():
     code = "import __spark_entry__ as e; assert e.queries() and e.oracle_sql()"
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     subprocess.run([sys.executable, "-c", code], check=True, cwd=root)
+
+
+def test_the_core_stands_without_llm(tmp_path):
+    """The entry and every core test module import, and no core query is lost, where ``llm`` can't be imported."""
+    import subprocess
+    import sys
+
+    code = """
+import importlib.abc, sys
+
+class Gone(importlib.abc.MetaPathFinder):
+    def find_spec(self, name, path=None, target=None):
+        if name == "corpus_pipeline" or name.startswith(("quillspark.llm", "tests.llm")):
+            raise ModuleNotFoundError(name)
+
+sys.meta_path.insert(0, Gone())
+import glob, importlib, os
+import __spark_entry__ as e
+from quillspark.plans import registry
+assert set(e.queries()) == set(registry.queries()) and set(e.oracle_sql()) == set(registry.oracle_sql())
+for f in glob.glob("tests/test_*.py"):
+    importlib.import_module("tests." + os.path.basename(f)[:-3])
+    assert "quillspark.llm" not in open(f).read().replace('"quillspark.llm', "")
+"""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=root)

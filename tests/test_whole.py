@@ -99,15 +99,3 @@ def test_sorts_return_all_rows_in_order(spark):
     assert [r["s_suppkey"] for r in run(spark, "srt02_metric_desc")] == [k for *_, k in suppliers]
     pages = sorted((r["url"], r["page_id"]) for r in given(spark, "pages"))
     assert len(pages) > 20 and [(r["url"], r["page_id"]) for r in run(spark, "srt10_path_order")] == pages
-
-
-def test_quality_without_matching_labels_is_that_without_labels(spark):
-    import numpy as np
-    from quillspark.llm.quality import fit
-
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    labels = spark.read.parquet(f"{SF}/labels.parquet")
-    expected = fit(docs, None).weights
-    assert np.abs(expected).max() > 0
-    for none in (labels.where("false"), labels.selectExpr("-1 - doc_id AS doc_id", "quality", "toxic")):
-        assert np.array_equal(fit(docs, none).weights, expected)
