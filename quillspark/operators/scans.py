@@ -102,3 +102,41 @@ def islands(df: DataFrame, keys: list[str], order: list[str], before: dict[str,
     held = Scan(df, keys, order, ranges).previous(before, first="_head")
     starts = F.when(F.col("_head") | ~F.coalesce(joins, F.lit(False)), 1).otherwise(0).cast("long")
     return held.with_columns({"_starts": starts}).running({name: F.col("_starts")}).rows().drop("_starts", "_head", *before)
+
+
+def joined_text(df: DataFrame, keys: list[str], order: list[str], value: Column, separator: str, name: str, block: int = 4096, ranges: int | None = None) -> DataFrame:
+    """One text a key: its values in order with a separator between. Blocks of rows are joined apart, then the blocks of a key."""
+    held = numbered(df.select(*keys, *[c for c in order if c not in keys], value.cast("string").alias("_text")).where("_text is not null"), keys, order, "_place", ranges)
+    part = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_place", "_text"))), lambda s: s["_text"]), separator)
+    parts = held.groupBy(*keys, F.expr(f"(_place - 1) div {block}").alias("_block")).agg(part.alias("_text"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_block", "_text"))), lambda s: s["_text"]), separator)
+    return df.select(*keys).distinct().join(parts.groupBy(*keys).agg(whole.alias(name)), keys, "left") if len(keys) else parts.agg(whole.alias(name))
+
+
+def runs(df: DataFrame, keys: list[str], order: list[str], active: Column, least: int = 3, gap: int = 5, ranges: int | None = None) -> DataFrame:
+    """Runs [begin, end) of rows (counted from 0) that are active: those of ``least`` rows or more, joined over gaps of up to ``gap`` rows."""
+    on = F.coalesce(active, F.lit(False))
+    scan = Scan(df.select(*keys, *[c for c in order if c not in keys], on.alias("_on")), keys, order, ranges).previous({"_was": F.col("_on")})
+    scan = scan.running({"_place": F.lit(1).cast("long"), "_run": F.when(F.col("_on") & ~F.coalesce(F.col("_was"), F.lit(False)), 1).otherwise(0).cast("long")})
+    found = scan.rows().where("_on").groupBy(*keys, "_run").agg((F.min("_place") - 1).alias("begin"), F.max("_place").alias("end")).where(F.col("end") - F.col("begin") >= least)
+    near = F.col("begin") - F.col("_end") <= gap
+    joined = islands(found, keys, ["begin"], {"_end": F.col("end")}, near, "_joined", ranges)
+    return joined.groupBy(*keys, "_joined").agg(F.min("begin").alias("begin"), F.max("end").alias("end")).drop("_joined")
+
+
+def interval_of(points: DataFrame, keys: list[str], value: str, bounds: DataFrame, bound: str, name: str, ranges: int | None = None) -> DataFrame:
+    """Add the index (from 0) of the interval between neighbouring bounds of the key that holds the value, ends included.
+
+    On a bound between two intervals the first holds it. Null for values outside of all, and where the key has fewer than two
+    bounds. Points and bounds are sorted together, so an interval's index is the number of bounds passed.
+    """
+    marks = bounds.select(*keys, F.col(bound).cast("double").alias("_at"), F.lit(1).alias("_kind")).where("_at is not null")
+    both = points.withColumn("_at", F.col(value).cast("double")).withColumn("_kind", F.lit(0)).unionByName(marks, allowMissingColumns=True)
+    passed = Scan(both, keys, ["_at", "_kind"], ranges).running({"_passed": F.col("_kind").cast("long")}).rows().where("_kind = 0")
+    known = marks.groupBy(*keys).agg(F.count("*").alias("_bounds"), F.min("_at").alias("_least")).withColumnsRenamed({k: f"_key{i}" for i, k in enumerate(keys)})
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & passed[k].eqNullSafe(known[f"_key{i}"])
+    index = F.when(F.col("_at") == F.col("_least"), 0).when(F.col("_passed") > 0, F.col("_passed") - 1)
+    inside = (F.col("_passed") < F.col("_bounds")) & (F.col("_bounds") > 1)
+    return passed.join(known, same, "left").withColumn(name, F.when(inside, index).cast("int")).drop("_at", "_kind", "_passed", "_bounds", "_least", *known.columns[: len(keys)])
