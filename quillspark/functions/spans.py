@@ -16,7 +16,16 @@ def spans(body: Column, pattern: str) -> Column:
     """
     gaps = F.transform(F.split(body, pattern, -1), lambda x: F.length(x))
     found = F.regexp_extract_all(body, F.lit(pattern), F.lit(0))
-    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: F.struct(g.alias("gap"), m.alias("text")))
+    met = bound(found, lambda m: F.zip_with(F.slice(gaps, F.lit(1), F.size(m)), m, lambda g, t: F.struct(g.alias("gap"), t.alias("text"))))
+    return bound(met, _placed)
+
+
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once a row, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _placed(pairs: Column) -> Column:
     numbers = F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / _CHUNK).cast("int"))
     width = lambda p: p["gap"] + F.length(p["text"])
     none = F.array().cast("array<struct<begin:int,end:int,text:string>>")
@@ -26,11 +35,14 @@ def spans(body: Column, pattern: str) -> Column:
         one = F.struct(begin.alias("begin"), (begin + F.length(p["text"])).alias("end"), p["text"].alias("text"))
         return F.struct((acc["at"] + width(p)).alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
+    def from_chunks(chunks: Column) -> Column:
+        sums = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), lambda a, p: a + width(p)))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        base = F.aggregate(sums, start, lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")), lambda acc: acc["out"])
+        return F.flatten(F.zip_with(chunks, base, lambda c, b: F.aggregate(c, F.struct(b.alias("at"), none.alias("out")), place, lambda acc: acc["out"])))
+
     chunks = F.transform(numbers, lambda i: F.slice(pairs, i * _CHUNK + 1, F.lit(_CHUNK)))
-    sums = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), lambda a, p: a + width(p)))
-    base = F.transform(numbers, lambda i: F.aggregate(F.slice(sums, F.lit(1), i), F.lit(0), lambda a, x: a + x))
-    placed = F.zip_with(chunks, base, lambda c, b: F.aggregate(c, F.struct(b.alias("at"), none.alias("out")), place, lambda acc: acc["out"]))
-    return F.when(F.size(found) > 0, F.flatten(placed)).otherwise(none)
+    return F.when(F.size(pairs) > 0, bound(chunks, from_chunks)).otherwise(none)
 
 
 def under(span: Column, tokens: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns
 from ..functions.numbers import elapsed_seconds, rate
+from .percentiles import percentiles
 
 #: Status that a stage stands for; others are ``extracting``.
 STAGE_STATUS = {"uploaded": "queued", "preprocessing": "preprocessing", "classifying": "classifying", "extracting": "extracting", "redacting": "redacting", "persisting": "persisting", "completed": "completed", "needs_review": "needs_review"}
@@ -56,18 +57,20 @@ def operations(jobs: DataFrame) -> DataFrame:
     success = F.count_if(F.col("status").isin(patterns.SUCCESS))
     seconds = F.when(ended, F.col("processing_seconds"))
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    return jobs.agg(
+    one = jobs.agg(
         F.count("*").alias("job_count"),
         n.alias("terminal_job_count"),
         F.bround(rate(success, n), 6).alias("success_rate"),
         F.bround(rate(F.count_if(F.col("status") == "failed"), n), 6).alias("failure_rate"),
         F.bround(rate(F.count_if(F.col("status") == "needs_review"), n), 6).alias("needs_review_rate"),
         zero(F.avg(seconds)).alias("mean_seconds"),
-        zero(F.percentile(seconds, F.lit(0.5))).alias("p50_seconds"),
-        zero(F.percentile(seconds, F.lit(0.95))).alias("p95_seconds"),
         zero(F.max(seconds)).alias("max_seconds"),
         F.max(F.when(ended, F.col("completed_at"))).alias("latest_terminal_at"),
     )
+    ranks = percentiles(jobs, [], seconds, {"p50": 0.5, "p95": 0.95})
+    columns = [F.col(c) for c in one.columns]
+    shares = [zero(F.col(c)).alias(f"{c}_seconds") for c in ("p50", "p95")]
+    return one.join(ranks).select(*columns[:6], *shares, *columns[6:])  # one row each
 
 
 def retryable(jobs: DataFrame) -> DataFrame:

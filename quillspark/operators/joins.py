@@ -41,3 +41,18 @@ def cyclic(records: DataFrame, order: str, n: int) -> DataFrame:
     rows = records.sparkSession.range(n).withColumnRenamed("id", "i")
     rows = rows.withColumn("_k", (F.col("i") % F.lit(max(1, numbered.count()))).cast("int"))
     return rows.join(numbered, "_k").drop("_k")
+
+
+def overlapping(left: DataFrame, lb: str, le: str, right: DataFrame, rb: str, re: str, keys: list[str], width: int) -> DataFrame:
+    """Pairs of intervals [begin, end) of one key that share a place; the other columns of both sides must differ in name.
+
+    Both sides are dealt to the cells of ``width`` that they touch; a pair that meets in several is taken in the first of
+    these. Nothing is collected by key, and an interval meets only those near it. Empty intervals meet nothing.
+    """
+
+    def dealt(df: DataFrame, b: str, e: str, cell: str) -> DataFrame:
+        cells = F.sequence(F.floor(F.col(b) / width), F.floor((F.col(e) - 1) / width))
+        return df.where(F.col(b) < F.col(e)).withColumn("_cell", F.explode(cells)).withColumn(cell, F.floor(F.col(b) / width))
+
+    met = dealt(left, lb, le, "_first_l").join(dealt(right, rb, re, "_first_r"), [*keys, "_cell"])
+    return met.where((F.col("_cell") == F.greatest("_first_l", "_first_r")) & (F.col(lb) < F.col(re)) & (F.col(rb) < F.col(le))).drop("_cell", "_first_l", "_first_r")

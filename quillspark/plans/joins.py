@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry
 from ..operators import joins as J
+from ..operators import matching, scans, substrings
 from .registry import query, table
 
 
@@ -83,12 +84,25 @@ def j10_band_join(spark: SparkSession, sf: str) -> DataFrame:
     return J.band(a, "ap", b, "bp", 1.0).where("ab = bb and a < b").select("a", "b")
 
 
-@query()
+#: Pairs gone through in order by one recursion a group: each end is taken once.
+_GREEDY = """m AS (SELECT g, 0::BIGINT AS k, []::BIGINT[] AS p, []::BIGINT[] AS r FROM (SELECT DISTINCT g FROM e)
+      UNION ALL SELECT m.g, e.k, CASE WHEN list_contains(p, pi) OR list_contains(r, ri) THEN p ELSE list_append(p, pi) END, CASE WHEN list_contains(p, pi) OR list_contains(r, ri) THEN r ELSE list_append(r, ri) END
+      FROM m JOIN e ON e.g = m.g AND e.k = m.k + 1),
+    matches AS (SELECT g, max(len(p)) AS matched FROM m GROUP BY 1)"""
+
+
+@query(f"""WITH RECURSIVE s AS (SELECT DISTINCT p_brand AS g, CAST(p_size AS BIGINT) AS pi FROM part), n AS (SELECT g, count(*) AS n FROM s GROUP BY 1),
+    e AS (SELECT s.g, pi, ri, row_number() OVER (PARTITION BY s.g ORDER BY abs(pi - ri), pi, ri) AS k FROM s JOIN range(0, 51, 5) t(ri) ON abs(pi - ri) <= 2), {_GREEDY}
+    SELECT n.g AS p_brand, coalesce(matched, 0) AS matched, round(coalesce(matched, 0) / n, 9) AS precision, round(coalesce(matched, 0) / 11, 9) AS recall, round(coalesce(2 * matched / (n + 11), 0), 9) AS f1 FROM n LEFT JOIN matches USING (g)""")
 def j10_greedy_boundary_match(spark: SparkSession, sf: str) -> DataFrame:
-    sizes = table(spark, sf, "part").groupBy("p_brand").agg(F.array_sort(F.collect_set(F.col("p_size").cast("double"))).alias("sizes"))
-    grid = F.array(*[F.lit(float(x)) for x in range(0, 51, 5)])
-    matched = geometry.boundary_matches(F.col("sizes"), grid, 2.0)
-    return sizes.select("p_brand", matched.alias("matched"), geometry.prf(matched, F.size("sizes"), F.size(grid)).alias("s")).select("p_brand", "matched", "s.*")
+    """Sizes of a brand against a grid, one to one, nearest first: a band join, then rounds of matching."""
+    sizes = table(spark, sf, "part").select("p_brand", F.col("p_size").cast("double").alias("size")).distinct()
+    grid = spark.range(0, 51, 5).select(F.col("id").cast("double").alias("line"))
+    near = J.band(sizes, "size", grid, "line", 2.0).withColumn("brand", F.col("p_brand"))
+    pairs = matching.greedy(near, ["p_brand", "size"], ["brand", "line"], [F.abs(F.col("size") - F.col("line"))])
+    counts = sizes.groupBy("p_brand").agg(F.count("*").alias("n")).join(pairs.groupBy("p_brand").agg(F.count("*").alias("m")), "p_brand", "left")
+    counts = counts.select("p_brand", F.coalesce("m", F.lit(0)).alias("matched"), "n")
+    return counts.select("p_brand", "matched", geometry.prf(F.col("matched"), F.col("n"), F.lit(11)).alias("s")).select("p_brand", "matched", *[F.round(f"s.{c}", 9).alias(c) for c in ("precision", "recall", "f1")])
 
 
 _BOXES = "SELECT l_orderkey, l_linenumber AS k, l_quantity AS x0, l_discount * 100 AS y0, l_quantity + 20 AS x1, l_discount * 100 + 10 AS y1 FROM lineitem"
@@ -109,11 +123,21 @@ def j11_iou_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.groupBy("l_orderkey").agg(F.count("*").alias("pairs"))
 
 
-@query()
+@query(f"""WITH RECURSIVE b AS ({_BOXES}), n AS (SELECT l_orderkey AS g, count(*) FILTER (k % 2 = 0) AS predicted, count(*) FILTER (k % 2 = 1) AS expected FROM b GROUP BY 1),
+    x AS (SELECT a.l_orderkey AS g, CAST(a.k AS BIGINT) AS pi, CAST(b.k AS BIGINT) AS ri, greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0)) AS i
+      FROM b a JOIN b ON a.l_orderkey = b.l_orderkey AND a.k % 2 = 0 AND b.k % 2 = 1),
+    e AS (SELECT g, pi, ri, row_number() OVER (PARTITION BY g ORDER BY round(i / (400 - i), 9) DESC, pi DESC, ri DESC) AS k FROM x WHERE round(i / (400 - i), 9) >= 0.3), {_GREEDY}
+    SELECT n.g AS l_orderkey, coalesce(matched, 0) AS matched, predicted, expected FROM n LEFT JOIN matches USING (g)""")
 def j11_greedy_box_match(spark: SparkSession, sf: str) -> DataFrame:
-    boxes = _boxes(spark, sf).groupBy("l_orderkey").agg(F.collect_list(F.when(F.col("k") % 2 == 0, F.col("box"))).alias("p"), F.collect_list(F.when(F.col("k") % 2 == 1, F.col("box"))).alias("r"))
-    matched = geometry.box_matches(F.col("p"), F.col("r"), 0.3)
-    return boxes.select("l_orderkey", matched.alias("matched"), F.size("p").alias("predicted"), F.size("r").alias("expected"))
+    """Boxes of an order's even lines against those of its odd ones, one to one, greatest overlap first, then later ones."""
+    boxes = _boxes(spark, sf)
+    a = boxes.where("k % 2 = 0").select(F.col("l_orderkey").alias("ga"), F.col("k").alias("pi"), F.col("box").alias("a"))
+    b = boxes.where("k % 2 = 1").select(F.col("l_orderkey").alias("gb"), F.col("k").alias("ri"), F.col("box").alias("b"))
+    over = a.join(b, F.col("ga") == F.col("gb")).withColumn("iou", F.round(geometry.iou(F.col("a"), F.col("b")), 9)).where("iou >= 0.3")
+    pairs = matching.greedy(over, ["ga", "pi"], ["gb", "ri"], [-F.col("iou"), -F.col("pi"), -F.col("ri")])
+    counts = boxes.groupBy("l_orderkey").agg(F.count_if(F.col("k") % 2 == 0).alias("predicted"), F.count_if(F.col("k") % 2 == 1).alias("expected"))
+    found = pairs.groupBy(F.col("ga").alias("l_orderkey")).agg(F.count("*").alias("m"))
+    return counts.join(found, "l_orderkey", "left").select("l_orderkey", F.coalesce("m", F.lit(0)).alias("matched"), "predicted", "expected")
 
 
 @query("""SELECT o_custkey, count(*) AS n FROM (SELECT a.o_custkey FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderkey < b.o_orderkey
@@ -140,12 +164,18 @@ def j14_lateral_top1(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT p_partkey, min(n_nationkey) AS nation FROM part LEFT JOIN nation ON contains(lower(p_name || ' ' || p_type), lower(n_name[1:3])) GROUP BY 1")
 def j15_substring(spark: SparkSession, sf: str) -> DataFrame:
-    """A theta join with a fixed dimension: its 25 rows become one expression, so nothing is joined."""
+    """A theta join as an equi-join on runs of letters: the first name in order that a part's text contains."""
     nations = table(spark, sf, "nation").select("n_nationkey", F.lower(F.substring("n_name", 1, 3)).alias("w"))
-    words = nations.agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "w"))).alias("words"))
     part = table(spark, sf, "part").select("p_partkey", F.lower(F.concat("p_name", F.lit(" "), "p_type")).alias("t"))
-    first = F.get(F.filter("words", lambda x: F.contains(F.col("t"), x["w"])), F.lit(0))
-    return part.join(F.broadcast(words)).select("p_partkey", first["n_nationkey"].alias("nation"))
+    return substrings.first_contained(part, "p_partkey", "t", nations, "w", "n_nationkey", "nation").select("p_partkey", "nation")
+
+
+@query("SELECT doc_id, min(item_id) AS item FROM documents LEFT JOIN (SELECT item_id, text[1:40] AS w FROM benchmark) ON contains(documents.text, w) GROUP BY 1")
+def j15_passage_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """The first benchmark item whose beginning stands somewhere in a document: a dimension of any size, whole texts."""
+    items = table(spark, sf, "benchmark").select("item_id", F.substring("text", 1, 40).alias("w"))
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return substrings.first_contained(docs, "doc_id", "text", items, "w", "item_id", "item", q=6).select("doc_id", "item")
 
 
 @query("""SELECT o_orderkey, coalesce(d.flag, o_orderstatus) AS status FROM orders LEFT JOIN (SELECT l_orderkey, arg_max(l_returnflag, l_linenumber * 1e9 + l_extendedprice) AS flag FROM lineitem WHERE l_returnflag <> 'N' GROUP BY 1) d
@@ -180,10 +210,11 @@ def j19_cyclic(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT conv_id, i AS place, roles[i] AS role, length(texts[i]) AS chars FROM (SELECT conv_id, list(role ORDER BY turn) AS roles, list(text ORDER BY turn) AS texts FROM conversations GROUP BY 1), LATERAL (SELECT unnest(generate_series(1, len(roles))) AS i)")
 def j20_positional_zip(spark: SparkSession, sf: str) -> DataFrame:
-    ordered = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("turn", c))), lambda s: s[c])
-    grouped = table(spark, sf, "conversations").groupBy("conv_id").agg(ordered("role").alias("roles"), ordered("text").alias("texts"))
-    zipped = grouped.select("conv_id", F.posexplode(F.arrays_zip("roles", "texts")).alias("place", "z"))
-    return zipped.select("conv_id", (F.col("place") + 1).cast("long").alias("place"), F.col("z.roles").alias("role"), F.length("z.texts").cast("long").alias("chars"))
+    """Two sequences of a key side by side: each numbered by a scan, joined on the number."""
+    turns = table(spark, sf, "conversations")
+    place = lambda c: scans.numbered(turns.select("conv_id", "turn", c), ["conv_id"], ["turn"], "place").drop("turn")
+    roles, texts = place("role"), place("text")
+    return roles.join(texts, ["conv_id", "place"]).select("conv_id", "place", "role", F.length("text").cast("long").alias("chars"))
 
 
 @query("SELECT event_id, name FROM events JOIN (SELECT c_custkey, min(c_name) AS name FROM customer GROUP BY 1) c ON user_id = c_custkey")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import patterns
-from ..operators import jobs, summaries
+from ..operators import jobs, scans, summaries
 from .registry import query, table
 
 #: Event types stand for the statuses of jobs here; a user stands for a job or a batch.
@@ -89,8 +89,8 @@ def st06_retry(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT user_id, string_agg(event_type, '>' ORDER BY ts, event_id) AS path FROM events GROUP BY 1")
 def st10_ordered_read(spark: SparkSession, sf: str) -> DataFrame:
-    rows = F.array_sort(F.collect_list(F.struct("sequence", "stage")))
-    return _log(spark, sf).groupBy(F.col("job_id").alias("user_id")).agg(F.array_join(F.transform(rows, lambda s: s["stage"]), ">").alias("path"))
+    events = table(spark, sf, "events").select("user_id", "ts", "event_id", "event_type")
+    return scans.joined_text(events, ["user_id"], ["ts", "event_id"], F.col("event_type"), ">", "path")
 
 
 @query("SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")

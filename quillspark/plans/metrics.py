@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers
-from ..operators import summaries
+from ..operators import scans, summaries
+from ..operators.percentiles import percentiles
 from .registry import query, table
 
 
@@ -189,8 +190,8 @@ def a27_ordered_distinct(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY 1")
 def a28_ordered_string_agg(spark: SparkSession, sf: str) -> DataFrame:
-    rows = F.array_sort(F.collect_list(F.struct("turn", "text")))
-    return table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(rows, lambda s: s["text"]), "\n").alias("text"))
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", F.col("text").alias("line"))
+    return scans.joined_text(turns, ["conv_id"], ["turn"], F.col("line"), "\n", "text")
 
 
 @query("SELECT l_returnflag, array_to_string(list_sort(list(DISTINCT l_linenumber))[1:4], ',') AS first_numbers FROM lineitem GROUP BY 1")
@@ -236,7 +237,7 @@ def a35_scorecard(spark: SparkSession, sf: str) -> DataFrame:
     row = lambda area, metric, value, unit: F.struct(F.lit(area).alias("area"), F.lit(metric).alias("metric"), F.round(value.cast("double"), 6).alias("value"), F.lit(unit).alias("unit"))
     one = fields.select(F.inline(F.array(row("fields", "mean_discount", F.col("m"), "ratio"), row("fields", "max_price", F.col("x"), "usd"))))
     two = table(spark, sf, "documents").agg(F.count("*").alias("c")).select(F.inline(F.array(row("documents", "count", F.col("c"), "rows"))))
-    three = table(spark, sf, "events").agg(F.percentile("value", F.lit(0.95)).alias("p")).select(F.inline(F.array(row("jobs", "p95", F.col("p"), "seconds"))))
+    three = percentiles(table(spark, sf, "events"), [], F.col("value"), {"p": 0.95}).select(F.inline(F.array(row("jobs", "p95", F.col("p"), "seconds"))))
     return one.unionByName(two).unionByName(three)
 
 

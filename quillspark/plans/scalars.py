@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry, numbers, text
+from ..operators.percentiles import percentiles
 from .registry import query, table
 
 _FOLDED = "{0}"
@@ -259,7 +260,7 @@ def mth08_confidence_maps(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT event_type, round(quantile_cont(value, 0.85), 6) AS p85 FROM events GROUP BY 1")
 def mth09_percentile(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "events").groupBy("event_type").agg(F.round(F.percentile("value", F.lit(0.85)), 6).alias("p85"))
+    return percentiles(table(spark, sf, "events"), ["event_type"], F.col("value"), {"p85": 0.85}).select("event_type", F.round("p85", 6).alias("p85"))
 
 
 @query("SELECT event_id, round(abs(value - 50), 6) AS residual, round_even(value, 1) AS rounded, greatest(0, least(1, value / 50)) AS clamped FROM events")

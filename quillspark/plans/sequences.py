@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry, numbers
+from ..operators import scans
 from .registry import query, table
 
 
@@ -16,7 +17,7 @@ def _in_order():
 
 @query("SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sequence FROM events")
 def w01_sequence(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "events").select("event_id", F.row_number().over(_in_order()).cast("long").alias("sequence"))
+    return scans.numbered(table(spark, sf, "events").select("user_id", "ts", "event_id"), ["user_id"], ["ts", "event_id"], "sequence").select("event_id", "sequence")
 
 
 @query("SELECT user_id, count(*) FILTER (value < p) AS violations FROM (SELECT user_id, value, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events) GROUP BY 1")
@@ -38,10 +39,9 @@ def w03_weighted_median(spark: SparkSession, sf: str) -> DataFrame:
     g AS (SELECT *, sum(b) OVER (PARTITION BY p_brand ORDER BY v, p_partkey) AS g FROM f)
     SELECT p_brand, CAST(g AS BIGINT) AS island, count(*) AS n, round(sum(v), 2) AS total FROM g GROUP BY p_brand, g""")
 def w04_islands(spark: SparkSession, sf: str) -> DataFrame:
-    w = Window.partitionBy("p_brand").orderBy("p_retailprice", "p_partkey")
-    gap = F.col("p_retailprice") - F.lag("p_retailprice").over(w)
-    flagged = table(spark, sf, "part").withColumn("b", F.when(gap <= 5, 0).otherwise(1))
-    islands = flagged.withColumn("island", F.sum("b").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    part = table(spark, sf, "part").select("p_brand", "p_retailprice", "p_partkey")
+    near = F.col("p_retailprice") - F.col("before") <= 5
+    islands = scans.islands(part, ["p_brand"], ["p_retailprice", "p_partkey"], {"before": F.col("p_retailprice")}, near, "island")
     return islands.groupBy("p_brand", "island").agg(F.count("*").alias("n"), F.round(F.sum("p_retailprice"), 2).alias("total"))
 
 
@@ -54,10 +54,14 @@ def w05_representatives(spark: SparkSession, sf: str) -> DataFrame:
     return kept.select("p_brand", F.size("r").alias("kept"), F.element_at("r", -1).alias("last"))
 
 
-@query()
+@query("""WITH e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, value > 20 AS active FROM events),
+    g AS (SELECT user_id, i, i - row_number() OVER (PARTITION BY user_id ORDER BY i) AS g FROM e WHERE active),
+    r AS (SELECT user_id, min(i) AS b, max(i) + 1 AS e FROM g GROUP BY user_id, g HAVING count(*) >= 2),
+    f AS (SELECT *, CASE WHEN b - lag(e) OVER w <= 3 THEN 0 ELSE 1 END AS s FROM r WINDOW w AS (PARTITION BY user_id ORDER BY b)),
+    m AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY b) AS m FROM f)
+    SELECT user_id, min(b) AS "begin", max(e) AS "end" FROM m GROUP BY user_id, m""")
 def w06_runs(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "events").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))), lambda s: s["value"] > 20).alias("active"))
-    return rows.select("user_id", geometry.active_runs(F.col("active"), 2, 3).alias("runs"))
+    return scans.runs(table(spark, sf, "events"), ["user_id"], ["ts", "event_id"], F.col("value") > 20, 2, 3)
 
 
 @query("""WITH u AS (SELECT vec_id, unnest(embedding) AS x FROM embeddings), r AS (SELECT vec_id, x, row_number() OVER (PARTITION BY vec_id ORDER BY x DESC) AS k FROM u)
@@ -69,8 +73,8 @@ def w07_top2_margin(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""SELECT conv_id, turn, CAST(coalesce(sum(length(text) + 1) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM conversations""")
 def w08_offsets(spark: SparkSession, sf: str) -> DataFrame:
-    before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    return table(spark, sf, "conversations").select("conv_id", "turn", F.coalesce(F.sum(F.length("text") + 1).over(before), F.lit(0)).cast("long").alias("start"))
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", F.length("text").alias("chars"))
+    return scans.offsets(turns, ["conv_id"], ["turn"], (F.col("chars") + 1).cast("long"), "start").select("conv_id", "turn", "start")
 
 
 @query("""WITH s AS (SELECT DISTINCT p_brand, p_size FROM part), e AS (SELECT p_brand, p_size AS x0, lead(p_size) OVER (PARTITION BY p_brand ORDER BY p_size) AS x1 FROM s)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers, text
-from ..operators import classify
+from ..operators import classify, scans
 from ..sources.scratch import scratch
 from .registry import query, table
 
@@ -137,7 +137,7 @@ def srt02_metric_desc(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT conv_id, string_agg(role, ' ' ORDER BY turn) AS reading FROM conversations GROUP BY 1")
 def srt03_reading_order(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda s: s["role"]), " ").alias("reading"))
+    return scans.joined_text(table(spark, sf, "conversations").select("conv_id", "turn", "role"), ["conv_id"], ["turn"], F.col("role"), " ", "reading")
 
 
 @query("""SELECT pos, condition, n FROM (VALUES (1, 'view'), (2, 'click'), (3, 'purchase'), (4, 'refund')) o(pos, condition) LEFT JOIN (SELECT event_type, count(*) AS n FROM events GROUP BY 1) ON condition = event_type""")

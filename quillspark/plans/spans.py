@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers, patterns, spans
 from ..operators import jobs, studies
+from ..operators import joins as J
 from .logs import _STATE, _log
 from .registry import query, table
 
@@ -48,11 +49,13 @@ def str26_entity_spans(spark: SparkSession, sf: str) -> DataFrame:
     FROM span JOIN words ON words.conv_id = k // 1000 AND words.turn = k % 1000 AND b + length(w) > "begin" AND b < "end" GROUP BY 1, 2, 3, 4""")
 def j12_span_boxes(spark: SparkSession, sf: str) -> DataFrame:
     """Spans against tokens: how many tokens a span touches and the box around them (six points a character, ten a line)."""
-    box = lambda t: F.named_struct(F.lit("x0"), t["begin"] * 6.0, F.lit("y0"), F.col("turn") * 10.0, F.lit("x1"), t["end"] * 6.0, F.lit("y1"), F.col("turn") * 10.0 + 8)
-    tokens = F.transform(spans.spans(F.col("text"), "[^ \n]+"), lambda t: F.named_struct(F.lit("begin"), t["begin"], F.lit("end"), t["end"], F.lit("box"), box(t)))
-    rows = table(spark, sf, "conversations").where("text is not null").select("conv_id", "turn", tokens.alias("tokens"), F.explode(spans.spans(F.col("text"), "[A-Z][a-z]+ [a-z]+ [a-z]+")).alias("s"))
-    touched = rows.select("conv_id", "turn", "s.begin", "s.end", spans.under(F.col("s"), F.col("tokens")).alias("t"))
-    return touched.select("conv_id", "turn", "begin", "end", F.size("t").alias("tokens"), spans.boxes_union(F.col("t")).alias("box")).select("conv_id", "turn", "begin", "end", "tokens", "box.*")
+    turns = table(spark, sf, "conversations").where("text is not null")
+    row = ["conv_id", "turn"]
+    tokens = turns.select(*row, F.explode(spans.spans(F.col("text"), "[^ \n]+")).alias("s")).select(*row, F.col("s.begin").alias("b"), F.col("s.end").alias("e"))
+    found = turns.select(*row, F.explode(spans.spans(F.col("text"), "[A-Z][a-z]+ [a-z]+ [a-z]+")).alias("s")).select(*row, "s.begin", "s.end")
+    met = J.overlapping(found, "begin", "end", tokens, "b", "e", row, 64)
+    box = [(F.min("b") * 6.0).alias("x0"), (F.min("turn") * 10.0).alias("y0"), (F.max("e") * 6.0).alias("x1"), (F.max("turn") * 10.0 + 8).alias("y1")]
+    return met.groupBy(*row, "begin", "end").agg(F.count("*").cast("int").alias("tokens"), *box)
 
 
 _X, _Y = [0.0, 10.0, 20.0, 35.0, 50.0], [0.0, 3.0, 6.0, 10.0]
