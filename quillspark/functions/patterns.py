@@ -6,6 +6,8 @@ DATE = r"(?U)\b(?:0?[1-9]|1[0-2])[/-](?:0?[1-9]|[12]\d|3[01])[/-](?:19|20)\d{2}\
 POSTAL = r"(?U)\b\d{5}(?:-\d{4})?\b"
 NCT = r"(?iU)\bNCT\d{8}\b"
 PERSON = r"(?U)\b[A-Z][A-Za-z'\-]+(?:\s+[A-Z][A-Za-z'\-]+){1,3}(?:,?\s*(?:MD|DO|PhD))?\b"
+#: Two title-case words, then perhaps a sign and a degree.
+PERSON_RULE = r"(?<![\p{L}\p{N}])\p{Lu}\p{Ll}*\s+\p{Lu}\p{Ll}*(?![\p{L}\p{N}])(?:\s*\p{Punct})?(?:\s*(?i:md|do|phd)(?![\p{L}\p{N}]))?"
 
 #: Detectors for types that the policy names.
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z0-9.-]*[A-Za-z]"
@@ -28,6 +30,8 @@ FORMS = [
     ("FDA_3454", [r"FORM\s+FDA\s+3454", r"CERTIFICATION.{0,80}FINANCIAL\s+INTERESTS"]),
     ("FDA_3455", [r"FORM\s+FDA\s+3455", r"DISCLOSURE.{0,80}FINANCIAL\s+INTERESTS"]),
 ]
+
+#: Words of tables and of protocols, upper case.
 TABLE_LANGUAGE = r"\bTABLE\b|SCHEDULE\s+OF\s+EVENTS|GRADE\s+[0-4]|TREATMENT\s+GROUP|ENDPOINT"
 PROTOCOL_LANGUAGE = r"\bPROTOCOL\b|CLINICAL\s+STUDY|MODERNATX"
 
@@ -39,6 +43,13 @@ COVER = [
     ("sponsor_address", r"(?i)Legal\s+Registered\s+Address\s*:\s*(.+?)(?=Sponsor\s+Contact|Medical\s+Monitor)"),
     ("amendment_number", r"(?i)Amendment\s+Number\s*:\s*(\d+)"),
 ]
+COVER_TITLE = r"(?i)Protocol\s+Title\s*:\s*(.+?)(?=Protocol\s+Number\s*:)"
+COVER_PHASE = r"(?i)\bPhase\s+([0-9]+(?:\s*/\s*[0-9]+)?)"
+#: The date of an amendment: of any, and of the one whose number goes between both parts.
+AMENDMENT_DATE = r"(?i)Date\s+of\s+Amendment\s+", r"\s*:?\s*(\d{1,2}\s+[A-Za-z]{3}\s+\d{4})"
+#: A town whose postal address is put in one spelling, and a sponsor by normalised name.
+TOWN, TOWN_AS = r"(?i)\bCambridge\s*,?\s*MA\s*(\d{5})\b", r"Cambridge, MA $1"
+SPONSOR, SPONSOR_AS = "modernatx", "ModernaTX, Inc."
 
 #: Statuses of jobs.
 JOB_STATUSES = ["queued", "retrying", "preprocessing", "classifying", "extracting", "redacting", "persisting", "completed", "needs_review", "failed"]

@@ -28,12 +28,13 @@ def cover_fields(df: DataFrame, body: str) -> DataFrame:
     """
     compact = _clean(F.col(body))
     out = df.withColumns({name: _found(compact, pattern) for name, pattern in patterns.COVER})
-    any_date = r"(?i)Date\s+of\s+Amendment\s+\d+\s*:?\s*(\d{1,2}\s+[A-Za-z]{3}\s+\d{4})"
-    own = F.concat(F.lit(r"(?i)Date\s+of\s+Amendment\s+"), F.col("amendment_number"), F.lit(r"\s*:?\s*(\d{1,2}\s+[A-Za-z]{3}\s+\d{4})"))
-    title = _found(compact, r"(?i)Protocol\s+Title\s*:\s*(.+?)(?=Protocol\s+Number\s*:)")
+    label, date = patterns.AMENDMENT_DATE
+    any_date = label + r"\d+" + date
+    own = F.concat(F.lit(label), F.col("amendment_number"), F.lit(date))
+    title = _found(compact, patterns.COVER_TITLE)
     out = out.withColumn("amendment_date", F.when(F.col("amendment_number").isNull(), _found(compact, any_date)).otherwise(_found(compact, own)))
     out = out.withColumn("protocol_title", title)
-    phase = F.regexp_extract("protocol_title", r"(?i)\bPhase\s+([0-9]+(?:\s*/\s*[0-9]+)?)", 1)
+    phase = F.regexp_extract("protocol_title", patterns.COVER_PHASE, 1)
     out = out.withColumn("phase", F.when(phase != "", F.concat(F.lit("Phase "), F.regexp_replace(phase, r"\s+", ""))))
     order = [name for name, _ in patterns.COVER] + ["amendment_date", "protocol_title", "phase"]
     missing = F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(f"missing:{c}")) for c in order]))
@@ -52,9 +53,9 @@ def labelled(df: DataFrame, body: str, labels: dict[str, str], strict: bool = Fa
 
 
 def _canonical(df: DataFrame) -> DataFrame:
-    """One sponsor's name and town in their usual spelling."""
-    sponsor = F.when(F.contains(text.normalize(F.col("sponsor_name")), F.lit("modernatx")), F.lit("ModernaTX, Inc.")).otherwise(F.col("sponsor_name"))
-    town = F.regexp_replace("sponsor_address", r"(?i)\bCambridge\s*,?\s*MA\s*(\d{5})\b", r"Cambridge, MA $1")
+    """One sponsor's name and town in their usual spelling."""
+    sponsor = F.when(F.contains(text.normalize(F.col("sponsor_name")), F.lit(patterns.SPONSOR)), F.lit(patterns.SPONSOR_AS)).otherwise(F.col("sponsor_name"))
+    town = F.regexp_replace("sponsor_address", patterns.TOWN, patterns.TOWN_AS)
     return df.withColumns({"sponsor_name": sponsor, "sponsor_address": town})
 
 

@@ -7,7 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import numbers, patterns, text
+from ..functions import numbers, patterns, spans, text
+from .joins import overlapping
 
 
 @dataclass(frozen=True)
@@ -83,32 +84,61 @@ def expected_types(name: Column, value: Column) -> Column:
     return F.array_distinct(F.concat(field_types(name), protocol))
 
 
+_PLACES = "array<struct<begin:int,end:int>>"
+
+
+def _places(found: Column) -> Column:
+    return F.transform(found, lambda s: F.struct(s["begin"].alias("begin"), s["end"].alias("end")))
+
+
 def detect_fields(fields: DataFrame) -> DataFrame:
     """Detection that knows what fields mean. Input: field_name, ocr_text, ocr_confidence and whatever else.
 
-    A field of a known type whose text is empty goes to review. Of several detections of one type in
+    Adds seq, entity_type, detected_text, confidence, method and ``places`` (code points, end exclusive): what the detection rests
+    on, none for one of the whole field. Persons are found by the token rule, and by the pattern where the rule finds none; all of
+    them make one detection. A field of a known type whose text is empty goes to review. Of several detections of one type in
     one field the most confident stays (the caller deduplicates with ``keep_best``).
     """
     kinds = field_types(F.col("field_name"))
     body, conf = F.col("ocr_text"), F.col("ocr_confidence")
     blank = F.trim(F.coalesce(body, F.lit(""))) == ""
-    entry = lambda kind, found, c, method: F.struct(F.lit(kind).alias("entity_type"), found.alias("detected_text"), c.alias("confidence"), F.lit(method).alias("method"))
-    semantic = numbers.detector_confidence("SEMANTIC", conf)
-    date, postal = (F.regexp_extract(body, p, 0) for p in (patterns.DATE, patterns.POSTAL))
-    zipped = F.contains(F.lower("field_name"), F.lit("zip")) & (postal != "")
+    none = F.array().cast(_PLACES)
+
+    def entry(kind, found: Column, c: Column, method: str, places: Column = none) -> Column:
+        return F.struct((F.lit(kind) if isinstance(kind, str) else kind).alias("entity_type"), found.alias("detected_text"), c.cast("double").alias("confidence"), F.lit(method).alias("method"), places.cast(_PLACES).alias("places"))
+
     on = lambda kind: F.array_contains(kinds, kind)
+    semantic = numbers.detector_confidence("SEMANTIC", conf)
+    first = lambda pattern, kind, fallback: spans.bound(F.slice(spans.spans(body, pattern), 1, 1), lambda s: F.when(F.size(s) > 0, entry(kind, s[0]["text"], semantic, "field_semantics", _places(s))).otherwise(fallback))
+    persons = spans.bound(spans.spans(body, patterns.PERSON_RULE), lambda s: F.when(F.size(s) > 0, _places(s)).otherwise(_places(spans.spans(body, patterns.PERSON))))
+    person = spans.bound(persons, lambda p: F.when(F.size(p) > 0, entry("PERSON", body, numbers.detector_confidence("PERSON", conf), "field_semantics", p)))
+    address = entry("ADDRESS", body, semantic, "field_semantics")
     found = [
-        F.when(on("PERSON") & body.rlike(patterns.PERSON), entry("PERSON", body, numbers.detector_confidence("PERSON", conf), "field_semantics")),
-        F.when(on("ADDRESS"), entry("ADDRESS", F.when(zipped, postal).otherwise(body), semantic, "field_semantics")),
+        F.when(on("PERSON"), person),
+        F.when(on("ADDRESS"), F.when(F.contains(F.lower("field_name"), F.lit("zip")), first(patterns.POSTAL, "ADDRESS", address)).otherwise(address)),
         *[F.when(on(k), entry(k, body, semantic, "field_semantics")) for k in ("SENSITIVE_FACILITY", "CCI_STUDY_TITLE", "CCI_SPONSOR")],
-        F.when(on("DATE") & (date != ""), entry("DATE", date, semantic, "field_semantics")),
+        F.when(on("DATE"), first(patterns.DATE, "DATE", F.lit(None))),
     ]
-    protocols = F.transform(F.regexp_extract_all(body, F.lit(patterns.PROTOCOL), F.lit(0)), lambda m: entry("CCI_PROTOCOL_ID", m, numbers.detector_confidence("PROTOCOL", conf), "regex"))
-    empty = F.transform(kinds, lambda k: F.struct(k.alias("entity_type"), F.lit("").alias("detected_text"), F.lit(0.40).cast("double").alias("confidence"), F.lit("ocr_empty").alias("method")))
+    protocols = F.transform(spans.spans(body, patterns.PROTOCOL), lambda m: entry("CCI_PROTOCOL_ID", m["text"], numbers.detector_confidence("PROTOCOL", conf), "regex", _places(F.array(m))))
+    empty = F.transform(kinds, lambda k: entry(k, F.lit(""), F.lit(0.40), "ocr_empty"))
     every = F.when(blank, empty).otherwise(F.concat(F.array_compact(F.array(*found)), protocols))
     return fields.select("*", F.posexplode(every).alias("seq", "m")).select(*fields.columns, "seq", "m.*")
 
 
+def with_boxes(detected: DataFrame, tokens: DataFrame, keys: list[str], whole: Column) -> DataFrame:
+    """Add ``box``: the least box around the boxes of all tokens that a detection's places touch, ``whole`` where none is touched.
+
+    ``tokens`` has the keys of a field, token_begin, token_end and token_box (x0, y0, x1, y1). ``keys``, entity_type and seq tell
+    detections apart. Places and tokens meet by cells, so a long field costs in proportion to its length.
+    """
+    own = [*keys, "entity_type", "seq"]
+    placed = detected.select(*own, F.explode("places").alias("_p")).select(*own, F.col("_p.begin").alias("_b"), F.col("_p.end").alias("_e"))
+    met = overlapping(placed, "_b", "_e", tokens.select(*keys, "token_begin", "token_end", "token_box"), "token_begin", "token_end", keys, 64)
+    sides = [f(f"token_box.{c}").alias(c) for f, c in ((F.min, "x0"), (F.min, "y0"), (F.max, "x1"), (F.max, "y1"))]
+    boxes = met.groupBy(*own).agg(F.struct(*sides).alias("_box"))
+    return detected.join(boxes, own, "left").withColumn("box", F.coalesce("_box", whole)).drop("_box").select(*detected.columns, "box")
+
+
 def resolve(detected: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
     """Add ``action`` and ``needs_review``; the policy is a handful of rows, joined by broadcast."""
     rules = policy.frame(detected.sparkSession)

@@ -28,7 +28,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _load() -> None:
-    from . import joins, logs, metrics, more, nested, redaction, scalars, sequences, sets, spans, streams  # noqa: F401
+    from . import joins, logs, metrics, more, nested, redaction, registers, scalars, sequences, sets, spans, streams  # noqa: F401
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import numbers, patterns, spans
-from ..operators import jobs, studies
+from ..operators import grids, jobs, redact, studies
 from ..operators import joins as J
 from .logs import _STATE, _log
 from .registry import query, table
@@ -20,15 +20,9 @@ def _spans_sql(name: str, pattern: str, source: str, key: str) -> str:
             SELECT {key}, regexp_extract_all(text, '{pattern}') AS ms, string_split_regex(text, '{pattern}') AS ps FROM {source} WHERE text IS NOT NULL) WHERE len(ms) > 0))"""
 
 
-#: The entity patterns in the syntax that both engines share.
-_ENTITIES = {
-    "CCI_PROTOCOL_ID": r"(?i)\b[A-Za-z]?mRNA[- ]?\d{4}[- ]?P\d{3}\b",
-    "DATE": r"\b(?:0?[1-9]|1[0-2])[/-](?:0?[1-9]|[12]\d|3[01])[/-](?:19|20)\d{2}\b",
-    "ADDRESS": r"\b\d{5}(?:-\d{4})?\b",
-    "NCT": r"(?i)\bNCT\d{8}\b",
-    "EMAIL": patterns.EMAIL,
-    "PHONE_NUMBER": patterns.PHONE,
-}
+#: The entity patterns without the flag that the other engine reads differently.
+_ENTITIES = {"CCI_PROTOCOL_ID": patterns.PROTOCOL, "DATE": patterns.DATE, "ADDRESS": patterns.POSTAL, "NCT": patterns.NCT, "EMAIL": patterns.EMAIL, "PHONE_NUMBER": patterns.PHONE}
+_ENTITIES = {k: p.replace("(?iU)", "(?i)").replace("(?U)", "") for k, p in _ENTITIES.items()}
 
 
 @query(" UNION ALL ".join(_spans_sql(k, p, "documents", "doc_id") for k, p in _ENTITIES.items()))
@@ -77,14 +71,42 @@ def j09_words_to_cells(spark: SparkSession, sf: str) -> DataFrame:
     return matrix.select("l_orderkey", F.array_join(F.flatten("matrix"), "|").alias("matrix"))
 
 
-#: Two title-case words, then perhaps a sign and a degree.
-PERSON_RULE = r"(?<![\p{L}\p{N}])\p{Lu}\p{Ll}*\s+\p{Lu}\p{Ll}*(?![\p{L}\p{N}])(?:\s*\p{Punct})?(?:\s*(?i:md|do|phd)(?![\p{L}\p{N}]))?"
+_PAGE_EDGES = """SELECT l_orderkey, v AS lo, lead(v) OVER w AS hi, row_number() OVER w - 1 AS i FROM (SELECT DISTINCT l_orderkey, unnest([0.0, {last}, CASE WHEN l_linenumber % 2 = {odd} THEN {c} END]) AS v FROM line) WHERE v IS NOT NULL WINDOW w AS (PARTITION BY l_orderkey ORDER BY v)"""
+
+
+@query(f"""WITH line AS MATERIALIZED (SELECT row_number() OVER () AS id, l_orderkey, l_linenumber, l_quantity AS x, l_discount * 100 AS y, l_returnflag || l_linenumber AS text FROM lineitem),
+    xi AS MATERIALIZED ({_PAGE_EDGES.format(last="50.0", odd=0, c="x")}), yi AS MATERIALIZED ({_PAGE_EDGES.format(last="10.0", odd=1, c="y")}),
+    c AS (SELECT id, min(i) AS c FROM line JOIN xi USING (l_orderkey) WHERE x >= lo AND x <= hi GROUP BY 1), r AS (SELECT id, min(i) AS r FROM line JOIN yi USING (l_orderkey) WHERE y >= lo AND y <= hi GROUP BY 1)
+    SELECT l_orderkey, CAST(r AS INTEGER) AS "row", CAST(c AS INTEGER) AS "column", string_agg(text, ' ' ORDER BY trunc(y - 1), trunc(x - 2), text) AS text FROM line JOIN c USING (id) JOIN r USING (id) GROUP BY 1, 2, 3""")
+def j09_page_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """Words into cells whose boundaries are each page's own: lines of an order stand for words, some lines' values for boundaries."""
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.concat("l_returnflag", F.col("l_linenumber").cast("string")).alias("text"), F.col("l_quantity").alias("q"), (F.col("l_discount") * 100).alias("d"))
+    edge = lambda c, odd, last: lines.select("l_orderkey", F.explode(F.array(F.lit(0.0), F.lit(last), F.when(F.col("l_linenumber") % 2 == odd, F.col(c)))).alias("edge")).dropna().distinct()
+    words = lines.select("l_orderkey", "text", (F.col("q") - 2).alias("left"), F.lit(4.0).alias("width"), (F.col("d") - 1).alias("top"), F.lit(2.0).alias("height"), F.col("q").alias("cx"), F.col("d").alias("cy"))
+    return grids.cells(words, ["l_orderkey"], edge("q", 0, 50.0), edge("d", 1, 10.0), "edge", F.col("cx"), F.col("cy"))
+
+
+_FIELD_NAMES = ["invest_name", "site_zip", "sigdate", "prot_name_code", "lab_name", "notes", "address_1", "appfirm"]
+
+
+@query()
+def src22_field_detections(spark: SparkSession, sf: str) -> DataFrame:
+    """What fields hold, by what their names mean, with the box of the tokens that it rests on: documents stand for fields on a page."""
+    name = F.element_at(F.array(*[F.lit(n) for n in _FIELD_NAMES]), (F.col("doc_id") % len(_FIELD_NAMES) + 1).cast("int"))
+    fields = table(spark, sf, "documents").select("doc_id", name.alias("field_name"), F.col("text").alias("ocr_text"), F.lit(0.9).alias("ocr_confidence"))
+    words = fields.where("ocr_text is not null").select("doc_id", F.explode(spans.spans(F.col("ocr_text"), "[^ \n]+")).alias("s"))
+    box = F.struct((F.col("s.begin") * 6.0).alias("x0"), F.lit(0.0).alias("y0"), (F.col("s.end") * 6.0).alias("x1"), F.lit(8.0).alias("y1"))
+    tokens = words.select("doc_id", F.col("s.begin").alias("token_begin"), F.col("s.end").alias("token_end"), box.alias("token_box"))
+    whole = F.struct(F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), F.lit(600.0).alias("x1"), F.lit(800.0).alias("y1"))
+    found = redact.keep_best(redact.detect_fields(fields).drop("ocr_text"), ["doc_id", "entity_type", "field_name"])
+    out = redact.resolve(redact.with_boxes(found, tokens, ["doc_id"], whole))
+    return out.select("doc_id", "entity_type", "action", "needs_review", F.sha2("detected_text", 256).alias("text_sha256"), "box.*")
 
 
 @query()
 def str33_person_rule(spark: SparkSession, sf: str) -> DataFrame:
     """Persons by token rule over letters of any script, with places."""
-    docs = table(spark, sf, "documents").where("text is not null").select("doc_id", F.explode(spans.spans(F.col("text"), PERSON_RULE)).alias("s"))
+    docs = table(spark, sf, "documents").where("text is not null").select("doc_id", F.explode(spans.spans(F.col("text"), patterns.PERSON_RULE)).alias("s"))
     return docs.select("doc_id", "s.*")
 
 

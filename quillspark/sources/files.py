@@ -66,11 +66,12 @@ def read_table(spark: SparkSession, url: str, name: str, column: str | None = No
     return spark.read.jdbc(url, name, properties=options)
 
 
-def openapi_routes(spark: SparkSession, document: str) -> DataFrame:
-    """(path, method) rows of an OpenAPI document given as text."""
-    paths = F.from_json(F.get_json_object(F.lit(document), "$.paths"), "map<string, map<string, string>>")
-    rows = spark.range(1).select(F.explode(paths).alias("path", "operations")).select("path", F.explode("operations").alias("method", "_"))
-    return rows.select("path", F.upper("method").alias("method")).where(F.col("method").isin("GET", "POST", "PUT", "PATCH", "DELETE"))
+def openapi_routes(documents: DataFrame, body: str) -> DataFrame:
+    """(path, method) rows of OpenAPI documents given as JSON texts, beside the documents' other columns."""
+    rest = [c for c in documents.columns if c != body]
+    paths = F.from_json(F.get_json_object(F.col(body), "$.paths"), "map<string, map<string, string>>")
+    rows = documents.select(*rest, F.explode(paths).alias("path", "operations")).select(*rest, "path", F.explode("operations").alias("method", "_"))
+    return rows.select(*rest, "path", F.upper("method").alias("method")).where(F.col("method").isin("GET", "POST", "PUT", "PATCH", "DELETE"))
 
 
 def write_csv(df: DataFrame, path: str, header: bool = True) -> None:
