@@ -16,11 +16,9 @@ FOLDED = {chr(c): re.sub("[^a-z0-9]", " ", chr(c).casefold()) for c in range(0x8
 
 def folded(text: Column) -> Column:
     """The text with ligatures and the like in ASCII letters; other characters stay."""
-    single = {c: letters for c, letters in FOLDED.items() if len(letters) == 1}
-    out = F.translate(text, "".join(single), "".join(single.values()))
+    out = text
     for char, letters in FOLDED.items():
-        if char not in single:
-            out = F.replace(out, F.lit(char), F.lit(letters))
+        out = F.replace(out, F.lit(char), F.lit(letters))
     return F.when(text.rlike("[" + "".join(FOLDED) + "]"), out).otherwise(text)
 
 

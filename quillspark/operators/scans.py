@@ -40,11 +40,13 @@ class Scan:
     def _carry(self, total: list[Column], last: list[Column]) -> DataFrame:
         """One row a range: its first key, and what the ranges before it hand to that key (``_scan_sums``, ``_scan_last``)."""
         key = F.struct(*[F.col(c) for c in self.keys])
-        found = self.df.groupBy("_scan_range", key.alias("_scan_key")).agg(
+        edges = self.df.groupBy("_scan_range").agg(F.min(key).alias("_scan_first"), F.max(key).alias("_scan_key"))
+        tails = self.df.join(F.broadcast(edges), "_scan_range").where(key.eqNullSafe(F.col("_scan_key")))  # only a range's last key goes on
+        ends = tails.groupBy("_scan_range", "_scan_first", "_scan_key").agg(
             F.struct(*[F.sum(c).alias(f"s{i}") for i, c in enumerate(total)], F.count("*").alias("rows")).alias("sums"),
             F.max_by(F.struct(*last, F.lit(True).alias("any")), F.struct(*[F.col(c) for c in self.order])).alias("last"),
         )
-        ends = found.groupBy("_scan_range").agg(F.min("_scan_key").alias("_scan_first"), F.max_by(F.struct("_scan_key", "sums", "last"), "_scan_key").alias("end"))
+        ends = ends.select("_scan_range", "_scan_first", F.struct("_scan_key", "sums", "last").alias("end"))
         same = Window.partitionBy("end._scan_key").orderBy("_scan_range").rowsBetween(Window.unboundedPreceding, 0)
         sums = F.struct(*[F.sum(f"end.sums.s{i}").over(same).alias(f"s{i}") for i in range(len(total))], F.lit(True).alias("any"))
         ends = ends.select("_scan_range", "_scan_first", F.col("end._scan_key").alias("k"), sums.alias("s"), F.col("end.last").alias("l"))

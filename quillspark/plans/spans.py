@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import numbers, patterns, spans
 from ..operators import grids, jobs, redact, studies
 from ..operators import joins as J
+from ..sources.scratch import scratch
 from .logs import _STATE, _log
 from .registry import query, table
 
@@ -94,11 +95,14 @@ def src22_field_detections(spark: SparkSession, sf: str) -> DataFrame:
     """What fields hold, by what their names mean, with the box of the tokens that it rests on: documents stand for fields on a page."""
     name = F.element_at(F.array(*[F.lit(n) for n in _FIELD_NAMES]), (F.col("doc_id") % len(_FIELD_NAMES) + 1).cast("int"))
     fields = table(spark, sf, "documents").select("doc_id", name.alias("field_name"), F.col("text").alias("ocr_text"), F.lit(0.9).alias("ocr_confidence"))
-    words = fields.where("ocr_text is not null").select("doc_id", F.explode(spans.spans(F.col("ocr_text"), "[^ \n]+")).alias("s"))
+    path = scratch(spark, "detections")
+    redact.keep_best(redact.detect_fields(fields).drop("ocr_text"), ["doc_id", "entity_type", "field_name"]).write.parquet(path)
+    found = spark.read.parquet(path)
+    placed = fields.join(found.where(F.size("places") > 0).select("doc_id").distinct(), "doc_id", "left_semi")  # other fields' tokens are not asked for
+    words = placed.select("doc_id", F.explode(spans.spans(F.col("ocr_text"), "[^ \n]+")).alias("s"))
     box = F.struct((F.col("s.begin") * 6.0).alias("x0"), F.lit(0.0).alias("y0"), (F.col("s.end") * 6.0).alias("x1"), F.lit(8.0).alias("y1"))
     tokens = words.select("doc_id", F.col("s.begin").alias("token_begin"), F.col("s.end").alias("token_end"), box.alias("token_box"))
     whole = F.struct(F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), F.lit(600.0).alias("x1"), F.lit(800.0).alias("y1"))
-    found = redact.keep_best(redact.detect_fields(fields).drop("ocr_text"), ["doc_id", "entity_type", "field_name"])
     out = redact.resolve(redact.with_boxes(found, tokens, ["doc_id"], whole))
     return out.select("doc_id", "entity_type", "action", "needs_review", F.sha2("detected_text", 256).alias("text_sha256"), "box.*")
 
