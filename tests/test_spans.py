@@ -6,7 +6,7 @@ import re
 from pyspark.sql import functions as F
 
 from quillspark.functions import spans
-from quillspark.plans.spans import PERSON_RULE
+from quillspark.functions.patterns import PERSON_RULE
 
 
 def test_spans_are_those_of_plain_matching(spark):
