@@ -6,7 +6,8 @@ contain (alternatives give OR, sequences AND). The index is a table of postings,
 postings of each row: the lists that it is on are united or intersected as the query has it. The rows
 found are candidates, and a rule's expression runs only over its candidates, so that two texts of one
 hash at worst cost a scan. Rules without mandatory trigrams scan every text. Candidates are brought
-to their texts by a broadcast of at most ``BROADCAST_ROWS`` rows, or else by a join.
+to their texts as a bitmap of fixed size, in which each word has the rules of its rows; a text that is
+no candidate but falls on one's place costs a scan. No text is ever shuffled.
 
 Offsets come from the pieces between matches: ``split`` gives the texts before and after each match
 and ``regexp_extract_all`` the matches themselves, so that running sums of their lengths are the
@@ -25,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrowkit import discard, spare, written
+from .placing import place, places
 from .regex_trigrams import All, trigram_query
 
 
@@ -57,8 +59,6 @@ MORE_RULES = [
 ]
 _CHUNK = 256
 _WORD = 63  # lists in a bitmap
-#: Rows that may be broadcast (16 bytes each).
-BROADCAST_ROWS = 1 << 20
 
 
 class TrigramIndex:
@@ -77,7 +77,7 @@ class TrigramIndex:
         return F.array_compact(F.array(*[F.when(F.contains(low, F.lit(t)), F.lit(i).cast("short")) for i, t in enumerate(self.trigrams)]))
 
     def build(self, texts: DataFrame, row: str, text: str) -> DataFrame:
-        """The index of a table: (trigram, row)."""
+        """The index of a table: (trigram, row), written to the shared folder. It may be kept and asked again."""
         lists = texts.select(F.col(f"`{row}`").alias("row"), F.explode(self.postings(F.col(f"`{text}`"))).alias("trigram"))
         return written(lists.sortWithinPartitions("trigram", "row"), "postings")
 
@@ -138,10 +138,12 @@ def _listed(spans: Column, kinds: list[str]) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat(F.element_at(name, s["kind"] + 1), F.lit(":"), s["begin"].cast("string"), F.lit(":"), s["end"].cast("string"))), ",")
 
 
-def find_secrets(docs: DataFrame, text: str = "text", more: list[Rule] | None = None, keep: list[str] | None = None) -> DataFrame:
+def find_secrets(docs: DataFrame, text: str = "text", more: list[Rule] | None = None, keep: list[str] | None = None, lists: DataFrame | None = None) -> DataFrame:
     """Add ``n_assign``, ``n_access``, ``n_hex``, ``base_sha256``, ``spans`` (text) and ``secret_spans`` (array of struct begin, kind, end).
 
-    ``more`` are rules beside the base ones; their spans are added, base spans always stay.
+    ``more`` are rules beside the base ones; their spans are added, base spans always stay. ``lists``
+    is an index of these texts that ``TrigramIndex.build`` made for the same rules, rows being named by
+    ``xxhash64`` of the text (null: empty); without it one is built and deleted.
     """
     more = MORE_RULES if more is None else more
     rules = [*BASE_RULES, *more]
@@ -151,15 +153,16 @@ def find_secrets(docs: DataFrame, text: str = "text", more: list[Rule] | None =
     kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in results]
     body, row, rules_of, *spans = spare(docs, "body", "row", "rules", *[f"spans{i}" for i in range(len(rules))])
     texts = docs.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias(body)).withColumn(row, F.xxhash64(body))
-    lists = index.build(texts, row, body)
-    hits = written(index.candidates(lists).select(F.col("row").alias(row), F.col("rules").alias(rules_of)), "candidates")
-    discard(lists)
-    work = texts.join(F.broadcast(hits) if hits.count() <= BROADCAST_ROWS else hits, row, "left")
+    asked = index.build(texts, row, body) if lists is None else lists
+    hits = written(places(index.candidates(asked), "row", "rules"), "candidates")
+    if lists is None:
+        discard(asked)
+    work = place(texts, row, hits, rules_of)
     none = F.array().cast("array<struct<begin:int,kind:int,end:int>>")
     found = {}
     for i, rule in enumerate(rules):
         if index.queries[rule.kind] is not None:
-            likely = F.coalesce(F.col(rules_of), F.lit(0).cast("long")).bitwiseAND(F.lit(1 << i).cast("long")) != 0
+            likely = F.col(rules_of).bitwiseAND(F.lit(1 << i).cast("long")) != 0
         elif rule.group == 0 and rule.least > 1 and rule.pattern.endswith("]+"):
             # a full scan asks first whether there is a match long enough: the pattern is one run of a class
             likely = F.col(body).rlike(rule.pattern[:-1] + "{" + str(rule.least) + "}")
