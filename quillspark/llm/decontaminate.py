@@ -11,7 +11,8 @@ The patterns of one pass are bounded by ``pattern_bytes`` of benchmark text. A l
 searched in several passes over the documents, one after the other: each broadcasts the tables of its
 share of the items, writes what it finds and lets the tables go, so that neither the driver nor a
 worker ever holds more than one share. What was found is then brought to the documents by a broadcast
-of at most ``BROADCAST_ROWS`` texts, or else by a join.
+of at most ``BROADCAST_BYTES``; beyond, a bitmap of text hashes says which documents go to a join, and
+the others stay where they are read.
 
 Defined results: null or empty text has no words and no hits; an item without words, without text or
 without id is never found; items of equal id are one; equal rows give equal results; an empty table of
@@ -32,14 +33,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrowkit import LOWER, Tokens, append, byte_set, discard, slices, spare, text_bytes, written
+from .placing import place, places
 
 WORD = byte_set((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF))
 _WORD_RE = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _HASH = np.uint64(0x9E3779B97F4A7C15)
 _TABLE_BITS = 18
 _LANE = 512
-#: Texts with hits that may be broadcast.
-BROADCAST_ROWS = 1 << 16
+#: Bytes of what was found that may be broadcast.
+BROADCAST_BYTES = 16 << 20
 
 
 def item_words(text: str | None) -> list[bytes]:
@@ -241,7 +243,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
     Adds ``n_words``, ``n_hit``, ``n_items``, ``items_sha256``, ``contaminated`` (at least one word
     hit, and at least a twentieth of all words), ``items`` (the item ids found, sorted) and
     ``hit_runs`` (word positions: start, end, start, end ...). Documents are read once for each
-    ``pattern_bytes`` of benchmark text; documents without a hit are never shuffled.
+    ``pattern_bytes`` of benchmark text; documents without a hit are never shuffled (but for those that
+    share a place in a bitmap with one that has).
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col(f"`{item_id}`").cast("string").alias("i"), F.col(f"`{item_text}`").alias("t")).where("i is not null and t is not null and t <> ''").distinct()
@@ -284,7 +287,14 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
             np.add.at(change, places[:, 1], -1)
         return _columns(tokens, change, [x or [] for x in part.column(part.schema.get_field_index(items_of)).to_pylist()])
 
-    both = named.join(F.broadcast(merged) if merged.count() <= BROADCAST_ROWS else merged, [h, g], "left")
+    weight = F.sum(64 + 4 * F.size(runs_of) + F.octet_length(F.array_join(items_of, ",")) + 24 * F.size(items_of))
+    if (merged.agg(weight).first()[0] or 0) <= BROADCAST_BYTES:
+        both = named.join(F.broadcast(merged), [h, g], "left")
+    else:
+        (mark,) = spare(named, "mark")
+        marked = place(named, h, written(places(merged, h), "places"), mark)
+        clear = marked.where(~F.col(mark)).withColumns({c: F.lit(None).cast(merged.schema[c].dataType) for c in (items_of, runs_of)})
+        both = clear.unionByName(marked.where(mark).join(merged, [h, g], "left")).drop(mark)
     out = append(both, joined, RESULT, text, [*kept, items_of, runs_of])
     return out.drop(items_of, runs_of)
 
