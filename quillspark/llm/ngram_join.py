@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 
 from .arrowkit import LOWER, NOT_BLANK, U64, Tokens, _WORD_POWERS, discard, mix, release, rolling, slices, spare, text_bytes, written
 from .components import components
+from .placing import place, places
 from .substring_dedup import bitmap, bits_for, in_bitmap
 
 BUCKETS = 24
@@ -540,7 +541,8 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int =
 
     Rows are told apart by key and text, so repeated and null keys do no harm; of rows that repeat
     wholly one stays. Rows without words are linked with nothing and all stay. Columns are unchanged.
-    Only what goes is looked up: a broadcast of at most ``BROADCAST_ROWS`` rows, or else a join.
+    Only what goes is looked up: by a broadcast of at most ``BROADCAST_ROWS`` rows; beyond, a bitmap of
+    their hashes says which rows go to the join, and the others stay where they are read.
     """
     names = docs.columns
     row, k, h = spare(docs, "row", "k", "h")
@@ -550,7 +552,13 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int =
     special = written(counted.where("not stays or n > 1").select(F.col("row.k").alias(k), F.col("row.h").alias(h), "stays"), "special")
     split = docs.withColumns({k: F.col(f"`{key}`"), h: F.xxhash64(F.col(f"`{text}`"))})
     on = lambda side: split[k].eqNullSafe(side[k]) & (split[h] == side[h])
+    clear = None
+    if special.count() > BROADCAST_ROWS:
+        (mark,) = spare(split, "mark")
+        marked = place(split, h, written(places(special, h), "places"), mark)
+        clear, split = marked.where(~F.col(mark)).drop(mark), marked.where(mark).drop(mark)
     plain = split.join(_light(special), on(special), "left_anti")
     repeated = special.where("stays")
     once = split.join(_light(repeated), on(repeated), "left_semi").dropDuplicates([k, h])
-    return plain.unionByName(once).select(*[F.col(f"`{c}`") for c in names])
+    kept = plain.unionByName(once)
+    return (kept if clear is None else clear.unionByName(kept)).select(*[F.col(f"`{c}`") for c in names])
