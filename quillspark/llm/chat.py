@@ -17,7 +17,8 @@ parts of a conversation joined in order are its formatted text. Nothing gathers
 
 Defined results: null texts and roles count as empty; rows with a null conversation form one
 conversation of their own; turns with equal numbers (nulls first) go by role, then text; repeated
-rows are repeated turns; an empty table gives no rows.
+rows are repeated turns; a conversation whose list of messages is null or empty has no turns, and its
+formatted text is empty; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -105,7 +106,11 @@ def select_layout(paths: set[str], registry: dict[str, Layout] | None = None) ->
 
 
 def canonical_turns(df: DataFrame, conversation: str, registry: dict[str, Layout] | None = None) -> DataFrame:
-    """(conversation, turn, role, text), one row for each turn, from any registered layout."""
+    """(conversation, turn, role, text), one row for each turn, from any registered layout.
+
+    A conversation whose list of messages is null or empty gives one row with null turn, role and text;
+    in the rows of turns neither role nor text is ever null.
+    """
     paths = set().union(*(field_paths(f.dataType, f.name) for f in df.schema.fields if f.name.lower() != conversation.lower()))
     layout = select_layout(paths, registry)
     if layout is None:
@@ -124,8 +129,9 @@ def canonical_turns(df: DataFrame, conversation: str, registry: dict[str, Layout
         return df.select(key, F.col(turn).cast("long").alias("turn"), named(F.col(role)), words(F.col(text)))
     if layout.each:
         path, role, text = layout.each
-        flat = df.select(key, F.posexplode(path).alias("turn", "m"))
-        return flat.select("conversation", F.col("turn").cast("long"), named(F.col(f"m.`{role}`")), words(F.col(f"m.`{text}`")))
+        flat = df.select(key, F.posexplode_outer(path).alias("turn", "m"))
+        said = lambda c, name: F.when(F.col("turn").isNotNull(), c).alias(name)
+        return flat.select("conversation", F.col("turn").cast("long"), said(named(F.col(f"m.`{role}`")), "role"), said(words(F.col(f"m.`{text}`")), "text"))
     joined = [F.struct(named(F.lit(role)), F.array_join(F.filter(F.array(*[F.col(p).cast("string") for p in parts]), lambda x: x.isNotNull() & (x != "")), "\n").alias("text")) for role, parts in layout.turns]
     flat = df.select(key, F.posexplode(F.array(*joined)).alias("turn", "m"))
     return flat.select("conversation", F.col("turn").cast("long"), "m.role", "m.text")
@@ -218,6 +224,8 @@ def format_conversations(turns: DataFrame, learned: str = "assistant", part_turn
     """Formatted parts of canonical turns: conversation, task, part (order: task, then part), n_turns, formatted, loss_mask.
 
     ``loss_mask`` holds the places (code points, end exclusive) of the texts whose role is ``learned``.
+    A row with neither role nor text (null) says that there is such a conversation: without any turn it
+    gives an empty part.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -248,13 +256,19 @@ def format_conversations(turns: DataFrame, learned: str = "assistant", part_turn
         held = 0
         for batch in batches:
             for conversation, role, text in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3))):
-                if key is None or key[0] != conversation or count >= part_turns or size >= part_chars:
-                    held += size
+                fresh, silent = key is None or key[0] != conversation, role is None and text is None
+                if fresh or count >= part_turns or size >= part_chars:
+                    held += size + 64
                     flush()
                     key = (conversation,)
+                    if fresh and silent:
+                        rows.append((conversation, task, serial, 0, "", []))
+                        serial += 1
                     if held > 4 << 20:
                         yield emit()
                         held = 0
+                if silent:
+                    continue
                 body, begin, end = format_turn(role, text)
                 if role == learned:
                     mask.append((size + begin, size + end))
