@@ -8,9 +8,10 @@ for each text. With these posteriors as targets a linear scorer over hashed feat
 of words, shape statistics) is trained by follow-the-regularised-leader; it then scores every text.
 
 Annotations (tables of labels) take part as labellers of their own, where there are any. The fit is on
-a bounded sample, about ``sample_rows`` documents chosen by a hash of the key: half of them from all
+a bounded sample, about ``sample_rows`` documents chosen by a hash of key and text: half of them from all
 documents, a quarter from those that an annotation calls bad and a quarter from those that none does,
-as far as there are any. Scoring covers all rows.
+as far as there are any; of the texts that share an annotated key one takes part by its annotation, and
+rows with equal key and text take part once. Scoring covers all rows.
 
 Defined results: null and empty texts, and texts without words, are rejected with score 0; rows
 without annotations are scored all the same; labels that match no document, or are empty or null, count
@@ -187,20 +188,22 @@ class Scorer:
 
 def _sample(docs: DataFrame, labels: DataFrame | None, key: str, text: str, rows: int) -> DataFrame:
     """About ``rows`` documents with their annotations (null where there are none), whatever the size of the tables."""
-    chance = lambda word: F.pmod(F.xxhash64(F.lit(word), F.col("key")), F.lit(1 << 30)) / float(1 << 30)
-    texts = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
-    every = chance("any") < rows / (2 if labels is not None else 1) / max(1, docs.count())
+    chance = lambda word, *of: F.pmod(F.xxhash64(F.lit(word), *of), F.lit(1 << 30)) / float(1 << 30)
+    texts = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).withColumn("h", F.xxhash64("text"))
+    every = chance("any", "key", "h") < rows / (2 if labels is not None else 1) / max(1, docs.count())
     none = F.lit(None).cast("int")
     if labels is None:
-        return texts.where(every).select("key", "text", none.alias("quality"), none.alias("toxic"))
+        return texts.where(every).dropDuplicates(["key", "h"]).select("key", "text", none.alias("quality"), none.alias("toxic"))
     notes = labels.select(F.col(f"`{key}`").alias("key"), F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic")).where("key is not null")
     bad = F.coalesce((F.col("quality") == 0) | (F.col("toxic") == 1), F.lit(False))
     count = {r[0]: r[1] for r in notes.groupBy(bad.alias("bad")).count().collect()}
     # about half of ``rows`` pass, whatever the size of the table: that bounds what is broadcast
     share = {b: min(1.0, rows / 4 / max(1, count.get(b, 0))) for b in (True, False)}
-    notes = notes.where(chance("quality") < F.when(bad, F.lit(share[True])).otherwise(F.lit(share[False])))
-    notes = notes.groupBy("key").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"), F.lit(True).alias("noted"))
-    return texts.join(F.broadcast(notes), "key", "left").where(F.col("noted") | every).select("key", "text", "quality", "toxic")
+    notes = notes.where(chance("quality", "key") < F.when(bad, F.lit(share[True])).otherwise(F.lit(share[False])))
+    notes = notes.groupBy("key").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    one = texts.select("key", "h").join(F.broadcast(notes.select("key")), "key").groupBy("key").agg(F.min("h").alias("own"))
+    joined = texts.join(F.broadcast(notes.join(one, "key")), "key", "left")
+    return joined.where(F.coalesce(F.col("h") == F.col("own"), F.lit(False)) | every).dropDuplicates(["key", "h"]).select("key", "text", "quality", "toxic")
 
 
 def fit(docs: DataFrame, labels: DataFrame | None, key: str = "doc_id", text: str = "text", sample_rows: int = 12000, epochs: int = 4) -> Scorer:
