@@ -123,8 +123,10 @@ def fit(docs: DataFrame, key: str, text: str, language: str, per_language: int =
     share = F.lit(0.0)
     for name, count in totals.items():
         share = F.when(F.col(f"`{language}`") == name, F.lit(min(1.0, per_language / count))).otherwise(share)
-    chance = F.pmod(F.xxhash64(F.lit("language"), F.col(f"`{key}`")), F.lit(1 << 30)) / float(1 << 30)
-    picked = known.where(chance < share).select(F.col(f"`{language}`").alias("language"), F.col(f"`{text}`").alias("text"))
+    h = F.xxhash64(F.lit("language"), F.col(f"`{key}`"), F.col(f"`{text}`"))
+    drawn = known.where(F.pmod(h, F.lit(1 << 30)) / float(1 << 30) < share)
+    # rows of equal key and text share a draw and take part once
+    picked = drawn.select(F.col(f"`{language}`").alias("language"), F.col(f"`{text}`").alias("text"), h.alias("h")).dropDuplicates(["language", "h"]).select("language", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
