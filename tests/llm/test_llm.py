@@ -77,7 +77,8 @@ def test_budgets_cut_inside_an_unbroken_run(spark):
 # ---- decontamination ---------------------------------------------------------------------------
 
 
-def test_contamination_is_brute_force(spark):
+def test_contamination_is_brute_force(spark, monkeypatch):
+    from quillspark.llm import decontaminate
     from quillspark.llm.decontaminate import find_contamination
 
     rng = random.Random(5)
@@ -95,6 +96,9 @@ def test_contamination_is_brute_force(spark):
     clash = find_contamination(docs.withColumns({c: F.lit("kept") for c in ("h", "G", "found", "runs", "N_Hit")}), bench, pattern_bytes=200)
     assert by_key(clash, *columns) == expected and by_key(clash, "h", "G", "found", "runs") == {i: ("kept",) * 4 for i in range(len(texts))}
     assert find_contamination(docs.limit(0), bench).count() == 0
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 0)  # what was found comes by bitmap and join
+    joined = find_contamination(docs.withColumns({c: F.lit("kept") for c in ("mark", "word", "bits")}), bench, pattern_bytes=200)
+    assert by_key(joined, *columns) == expected and by_key(joined, "mark", "word", "bits") == {i: ("kept",) * 3 for i in range(len(texts))}
 
 
 # ---- chat formatting ---------------------------------------------------------------------------
@@ -156,6 +160,20 @@ def test_layouts(spark):
     assert sorted(r.conversation for r in unknown.collect()) == [3, 4]
 
 
+def test_conversations_without_turns(spark):
+    from quillspark.llm import chat
+
+    message = "id long, messages array<struct<role:string,content:string>>"
+    df = spark.createDataFrame([(1, [("user", "q"), None]), (2, []), (3, None), (3, None), (None, None), (4, []), (4, [("assistant", "a")])], message)
+    turns = chat.canonical_turns(df, "id")
+    assert sorted((r.turn, r.role, r.text) for r in turns.where("conversation = 1").collect()) == [(0, "user", "q"), (1, "", "")]
+    parts = chat.format_conversations(turns)
+    found = {r.conversation: (r.n_turns, r.formatted_chars, r.loss_chars, r.turns_sha256 == brute.sha("")) for r in chat.digest_conversations(parts).collect()}
+    assert set(found) == {1, 2, 3, 4, None}
+    assert found[2] == found[3] == found[None] == (0, 0, 0, True)
+    assert found[1][0] == 2 and found[4][:1] == (1,) and found[4][2] == 1
+
+
 # ---- language ----------------------------------------------------------------------------------
 
 
@@ -247,8 +265,9 @@ def test_nearest_edges(spark):
 # ---- secrets -----------------------------------------------------------------------------------
 
 
-def test_secrets_are_brute_force(spark):
-    from quillspark.llm.secrets import BASE_RULES, MORE_RULES, find_secrets, mask_secrets
+def test_secrets_are_brute_force(spark, monkeypatch):
+    from quillspark.llm import placing
+    from quillspark.llm.secrets import BASE_RULES, MORE_RULES, TrigramIndex, find_secrets, mask_secrets
 
     texts = ["password = hunter2x", "TOKEN: 'abc' secret=\"" + "k" * 9 + '"', "token= token:abcdefgh", "AKIA" + "A1" * 8 + " AKIA12", "é🤦 " + "0123456789abcdef" * 3, "api_key==abcdef apikey : zzzzzz", "ghp_" + "a" * 36, "paſſword=abcdefg", None, "", "x" * 100000, "secret:aaaaaa " * 900, "deadbeef" * 2, "pass tok sec api"]
     rows = {r.doc_id: r for r in mask_secrets(find_secrets(frame(spark, texts).withColumn("Spans", F.lit(1)))).collect()}
@@ -267,6 +286,39 @@ def test_secrets_are_brute_force(spark):
     assert masked == "x [SECRET] y " * 700
     assert rows[0].text == "[SECRET]" and rows[6].text == "[SECRET]" and rows[8].text is None
     assert find_secrets(frame(spark, texts).limit(0)).count() == 0
+    named = frame(spark, texts).select(F.coalesce("text", F.lit("")).alias("t")).withColumn("r", F.xxhash64("t"))
+    lists = TrigramIndex([*BASE_RULES, *MORE_RULES]).build(named, "r", "t")
+    for _ in range(2):  # an index that is kept is asked again
+        assert by_key(find_secrets(frame(spark, texts), lists=lists), "spans") == {i: (rows[i].spans,) for i in range(len(texts))}
+    monkeypatch.setattr(placing, "WORDS", 1)  # candidates share a word of the bitmap with others
+    assert by_key(find_secrets(frame(spark, texts)), "spans") == {i: (rows[i].spans,) for i in range(len(texts))}
+
+
+def test_no_text_is_shuffled_by_the_scan(spark):
+    from quillspark.llm.secrets import find_secrets
+
+    plan = find_secrets(frame(spark, ["token = abcdefgh", "x"]).repartition(3))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") - plan.count("BroadcastExchange") - plan.count("BroadcastQueryStage") <= 1 and "SortMergeJoin" not in plan and "Python" not in plan
+
+
+@pytest.mark.parametrize("size", [1, 64, 1 << 20])
+def test_places(spark, monkeypatch, size):
+    from quillspark.llm import placing
+
+    monkeypatch.setattr(placing, "WORDS", size)
+    df = spark.range(2000).select("id", F.xxhash64("id").alias("h")).unionByName(spark.createDataFrame([(-1, None)], "id long, h long")).withColumns({c: F.lit("own") for c in ("word", "Bits", "flags")})
+    named = df.where("id % 50 = 0").withColumn("f", F.expr("shiftleft(1L, cast(id % 3 as int))"))
+    table = placing.places(named, "h", "f")
+    assert table.count() <= size
+    found = placing.place(df, "h", table, "m").collect()
+    assert len(found) == 2001 and all((r.word, r.Bits, r.flags) == ("own",) * 3 for r in found)
+    marks = {r.id: r.m for r in found}
+    assert all(marks[i] & (1 << i % 3) for i in range(0, 2000, 50)) and marks[-1] == 0
+    wrong = sum(m != 0 for i, m in marks.items() if i % 50)
+    assert wrong == 0 if size == 1 << 20 else wrong < 2000
+    plain = placing.place(df, "h", placing.places(named, "h"), "m").where("m")
+    assert {i for i in range(0, 2000, 50)} <= {r.id for r in plain.collect()}
+    assert placing.place(df, "h", placing.places(named.limit(0), "h"), "m").where("m").count() == 0
 
 
 def test_every_match_answers_the_trigram_query():
@@ -311,7 +363,8 @@ def test_components_are_brute_force(spark, n, share):
     assert sorted((r.n_shingles, r.component_id or -1, r.doc_id or -1) for r in found) == sorted((s, c or -1, k or -1) for (s, c), (k, _) in zip(expected, rows))
 
 
-def test_keep_one(spark):
+def test_keep_one(spark, monkeypatch):
+    from quillspark.llm import ngram_join
     from quillspark.llm.ngram_join import keep_one
 
     base = " ".join(f"w{i}" for i in range(50))
@@ -321,6 +374,10 @@ def test_keep_one(spark):
     assert kept.columns == docs.columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "7", "8", "9", "None"]
     assert keep_one(docs.limit(0)).count() == 0
+    monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", 0)  # rows that may go meet the join by bitmap
+    kept = keep_one(docs.withColumns({c: F.lit("own") for c in ("mark", "word", "k", "H")}))
+    assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "7", "8", "9", "None"]
+    assert {(r.mark, r.word, r.k, r.H) for r in kept.collect()} == {("own",) * 4}
 
 
 # ---- quality -----------------------------------------------------------------------------------
@@ -376,6 +433,21 @@ def test_quality(spark):
     assert len({r[0] for r in by_key(score(long, scorer), "quality_score").values()}) == 1
 
 
+def test_the_quality_sample_is_bounded(spark):
+    from quillspark.llm.quality import _sample
+
+    labels = spark.createDataFrame([(1, 0, 1), (2, 1, 0)], "doc_id long, quality int, toxic int")
+    for key in ("1", "null", "id"):
+        docs = spark.range(20000).selectExpr(f"cast({key} as long) as doc_id", "concat('text ', id) as text")
+        copies = spark.range(20000).selectExpr(f"cast({key} as long) as doc_id", "'same' as text")
+        for notes in (labels, None):
+            assert 100 < _sample(docs, notes, "doc_id", "text", 1000).count() < 1300
+        if key != "id":  # equal rows take part once
+            assert _sample(copies, labels, "doc_id", "text", 1000).count() <= 1
+    noted = _sample(spark.range(20000).selectExpr("1L as doc_id", "concat('text ', id) as text"), labels, "doc_id", "text", 1000)
+    assert {(r.quality, r.toxic) for r in noted.collect()} == {(0, 1)}
+
+
 def test_quality_needs_no_annotations(spark):
     from quillspark.llm.quality import fit, score
     from quillspark.llm.tables import table
