@@ -90,26 +90,28 @@ def page_text(words: DataFrame, document: list[str]) -> DataFrame:
     return line.groupBy(*document).agg(F.array_join(F.transform(lines, lambda x: x["s"]), "\n").alias("text"))
 
 
-_FIELDS = "rec_text:string,rec_score:double,rec_texts:array<string>,rec_scores:array<double>"
-#: How deep results may lie in one another.
-_DEPTH = 8
+def recognition(result: Column) -> Column:
+    """struct(text, confidence 0-100) of a recogniser's JSON result, single or plural, under any number of ``res`` objects; an unknown form is an error.
 
+    A fold goes into ``res`` as long as it is an object; there can't be more of them than opening braces.
+    """
+    braces = F.length(result) - F.length(F.replace(result, F.lit("{"), F.lit("")))
 
-def recognition(result: Column) -> Column:
-    """struct(text, confidence 0-100) of a recogniser's JSON result, single or plural, under any number of ``res`` up to ``_DEPTH``; an unknown form is an error."""
-    schema = f"struct<{_FIELDS}>"
-    for _ in range(_DEPTH):
-        schema = f"struct<{_FIELDS},res:{schema}>"
-    parsed = F.from_json(result, schema)
-    levels = [parsed]
-    for _ in range(_DEPTH):
-        levels.append(levels[-1]["res"])
-    inner = F.coalesce(*[F.when(level.isNotNull(), F.struct(*[level[f.split(":")[0]].alias(f.split(":")[0]) for f in ("rec_text", "rec_score", "rec_texts", "rec_scores")])) for level in reversed(levels)])  # the innermost
-    one, score, texts, scores = (inner[f] for f in ("rec_text", "rec_score", "rec_texts", "rec_scores"))
-    joined = F.array_join(F.filter(texts, lambda t: F.trim(t) != ""), "\n")
+    def inward(value: Column, _: Column) -> Column:
+        inner = F.try_variant_get(value, "$.res", "variant")
+        return F.when(F.schema_of_variant(inner).startswith("OBJECT"), inner).otherwise(value)
+
+    innermost = F.aggregate(F.sequence(F.lit(0), braces), F.try_parse_json(result), inward)
+
+    def either(one: str, many: str) -> Column:
+        found = [F.try_variant_get(innermost, f"$.{name}", "variant") for name in (one, many)]
+        return F.coalesce(*[F.when(~F.is_variant_null(x), x) for x in found])
+
+    said, scored = either("rec_text", "rec_texts"), either("rec_score", "rec_scores")
+    texts, scores = F.try_variant_get(said, "$", "array<string>"), F.try_variant_get(scored, "$", "array<double>")
+    text = F.coalesce(F.array_join(F.filter(texts, lambda t: F.trim(t) != ""), "\n"), F.try_variant_get(said, "$", "string"))
     mean = F.try_divide(F.aggregate(scores, F.lit(0.0), lambda a, b: a + b), F.size(scores))
-    text = F.coalesce(one, joined)
-    value = F.coalesce(score, mean, F.lit(0.0))
+    value = F.coalesce(mean, F.try_variant_get(scored, "$", "double"), F.lit(0.0))
     percent = F.when(value <= 1, value * 100).otherwise(value)
     return F.when(text.isNull(), F.raise_error(F.lit("the recogniser's result has no text")).cast("struct<text:string,confidence:double>")).otherwise(F.struct(F.trim(text).alias("text"), percent.alias("confidence")))
 

@@ -255,3 +255,18 @@ def test_results_within_results(spark):
     nested = '{"res": {"res": {"res": {"rec_texts": ["up", " ", "down"], "rec_scores": [0.5, 0.7, 0.9]}}}}'
     found = spark.createDataFrame([(nested,)], "j string").select(codecs.recognition(F.col("j")).alias("r")).first().r
     assert found.text == "up\ndown" and found.confidence == pytest.approx(70)
+
+
+def test_recogniser_results_of_any_depth(spark):
+    from quillspark.sources import codecs
+
+    def under(levels, inner):
+        return '{"res": ' * levels + inner + "}" * levels
+
+    plural = '{"rec_texts": ["a", " ", "b"], "rec_scores": [0.5, 1.0], "more": {"x": {"res": 1}}}'
+    rows = [(under(n, plural),) for n in (0, 1, 8, 9, 40)] + [('{"res": "plain", "rec_text": " {c} ", "rec_score": 70}',), ('{"rec_text": null, "rec_texts": [], "rec_scores": []}',), ('{"rec_text": ["d", "e"], "rec_score": [0.2]}',)]
+    found = [(r.r.text, r.r.confidence) for r in spark.createDataFrame(rows, "j string").coalesce(1).select(codecs.recognition(F.col("j")).alias("r")).collect()]
+    assert found == [("a\nb", 75.0)] * 5 + [("{c}", 70.0), ("", 0.0), ("d\ne", 20.0)]
+    for wrong in ("[1]", "no json", None, '{"res": {"x": 1}}'):
+        with pytest.raises(Exception, match="no text"):
+            spark.createDataFrame([(wrong,)], "j string").select(codecs.recognition(F.col("j"))).collect()
