@@ -17,6 +17,7 @@ import numpy as np
 from .arrowkit import U64, mix
 
 ABSENT = np.int64(1) << np.int64(40)
+_KEPT = 20  # bits of the number of pairs whose answers are kept
 
 
 class Table:
@@ -60,6 +61,7 @@ class MergeOrder:
         self.time = np.arange(len(left)) if time is None else time
         if (self.time[left] > self.time).any() or (self.time[right] > self.time).any():
             raise ValueError("a token is made from one of a later merge")
+        self.asked, self.answers = np.full(1 << _KEPT, ~U64(0)), np.zeros(1 << _KEPT, bool)
 
     def valid(self, a: np.ndarray, b: np.ndarray, limit: np.ndarray | None = None) -> np.ndarray:
         """Whether the encoding of each pair's joined text is the pair itself.
@@ -87,3 +89,15 @@ class MergeOrder:
             go = ~bad & (take_a | take_b)
             at, a, b, limit = at[go], a[go], b[go], limit[go]
         return good
+
+    def allowed(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """As ``valid`` without a limit; answers are kept in a table of fixed size, where a later pair takes the place of an earlier one."""
+        pairs = a.astype(U64) << U64(32) | b.astype(U64)
+        slot = (mix(pairs) >> U64(64 - _KEPT)).astype(np.int64)
+        out = self.answers[slot]
+        new = np.flatnonzero(self.asked[slot] != pairs)
+        if len(new):
+            fresh, at = np.unique(pairs[new], return_inverse=True)
+            out[new] = self.valid(fresh >> U64(32), fresh & U64(0xFFFFFFFF))[at]
+            self.asked[slot[new]], self.answers[slot[new]] = pairs[new], out[new]
+        return out

@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding: batched Viterbi over words of equal length.
 
 Words of one length advance together as rows of a matrix. At each end position the hashes of the
-substrings that end there probe the sorted keys of all pieces; a vectorised maximum over the scores
+substrings that end there probe a hash table of all pieces; a vectorised maximum over the scores
 of the paths picks each word's best last piece, and its beginning is stored as a backpointer.
 
 The vocabulary given here is of the BPE kind: its encoding is what merging the best-scored pair first
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .arrowkit import append, mix
-from .merge_order import MergeOrder, Table
+from .merge_order import ABSENT, MergeOrder, Table
 
 BLANK = "▁"
 _REMEMBERED = 200_000
@@ -63,10 +63,9 @@ class PieceCoder:
         self.index = {names[i]: i for i in normal}
         self.score = np.array([model.get_score(i) for i in range(n)])
         keys = np.array([self._key(names[i]) for i in normal], np.uint64)
-        order = np.argsort(keys)
-        self.keys, self.ids = keys[order], np.array(normal)[order]
-        if (self.keys[1:] == self.keys[:-1]).any():
-            raise ValueError("two pieces have the same hash")
+        self.pieces = Table(keys, np.array(normal))  # raises where two pieces have the same hash
+        self.maybe = np.zeros(1 << 20, bool)  # most substrings are no piece, and this tells nearly all of them
+        self.maybe[(keys >> np.uint64(44)).astype(np.int64)] = True
         self.longest = max(len(names[i]) for i in normal)
         self.segments = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
         self.known: dict[str, bytes] = {}
@@ -120,8 +119,11 @@ class PieceCoder:
 
     def _probe(self, keys: np.ndarray) -> np.ndarray:
         """Ids of pieces by the hashes of their strings; -1 where there is none."""
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, self.ids[at], -1)
+        out = np.full(len(keys), -1)
+        at = np.flatnonzero(self.maybe[(keys >> np.uint64(44)).astype(np.int64)])
+        found = self.pieces.get(keys[at])
+        out[at] = np.where(found == ABSENT, -1, found)
+        return out
 
     def _prefix(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Prefix hashes (words x length + 1) and powers, so that any substring's hash is two products away."""
@@ -198,7 +200,7 @@ class PieceCoder:
                 worth[step < 0] = -np.inf
                 row, k = np.nonzero((step >= 0) & (begins > 0))
                 previous = piece[row, begins[k]]
-                fits = self.order.valid(np.where(previous >= 0, self.number[previous], 0), step[row, k])
+                fits = self.order.allowed(np.where(previous >= 0, self.number[previous], 0), step[row, k])
                 worth[row[~fits], k[~fits]] = -np.inf
             worth = worth + total[:, begins]
             pick = worth.argmax(1)
@@ -252,8 +254,9 @@ class PieceCoder:
         known = self.known
         fresh = self.learn(list({w for segments in cut for w in segments if w not in known}))
         if len(known) + len(fresh) > _REMEMBERED:
+            wanted = {w: known[w] for segments in cut for w in segments if w in known}  # what these texts need stays
             known.clear()
-            fresh = self.learn(list({w for segments in cut for w in segments}))
+            known.update(wanted)
         long = {w: v for w, v in fresh.items() if len(w) > _SHORT}
         known.update((w, v) for w, v in fresh.items() if len(w) <= _SHORT)
         look = known.__getitem__ if not long else lambda w: known[w] if w in known else long[w]
