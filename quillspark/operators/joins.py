@@ -20,10 +20,48 @@ def within_range(points: DataFrame, point: str, ranges: DataFrame, low: str, hig
     return points.join(match, points[point] == match["_p"], "left").drop("_p")
 
 
+#: Rows of a cell that one task compares with the rows of another.
+BLOCK = 1 << 14
+
+
+def _met(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """The inner join on ``on`` for rows that meet very many others.
+
+    The pairs are the work, however few bytes the rows have: rows are dealt to a fixed number of tasks, which neither a
+    broadcast nor the merging of small partitions undoes. Right rows of a key are dealt to blocks of about
+    ``BLOCK`` rows, and left rows to each of them, so a hot key is spread and what a task holds is bounded.
+    """
+    spark = left.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    many = right.groupBy(*on).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_blocks")).where("_blocks > 1")
+    number = F.coalesce("_blocks", F.lit(1))
+    dealt = right.join(many, on, "left").withColumn("_block", F.pmod(F.xxhash64(*right.columns), number).cast("int")).drop("_blocks")
+    asked = left.join(many, on, "left").withColumn("_block", F.explode(F.sequence(F.lit(0), number - 1))).drop("_blocks")
+    by = [*on, "_block"]
+    return asked.repartition(tasks, *by).join(dealt.repartition(tasks, *by).hint("merge"), by).drop("_block")
+
+
+def _cell(value: Column, width: float) -> Column:
+    """Numbers of cells just wider than half of ``width``: values no further apart than that, as doubles have it, lie in cells at most two apart."""
+    number = value / (width / 2 * (1 + 1e-6))
+    return F.floor(F.greatest(F.least(number, F.lit(4e18)), F.lit(-4e18)))  # infinite values have a cell too
+
+
 def band(left: DataFrame, a: str, right: DataFrame, b: str, width: float) -> DataFrame:
-    """Pairs with abs(a - b) <= width: each left row meets three cells of the right side only."""
-    cells = left.withColumn("_cell", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: F.floor(F.col(a) / width) + k)))
-    return cells.join(right.withColumn("_cell", F.floor(F.col(b) / width)), "_cell").where(F.abs(F.col(a) - F.col(b)) <= width).drop("_cell")
+    """Pairs with abs(a - b) <= width: each left row meets five cells of the right side only."""
+    cells = left.withColumn("_cell", F.explode(F.transform(F.sequence(F.lit(-2), F.lit(2)), lambda k: _cell(F.col(a), width) + k)))
+    return _met(cells, right.withColumn("_cell", _cell(F.col(b), width)), ["_cell"]).where(F.abs(F.col(a) - F.col(b)) <= width).drop("_cell")
+
+
+def band_within(df: DataFrame, keys: list[str], order: str, value: str, width: float) -> DataFrame:
+    """Pairs (``a``, ``b``) of one table's ``order``, a < b, of equal ``keys`` and with values no further apart than ``width``.
+
+    Each row meets its own cell and the two above it, so a pair of two cells is met once, from below.
+    """
+    cells = df.select(*keys, F.col(order).alias("_o"), F.col(value).alias("_v"), _cell(F.col(value), width).alias("_cell"))
+    below = cells.select(*keys, F.col("_o").alias("_p"), F.col("_v").alias("_w"), F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(2)), lambda k: F.col("_cell") + k)).alias("_up", "_cell"))
+    met = _met(below, cells, [*keys, "_cell"]).where((F.abs(F.col("_v") - F.col("_w")) <= width) & ((F.col("_p") < F.col("_o")) | ((F.col("_up") > 0) & (F.col("_p") > F.col("_o")))))
+    return met.select(F.least("_p", "_o").alias("a"), F.greatest("_p", "_o").alias("b"))
 
 
 def nearest_value(points: DataFrame, point: str, values: Column) -> DataFrame:

@@ -78,10 +78,7 @@ def j09_range_assign(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""SELECT a.p_partkey AS a, b.p_partkey AS b FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey AND abs(a.p_retailprice - b.p_retailprice) <= 1""")
 def j10_band_join(spark: SparkSession, sf: str) -> DataFrame:
-    part = table(spark, sf, "part")
-    a = part.select(F.col("p_partkey").alias("a"), F.col("p_brand").alias("ab"), F.col("p_retailprice").alias("ap"))
-    b = part.select(F.col("p_partkey").alias("b"), F.col("p_brand").alias("bb"), F.col("p_retailprice").alias("bp"))
-    return J.band(a, "ap", b, "bp", 1.0).where("ab = bb and a < b").select("a", "b")
+    return J.band_within(table(spark, sf, "part"), ["p_brand"], "p_partkey", "p_retailprice", 1.0)
 
 
 #: Pairs gone through in order by one recursion a group: each end is taken once.
