@@ -172,7 +172,7 @@ def j15_passage_lookup(spark: SparkSession, sf: str) -> DataFrame:
     """The first benchmark item whose beginning stands somewhere in a document: a dimension of any size, whole texts."""
     items = table(spark, sf, "benchmark").select("item_id", F.substring("text", 1, 40).alias("w"))
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    return substrings.first_contained(docs, "doc_id", "text", items, "w", "item_id", "item", q=6).select("doc_id", "item")
+    return substrings.first_contained(docs, "doc_id", "text", items, "w", "item_id", "item").select("doc_id", "item")
 
 
 @query("""SELECT o_orderkey, coalesce(d.flag, o_orderstatus) AS status FROM orders LEFT JOIN (SELECT l_orderkey, arg_max(l_returnflag, l_linenumber * 1e9 + l_extendedprice) AS flag FROM lineitem WHERE l_returnflag <> 'N' GROUP BY 1) d

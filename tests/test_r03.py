@@ -30,3 +30,25 @@ def test_a_band_join_of_few_bytes_is_spread(spark):
     pairs = J.band_within(df, ["k"], "id", "v", 1.0)
     assert pairs.count() == 40 * 45
     assert pairs.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_substrings_are_found_without_all_runs_of_a_text(spark, monkeypatch):
+    """Every run of every text was shuffled; now only runs that may be a needle's leave a text."""
+    from quillspark.operators import substrings
+
+    monkeypatch.setattr(substrings, "_SLICE", 100)
+    rng = random.Random(4)
+    letters = "abcé漢😀 "
+    texts = [(i, "".join(rng.choices(letters, k=rng.choice([0, 1, 7, 40, 300])))) for i in range(120)] + [(500, None)]
+    words = [t[a : a + n] for _, t in texts if t for a, n in [(rng.randrange(len(t)), rng.choice([1, 2, 3, 5, 9, 40, 90]))]]
+    words += ["".join(rng.choices(letters, k=n)) for n in (3, 8, 33, 70) for _ in range(5)] + [None, "ab" * 40]
+    df = spark.createDataFrame(texts, "id long, t string").repartition(3)
+    dims = spark.createDataFrame([(rng.randrange(1000), w) for w in words] + [(None, "a")], "o long, w string")
+    rows = [r for r in dims.collect() if r["o"] is not None and r["w"] is not None]
+    for least in (1, 6):  # all needles, or long ones alone
+        own = [r for r in rows if len(r["w"]) >= least]
+        want = {i: min((r["o"] for r in own if t is not None and r["w"] in t), default=None) for i, t in texts}
+        got = substrings.first_contained(df, "id", "t", dims.where(F.length("w") >= least), "w", "o", "first")
+        assert {r["id"]: r["first"] for r in got.collect()} == want
+    held = substrings._held(df.where("t is not null").select(F.col("id").alias("_key"), F.col("t").alias("_text")), {32: (13, __import__("numpy").zeros(1 << 10, "u1"))})
+    assert held.count() == 0
