@@ -126,19 +126,56 @@ def runs(df: DataFrame, keys: list[str], order: list[str], active: Column, least
     return joined.groupBy(*keys, "_joined").agg(F.min("begin").alias("begin"), F.max("end").alias("end")).drop("_joined")
 
 
+#: Keys are counted by buckets of a hash; those of a bucket with no more bounds than this, or than 16 times the mean, have theirs in an array.
+FEW = 4096
+_BUCKETS = 1 << 20
+
+
 def interval_of(points: DataFrame, keys: list[str], value: str, bounds: DataFrame, bound: str, name: str, ranges: int | None = None) -> DataFrame:
     """Add the index (from 0) of the interval between neighbouring bounds of the key that holds the value, ends included.
 
     On a bound between two intervals the first holds it. Null for values outside of all, and where the key has fewer than two
-    bounds. Points and bounds are sorted together, so an interval's index is the number of bounds passed.
+    bounds. Keys with few bounds have them in an array that their points meet by a join; of the others points and bounds are
+    sorted together, so an interval's index is the number of bounds passed.
     """
-    marks = bounds.select(*keys, F.col(bound).cast("double").alias("_at"), F.lit(1).alias("_kind")).where("_at is not null")
-    both = points.withColumn("_at", F.col(value).cast("double")).withColumn("_kind", F.lit(0)).unionByName(marks, allowMissingColumns=True)
-    passed = Scan(both, keys, ["_at", "_kind"], ranges).running({"_passed": F.col("_kind").cast("long")}).rows().where("_kind = 0")
-    known = marks.groupBy(*keys).agg(F.count("*").alias("_bounds"), F.min("_at").alias("_least")).withColumnsRenamed({k: f"_key{i}" for i, k in enumerate(keys)})
+    spark = points.sparkSession
+    path = scratch(spark, "bounds")
+    marks = bounds.select(*keys, F.col(bound).cast("double").alias("_at")).where("_at is not null")
+    marks.write.parquet(path)
+    marks = spark.read.schema(marks.schema).parquet(path)
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(_BUCKETS)).cast("int")
+    limit = max(FEW, 16 * marks.count() // _BUCKETS)
+    path = scratch(spark, "buckets")
+    marks.groupBy(bucket.alias("_bucket")).agg(F.count("*").alias("_n")).where(F.col("_n") > limit).select("_bucket").write.parquet(path)
+    many = spark.read.schema("_bucket int").parquet(path)
+    if many.isEmpty():
+        return _interval_by_array(points, keys, value, marks, name)
+    split = lambda df, how: df.withColumn("_bucket", bucket).join(many, "_bucket", how).drop("_bucket")
+    by_array = _interval_by_array(split(points, "left_anti"), keys, value, split(marks, "left_anti"), name)
+    return by_array.unionByName(_interval_by_scan(split(points, "left_semi"), keys, value, split(marks, "left_semi"), name, ranges))
+
+
+def _with_key(points: DataFrame, per: DataFrame, keys: list[str]) -> DataFrame:
+    """Points with the row of their key, null keys being a key."""
+    per = per.withColumnsRenamed({k: f"_key{i}" for i, k in enumerate(keys)})
     same = F.lit(True)
     for i, k in enumerate(keys):
-        same = same & passed[k].eqNullSafe(known[f"_key{i}"])
+        same = same & points[k].eqNullSafe(per[f"_key{i}"])
+    return points.join(per, same, "left").drop(*[f"_key{i}" for i in range(len(keys))])
+
+
+def _interval_by_array(points: DataFrame, keys: list[str], value: str, marks: DataFrame, name: str) -> DataFrame:
+    held = _with_key(points, marks.groupBy(*keys).agg(F.array_sort(F.collect_list("_at")).alias("_bounds")), keys)
+    at = F.col(value).cast("double")
+    passed, size = F.size(F.filter("_bounds", lambda b: b < at)), F.size("_bounds")
+    index = F.when(at == F.get("_bounds", F.lit(0)), 0).when(passed > 0, passed - 1)
+    return held.withColumn(name, F.when((passed < size) & (size > 1), index).cast("int")).drop("_bounds")
+
+
+def _interval_by_scan(points: DataFrame, keys: list[str], value: str, marks: DataFrame, name: str, ranges: int | None) -> DataFrame:
+    both = points.withColumn("_at", F.col(value).cast("double")).withColumn("_kind", F.lit(0)).unionByName(marks.withColumn("_kind", F.lit(1)), allowMissingColumns=True)
+    passed = Scan(both, keys, ["_at", "_kind"], ranges).running({"_passed": F.col("_kind").cast("long")}).rows().where("_kind = 0")
+    held = _with_key(passed, marks.groupBy(*keys).agg(F.count("*").alias("_bounds"), F.min("_at").alias("_least")), keys)
     index = F.when(F.col("_at") == F.col("_least"), 0).when(F.col("_passed") > 0, F.col("_passed") - 1)
     inside = (F.col("_passed") < F.col("_bounds")) & (F.col("_bounds") > 1)
-    return passed.join(known, same, "left").withColumn(name, F.when(inside, index).cast("int")).drop("_at", "_kind", "_passed", "_bounds", "_least", *known.columns[: len(keys)])
+    return held.withColumn(name, F.when(inside, index).cast("int")).drop("_at", "_kind", "_passed", "_bounds", "_least")

@@ -52,3 +52,21 @@ def test_substrings_are_found_without_all_runs_of_a_text(spark, monkeypatch):
         assert {r["id"]: r["first"] for r in got.collect()} == want
     held = substrings._held(df.where("t is not null").select(F.col("id").alias("_key"), F.col("t").alias("_text")), {32: (13, __import__("numpy").zeros(1 << 10, "u1"))})
     assert held.count() == 0
+
+
+@pytest.mark.parametrize("few", [4096, 3, 0])
+def test_intervals_of_few_bounds_need_no_scan(spark, monkeypatch, few):
+    from quillspark.operators import scans
+
+    plain, made = scans.Scan.__init__, []
+    monkeypatch.setattr(scans, "FEW", few)
+    monkeypatch.setattr(scans.Scan, "__init__", lambda self, *a: made.append(a) or plain(self, *a))
+    bounds = [(k, float(b)) for k, own in (("a", [0, 2, 5]), ("hot", range(0, 40, 3)), (None, [1, 4]), ("one", [3])) for b in own]
+    points = [(i, k, v) for i, (k, v) in enumerate((k, v) for k in ("a", "hot", None, "one", "none") for v in (None, float("nan"), -1.0, 0.0, 1.0, 2.0, 2.5, 4.0, 5.0, 39.0, 40.0))]
+    got = scans.interval_of(spark.createDataFrame(points, "id long, k string, x double"), ["k"], "x", spark.createDataFrame(bounds, "k string, b double"), "b", "cell").collect()
+    want = {}
+    for i, k, v in points:
+        own = sorted(b for m, b in bounds if m == k)
+        want[i] = next((j for j, (a, b) in enumerate(zip(own, own[1:])) if v is not None and a <= v <= b), None)
+    assert {r["id"]: r["cell"] for r in got} == want
+    assert len(made) == (few < 4096)  # all pages were sorted by range, written and read again
