@@ -19,17 +19,27 @@ def _vectors(rows: DataFrame, vector: str) -> DataFrame:
     return rows.withColumn("features", array_to_vector(F.col(vector).cast("array<double>")))
 
 
+def _training(train: DataFrame, vector: str, label: str) -> DataFrame:
+    """Features, labels and weights (``_w``), spread over all cores.
+
+    Classes are few, so their weights are broadcast: a shuffled join would leave as many parts as there are shuffle
+    partitions, each of them a task of every pass of every class.
+    """
+    sizes = train.groupBy(label).agg(F.count("*").alias("_c"))  # as many rows as classes
+    totals = sizes.agg(F.sum("_c").alias("_n"), F.count("*").alias("_k"))
+    weights = sizes.join(totals).select(label, (F.col("_n") / (F.col("_k") * F.col("_c"))).alias("_w"))
+    parts = max(train.sparkSession.sparkContext.defaultParallelism, train.rdd.getNumPartitions())
+    weighted = train.select(vector, label).repartition(parts).join(F.broadcast(weights), label)
+    return _vectors(weighted, vector).withColumn("label", F.col(label).cast("double"))
+
+
 def fit(train: DataFrame, vector: str, label: str, **options) -> PipelineModel:
     """One-against-rest linear support vectors, classes weighted by their inverse frequency; labels are numbers from 0."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LinearSVC, OneVsRest
 
-    sizes = train.groupBy(label).agg(F.count("*").alias("_c"))  # as many rows as classes
-    totals = sizes.agg(F.sum("_c").alias("_n"), F.count("*").alias("_k"))
-    weights = sizes.join(totals).select(label, (F.col("_n") / (F.col("_k") * F.col("_c"))).alias("_w"))
-    data = _vectors(train.join(weights, label), vector).withColumn("label", F.col(label).cast("double"))
     svc = LinearSVC(**{"maxIter": 20, "regParam": 0.01, **options})
-    return Pipeline(stages=[OneVsRest(classifier=svc, weightCol="_w", parallelism=4)]).fit(data)
+    return Pipeline(stages=[OneVsRest(classifier=svc, weightCol="_w", parallelism=4)]).fit(_training(train, vector, label))
 
 
 def save(model: PipelineModel, path: str) -> None:

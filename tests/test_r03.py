@@ -70,3 +70,20 @@ def test_intervals_of_few_bounds_need_no_scan(spark, monkeypatch, few):
         want[i] = next((j for j, (a, b) in enumerate(zip(own, own[1:])) if v is not None and a <= v <= b), None)
     assert {r["id"]: r["cell"] for r in got} == want
     assert len(made) == (few < 4096)  # all pages were sorted by range, written and read again
+
+
+def test_training_rows_are_not_dealt_to_shuffle_partitions(spark):
+    """Every pass of every class had a task for each shuffle partition, however few rows there were."""
+    from quillspark.operators import models
+
+    rows = spark.createDataFrame([([float(i), 1.0], i % 3) for i in range(30)], "v array<double>, y int").repartition(2)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        for k, v in zip(before, ("37", "false", "-1")):
+            spark.conf.set(k, v)
+        data = models._training(rows, "v", "y")
+        assert data.count() == 30 and data.where("abs(_w - 1) > 1e-12").count() == 0
+        assert data.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
