@@ -34,6 +34,7 @@ from .arrowkit import LOWER, NOT_BLANK, U64, Tokens, _BYTE_POWERS, _BYTE_VALUES,
 from .ftrl import Ftrl, temperature
 
 WIDTH = 1 << 18
+SLICE = 1 << 19  # bytes of text that are looked at together: what is computed of them takes many times as much
 _LETTERS = byte_set((0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF))
 #: English words of contempt (what somebody is like) and names that people call others; no word is on both lists.
 CONTEMPT = ["disgusting", "dumb", "filthy", "hateful", "pathetic", "stupid", "useless", "vile", "worthless"]
@@ -215,7 +216,7 @@ def fit(docs: DataFrame, labels: DataFrame | None, key: str = "doc_id", text: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 b = Batch(part.column(1))
                 sound, safe = heuristic_votes(b)
                 row, bucket = b.features()
@@ -259,8 +260,11 @@ def score(docs: DataFrame, scorer: Scorer, text: str = "text", keep: list[str] |
     shared = docs.sparkSession.sparkContext.broadcast(scorer)
 
     def compute(part: pa.RecordBatch) -> dict[str, pa.Array]:
-        batch = Batch(part.column(part.schema.get_field_index(text)))
-        p = shared.value.probabilities(batch) * (batch.words.counts > 0)[:, None]
+        found = []
+        for piece in slices(part, text, SLICE):
+            batch = Batch(piece.column(piece.schema.get_field_index(text)))
+            found.append(shared.value.probabilities(batch) * (batch.words.counts > 0)[:, None])
+        p = np.concatenate(found) if found else np.zeros((0, 2))
         least = p.min(1) if len(p) else np.zeros(0)
         return {"quality_score": pa.array(least), "p_sound": pa.array(p[:, 0]), "p_safe": pa.array(p[:, 1]), "keep": pa.array(least >= 0.5)}
 

@@ -31,3 +31,21 @@ def test_kept_answers_are_those_of_the_rule():
     want = coder.order.valid(a, b)
     for _ in range(2):  # asked for the first time, and again
         assert (coder.order.allowed(a, b) == want).all()
+
+
+def test_a_slice_of_the_quality_classifier_takes_little_memory():
+    """Features of 2 MB of text at once took some 150 MB of each worker."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from quillspark.llm import quality
+    from quillspark.llm.arrowkit import SLICE_BYTES, slices
+
+    text = " ".join(f"word{i % 5000}" for i in range(2000))
+    batch = pa.RecordBatch.from_arrays([pa.array([text] * (SLICE_BYTES // len(text)))], names=["text"])
+    quality.Batch(batch.column(0).slice(0, 1)).features()
+    tracemalloc.start()
+    rows = sum(quality.Batch(part.column(0)).rows for part in slices(batch, "text", quality.SLICE) if quality.Batch(part.column(0)).features())
+    assert rows == batch.num_rows and tracemalloc.get_traced_memory()[1] < 60 << 20
+    tracemalloc.stop()
