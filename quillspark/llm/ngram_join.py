@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrowkit import LOWER, NOT_BLANK, U64, Tokens, _WORD_POWERS, discard, mix, release, rolling, slices, spare, text_bytes, written
-from .components import components
+from .components import components, extended
 from .placing import place, places
 from .substring_dedup import bitmap, bits_for, in_bitmap
 
@@ -506,25 +506,27 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     rarity = spark.sparkContext.broadcast(_rarity(signed))
     rows = signed.where("chunk is null").select("key", "n", "sign")
     lists = written(_with_hubs(_entries(docs, text, n, share, rarity).withColumn("h", F.lit(0)), share), "lists")
+    rarity.destroy()
     counted, dense = written(_counted(lists, share), "counted"), _dense(lists)
     signs = written(counted.select(F.explode(F.array("u", "v")).alias("sign")).unionByName(dense).distinct(), "signs")
     wanted = spark.sparkContext.broadcast(bitmap(signs, "sign", bits_for(4 * signs.count())))
     sets = written(_sets(docs, text, n, wanted), "sets")
+    wanted.destroy()
     answers = written(_compared(counted, sets), "answers")
-    roots = components(_links(answers, share))
+    roots = components(_links(answers, share), BROADCAST_ROWS)
     kept = _mixed(lists.join(_light(dense), "sign", "left_semi").select("e", "sign", "n", "at"), roots)
     discard(lists, counted, dense, signs)
     if not kept.isEmpty():
         central = _central(kept, answers, roots, share)
-        first, answers = answers, written(answers.unionByName(_compared(central, sets)), "answers")
-        discard(first, central, roots)
-        roots = components(_links(answers, share))
+        more = written(_compared(central, sets), "answers")
+        answers = answers.unionByName(more)
+        discard(central)
+        roots = extended(roots, _links(more, share), BROADCAST_ROWS)
         first, kept = kept, _mixed(kept.select("e", "sign", "n", "at"), roots)
         discard(first)
         open_ = written(_across(_labelled(kept, answers, share), share), "open")
         more = written(_compared(open_.where("not sure").select("u", "v"), sets), "answers")
-        discard(roots)
-        roots = components(_links(answers.unionByName(more), share).unionByName(open_.where("sure").select("u", "v")))
+        roots = extended(roots, _links(more, share).unionByName(open_.where("sure").select("u", "v")), BROADCAST_ROWS)
         discard(open_, more)
     discard(kept, sets, answers)
     classes = rows.where("n > 0").groupBy("sign").agg(F.min("key").alias("least"))

@@ -26,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -225,17 +226,22 @@ def fit(docs: DataFrame, labels: DataFrame | None, key: str = "doc_id", text: st
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.string()), part.column(2), part.column(3), pa.array(sound.tolist(), pa.list_(pa.int32())), pa.array(safe.tolist(), pa.list_(pa.int32())), pa.array(blobs, pa.binary())], names=["key", "quality", "toxic", "sound", "safe", "at"])
         release()
 
-    table = picked.mapInArrow(run, "key string, quality int, toxic int, sound array<int>, safe array<int>, at binary").toArrow()
-    keys, features = table.column("key").to_pylist(), table.column("at").to_pylist()
-    rows = sorted(range(table.num_rows), key=lambda i: (keys[i] or "", features[i]))  # whatever order tasks end in
-    if not rows:
+    scorer = _trained(picked.mapInArrow(run, "key string, quality int, toxic int, sound array<int>, safe array<int>, at binary").toArrow(), epochs)
+    release()  # the sample has been the driver's
+    return scorer
+
+
+def _trained(table: pa.Table, epochs: int) -> Scorer:
+    """Weak labels and linear scores of the sample's votes, annotations and features."""
+    if not table.num_rows:
         return Scorer(np.zeros((WIDTH + 1, 2)), (1.0, 1.0), (np.zeros(0), np.zeros(0)))
-    blobs = table.column("at")
-    examples = [np.append(np.frombuffer(blobs[i].as_py(), "<u4"), np.uint32(WIDTH)) for i in rows]
-    note = {c: np.array([-1 if v is None else v for v in table.column(c).to_pylist()])[rows] for c in ("quality", "toxic")}
-    votes = {c: np.array(table.column(c).to_pylist(), np.int64)[rows] for c in ("sound", "safe")}
+    table = table.set_column(0, "key", pc.fill_null(table.column("key"), "")).sort_by([("key", "ascending"), ("at", "ascending")])  # whatever order tasks end in
+    examples = [np.append(np.frombuffer(blob.as_buffer(), "<u4"), np.uint32(WIDTH)) for blob in table.column("at")]
+    table = table.drop_columns(["key", "at"])
+    note = {c: np.array([-1 if v is None else v for v in table.column(c).to_pylist()]) for c in ("quality", "toxic")}
+    votes = {c: np.array(table.column(c).to_pylist(), np.int64) for c in ("sound", "safe")}
     annotated = {"sound": np.where(note["quality"] == 1, YES, np.where(note["quality"] == 0, NO, NONE)), "safe": np.where(note["toxic"] == 0, YES, np.where(note["toxic"] == 1, NO, NONE))}
-    held = np.arange(len(rows)) % 5 == 0
+    held = np.arange(table.num_rows) % 5 == 0
     weights, heat, tables = [], [], []
     for question in ("sound", "safe"):
         p, accuracy, _ = weak_labels(np.concatenate([annotated[question][:, None], votes[question]], 1))

@@ -49,3 +49,76 @@ def test_a_slice_of_the_quality_classifier_takes_little_memory():
     rows = sum(quality.Batch(part.column(0)).rows for part in slices(batch, "text", quality.SLICE) if quality.Batch(part.column(0)).features())
     assert rows == batch.num_rows and tracemalloc.get_traced_memory()[1] < 60 << 20
     tracemalloc.stop()
+
+
+def _least(pairs):
+    """The least node of each node's component."""
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for u, v in pairs:
+        if u is not None and v is not None and u != v:
+            a, b = sorted((find(u), find(v)))
+            root[b] = a
+    return {x: find(x) for x in list(root)}
+
+
+def _edges(spark, pairs):
+    return spark.createDataFrame(pairs, "u long, v long")
+
+
+def _counted(spark, monkeypatch):
+    """How many tables have been written, by name."""
+    from quillspark.llm import components
+
+    seen, plain = [], components.written
+    monkeypatch.setattr(components, "written", lambda df, name: seen.append(name) or plain(df, name))
+    return seen
+
+
+@pytest.mark.parametrize("most", [1 << 20, 0])
+def test_components_are_those_of_a_plain_search(spark, most):
+    from quillspark.llm.components import components, extended
+
+    rng = np.random.Generator(np.random.PCG64(5))
+    path = [(i, i + 1) for i in rng.permutation(40).tolist()]
+    pairs = [*path, *((1000, 1001 + i) for i in range(50)), *(tuple(x) for x in rng.integers(2000, 2060, (30, 2)).tolist()), (7, 7), (None, 3), (3, None), (1, 0), (5001, 5000)]
+    roots = components(_edges(spark, pairs), most)
+    assert dict(roots.collect()) == _least(pairs) and roots.count() == len(_least(pairs))
+    more = [(5000, 1017), (17, 1003), (-4, 2001), (9000, 9001), (6, 12), (None, 5), (8, 8)]
+    assert dict(extended(roots, _edges(spark, more), most).collect()) == _least(pairs + more)
+
+
+def test_stars_are_settled_without_a_further_round(spark, monkeypatch):
+    """A round more was run to see that nothing changes: on the driver its tasks, plans and code added up."""
+    from quillspark.llm.components import components
+
+    seen = _counted(spark, monkeypatch)
+    found = components(_edges(spark, [(1, 2), (1, 3), (4, 9)]))
+    assert seen == ["edges", "least"]
+    assert dict(found.collect()) == {1: 1, 2: 1, 3: 1, 4: 4, 9: 4}
+
+
+def test_links_within_known_components_cost_no_round(spark, monkeypatch):
+    """With further links all components were worked out again from the first link on."""
+    from quillspark.llm.components import components, extended
+
+    roots = components(_edges(spark, [(i, i + 1) for i in range(12)]))
+    seen = _counted(spark, monkeypatch)
+    assert dict(extended(roots, _edges(spark, [(0, 9), (4, 12)])).collect()) == {i: 0 for i in range(13)}
+    assert seen == ["edges", "least"]
+
+
+def test_the_classifiers_sample_leaves_the_driver(spark, monkeypatch):
+    """Its freed memory stayed with the driver's Python, some 110 MB."""
+    from quillspark.llm import quality
+
+    docs = spark.createDataFrame([(i, f"plain words of text number {i} and some more of them") for i in range(40)], "doc_id long, text string")
+    seen = []
+    monkeypatch.setattr(quality, "release", lambda: seen.append(1))
+    quality.fit(docs, None)
+    assert seen == [1]
